@@ -45,7 +45,7 @@ class TokenIds:
         if len(self.known) > CACHE:
             self.known = {"": b""}
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        fresh = list({w for words in split for w in words} - self.known.keys())
+        fresh = [w for w in {w for words in split for w in words} if w not in self.known]
         for at in range(0, len(fresh), 4096):
             part = fresh[at : at + 4096]
             for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
