@@ -8,6 +8,7 @@ task or a round no longer saves bins. A bin carries its pieces, at most one for
 
 from __future__ import annotations
 
+import string
 import zlib
 from collections.abc import Iterator
 
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import map_arrow, slices, stored
 
 #: Token ids of words that a worker keeps.
-CACHE = 400_000
+CACHE = 300_000
 #: Items that one task packs in the rounds after the first; and children of a node of the merge tree.
 TASK_ITEMS, FAN_IN = 20_000, 4
 #: A round that saves a smaller share of its bins ends the rounds.
@@ -32,26 +33,70 @@ PIECE = "struct<doc_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:big
 class TokenIds:
     """Token ids as little-endian 32-bit bytes, by words between blanks and line ends.
 
-    The tokenizer splits at white space before it merges, so a text's ids are its words' ids one
-    after the other. Words are cached; any other white space stays in its word, for the tokenizer.
+    The tokenizer splits at white space, and letters from punctuation, before it merges, so a text's
+    ids are its words' ids one after the other, and a word's those of its letters and of the
+    punctuation after them. Both are kept, up to a number; any other white space stays in its word.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a letter or punctuation run
+        for token, at in vocabulary.items():
+            self.last[at] = token.endswith("</w>")
+        self.known, self.parts = {"": b""}, {"": b""}
+
+    def whole(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def runs(self, parts: list[str]) -> dict[str, bytes]:
+        """Ids of letter runs and punctuation runs, many at a call."""
+        out = {}
+        for at in range(0, len(parts), 256):
+            own = parts[at : at + 256]
+            ids = np.array(self.tokenizer.encode(" ".join(own), add_special_tokens=False).ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+            raw, begin = ids.tobytes(), 0
+            for w, end in zip(own, ends, strict=True):
+                out[w] = raw[begin:end]
+                begin = end
+        return out
 
     def of(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > CACHE:
-            self.known = {"": b""}
+        known, parts, cut = self.known, self.parts, {}
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        fresh = [w for w in {w for words in split for w in words} if w not in self.known]
-        for at in range(0, len(fresh), 4096):
-            part = fresh[at : at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        new: dict[str, bytes] = {}
+        for w in [w for w in set().union(*split) if w not in known]:
+            stem = w.rstrip(string.punctuation)
+            if stem.isalpha() and max(stem) < "\u0100":  # lower case is one to one here
+                cut[w] = (stem.lower(), w[len(stem) :])
+            else:
+                new[w] = self.whole(w)
+        fresh = self.runs(list({p for pair in cut.values() for p in pair if p not in parts}))
+        if len(parts) < CACHE:
+            parts |= fresh
+        for w, (a, b) in cut.items():
+            new[w] = (fresh.get(a) or parts[a]) + (fresh.get(b) or parts[b])
+        if len(known) < CACHE:
+            known |= new
+            return [b"".join(map(known.__getitem__, words)) for words in split]
+        known |= new  # for these texts only
+        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        for w in new:
+            del known[w]
+        return out
+
+
+_TOKENS: dict[str, TokenIds] = {}
+
+
+def token_ids(path: str) -> TokenIds:
+    """The tokenizer of this worker, which keeps its caches from task to task."""
+    if path not in _TOKENS:
+        _TOKENS[path] = TokenIds(path)
+    return _TOKENS[path]
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +148,7 @@ def _first_round(path: str, capacity: int, end_id: int, slack: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tokens = TokenIds(path)
+        tokens = token_ids(path)
         cols: list[list[np.ndarray]] = [[] for _ in range(5)]
         null: list[np.ndarray] = []
         end = np.array([end_id], "<u4").tobytes()
