@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_arrow, slices
+from tessera.llm.common import importable, map_arrow, slices
 
 BUCKETS = 256
 #: Difference at which two digests count as unlike altogether; steps of length that count, at most.
@@ -106,6 +106,7 @@ def with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     row of the one after it. Null text is as empty; a lone document is its own next.
     """
     spark = docs.sparkSession
+    importable(spark)
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
     ids = docs.select(key.alias("k"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))

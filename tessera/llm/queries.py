@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tessera.llm import chat, fingerprint, packing, phrases, quality, simhash, toxicity
+from tessera.llm import chat, fingerprint, hilbert, packing, phrases, quality, simhash, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -88,3 +88,18 @@ SELECT conv_id, count(*) AS n_turns,
        CAST(sum(length(er) + length(et) + 23) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id
 """
+
+
+@query
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.round_trip(table(spark, sf_dir, "pages"))
+    page = lambda c: F.expr(f"try_cast(regexp_extract({c}, '([0-9-]+)>', 1) as bigint)")
+    return back.select(page("id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), page("refers_to").alias("refers_to"))
+
+
+@query
+def op6_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", (F.octet_length(raw) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
+    placed = hilbert.sharded(rows, ["lang", "source", "size"], 24, ["doc_id", "size", "text_crc32"], tie="doc_id")
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
