@@ -23,13 +23,13 @@ from pyspark.sql import functions as F
 from tessera.llm.common import map_arrow, slices, stored
 
 #: Words of a passage; latent dimensions, and those beyond them in the random range.
-PASSAGE, RANK, EXTRA = 64, 64, 16
+PASSAGE, RANK, EXTRA = 64, 128, 16
 #: Items of a block; words of a worker's cache; vocabulary rows in one partial sum.
 BLOCK, CACHE, ROWS = 1000, 300_000, 64
 #: A word in a larger share of passages tells nothing, unless an item has no others.
 MAX_DF = 0.05
 #: Least cosine, common subsequence by item length, and share of the answer's words.
-COSINE, COMMON, ANSWER, ANSWER_WORDS = 0.45, 0.6, 0.5, 5
+COSINE, COMMON, ANSWER, ANSWER_WORDS = 0.35, 0.6, 0.5, 5
 
 BLANKS = string.punctuation + "…“”„«»‘’–—¡¿"
 
