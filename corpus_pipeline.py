@@ -1,10 +1,81 @@
-"""The corpus pipeline: five operators in a row over ``documents``."""
+"""The corpus pipeline: quality, near-duplicates, recurring passages, benchmark leaks, packing.
+
+Each stage takes ``(spark, docs, sf_dir)``; its result is written as Parquet and read back as the next
+one's ``docs``. All stages but the last return the columns of ``docs``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import decontam, packing, phrases, quality, simhash
+from tessera.llm.common import stored
+
+#: A document whose quality score is lower goes.
+LEAST_QUALITY = 0.5
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on labelled rows of ``docs``, does not reject."""
+    model = quality.fit(_table(spark, sf_dir, "labels"), docs)
+    carry = tuple(docs.columns)
+    return quality.scored(docs, model, carry=carry).where(F.col("score") >= LEAST_QUALITY).select(*carry)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the document of the least id.
+
+    Of repeated rows of that id one stays; documents without an id are in no group and stay.
+    """
+    found = stored(simhash.similar_documents(docs, similarity=0.8, shingle=5), "groups")
+    extra = found.where("id = component").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
+    gone = found.where("id <> component").select(F.col("id").alias("doc_id")).distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    if extra.isEmpty():
+        return kept
+    again = kept.join(extra.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(extra.select(F.col("id").alias("doc_id")), "doc_id", "left_anti").unionByName(again).select(*docs.columns)
+
+
+def recurring_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without words of 35-word windows that recur; a text that loses none stays as it was."""
+    carry = tuple(c for c in docs.columns if c not in ("text", "n_chars"))
+    left = phrases.without_recurring(docs, window=35, carry=carry, original=True)
+    left = left.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("long"))
+    return left.select(*docs.columns)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents into which no benchmark item leaked."""
+    gone = decontam.leaks(docs, _table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the remaining documents, each with its sequence of at most 2048 tokens and its place there."""
+    return packing.packed(docs, capacity=2048)
+
+
+STAGES = [
+    ("quality classifier", quality_filter),
+    ("SimHash near-dedup", near_duplicates),
+    ("substring dedup", recurring_passages),
+    ("benchmark decontamination", benchmark_leaks),
+    ("best-fit packing", packed_sequences),
+]
+
+#: Learned scores and packing are not SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to ``documents``, each result written to the shared folder and read again."""
+    docs = _table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
