@@ -24,6 +24,8 @@ from tessera.llm.common import map_arrow, slices, stored
 
 #: Words of a passage; latent dimensions, and those beyond them in the random range.
 PASSAGE, RANK, EXTRA = 64, 128, 16
+#: Bytes of numbered words (two a word) that are worked on at once.
+PORTION = 256 << 10
 #: Items of a block; words of a worker's cache; vocabulary rows in one partial sum.
 BLOCK, CACHE, ROWS = 1000, 300_000, 64
 #: A word in a larger share of passages tells nothing, unless an item has no others.
@@ -114,7 +116,7 @@ def _document_counts(width: int):
         total = np.zeros(width, np.int64)
         useful = np.ones(width, bool)
         useful[0] = False
-        for b in slices(batches, 4096):
+        for b in slices(batches, 1024, PORTION):
             p = Passages(*_parts(b), 0, useful)
             total += np.bincount(p.term, minlength=width)
             total[0] += len(p.doc_of)
@@ -128,12 +130,13 @@ def _gram_product(idf: np.ndarray, basis: np.ndarray):
     """A task's share of A'(A basis), A being all weighted passages, in blocks of rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros_like(basis)
-        for b in slices(batches, 4096):
+        total, small = np.zeros_like(basis), basis.astype(np.float32)
+        for b in slices(batches, 1024, PORTION):
             own, first, term, w = Passages(*_parts(b), 0, idf > 0).weighted(idf)
             if not len(own):
                 continue
-            y = np.add.reduceat(basis[term] * w[:, None], first, axis=0)
+            w = w.astype(np.float32)
+            y = np.add.reduceat(small[term] * w[:, None], first, axis=0)
             back = np.repeat(y, np.diff(np.append(first, len(w))), axis=0) * w[:, None]
             order = np.argsort(term, kind="stable")
             rows, at = np.unique(term[order], return_index=True)
@@ -195,7 +198,7 @@ def _leaks(items: Items, idf: np.ndarray, space: np.ndarray):
         np.add.at(latent, key // len(idf), ((1 + np.log(n)) * idf[key % len(idf)])[:, None] * space[key % len(idf)])
         latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-30)
         latent, small = latent.T.astype(np.float32), space.astype(np.float32)
-        for b in slices(batches, 2048):
+        for b in slices(batches, 1024, PORTION):
             ids, sizes = _parts(b)
             begin = np.cumsum(sizes) - sizes
             best: dict[tuple[int, int], tuple] = {}
