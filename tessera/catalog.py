@@ -1,10 +1,367 @@
-"""The engine's own queries over the driver's tables, each with its SQL twin."""
+"""The engine's own queries over the driver's tables, each with its SQL twin.
+
+Corpora: ``documents`` with path source/lang/doc_id, ``pages`` with their url, ``conversations`` with
+conversation/turn-role. Old and new snapshots are both derived from ``documents`` by id.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions import bloom
+from tessera.functions.text import grouped
+from tessera.operators import files, formats, groups, index, info, lines, snapshot
+from tessera.plans.options import parse_options
+from tessera.sources.config import parse_config
+from tessera.workers import importable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+DOCS = "docs AS (SELECT source || '/' || lang || '/' || doc_id AS path, doc_id, text AS content FROM documents)"
+SPLIT = """{name} AS (
+  SELECT path, CAST(line_no AS INTEGER) AS line_no, line, line_no < n AS ended FROM (
+    SELECT path, unnest(ls) AS line, generate_subscripts(ls, 1) AS line_no, len(ls) AS n
+    FROM (SELECT path, string_split(content, chr(10)) AS ls FROM {source} WHERE content <> '')) WHERE line_no < n OR line <> '')"""
+LINES = f"{DOCS}, {SPLIT.format(name='lines', source='docs')}"
+FOLD = f"translate({{}}, '{UPPER}', '{LOWER}')"
+
+
+def query(oracle: str):
+    def keep(fn):
+        @wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            importable(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[fn.__name__], ORACLES[fn.__name__] = run, oracle
+        return run
+
+    return keep
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return rows.select(F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("content"))
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("url").alias("path"), F.col("html").alias("content"))
+
+
+def talks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return rows.select(F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"), F.lit("-"), F.col("role")).alias("path"), F.col("text").alias("content"))
+
+
+def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.entries(spark.read.parquet(f"{sf_dir}/pages.parquet").select("url", "page_id"), F.col("page_id"))
+
+
+# --- lines ------------------------------------------------------------------------------------
+
+
+@query(rf"WITH {LINES} SELECT path, line_no, line FROM lines WHERE regexp_matches(line, '\bth[a-z]+ing\b')")
+def search_regex(spark, sf_dir):
+    return lines.ordered(lines.search(documents(spark, sf_dir), r"\bth[a-z]+ing\b")).select("path", "line_no", "line")
+
+
+@query(f"WITH {LINES} SELECT path, line_no, line FROM lines WHERE contains(line, 'and the.')")
+def search_literal(spark, sf_dir):
+    return lines.ordered(lines.search(documents(spark, sf_dir), "and the.", parse_options("l"))).select("path", "line_no", "line")
+
+
+@query(rf"WITH {LINES} SELECT path, line_no, line FROM lines WHERE regexp_matches(line, '\bé')")
+def search_wordboundary(spark, sf_dir):
+    return lines.search(documents(spark, sf_dir), r"\bé").select("path", "line_no", "line")
+
+
+@query(f"WITH {LINES} SELECT path, line_no, line FROM lines WHERE regexp_matches({FOLD.format('line')}, '^e[a-z]+ t')")
+def search_ignorecase(spark, sf_dir):
+    return lines.search(documents(spark, sf_dir), "^E[a-z]+ T", parse_options("i")).select("path", "line_no", "line")
+
+
+@query(f"""WITH {LINES} SELECT path, line_no, CAST(strlen(regexp_extract(line, '^(.*?)(?:[[:digit:]]{{2,}}|ñ[a-z]*)', 1)) + 1 AS INTEGER) AS col,
+  CAST(strlen(regexp_extract(line, '^(.*?)(?:[[:digit:]]{{2,}}|ñ[a-z]*)', 1)) + 1 + strlen(regexp_extract(line, '[[:digit:]]{{2,}}|ñ[a-z]*')) AS INTEGER) AS end_col
+  FROM lines WHERE regexp_matches(line, '[[:digit:]]{{2,}}|ñ[a-z]*')""")
+def search_columns(spark, sf_dir):
+    asked, options = "[[:digit:]]{2,}|ñ[a-z]*", parse_options("CE")
+    return lines.columns(lines.search(documents(spark, sf_dir), asked, options), asked, options).select("path", "line_no", "col", "end_col")
+
+
+@query(f"""WITH {LINES} SELECT path, line_no, CAST(strlen(regexp_extract(line, '^(.*?)(?:e*$)', 1)) + 1 AS INTEGER) AS col FROM lines
+  WHERE regexp_matches(line, 'e*$') AND (ended OR strlen(regexp_extract(line, 'e*$')) > 0 OR strlen(regexp_extract(line, '^(.*?)(?:e*$)', 1)) < strlen(line))""")
+def search_empty_matches(spark, sf_dir):
+    return lines.columns(lines.search(documents(spark, sf_dir), "e*$"), "e*$").select("path", "line_no", "col")
+
+
+@query(f"""WITH {LINES} SELECT path, line_no, line FROM lines WHERE regexp_matches({FOLD.format('path')}, '^src[0-4]/')
+  AND NOT regexp_matches({FOLD.format('path')}, '/(fr|de)/') AND regexp_matches(line, 'tion\\b')""")
+def search_include_exclude(spark, sf_dir):
+    return lines.search(documents(spark, sf_dir), r"tion\b", parse_options("fi^SRC[0-4]/ fe/(fr|DE)/")).select("path", "line_no", "line")
+
+
+@query(f"WITH {LINES} SELECT path, line_no, line FROM lines WHERE regexp_matches(line, 'the') ORDER BY path, line_no LIMIT 25")
+def search_limit(spark, sf_dir):
+    return lines.ordered(lines.search(documents(spark, sf_dir), "the"), 25).select("path", "line_no", "line")
+
+
+@query(f"""WITH {LINES}, pg AS (SELECT url AS path, html AS content FROM pages), {SPLIT.format(name='pl', source='pg')},
+  cv AS (SELECT conv_id || '/' || turn || '-' || role AS path, text AS content FROM conversations), {SPLIT.format(name='cl', source='cv')},
+  every AS (SELECT 0 AS project_ord, 'documents' AS project, * FROM lines UNION ALL SELECT 1, 'pages', * FROM pl UNION ALL SELECT 2, 'conversations', * FROM cl UNION ALL SELECT 3, 'pages', * FROM pl)
+  SELECT project_ord, project, path, line_no, line FROM every WHERE regexp_matches(line, '[A-Z][a-z]+\\. [A-Z]')""")
+def search_multi_project(spark, sf_dir):
+    chosen = [("documents", documents(spark, sf_dir)), ("pages", pages(spark, sf_dir)), ("conversations", talks(spark, sf_dir)), ("pages", pages(spark, sf_dir))]
+    return lines.search_projects(chosen, r"[A-Z][a-z]+\. [A-Z]").select("project_ord", "project", "path", "line_no", "line")
+
+
+@query(f"""WITH {LINES} SELECT path || ':' || line_no || ':' || (strlen(regexp_extract(line, '^(.*?)(?:[aeiou]{{3}})', 1)) + 1) || ':' || line AS text
+  FROM lines WHERE regexp_matches(line, '[aeiou]{{3}}')""")
+def format_grep(spark, sf_dir):
+    asked, options = "[aeiou]{3}", parse_options("C")
+    return formats.rendered(lines.columns(lines.search(documents(spark, sf_dir), asked, options), asked, options), asked, options).select("text")
+
+
+@query(f"""WITH {LINES} SELECT translate(path, '/', '\\') || '(' || line_no || ',' || (strlen(regexp_extract(line, '^(.*?)(?:[aeiou]{{3}})', 1)) + 1) || ',' ||
+  (strlen(regexp_extract(line, '^(.*?)(?:[aeiou]{{3}})', 1)) + 4) || '):' || line AS text FROM lines WHERE regexp_matches(line, '[aeiou]{{3}}')""")
+def format_vs(spark, sf_dir):
+    asked, options = "[aeiou]{3}", parse_options("V CE")
+    return formats.rendered(lines.columns(lines.search(documents(spark, sf_dir), asked, options), asked, options), asked, options).select("text")
+
+
+@query(f"""WITH {LINES} SELECT path, line_no, replace(regexp_replace(line, 'th[ae]', '<<\\0>>', 'g'), '>><<', '') AS marked FROM lines WHERE regexp_matches(line, 'th[ae]')""")
+def highlight(spark, sf_dir):
+    found = lines.search(documents(spark, sf_dir), "th[ae]")
+    return found.select("path", "line_no", formats.highlighted(F.col("line"), "th[ae]", begin="<<", end=">>").alias("marked"))
+
+
+# --- paths ------------------------------------------------------------------------------------
+
+URLS = r"u AS (SELECT page_id AS ord, url AS path, regexp_extract(url, '[^/\\]*$') AS name FROM pages WHERE url <> '')"
+
+
+@query(rf"WITH {URLS} SELECT ord, path FROM u WHERE regexp_matches(path, '/en/[0-9]+(\?page=|#)')")
+def files_path_regex(spark, sf_dir):
+    return files.find(urls(spark, sf_dir), r"/en/[0-9]+(\?page=|#)").select("ord", "path")
+
+
+@query(f"WITH {URLS} SELECT ord, path, name FROM u WHERE regexp_matches(name, '^[0-9]*7$')")
+def files_name_regex(spark, sf_dir):
+    return files.find(urls(spark, sf_dir), "^[0-9]*7$", parse_options("fn")).select("ord", "path", "name")
+
+
+@query(f"WITH {URLS} SELECT ord, path FROM u WHERE contains({FOLD.format('path')}, '/en') AND contains({FOLD.format('name')}, '7') AND contains({FOLD.format('name')}, 'ref')")
+def files_tokens(spark, sf_dir):
+    return files.find(urls(spark, sf_dir), "7 /EN ref", parse_options("fs i")).select("ord", "path")
+
+
+@query(f"WITH {URLS} SELECT ord, path, name FROM u ORDER BY ord LIMIT 100")
+def files_dump(spark, sf_dir):
+    return files.find(urls(spark, sf_dir), "", parse_options("L100"))
+
+
+def fuzzy_sql(asked: str, tail: str) -> str:
+    """The rank as a chain of joins over the places of each character."""
+    side = "CASE WHEN {0} IS NULL THEN 0 WHEN c BETWEEN 'a' AND 'z' OR c IN ('[', '{{') THEN CASE WHEN {0} IN ('/', '.') THEN 1 WHEN {0} IN ('_', '-') THEN 2 ELSE 4 END ELSE 4 END"
+    steps = [
+        f"WITH u AS (SELECT page_id AS ord, url AS path, {FOLD.format('url')} AS s FROM pages WHERE url <> '')",
+        "ch AS (SELECT ord, s, unnest(range(1, length(s) + 1)) AS p FROM u)",
+        "nb AS (SELECT ord, p, substr(s, p, 1) AS c, CASE WHEN p > 1 THEN substr(s, p - 1, 1) END AS a, CASE WHEN p < length(s) THEN substr(s, p + 1, 1) END AS b FROM ch)",
+        f"pos AS (SELECT ord, p, c, {side.format('a')} AS l, {side.format('b')} AS r FROM nb)",
+        f"s1 AS (SELECT ord, p, r, l AS cost FROM pos WHERE c = '{asked[0]}')",
+    ]
+    cost = "x.cost + CASE WHEN y.p = x.p + 1 THEN 0 ELSE x.r + 8 + y.p - x.p + y.l END"
+    for k, c in enumerate(asked[1:-1], 2):
+        steps.append(f"s{k} AS (SELECT y.ord, y.p, y.r, min({cost}) AS cost FROM s{k - 1} x JOIN pos y ON y.ord = x.ord AND y.c = '{c}' AND y.p > x.p GROUP BY ALL)")
+    last = len(asked) - 1
+    steps.append(f"nx AS (SELECT x.ord, x.p, x.r, x.cost, min(y.p) AS q FROM s{last} x JOIN pos y ON y.ord = x.ord AND y.c = '{asked[-1]}' AND y.p > x.p GROUP BY ALL)")
+    steps.append(f"sc AS (SELECT x.ord, CAST(min({cost} + y.r) AS INTEGER) AS score FROM nx x JOIN pos y ON y.ord = x.ord AND y.p = x.q GROUP BY x.ord)")
+    return ", ".join(steps) + f" SELECT sc.ord, u.path, score FROM sc JOIN u USING (ord) {tail}"
+
+
+@query(f"WITH {URLS} SELECT ord, path FROM u WHERE regexp_matches({FOLD.format('path')}, '(?s)' || 'e.*?x.*?a.*?m.*?/.*?e.*?n.*?8')")
+def files_fuzzy_match(spark, sf_dir):
+    return urls(spark, sf_dir).where(files.subsequence("exam/en8")).select("ord", "path")
+
+
+@query(fuzzy_sql("exam/en8", ""))
+def files_fuzzy_rank(spark, sf_dir):
+    return files.find(urls(spark, sf_dir), "exam/en8", parse_options("ff")).select("ord", "path", "score")
+
+
+@query(fuzzy_sql("tion/s1", "ORDER BY score, ord LIMIT 20"))
+def files_fuzzy_topk(spark, sf_dir):
+    return files.find(urls(spark, sf_dir), "tion/s1", parse_options("ff L20")).select("ord", "path", "score")
+
+
+@query(f"""WITH cv AS (SELECT conv_id || '/' || turn || '-' || role AS path, text AS content FROM conversations), {SPLIT.format(name='cl', source='cv')}
+  SELECT path AS source, line_no, line AS path FROM cl WHERE line <> '' AND regexp_matches({FOLD.format('line')}, '^the[a-z]* o')""")
+def filter_lines(spark, sf_dir):
+    rows = lines.lines(talks(spark, sf_dir))
+    found = files.find(files.entries(rows.select("line", F.struct("path", "line_no").alias("at")), F.col("at")), "^The[a-z]* o", parse_options("i"))
+    return found.select(F.col("ord.path").alias("source"), F.col("ord.line_no").alias("line_no"), "path")
+
+
+# --- statistics -------------------------------------------------------------------------------
+
+COUNTED = f"""{LINES}, per AS (SELECT path, count(*) AS n, max(strlen(line)) AS longest FROM lines GROUP BY path),
+  f AS (SELECT docs.path, strlen(content) AS bytes, coalesce(n, 0) AS n, coalesce(longest, 0) AS longest FROM docs LEFT JOIN per USING (path))"""
+
+
+@query(f"""WITH {COUNTED} SELECT count(DISTINCT path) AS files, count(*) AS parts, CAST(sum(bytes) AS BIGINT) AS bytes, CAST(sum(n) AS BIGINT) AS lines,
+  max(longest) AS longest_line, (SELECT max(path) FROM f WHERE longest = (SELECT max(longest) FROM f)) AS longest_file FROM f""")
+def info_summary(spark, sf_dir):
+    return info.summary(documents(spark, sf_dir))
+
+
+@query(f"WITH {LINES} SELECT path, count(*) AS n_lines, max(strlen(line)) AS longest FROM lines GROUP BY path")
+def info_lines(spark, sf_dir):
+    return info.line_lengths(documents(spark, sf_dir))
+
+
+CHUNKS = f"""{DOCS}, sized AS (SELECT path, strlen(content) AS size FROM docs),
+  placed AS (SELECT path, size, CAST(coalesce(sum(size) OVER (ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // {info.CHUNK} AS BIGINT) AS chunk_id FROM sized)"""
+
+
+@query(f"WITH {CHUNKS} SELECT path, CAST(size AS BIGINT) AS size, chunk_id FROM placed")
+def chunk_files(spark, sf_dir):
+    return info.chunked(documents(spark, sf_dir))
+
+
+@query(f"""WITH {CHUNKS}, c AS (SELECT chunk_id, sum(size) AS size FROM placed GROUP BY chunk_id)
+  SELECT count(*) AS chunks, CAST(sum(size) AS BIGINT) AS total, CAST(min(size) FILTER (WHERE chunk_id < (SELECT max(chunk_id) FROM c)) AS BIGINT) AS least, CAST(max(size) AS BIGINT) AS most, avg(size) AS mean FROM c""")
+def info_chunks(spark, sf_dir):
+    return info.chunk_stats(info.chunked(documents(spark, sf_dir)))
+
+
+PARTS = "SELECT doc_id, source || '/' || lang AS path, row_number() OVER w AS part_no, coalesce(sum(n) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + CASE WHEN doc_id % 97 = 5 THEN 1 ELSE 0 END AS start_line, n AS n_lines, CASE WHEN doc_id % 89 = 3 THEN 1 ELSE 0 END AS size, 7 AS mtime, doc_id // 100 - CASE WHEN doc_id % 101 = 9 THEN 5 ELSE 0 END AS chunk_id FROM nl WINDOW w AS (PARTITION BY source, lang ORDER BY doc_id)"
+
+
+@query(f"""WITH nl AS (SELECT doc_id, source, lang, len(string_split(text, chr(10))) - CASE WHEN text LIKE '%' || chr(10) OR text = '' THEN 1 ELSE 0 END AS n FROM documents),
+  parts AS ({PARTS}), l AS (SELECT *, lag(chunk_id) OVER w AS pc, lag(size) OVER w AS ps, lag(start_line + n_lines) OVER w AS pe, lag(part_no) OVER w AS pp FROM parts WINDOW w AS (PARTITION BY path ORDER BY part_no))
+  SELECT path, CAST(part_no AS INTEGER) AS part_no, pp IS NULL OR chunk_id >= pc AS order_ok, pp IS NULL OR size = ps AS metadata_ok, CASE WHEN pp IS NULL THEN start_line = 0 ELSE start_line = pe END AS lines_ok FROM l""")
+def info_integrity(spark, sf_dir):
+    from pyspark.sql import Window as W
+
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.concat_ws("/", "source", "lang").alias("path"), F.col("text").alias("content"))
+    rows = info.line_counts(rows)
+    own = W.partitionBy("path").orderBy("doc_id")
+    rows = rows.withColumn("part_no", F.row_number().over(own))
+    start = F.coalesce(F.sum("n_lines").over(own.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + F.when(F.col("doc_id") % 97 == 5, 1).otherwise(0)
+    rows = rows.withColumn("start_line", start).withColumn("size", F.when(F.col("doc_id") % 89 == 3, 1).otherwise(0)).withColumn("mtime", F.lit(7))
+    return info.integrity(rows.withColumn("chunk_id", F.floor(F.col("doc_id") / 100) - F.when(F.col("doc_id") % 101 == 9, 5).otherwise(0)))
+
+
+@query("SELECT n_nationkey AS k, replace(format('{:,}', CAST(n_nationkey AS BIGINT) * 1234567), ',', ' ') AS shown FROM nation")
+def grouped_integers(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    return rows.select(F.col("n_nationkey").alias("k"), grouped(F.col("n_nationkey").cast("long") * 1234567).alias("shown"))
+
+
+# --- snapshots --------------------------------------------------------------------------------
+
+OLD = "old AS (SELECT path, content, 1000 + doc_id AS mtime, strlen(content) AS size FROM docs WHERE doc_id % 19 <> 0)"
+NEW = "new AS (SELECT path, content, 1000 + doc_id AS mtime, strlen(content) AS size FROM (SELECT path, doc_id, CASE WHEN doc_id % 13 = 0 THEN content || chr(10) || 'changed thing' ELSE content END AS content FROM docs WHERE doc_id % 17 <> 0))"
+DIFF = f"""{DOCS}, {OLD}, {NEW}, diff AS (SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'removed'
+  WHEN o.mtime = n.mtime AND o.size = n.size THEN 'reused' ELSE 'changed' END AS status FROM old o FULL OUTER JOIN new n ON o.path = n.path)"""
+
+
+def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = documents(spark, sf_dir).withColumn("id", F.element_at(F.split("path", "/"), -1).cast("long"))
+    sized = lambda x: x.select("path", "content", (F.col("id") + 1000).alias("mtime"), F.octet_length("content").cast("long").alias("size"))
+    later = F.when(F.col("id") % 13 == 0, F.concat("content", F.lit("\nchanged thing"))).otherwise(F.col("content"))
+    return sized(rows.where("id % 19 <> 0")), sized(rows.where("id % 17 <> 0").withColumn("content", later))
+
+
+@query(f"WITH {DIFF} SELECT path, status FROM diff")
+def update_diff(spark, sf_dir):
+    old, new = snapshots(spark, sf_dir)
+    return snapshot.differences(old, new)
+
+
+@query(f"WITH {DIFF} SELECT status, count(*) AS n FROM diff GROUP BY status")
+def update_stats(spark, sf_dir):
+    old, new = snapshots(spark, sf_dir)
+    return snapshot.difference_counts(snapshot.differences(old, new))
+
+
+@query(f"WITH {DIFF} SELECT path FROM diff WHERE status <> 'reused' UNION SELECT path FROM docs WHERE doc_id % 50 = 1")
+def change_union(spark, sf_dir):
+    old, new = snapshots(spark, sf_dir)
+    listed = documents(spark, sf_dir).where(F.element_at(F.split("path", "/"), -1).cast("long") % 50 == 1)
+    return snapshot.merged_changes(snapshot.changed_paths(old, new), listed)
+
+
+@query(f"""WITH {DIFF}, now AS (SELECT path, content FROM old WHERE path IN (SELECT path FROM diff WHERE status = 'reused') UNION ALL
+  SELECT path, content FROM new WHERE path IN (SELECT path FROM diff WHERE status <> 'reused')), {SPLIT.format(name='lines', source='now')}
+  SELECT path, line_no, line FROM lines WHERE regexp_matches(line, 'thing$')""")
+def overlay_search(spark, sf_dir):
+    old, new = snapshots(spark, sf_dir)
+    return snapshot.search_overlaid(old.select("path", "content"), snapshot.changed_paths(old, new), new, "thing$").select("path", "line_no", "line")
+
+
+@query(f"""WITH {DIFF}, parts AS (SELECT o.path, o.mtime, o.size, doc_id // 100 AS chunk_id FROM old o JOIN docs USING (path))
+  SELECT chunk_id, bool_and(coalesce(p.mtime = n.mtime AND p.size = n.size, false)) AS current FROM parts p LEFT JOIN new n USING (path) GROUP BY chunk_id""")
+def chunk_currentness(spark, sf_dir):
+    old, new = snapshots(spark, sf_dir)
+    parts = old.withColumn("chunk_id", F.expr("cast(element_at(split(path, '/'), -1) as bigint) div 100"))
+    return snapshot.current_chunks(parts, new)
+
+
+@query(f"WITH {DOCS} SELECT path, starts_with(path, 'src1/') OR starts_with(path, 'src12/en/') AS member FROM docs")
+def change_membership(spark, sf_dir):
+    return documents(spark, sf_dir).select("path", snapshot.under_roots(F.col("path"), ["src1", "src12/en/"]).alias("member"))
+
+
+CONFIG = """path /corpus
+include ^src1
+exclude /es$
+group
+  path /corpus
+  include /(EN|fr)/
+  exclude [05]$
+endgroup
+"""
+
+
+@query(f"""WITH {DOCS} SELECT path, regexp_matches({FOLD.format('path')}, '/(en|fr)/') AND NOT regexp_matches(path, '[05]$') AND NOT regexp_matches(regexp_extract(path, '^[^/]*'), '[05]$')
+  AND regexp_matches({FOLD.format('path')}, '^src1') AND NOT regexp_matches({FOLD.format('path')}, '/es$') AND NOT regexp_matches(path, '/es/') AS accepted FROM docs""")
+def group_acceptance(spark, sf_dir):
+    inner = parse_config(CONFIG, "/").groups[0]
+    return documents(spark, sf_dir).select("path", groups.accepted(inner, F.col("path")).alias("accepted"))
+
+
+# --- index ------------------------------------------------------------------------------------
+
+GRAMS = f"""{DOCS}, ascii_docs AS (SELECT path, {FOLD.format('content')} AS t FROM docs WHERE NOT regexp_matches(content, '[^\\x00-\\x7f]')),
+  each AS (SELECT path, unnest(range(1, length(t) - 2)) AS i, t FROM ascii_docs WHERE length(t) > 3)"""
+
+
+@query(f"WITH {GRAMS} SELECT path, count(DISTINCT substr(t, i, 4)) AS n_grams FROM each WHERE NOT contains(substr(t, i, 4), chr(10)) GROUP BY path")
+def gram_count(spark, sf_dir):
+    rows = documents(spark, sf_dir).where(~F.col("content").rlike(r"[^\x00-\x7f]"))
+    return index.gram_sets(rows).select("path", F.size("grams").cast("long").alias("n_grams")).where("n_grams > 0")
+
+
+@query(rf"WITH {LINES} SELECT path, line_no, line FROM lines WHERE regexp_matches(line, '(pathetic|worthless) [a-z]+')")
+def gram_prune(spark, sf_dir):
+    corpus = documents(spark, sf_dir)
+    return index.search_indexed(corpus, index.gram_table(corpus), "(pathetic|worthless) [a-z]+").select("path", "line_no", "line")
+
+
+M = 4294967295
+
+
+@query(f"""WITH k AS (SELECT DISTINCT l_orderkey * 4093 + l_partkey AS v FROM lineitem), a AS (SELECT v, (v + {bloom.ADD_1} + (v << 12)) & {M} AS x FROM k),
+  b AS (SELECT v, xor(xor(x, {bloom.XOR_2}), x >> 19) AS x FROM a), c AS (SELECT v, (x + {bloom.ADD_3} + (x << 5)) & {M} AS x FROM b),
+  d AS (SELECT v, xor((x + {bloom.ADD_4}) & {M}, (x << 9) & {M}) AS x FROM c), e AS (SELECT v, (x + {bloom.ADD_5} + (x << 3)) & {M} AS x FROM d),
+  f AS (SELECT v, xor(xor(x, {bloom.XOR_6}), x >> 16) AS h1, (v * {bloom.STEP}) & {M} AS y FROM e), g AS (SELECT v, h1, xor(y, y >> 16) AS y FROM f)
+  SELECT v, h1, (xor(y, y >> 14) + {bloom.STEP}) & {M} AS h2 FROM g""")
+def bloom_hash(spark, sf_dir):
+    keys = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select((F.col("l_orderkey") * 4093 + F.col("l_partkey")).alias("v")).distinct()
+    return keys.select("v", bloom.hash_1(F.col("v")).alias("h1"), bloom.hash_2(F.col("v")).alias("h2"))
