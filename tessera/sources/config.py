@@ -61,6 +61,7 @@ def normal_path(base: str, path: str) -> str:
         path = f"{base}/{path}" if base else path
     head = "//" if path.startswith("//") else ""
     out = posixpath.normpath(path)
+    out += "/" * (len(out) == 2 and out[1] == ":")
     return head + out.lstrip("/") if head else out
 
 

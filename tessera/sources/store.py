@@ -38,7 +38,7 @@ class Store:
     def write(self, version: str, **tables: DataFrame) -> None:
         """Write all tables of a version, then make it the current one by one rename."""
         for name, df in tables.items():
-            df.write.option("compression", "lz4raw").mode("overwrite").parquet(f"{self.top}/{version}/{name}")
+            df.write.option("compression", "lz4_raw").mode("overwrite").parquet(f"{self.top}/{version}/{name}")
         fs, path = self._fs()
         new, at = path(f"{self.top}/CURRENT.{version}"), path(f"{self.top}/CURRENT")
         out = fs.create(new, True)
