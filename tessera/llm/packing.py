@@ -179,10 +179,10 @@ def _next_round(capacity: int, slack: int, level: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
-        table = table.sort_by("bin")  # the same bins whatever order a shuffle brings them in
+        table = pa.Table.from_batches(held).sort_by("bin")  # the same bins whatever order a shuffle brings them in
         lists = table.column("pieces").combine_chunks()
         lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
         where, fill = best_fit(table.column("fill").to_numpy(), capacity)

@@ -199,9 +199,10 @@ def _walk_partition(budget: int, confirm: int | None):
     """Rows (node, depth, key, id[, print]) of one partition -> links (a, b) between ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
+        table = pa.Table.from_batches(held)
         node, depth, ids = (table.column(c).to_numpy() for c in ("node", "depth", "id"))
         keys = table.column("key").to_numpy().view(np.uint64)
         order = np.lexsort((keys, node))
