@@ -21,6 +21,8 @@ from tessera.llm.common import importable, map_arrow, slices
 BUCKETS = 256
 #: Difference at which two digests count as unlike altogether; steps of length that count, at most.
 BOUND, LENGTH_STEPS = 256, 32
+#: The least id whose negative is a long, and where rows without an id go.
+LEAST = 1 - (1 << 63)
 
 
 def digest(raw: bytes) -> np.ndarray:
@@ -107,7 +109,7 @@ def with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     spark = docs.sparkSession
     importable(spark)
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
+    key = F.greatest(F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST)), F.lit(LEAST))
     ids = docs.select(key.alias("k"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = ids.agg(F.percentile_approx("k", [i / parts for i in range(1, parts)] or [0.5], 20000).alias("c")).first().c or []
