@@ -21,8 +21,8 @@ from tessera.llm.common import importable, map_arrow, slices
 BUCKETS = 256
 #: Difference at which two digests count as unlike altogether; steps of length that count, at most.
 BOUND, LENGTH_STEPS = 256, 32
-#: The least id whose negative is a long, and where rows without an id go.
-LEAST = 1 - (1 << 63)
+#: The least id that is told apart (quantiles of longs are taken as doubles), and where rows without an id go.
+LEAST = -(1 << 62)
 
 
 def digest(raw: bytes) -> np.ndarray:
