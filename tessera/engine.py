@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import shutil
 import time
 from collections.abc import Callable
 from pathlib import Path
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import files, formats, groups, info, lines, snapshot
 from tessera.plans.options import Options, from_arguments
 from tessera.sources import config, tree
-from tessera.sources.store import Store
+from tessera.sources.store import BUCKET_BYTES, Store
 from tessera.workers import importable
 
 VERSION = "0.1"
@@ -64,28 +66,42 @@ class Engine:
         return f"Project file {file} created, run update {name} to build"
 
     def build(self, file: str) -> None:
-        self._write(file, self._read(self.scan(file)))
+        self._forget_changes(file)
+        now = self.scan(file)
+        total = now.agg(F.sum("size")).first()[0] or 0
+        self._store(file).write(f"v{time.time_ns()}", self._read(now), max(1, -(-total // BUCKET_BYTES)))
 
     def update(self, file: str) -> DataFrame:
-        """Read only files that are new or changed; gives the counts by status. Without an index, build one."""
-        old = self._store(file).read("parts")
-        if old is None:
+        """Read only files that are new or changed, and write only the buckets that differ; gives the counts by status.
+
+        The old index gives its paths, times and sizes for the comparison, and its contents only for
+        buckets that are written anew. Without an index, build one.
+        """
+        store = self._store(file)
+        manifest = store.manifest()
+        if manifest is None:
             self.build(file)
             return self.spark.createDataFrame([], "status string, n long")
-        now = self.scan(file)
-        diff = snapshot.differences(old.select("path", "mtime", "size"), now).cache()
+        self._forget_changes(file)
+        old, now = store.read(), self.scan(file)
+        was = self.spark.createDataFrame([], tree.SCHEMA) if old is None else old.select("path", "mtime", "size")
+        diff = snapshot.differences(was, now).withColumn("bucket", store.bucket(manifest["buckets"])).persist(StorageLevel.DISK_ONLY)
         counts = snapshot.difference_counts(diff).collect()
-        kept = old.join(diff.where("status = 'reused'").select("path"), "path", "left_semi")
-        fresh = self._read(now.join(diff.where("status in ('added', 'changed')").select("path"), "path", "left_semi"))
-        self._write(file, kept.unionByName(fresh.select(*kept.columns)))
+        touched = {r.bucket for r in diff.where("status <> 'reused'").select("bucket").distinct().collect()}  # at most a row a bucket
+        if touched:
+            fresh = self._read(now.join(diff.where("status in ('added', 'changed')").select("path"), "path", "left_semi"))
+            part = store.read(touched)
+            if part is not None:
+                kept = part.select("path", "mtime", "size", "content").join(diff.where("status = 'reused'").select("path"), "path", "left_semi")
+                fresh = kept.unionByName(fresh)
+            keep = {b: f for b, f in manifest["folders"].items() if int(b) not in touched}
+            store.write(f"v{time.time_ns()}", fresh, manifest["buckets"], keep)
         diff.unpersist()
         return self.spark.createDataFrame([(r.status, r.n) for r in counts], "status string, n long")
 
-    def _write(self, file: str, parts: DataFrame) -> None:
-        version = f"v{time.time_ns()}"
-        parts = parts.select("path", "mtime", "size", "content")
-        parallel = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        self._store(file).write(version, parts=parts.repartitionByRange(parallel, "path").sortWithinPartitions("path"))
+    def _forget_changes(self, file: str) -> None:
+        """An index that is about to be brought up to date needs no change list."""
+        shutil.rmtree(Path(self._store(file).top) / "changes", ignore_errors=True)
 
     def change(self, file: str, paths: list[str]) -> None:
         """Add paths that belong to the project to its change list."""
@@ -104,14 +120,14 @@ class Engine:
 
     def corpus(self, file: str) -> DataFrame:
         """Indexed contents with the change list laid on top."""
-        parts = self._store(file).read("parts")
+        parts = self._store(file).read()
         if parts is None:
             raise ValueError(f"{file} has no index; run update")
         changes = self.changes(file)
         if changes.isEmpty():
-            return parts
+            return parts.select("path", "mtime", "size", "content")
         listed = changes.select("path", F.lit(0).cast("long").alias("mtime"), F.lit(0).cast("long").alias("size"))
-        return snapshot.overlaid(parts, changes, self._read(listed))
+        return snapshot.overlaid(parts.select("path", "mtime", "size", "content"), changes, self._read(listed))
 
     def search(self, spec: str, query: str, options: Options = Options()) -> DataFrame:
         """Matching lines of several projects in list order, with their printed ``text``."""
@@ -125,7 +141,7 @@ class Engine:
         """Paths of projects that match; column pruning leaves contents unread."""
         rows = None
         for i, (_, f) in enumerate(config.projects(spec, self.home)):
-            own = files.entries(self._store(f).read("parts").select("path"), F.struct(F.lit(i).alias("project"), F.col("path").alias("path")))
+            own = files.entries(self._store(f).read().select("path"), F.struct(F.lit(i).alias("project"), F.col("path").alias("path")))
             rows = own if rows is None else rows.unionByName(own)
         return files.find(rows, query, options)
 

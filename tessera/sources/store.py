@@ -1,17 +1,25 @@
-"""Versions of a project's tables on disk: written beside the old one, then named by a pointer file."""
+"""A project's index on disk: buckets of Parquet, and a manifest that tells which folder holds each bucket.
+
+A version writes only the buckets that change, beside the old ones; the new manifest names the others
+where they are. Readers see a version as a whole once the manifest is renamed into place.
+"""
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 FORMAT = 1
+#: Bytes of contents that a bucket is meant to hold.
+BUCKET_BYTES = 128 << 20
 
 
 @dataclass
 class Store:
-    """``<top>/<version>/<table>`` as Parquet, ``<top>/CURRENT`` names the version that readers see."""
+    """``<top>/MANIFEST`` and ``<top>/<version>/bucket=<n>/``."""
 
     spark: SparkSession
     top: str
@@ -21,38 +29,48 @@ class Store:
         path = jvm.org.apache.hadoop.fs.Path(self.top)
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
-    def version(self) -> str | None:
+    def manifest(self) -> dict | None:
+        """``{"format", "buckets", "folders": {bucket: folder}}`` of the current version; None if there is none."""
         fs, path = self._fs()
-        at = path(f"{self.top}/CURRENT")
+        at = path(f"{self.top}/MANIFEST")
         if not fs.exists(at):
             return None
         file = fs.open(at)
         try:
-            kind, name = bytes(file.readAllBytes()).decode().split()
+            found = json.loads(bytes(file.readAllBytes()).decode())
         finally:
             file.close()
-        if int(kind) != FORMAT:
-            raise ValueError(f"{self.top} has format {kind}, not {FORMAT}")
-        return name
-
-    def write(self, version: str, **tables: DataFrame) -> None:
-        """Write all tables of a version, then make it the current one by one rename."""
-        for name, df in tables.items():
-            df.write.option("compression", "lz4_raw").mode("overwrite").parquet(f"{self.top}/{version}/{name}")
+        if found["format"] != FORMAT:
+            raise ValueError(f"{self.top} has format {found['format']}, not {FORMAT}")
+        return found
+
+    @staticmethod
+    def bucket(buckets: int) -> Column:
+        return F.pmod(F.xxhash64("path"), F.lit(buckets)).cast("int")
+
+    def read(self, only: set[int] | None = None) -> DataFrame | None:
+        """Rows of the current version, or of some of its buckets. Columns not selected are not read."""
+        found = self.manifest()
+        if found is None:
+            return None
+        folders = [f"{self.top}/{f}" for b, f in found["folders"].items() if only is None or int(b) in only]
+        return self.spark.read.parquet(*folders) if folders else None
+
+    def write(self, version: str, rows: DataFrame, buckets: int, keep: dict[str, str] | None = None) -> None:
+        """Write ``rows`` as buckets, sorted by path, and publish them with the folders in ``keep``."""
+        rows = rows.withColumn("bucket", self.bucket(buckets))
+        rows = rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "path")
+        rows.write.option("compression", "lz4_raw").partitionBy("bucket").parquet(f"{self.top}/{version}")
         fs, path = self._fs()
-        new, at = path(f"{self.top}/CURRENT.{version}"), path(f"{self.top}/CURRENT")
+        folders = dict(keep or {})
+        for s in fs.listStatus(path(f"{self.top}/{version}")):
+            name = s.getPath().getName()
+            if name.startswith("bucket="):
+                folders[name.partition("=")[2]] = f"{version}/{name}"
+        new, at = path(f"{self.top}/MANIFEST.{version}"), path(f"{self.top}/MANIFEST")
         out = fs.create(new, True)
-        out.write(bytearray(f"{FORMAT} {version}".encode()))
+        out.write(bytearray(json.dumps({"format": FORMAT, "buckets": buckets, "folders": folders}).encode()))
         out.close()
         fs.delete(at, False)
         if not fs.rename(new, at):
             raise OSError(f"{at} was not replaced")
-
-    def read(self, table: str) -> DataFrame | None:
-        """A table of the current version; None if there is none. Columns not selected are not read."""
-        version = self.version()
-        if version is None:
-            return None
-        fs, path = self._fs()
-        where = f"{self.top}/{version}/{table}"
-        return self.spark.read.parquet(where) if fs.exists(path(where)) else None

@@ -2,9 +2,11 @@ import os
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.engine import Engine
 from tessera.sources import config, tree
+from tessera.sources.store import Store
 from tessera.streaming.watch import Watch, changes_stream, filter_stream
 
 
@@ -102,3 +104,18 @@ def test_watch(spark, tmp_path):
     finally:
         query.stop()
     assert filter_stream(spark.createDataFrame([("a",), ("",), ("b",)], "path string"), "a").count() == 1
+
+
+def test_store_keeps_untouched_buckets(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    rows = spark.createDataFrame([(f"f{i}", i) for i in range(40)], "path string, size long")
+    store.write("v1", rows, 8)
+    first = store.manifest()["folders"]
+    bucket = next(iter(first))
+    kept = {b: f for b, f in first.items() if b != bucket}
+    store.write("v2", store.read({int(bucket)}).select("path", (F.col("size") + 100).alias("size")), 8, kept)
+    second = store.manifest()["folders"]
+    assert {b for b in first if first[b] != second[b]} == {bucket}
+    got = {r.path: r.size for r in store.read().collect()}
+    assert len(got) == 40 and {p: s % 100 for p, s in got.items()} == {f"f{i}": i for i in range(40)} and any(s >= 100 for s in got.values())
+    assert Store(spark, str(tmp_path / "none")).read() is None
