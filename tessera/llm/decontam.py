@@ -23,15 +23,15 @@ from pyspark.sql import functions as F
 from tessera.llm.common import map_arrow, slices, stored
 
 #: Words of a passage; latent dimensions, and those beyond them in the random range.
-PASSAGE, RANK, EXTRA = 64, 128, 16
+PASSAGE, RANK, EXTRA = 64, 96, 16
 #: Bytes of numbered words (two a word) that are worked on at once.
 PORTION = 256 << 10
 #: Items of a block; words of a worker's cache; vocabulary rows in one partial sum.
 BLOCK, CACHE, ROWS = 1000, 300_000, 64
 #: A word in a larger share of passages tells nothing, unless an item has no others.
-MAX_DF = 0.05
+MAX_DF = 0.01
 #: Least cosine, common subsequence by item length, and share of the answer's words.
-COSINE, COMMON, ANSWER, ANSWER_WORDS = 0.35, 0.6, 0.5, 5
+COSINE, COMMON, ANSWER, ANSWER_WORDS = 0.3, 0.6, 0.5, 5
 
 BLANKS = string.punctuation + "…“”„«»‘’–—¡¿"
 
@@ -59,20 +59,28 @@ def block_of(rows: list) -> Items:
     return Items([r[0] for r in rows], words, answers, vocabulary)
 
 
+class _Numbers(dict):
+    """Vocabulary numbers by word as written, kept up to a number of words."""
+
+    def __init__(self, vocabulary: dict[str, int]):
+        super().__init__()
+        self.vocabulary = vocabulary
+
+    def __missing__(self, word: str) -> int:
+        own = self.vocabulary.get(word if word.isalpha() and word.islower() else normal(word), 0)
+        if len(self) < CACHE:
+            self[word] = own
+        return own
+
+
 def _numbered(vocabulary: dict[str, int]):
     """(doc_id, words as 16-bit vocabulary numbers, 0 for others)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
+        number = _Numbers(vocabulary).__getitem__
         for b in slices(batches):
             docs = [t.split() for t in b.column(1).to_pylist()]
-            fresh = {w: vocabulary.get(normal(w), 0) for w in set().union(*docs) if w not in known}
-            grow = len(known) < CACHE
-            known |= fresh
-            out = [np.fromiter(map(known.__getitem__, d), np.uint16, len(d)).tobytes() for d in docs]
-            if not grow:
-                for w in fresh:
-                    del known[w]
+            out = [np.fromiter(map(number, d), np.uint16, len(d)).tobytes() for d in docs]
             yield pa.record_batch([b.column(0), pa.array(out, pa.binary())], ["doc_id", "ids"])
 
     return run
