@@ -160,9 +160,9 @@ def files_tokens(spark, sf_dir):
     return files.find(urls(spark, sf_dir), "7 /EN ref", parse_options("fs i")).select("ord", "path")
 
 
-@query(f"WITH {URLS} SELECT ord, path, name FROM u ORDER BY ord LIMIT 100")
+@query(f"WITH {URLS} SELECT ord, path, name FROM u")
 def files_dump(spark, sf_dir):
-    return files.find(urls(spark, sf_dir), "", parse_options("L100"))
+    return files.find(urls(spark, sf_dir), "")
 
 
 def fuzzy_sql(asked: str, tail: str) -> str:
@@ -338,14 +338,14 @@ def group_acceptance(spark, sf_dir):
 
 # --- index ------------------------------------------------------------------------------------
 
-GRAMS = f"""{DOCS}, ascii_docs AS (SELECT path, {FOLD.format('content')} AS t FROM docs WHERE NOT regexp_matches(content, '[^\\x00-\\x7f]')),
-  each AS (SELECT path, unnest(range(1, length(t) - 2)) AS i, t FROM ascii_docs WHERE length(t) > 3)"""
+GRAMS = f"""{DOCS}, bytes AS (SELECT path, hex(encode({FOLD.format('content')})) AS h FROM docs),
+  each AS (SELECT path, h, unnest(range(0, length(h) // 2 - 3)) AS i FROM bytes WHERE length(h) > 6), g AS (SELECT path, substr(h, 2 * i + 1, 8) AS g FROM each),
+  n AS (SELECT path, count(DISTINCT g) AS n FROM g WHERE substr(g, 1, 2) <> '0A' AND substr(g, 3, 2) <> '0A' AND substr(g, 5, 2) <> '0A' AND substr(g, 7, 2) <> '0A' GROUP BY path)"""
 
 
-@query(f"WITH {GRAMS} SELECT path, count(DISTINCT substr(t, i, 4)) AS n_grams FROM each WHERE NOT contains(substr(t, i, 4), chr(10)) GROUP BY path")
+@query(f"WITH {GRAMS} SELECT path, coalesce(n, 0) AS n_grams FROM docs LEFT JOIN n USING (path)")
 def gram_count(spark, sf_dir):
-    rows = documents(spark, sf_dir).where(~F.col("content").rlike(r"[^\x00-\x7f]"))
-    return index.gram_sets(rows).select("path", F.size("grams").cast("long").alias("n_grams")).where("n_grams > 0")
+    return index.gram_sets(documents(spark, sf_dir)).select("path", F.size("grams").cast("long").alias("n_grams"))
 
 
 @query(rf"WITH {LINES} SELECT path, line_no, line FROM lines WHERE regexp_matches(line, '(pathetic|worthless) [a-z]+')")
