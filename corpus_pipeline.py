@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontam, packing, phrases, quality, simhash
-from tessera.llm.common import stored
+from tessera.llm.common import made, release, stored, sweep
 
 #: A document whose quality score is lower goes.
 LEAST_QUALITY = 0.5
@@ -74,8 +74,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``, each result written to the shared folder and read again."""
+    """Apply the stages to ``documents``, each result written to the shared folder and read again.
+
+    What a stage wrote on its way is deleted once its result is written, and so is its input.
+    """
     docs = _table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
+        since, before = made(), docs
         docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        sweep(spark, since, docs)
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)

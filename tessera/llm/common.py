@@ -28,15 +28,49 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+_MADE: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new folder's name in the shared folder."""
+    _MADE.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def made() -> int:
+    """How many scratch folders this driver has named so far; for ``sweep``."""
+    return len(_MADE)
+
+
+def sweep(spark: SparkSession, since: int, keep: DataFrame | None = None) -> None:
+    """Delete the scratch folders named from ``since`` on, but for that of ``keep``: nothing else may still be read from them."""
+    kept = getattr(keep, "_scratch", None)
+    for path in _MADE[since:]:
+        if path != kept:
+            _delete(spark, path)
+    _MADE[since:] = [kept] if kept in _MADE[since:] else []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(df: DataFrame) -> None:
+    """Delete a stored table that nothing reads any more."""
+    if path := getattr(df, "_scratch", None):
+        _delete(df.sparkSession, path)
+        if path in _MADE:
+            _MADE.remove(path)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, outlives executors."""
     path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
 
 
 def importable(spark: SparkSession) -> None:

@@ -9,14 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import release, stored
 
 
 def _jump(hooks: DataFrame) -> DataFrame:
     """Follow parents until each row names its root; every parent is smaller than its child."""
     while True:
         up = hooks.select(F.col("v").alias("p"), F.col("p").alias("pp"))
-        hooks = stored(hooks.join(up, "p", "left").select("v", F.coalesce("pp", "p").alias("p"), F.col("pp").isNotNull().alias("moved")), "jump")
+        before = hooks
+        hooks = stored(before.join(up, "p", "left").select("v", F.coalesce("pp", "p").alias("p"), F.col("pp").isNotNull().alias("moved")), "jump")
+        release(before)
         if hooks.where("moved").isEmpty():
             return hooks.select("v", "p")
 
@@ -41,5 +43,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         left, right = hooks.select(F.col("v").alias("a"), F.col("p").alias("pa")), hooks.select(F.col("v").alias("b"), F.col("p").alias("pb"))
         moved = pairs.join(left, "a", "left").select(F.coalesce("pa", "a").alias("a"), "b")
         moved = moved.join(right, "b", "left").select("a", F.coalesce("pb", "b").alias("b")).where("a <> b")
+        before = pairs
         pairs = stored(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+        release(before)
     return pairs.select(F.col("b").alias("v"), F.col("a").alias("root")) if labels is None else labels
