@@ -33,6 +33,9 @@ MAX_DF = 0.01
 #: Least cosine, common subsequence by item length, and share of the answer's words.
 COSINE, COMMON, ANSWER, ANSWER_WORDS = 0.3, 0.6, 0.5, 5
 
+#: Informative words that a passage shares with an item at least, or all that the item has.
+SHARED = 2
+
 BLANKS = string.punctuation + "…“”„«»‘’–—¡¿"
 
 
@@ -206,6 +209,10 @@ def _leaks(items: Items, idf: np.ndarray, space: np.ndarray):
         np.add.at(latent, key // len(idf), ((1 + np.log(n)) * idf[key % len(idf)])[:, None] * space[key % len(idf)])
         latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-30)
         latent, small = latent.T.astype(np.float32), space.astype(np.float32)
+        has = np.zeros((len(idf), len(size)), bool)
+        has[flat, item] = True
+        has[~useful] = False
+        least = np.minimum(SHARED, has.sum(0))
         for b in slices(batches, 1024, PORTION):
             ids, sizes = _parts(b)
             begin = np.cumsum(sizes) - sizes
@@ -218,7 +225,15 @@ def _leaks(items: Items, idf: np.ndarray, space: np.ndarray):
                     y = np.add.reduceat(small[term[lo:hi]] * w[lo:hi, None].astype(np.float32), first[k : k + 8192] - lo, axis=0)
                     y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-30)
                     cosine = y @ latent
-                    for r, c in zip(*(x.tolist() for x in np.nonzero(cosine >= COSINE)), strict=True):
+                    near, which = np.nonzero(cosine >= COSINE)
+                    if not len(near):
+                        continue
+                    ends = np.append(first[1:], len(w))[k : k + 8192]
+                    n = (ends - first[k : k + 8192])[near]
+                    begins = np.cumsum(n) - n
+                    entry = np.repeat(first[k : k + 8192][near] - begins, n) + np.arange(int(n.sum()))
+                    both = np.add.reduceat(has[term[entry], np.repeat(which, n)].astype(np.int64), begins) >= least[which]
+                    for r, c in zip(near[both].tolist(), which[both].tolist(), strict=True):
                         doc, start = int(p.doc_of[own[k + r]]), int(p.start_of[own[k + r]])
                         words = items.words[c]
                         side = max(PASSAGE // 2, len(words))
