@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tessera.functions import bloom
 from tessera.functions.text import normal_line_ends
 from tessera.operators import files, formats, groups, index, info, lines, snapshot
+from tessera.operators.parts import cut, parts
 from tessera.plans.options import parse_options
 from tessera.sources.config import parse_config
 
@@ -123,3 +124,14 @@ def test_bloom(spark):
     assert bloom.might_hold(bytes(row.bloom), own, row.rounds) and len(row.bloom) == len(text) // 50
     assert [r.chunk_id for r in index.possible_chunks(built, "zqxjk").collect()] == [2]
     assert sorted(r.chunk_id for r in index.possible_chunks(built, "word77").collect()) == [1, 2]
+
+
+def test_parts_have_the_lines_of_the_whole(spark):
+    rng = random.Random(9)
+    texts = {f"f{k}": "".join(rng.choice("abé \n") for _ in range(rng.randint(0, 300))) for k in range(20)} | {"end": "x\n" * 40, "none": ""}
+    for t in texts.values():
+        assert "".join(p for _, p in cut(t, 10)) == t and all(n == t[: sum(len(q) for _, q in list(cut(t, 10))[:i])].count("\n") for i, (n, p) in enumerate(cut(t, 10)))
+    df = corpus(spark, **texts)
+    for q in ("a+b", "x*$"):
+        a, b = (sorted((r.path, r.line_no, r.line) for r in lines.search(x, q).collect()) for x in (df, parts(df, 16)))
+        assert a == b
