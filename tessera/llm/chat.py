@@ -45,8 +45,10 @@ def paths(messages: DataFrame) -> DataFrame:
     reach = stored(links.select("tree", "node", F.col("over").alias("far"), F.when(F.col("over").isNull(), 0).otherwise(1).cast("long").alias("depth")), "reach")
     rounds, most = 0, links.count().bit_length() + 1
     while rounds < most and not reach.where("far is not null").isEmpty():
+        # Only nodes still below their root go on; those that reached it are looked up, not joined again.
         step = reach.select("tree", F.col("node").alias("far"), F.col("far").alias("further"), F.col("depth").alias("more"))
-        reach = stored(reach.join(step, ["tree", "far"], "left").select("tree", "node", F.col("further").alias("far"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), "reach")
+        moved = reach.where("far is not null").join(step, ["tree", "far"], "left").select("tree", "node", F.col("further").alias("far"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
+        reach = stored(reach.where("far is null").unionByName(moved), "reach")
         rounds += 1
     rooted = reach.where("far is null").select("tree", "node", "depth")
     parents = links.where("over is not null").select("tree", F.col("over").alias("node")).distinct()
