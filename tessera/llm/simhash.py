@@ -64,19 +64,12 @@ def majority(h: np.ndarray, words: int = 1) -> np.ndarray:
     return np.packbits(counts * 2 > n).view(np.uint64)
 
 
-def _fingerprints(shingle: int, extra: int, words: int):
+def _fingerprints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            prints, sets = [], []
-            for text in b.column(1).to_pylist():
-                w = text.lower().split()  # on bytes: A-Z only, and the six ASCII blanks
-                prints.append(majority(hashes(shingles(w, shingle)), words).tobytes())
-                if extra:
-                    sets.append(majority(hashes(list(dict.fromkeys(w))), extra).tobytes())
-            if extra:
-                yield pa.record_batch([b.column(0), pa.array(prints, pa.binary()), pa.array(sets, pa.binary())], ["id", "print", "keys"])
-            else:
-                yield pa.record_batch([b.column(0), pa.array(np.frombuffer(b"".join(prints), np.int64))], ["id", "print"])
+            # on bytes: A-Z only, and the six ASCII blanks
+            prints = [majority(hashes(shingles(text.lower().split(), shingle))).tobytes() for text in b.column(1).to_pylist()]
+            yield pa.record_batch([b.column(0), pa.array(np.frombuffer(b"".join(prints), np.int64))], ["id", "print"])
 
     return run
 
@@ -87,7 +80,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Null text is as the empty one, whose fingerprint is zero. One output row for each input row.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    return map_arrow(rows, _fingerprints(shingle, 0, 1), "id long, print long")
+    return map_arrow(rows, _fingerprints(shingle), "id long, print long")
 
 
 # --- the walk ---------------------------------------------------------------------------------
@@ -195,8 +188,8 @@ def _leaves(alo, ahi, blo, bhi) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         at += len(size)
 
 
-def _walk_partition(budget: int, confirm: int | None):
-    """Rows (node, depth, key, id[, print]) of one partition -> links (a, b) between ids."""
+def _walk_partition(budget: int):
+    """Rows (node, depth, key, id) of one partition -> links (a, b) between ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -207,22 +200,10 @@ def _walk_partition(budget: int, confirm: int | None):
         keys = table.column("key").to_numpy().view(np.uint64)
         order = np.lexsort((keys, node))
         node, depth, ids, keys = node[order], depth[order], ids[order], keys[order]
-        prints = None
-        if confirm is not None:
-            col = table.column("print").combine_chunks()
-            prints = np.frombuffer(b"".join(col.to_pylist()), np.uint64).reshape(len(ids), -1)[order]
         start = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
         forest = Forest(len(ids))
 
-        def found(i: np.ndarray, j: np.ndarray) -> None:
-            if prints is not None:
-                open_ = forest.roots(i) != forest.roots(j)
-                i, j = i[open_], j[open_]
-                near = np.bitwise_count(prints[i] ^ prints[j]).sum(1, dtype=np.int64) <= confirm
-                i, j = i[near], j[near]
-            forest.unite(i, j)
-
-        walk(start, np.append(start[1:], len(ids)), keys, depth[start], budget, found, forest)
+        walk(start, np.append(start[1:], len(ids)), keys, depth[start], budget, forest.unite, forest)
         every = np.arange(len(ids))
         root = forest.roots(every)
         tied = (root != every) & (ids[root] != ids)
@@ -252,16 +233,14 @@ def _rotated(key, offset: int, width: int, top: int = 0):
     return out.bitwiseOR(key.bitwiseAND(F.lit(keep))) if top else out
 
 
-def trie_links(prints: DataFrame, budget: int, key_cols: list[str], confirm: int | None = None) -> DataFrame:
+def trie_links(prints: DataFrame, budget: int, key_cols: list[str]) -> DataFrame:
     """Links between rows one of whose 64-bit ``key_cols`` differ in at most ``budget`` bits.
 
-    ``prints(id, <key_cols>[, print])`` has distinct ids. With ``confirm`` a link also needs the
-    binary column ``print`` to differ in at most that many bits. Gives ``(a, b)``: a forest for each
-    node, whose union connects exactly what all pairs would.
+    ``prints(id, <key_cols>)`` has distinct ids. Gives ``(a, b)``: a forest for each node, whose
+    union connects exactly what all pairs would.
     """
-    extra = ["print"] if confirm is not None else []
     starts = [F.struct(F.lit(c * (budget + 1) + i).alias("block"), F.lit(w).alias("depth"), _rotated(F.col(name), o, w).alias("key")) for c, name in enumerate(key_cols) for i, (o, w) in enumerate(_blocks(64, budget + 1))]
-    rows = prints.select("id", *extra, F.explode(F.array(*starts)).alias("s")).select("id", *extra, "s.*")
+    rows = prints.select("id", F.explode(F.array(*starts)).alias("s")).select("id", "s.*")
     top = F.expr("shiftrightunsigned(key, 64 - depth)")
     rows = rows.withColumn("node", F.xxhash64("block", top))
     # Nodes over the limit go one level down: their remaining bits have budget+1 blocks as well.
@@ -275,8 +254,8 @@ def trie_links(prints: DataFrame, budget: int, key_cols: list[str], confirm: int
     for width in sorted({x[0] for x in down}):
         parts = F.array(*[F.struct(F.xxhash64("node", F.lit(i), F.shiftrightunsigned(k, 64 - d)).alias("node"), F.lit(d).alias("depth"), k.alias("key")) for w, i, k, d in down if w == width])
         nest = F.when(F.col("big") & (F.col("depth") == width), parts).otherwise(nest)
-    rows = rows.select("id", *extra, F.explode(nest).alias("s")).select("s.node", "s.depth", "s.key", "id", *extra)
-    return map_arrow(rows.repartition("node"), _walk_partition(budget, confirm), "a long, b long")
+    rows = rows.select("id", F.explode(nest).alias("s")).select("s.node", "s.depth", "s.key", "id")
+    return map_arrow(rows.repartition("node"), _walk_partition(budget), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = 2, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -296,33 +275,104 @@ def near_duplicates(docs: DataFrame, max_bits: int = 2, shingle: int = 3, id_col
     return rows.join(of, "print").select("id", "print", "component")
 
 
-#: The defaults of the pipeline's stage: 5-word shingles, and the largest angle of an exact Jaccard similarity of 0.8.
-WORDS, KEYS, KEY_BITS = 8, 12, 3
+#: SimHashes of the word set that give candidates, and the bits in which one of them may differ.
+KEYS, KEY_BITS = 12, 3
+#: Low bits of a shingle's hash that the first look at a pair goes by; documents looked at together.
+LOW_BITS, TOGETHER = 20, 1024
+
+
+def _sketches(shingle: int):
+    """(id, digest of the shingle set, SimHashes of the word set, 32-bit hashes of the shingle set)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            same, keys, sets = [], [], []
+            for text in b.column(1).to_pylist():
+                w = text.lower().split()
+                h = np.unique(hashes(shingles(w, shingle)))
+                same.append(xxhash.xxh3_128_digest(h.tobytes()))
+                keys.append(majority(hashes(list(dict.fromkeys(w))), KEYS).tobytes())
+                sets.append(np.unique((h >> np.uint64(32)).astype(np.uint32)).tobytes())
+            yield pa.record_batch([b.column(0), pa.array(same, pa.binary()), pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], ["id", "same", "keys", "shingles"])
+
+    return run
 
 
-def max_differing(similarity: float, bits: int) -> int:
-    """Differing bits of two sets of shingles with that Jaccard similarity: the mean and two standard deviations.
+def confirmed(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For each of some distinct sets the first one reachable over pairs with at least that Jaccard similarity.
 
-    So a pair at the similarity itself is missed one time in forty, and one at 0.75 instead of 0.8 may pass.
+    All pairs are held against each other but those that are linked already.
     """
-    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(bits * p + 2 * np.sqrt(bits * p * (1 - p)))
+    n = len(sets)
+    size = np.array([len(x) for x in sets], np.int64)
+    end = np.cumsum(size)
+    begin = end - size
+    low = (np.concatenate(sets) if n else np.zeros(0, np.uint32)) & np.uint32((1 << LOW_BITS) - 1)
+    table = np.zeros(1 << LOW_BITS, bool)
+    forest = Forest(n)
+    for i in range(n - 1):
+        root = forest.roots(np.arange(n))
+        rest = np.arange(i + 1, n)
+        rest = rest[(root[rest] != root[i]) & (np.minimum(size[rest], size[i]) >= similarity * np.maximum(size[rest], size[i]))]
+        table[low[begin[i] : end[i]]] = True
+        for k in range(0, len(rest), TOGETHER):
+            some = rest[k : k + TOGETHER]
+            to = np.cumsum(size[some])
+            entry = np.repeat(begin[some] - (to - size[some]), size[some]) + np.arange(int(to[-1]))
+            hits = np.concatenate([[0], np.cumsum(table[low[entry]])])
+            most = np.minimum(hits[to] - hits[to - size[some]], size[i])  # shared shingles at most
+            some = some[most * (1 + similarity) >= similarity * (size[some] + size[i]) - 1e-9]
+            for j in some.tolist():
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if both >= similarity * (size[i] + size[j] - both) - 1e-9:
+                    forest.unite(np.array([i]), np.array([j]))
+        table[low[begin[i] : end[i]]] = False
+        if not (root != root[0]).any():
+            break
+    return forest.roots(np.arange(n))
+
+
+def _confirmed(similarity: float):
+    """Rows (bucket, id, shingles) sorted by bucket -> links (a, b) between ids of a bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links(held: dict[tuple[int, bytes], None]) -> pa.RecordBatch:
+            own = sorted(held)
+            ids = np.array([x[0] for x in own], np.int64)
+            root = confirmed([np.frombuffer(x[1], np.uint32) for x in own], similarity)
+            tied = ids[root] != ids
+            return pa.record_batch([pa.array(ids[tied]), pa.array(ids[root[tied]])], ["a", "b"])
+
+        bucket, held = None, {}
+        for b in batches:
+            for name, i, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if name != bucket:
+                    if len(held) > 1:
+                        yield links(held)
+                    bucket, held = name, {}
+                held[i, raw] = None
+        if len(held) > 1:
+            yield links(held)
+
+    return run
 
 
 def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, component)``: near-duplicates by similarity rather than by bits of one fingerprint.
+    """``(id, component)``: near-duplicates by Jaccard similarity of the ``shingle``-word shingle sets.
 
-    A 512-bit SimHash of the ``shingle``-word shingles decides (a link: at most the bits that the
-    similarity allows). Candidates come from the trie self-joins of twelve 64-bit SimHashes of the
-    word set within 3 bits, which an edit of a word moves far less than the shingles' ones.
+    Candidates are linked by the trie self-joins of twelve 64-bit SimHashes of the word set within 3 bits. Each
+    link is then confirmed on the shingle sets themselves (32-bit hashes), which are joined by id.
     Null ids are left out; of repeated ids the rows share one component.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")).where("id is not null")
-    rows = stored(map_arrow(rows, _fingerprints(shingle, KEYS, WORDS), "id long, print binary, keys binary"), "simhash")
-    heads = rows.groupBy("print", "keys").agg(F.min("id").alias("id"))
+    rows = stored(map_arrow(rows, _sketches(shingle), "id long, same binary, keys binary, shingles binary"), "sketches")
+    heads = rows.groupBy("same").agg(F.min(F.struct("id", "keys")).alias("head")).select("same", "head.*")
     key = lambda i: F.conv(F.hex(F.substring("keys", 8 * i + 1, 8)), 16, -10).cast("long").alias(f"k{i}")
-    heads = stored(heads.select("id", "print", "keys", *[key(i) for i in range(KEYS)]), "heads")
-    links = trie_links(heads.drop("keys"), KEY_BITS, [f"k{i}" for i in range(KEYS)], max_differing(similarity, 64 * WORDS))
-    roots = connected_components(links)
-    of = stored(heads.select("id", "print", "keys").join(roots.withColumnRenamed("v", "id"), "id", "left").select("print", "keys", F.coalesce("root", "id").alias("component")), "class")
-    return rows.join(of, ["print", "keys"]).select("id", "component")
+    heads = stored(heads.select("id", "same", *[key(i) for i in range(KEYS)]), "heads")
+    near = trie_links(heads.drop("same"), KEY_BITS, [f"k{i}" for i in range(KEYS)]).distinct()
+    near = near.select(F.xxhash64("a", "b").alias("bucket"), F.explode(F.array("a", "b")).alias("id"))
+    pairs = stored(near, "candidates")
+    held = pairs.join(rows.select("id", "shingles"), "id").select("bucket", "id", "shingles")
+    roots = connected_components(map_arrow(held.repartition("bucket").sortWithinPartitions("bucket"), _confirmed(similarity), "a long, b long"))
+    of = stored(heads.select("id", "same").join(roots.withColumnRenamed("v", "id"), "id", "left").select("same", F.coalesce("root", "id").alias("component")), "class")
+    return rows.select("id", "same").join(of, "same").select("id", "component")

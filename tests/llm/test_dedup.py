@@ -104,6 +104,50 @@ def test_similar_documents(spark):
     assert sorted((r.id, r.component) for r in simhash.similar_documents(odd).collect()) == [(1, 1), (2, 1), (3, 3), (3, 3)]
 
 
+def edited(rng, least, most, word):
+    """Pairs of texts by kind of edit, whose five-word shingles have a Jaccard similarity from ``least`` to ``most``."""
+    parts = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    out = {}
+    while min(map(len, out.values()), default=0) < 60 or len(out) < 4:
+        base, share = [word() for _ in range(rng.randint(120, 400))], rng.random() / 2
+        n = max(1, int(share * len(base)))
+        new, at, kind = [word() for _ in range(n)], rng.randint(0, len(base) - n), rng.choice(["append", "delete", "replace", "scatter"])
+        copy = {"append": base + new, "delete": base[:at] + base[at + n :], "replace": base[:at] + new + base[at + n :]}.get(kind)
+        if copy is None:
+            gone = set(rng.sample(range(len(base)), max(1, n // 8)))
+            copy = [word() if i in gone else w for i, w in enumerate(base)]
+        a, b = parts(base), parts(copy)
+        if least <= len(a & b) / len(a | b) <= most and len(out.setdefault(kind, [])) < 60:
+            out[kind].append((" ".join(base), " ".join(copy)))
+    return out
+
+
+@pytest.mark.parametrize("least,most", [(0.65, 0.795)])
+def test_similar_documents_by_edit(spark, least, most):
+    """Pairs just at the similarity are linked whatever the edit, and pairs just below are not."""
+    rng = random.Random(7)
+    pairs = edited(rng, least, most, lambda: "".join(rng.choice("abcdefgh") for _ in range(5)))
+    flat = [(kind, p) for kind, own in pairs.items() for p in own]
+    docs = [(2 * k + c, text) for k, (_, p) in enumerate(flat) for c, text in enumerate(p)]
+    got = {r.id: r.component for r in simhash.similar_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    linked = Counter(kind for k, (kind, _) in enumerate(flat) if got[2 * k + 1] == 2 * k)
+    if least >= 0.8:
+        assert all(linked[kind] >= 0.98 * len(own) for kind, own in pairs.items()), linked
+    else:
+        assert not linked
+
+
+def test_confirmed():
+    rng = np.random.default_rng(3)
+    sets = []
+    for _ in range(8):
+        base = np.unique(rng.integers(0, 1 << 32, 200, dtype=np.uint32))
+        sets += [np.unique(rng.choice(base, rng.integers(150, len(base)), replace=False)) for _ in range(8)]
+    sets.append(np.zeros(0, np.uint32))
+    near = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))]
+    assert simhash.confirmed(sets, 0.8).tolist() == roots(len(sets), near)
+
+
 def slow_removed(texts, window):
     docs = [(t or "").encode().split() for t in texts]
     seen = Counter(tuple(d[i : i + window]) for d in docs for i in range(len(d) - window + 1))
