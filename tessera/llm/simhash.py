@@ -277,23 +277,45 @@ def near_duplicates(docs: DataFrame, max_bits: int = 2, shingle: int = 3, id_col
 
 #: SimHashes of the word set that give candidates, and the bits in which one of them may differ.
 KEYS, KEY_BITS = 12, 3
+#: Minima in a MinHash band; share of the pairs at the similarity itself that may share no band.
+BAND_ROWS, MISSED = 5, 1e-3
 #: Low bits of a shingle's hash that the first look at a pair goes by; documents looked at together.
 LOW_BITS, TOGETHER = 20, 1024
 
 
-def _sketches(shingle: int):
-    """(id, digest of the shingle set, SimHashes of the word set, 32-bit hashes of the shingle set)."""
+def bands_for(similarity: float) -> int:
+    """Bands of which a pair with that Jaccard similarity shares one but for ``MISSED``; a nearer pair is missed less."""
+    return max(1, int(np.ceil(np.log(MISSED) / np.log1p(-min(similarity, 0.999) ** BAND_ROWS))))
+
+
+def band_keys(h: np.ndarray, bands: int) -> np.ndarray:
+    """One hash for each band of a set of hashes: of the set's minima under ``BAND_ROWS`` multipliers."""
+    rng = np.random.default_rng(SEED)
+    times = rng.integers(0, 1 << 63, bands * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    least = np.full(len(times), 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for i in range(0, len(h), 2048):
+        np.minimum(least, (h[i : i + 2048, None] * times).min(0), out=least)
+    each = least.reshape(bands, BAND_ROWS)
+    z = (each * (each >> np.uint64(32) | np.uint64(1)) + times[:BAND_ROWS] * (each ^ np.uint64(SEED))).sum(1, dtype=np.uint64)
+    z += np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return z ^ (z >> np.uint64(31))
+
+
+def _sketches(shingle: int, bands: int):
+    """(id, digest of the shingle set, SimHashes of the word set, band keys, 32-bit hashes of the shingle set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            same, keys, sets = [], [], []
+            same, keys, keyed, sets = [], [], [], []
             for text in b.column(1).to_pylist():
                 w = text.lower().split()
                 h = np.unique(hashes(shingles(w, shingle)))
                 same.append(xxhash.xxh3_128_digest(h.tobytes()))
                 keys.append(majority(hashes(list(dict.fromkeys(w))), KEYS).tobytes())
+                keyed.append(band_keys(h, bands).view(np.int64) if len(h) else None)
                 sets.append(np.unique((h >> np.uint64(32)).astype(np.uint32)).tobytes())
-            yield pa.record_batch([b.column(0), pa.array(same, pa.binary()), pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], ["id", "same", "keys", "shingles"])
+            yield pa.record_batch([b.column(0), pa.array(same, pa.binary()), pa.array(keys, pa.binary()), pa.array(keyed, pa.list_(pa.int64())), pa.array(sets, pa.binary())], ["id", "same", "keys", "bands", "shingles"])
 
     return run
 
@@ -360,18 +382,21 @@ def _confirmed(similarity: float):
 def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, component)``: near-duplicates by Jaccard similarity of the ``shingle``-word shingle sets.
 
-    Candidates are linked by the trie self-joins of twelve 64-bit SimHashes of the word set within 3 bits. Each
+    Candidates share a MinHash band of the shingles, as many bands as the similarity asks for, or
+    are linked by the trie self-joins of twelve 64-bit SimHashes of the word set within 3 bits. Each
     link is then confirmed on the shingle sets themselves (32-bit hashes), which are joined by id.
     Null ids are left out; of repeated ids the rows share one component.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")).where("id is not null")
-    rows = stored(map_arrow(rows, _sketches(shingle), "id long, same binary, keys binary, shingles binary"), "sketches")
-    heads = rows.groupBy("same").agg(F.min(F.struct("id", "keys")).alias("head")).select("same", "head.*")
+    rows = stored(map_arrow(rows, _sketches(shingle, bands_for(similarity)), "id long, same binary, keys binary, bands array<long>, shingles binary"), "sketches")
+    heads = rows.groupBy("same").agg(F.min(F.struct("id", "keys", "bands")).alias("head")).select("same", "head.*")
     key = lambda i: F.conv(F.hex(F.substring("keys", 8 * i + 1, 8)), 16, -10).cast("long").alias(f"k{i}")
-    heads = stored(heads.select("id", "same", *[key(i) for i in range(KEYS)]), "heads")
-    near = trie_links(heads.drop("same"), KEY_BITS, [f"k{i}" for i in range(KEYS)]).distinct()
+    heads = stored(heads.select("id", "same", "bands", *[key(i) for i in range(KEYS)]), "heads")
+    near = trie_links(heads.drop("same", "bands"), KEY_BITS, [f"k{i}" for i in range(KEYS)]).distinct()
     near = near.select(F.xxhash64("a", "b").alias("bucket"), F.explode(F.array("a", "b")).alias("id"))
-    pairs = stored(near, "candidates")
+    banded = heads.select(F.explode("bands").alias("bucket"), "id")
+    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    pairs = stored(banded.join(shared, "bucket").unionByName(near), "candidates")
     held = pairs.join(rows.select("id", "shingles"), "id").select("bucket", "id", "shingles")
     roots = connected_components(map_arrow(held.repartition("bucket").sortWithinPartitions("bucket"), _confirmed(similarity), "a long, b long"))
     of = stored(heads.select("id", "same").join(roots.withColumnRenamed("v", "id"), "id", "left").select("same", F.coalesce("root", "id").alias("component")), "class")

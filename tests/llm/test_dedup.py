@@ -122,7 +122,7 @@ def edited(rng, least, most, word):
     return out
 
 
-@pytest.mark.parametrize("least,most", [(0.65, 0.795)])
+@pytest.mark.parametrize("least,most", [(0.8, 0.88), (0.65, 0.795)])
 def test_similar_documents_by_edit(spark, least, most):
     """Pairs just at the similarity are linked whatever the edit, and pairs just below are not."""
     rng = random.Random(7)
