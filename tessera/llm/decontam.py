@@ -2,7 +2,8 @@
 
 Documents become passages, passages TF-IDF vectors over the words of the benchmark, and a randomised
 SVD of all of them, run as sums over partitions, a latent space. A passage and an item near each
-other there by cosine are a candidate, however the words are ordered or replaced; it counts as a leak
+other by cosine, there or by the TF-IDF vectors themselves, are a candidate, however the words are
+ordered or replaced; it counts as a leak
 if the item's longest common subsequence with the text around the passage is long enough and the
 item's answer is there too.
 
@@ -198,6 +199,34 @@ def common_subsequence(a: list[int], b: list[int]) -> int:
     return len(a) - row.bit_count()
 
 
+class _ByTerm:
+    """The items' weighted vectors, each of length one, by term."""
+
+    def __init__(self, item: np.ndarray, term: np.ndarray, weight: np.ndarray, terms: int, items: int):
+        weight = weight / np.sqrt(np.maximum(np.bincount(item, weight * weight, items), 1e-30))[item]
+        order = np.argsort(term, kind="stable")
+        self.item, self.weight, self.items = item[order], weight[order], items
+        self.start = np.searchsorted(term[order], np.arange(terms + 1))
+
+    def cosines(self, bounds: np.ndarray, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """(passages, items) cosines over all words; a passage's entries lie between two ``bounds``."""
+        passages = len(bounds) - 1
+        row = np.repeat(np.arange(passages), np.diff(bounds))
+        out = np.zeros((passages, self.items), np.float32)
+        many = self.start[term + 1] - self.start[term]
+        upto = np.cumsum(many)
+        at = 0
+        while at < len(term):
+            stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + (1 << 21), "right")))
+            n = many[at:stop]
+            entry = np.repeat(self.start[term[at:stop]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            first, last = int(row[at]), int(row[stop - 1]) + 1
+            cell = np.repeat(row[at:stop] - first, n) * self.items + self.item[entry]
+            out[first:last] += np.bincount(cell, np.repeat(weight[at:stop], n) * self.weight[entry], (last - first) * self.items).reshape(last - first, self.items)
+            at = stop
+        return out
+
+
 def _leaks(items: Items, idf: np.ndarray, space: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         useful = idf > 0
@@ -208,6 +237,7 @@ def _leaks(items: Items, idf: np.ndarray, space: np.ndarray):
         key, n = np.unique(item[useful[flat]] * len(idf) + flat[useful[flat]], return_counts=True)
         np.add.at(latent, key // len(idf), ((1 + np.log(n)) * idf[key % len(idf)])[:, None] * space[key % len(idf)])
         latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-30)
+        whole = _ByTerm(key // len(idf), key % len(idf), (1 + np.log(n)) * idf[key % len(idf)], len(idf), len(size))
         latent, small = latent.T.astype(np.float32), space.astype(np.float32)
         has = np.zeros((len(idf), len(size)), bool)
         has[flat, item] = True
@@ -224,7 +254,8 @@ def _leaks(items: Items, idf: np.ndarray, space: np.ndarray):
                     lo, hi = first[k], first[k + 8192] if k + 8192 < len(own) else len(w)
                     y = np.add.reduceat(small[term[lo:hi]] * w[lo:hi, None].astype(np.float32), first[k : k + 8192] - lo, axis=0)
                     y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-30)
-                    cosine = y @ latent
+                    # Of an item that leaks once little is in the latent space: its words themselves count as well.
+                    cosine = np.maximum(y @ latent, whole.cosines(np.append(first, len(w))[k : k + 8193] - lo, term[lo:hi], w[lo:hi]))
                     near, which = np.nonzero(cosine >= COSINE)
                     if not len(near):
                         continue

@@ -103,6 +103,25 @@ def test_leaks(spark):
     assert decontam.leaks(docs, bench.limit(0)).count() == 0 and decontam.leaks(docs.limit(0), bench).count() == 0
 
 
+def test_cosines_by_term():
+    rng = np.random.default_rng(4)
+    a, b = (rng.random((n, 50)) * (rng.random((n, 50)) < 0.2) for n in (40, 30))
+    a, b = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30) for x in (a, b))
+    (row, term), (item, of) = np.nonzero(a), np.nonzero(b)
+    got = decontam._ByTerm(item, of, 3 * b[item, of], 50, 30).cosines(np.searchsorted(row, np.arange(41)), term, a[row, term])
+    assert np.allclose(got, a @ b.T, atol=1e-6)
+
+
+def test_leaks_outside_the_latent_space(spark, monkeypatch):
+    """A leak is a candidate by its words even if nothing of it is in the latent space."""
+    monkeypatch.setattr(decontam, "latent_space", lambda ids, idf: np.zeros((len(idf), 1)))
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    docs = bench.select(F.col("item_id").alias("doc_id"), F.concat(F.lit("some other start " * 9), "text", F.lit(" and an end" * 9)).alias("text"))
+    docs = docs.unionByName(spark.read.parquet(f"{SF}/documents.parquet").select(F.col("doc_id") + 10**6, "text").toDF("doc_id", "text"))
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(docs, bench).collect()}
+    assert {(r.item_id, r.item_id) for r in bench.collect()} <= got
+
+
 def test_pipeline(spark):
     source = spark.read.parquet(f"{SF}/documents.parquet")
     extra = spark.createDataFrame([(None, None, None, None, None), (10**6, "", "en", "x", 0)], source.schema)
