@@ -4,8 +4,8 @@ Documents become passages, passages TF-IDF vectors over the words of the benchma
 SVD of all of them, run as sums over partitions, a latent space. A passage and an item near each
 other by cosine, there or by the TF-IDF vectors themselves, are a candidate, however the words are
 ordered or replaced; it counts as a leak
-if the item's longest common subsequence with the text around the passage is long enough and the
-item's answer is there too.
+if the item's longest common subsequence with the text around the passage is long enough and, where
+the benchmark has answers, the item's answer is there too.
 
 The benchmark is the query set: it is taken in blocks of items, each against all rows.
 """
@@ -46,21 +46,22 @@ def normal(word: str) -> str:
 
 @dataclass
 class Items:
-    """A block of the benchmark: ids, words as vocabulary numbers (from 1), answers."""
+    """A block of the benchmark: ids, words as vocabulary numbers (from 1), answers, and which of these are real."""
 
     ids: list[int]
     words: list[list[int]]
     answers: list[list[int]]
+    answered: list[bool]
     vocabulary: dict[str, int]
 
 
 def block_of(rows: list) -> Items:
-    """``rows`` of (item id, text, answer or None); without an answer the item's last words are its answer."""
+    """``rows`` of (item id, text, answer or None); without an answer the share of the item's last words is told, but none is asked for."""
     vocabulary: dict[str, int] = {}
     number = lambda text: [vocabulary.setdefault(w, len(vocabulary) + 1) for w in map(normal, (text or "").split()) if w]
     words = [number(r[1]) for r in rows]
     answers = [number(r[2]) if r[2] else w[-ANSWER_WORDS:] for r, w in zip(rows, words, strict=True)]
-    return Items([r[0] for r in rows], words, answers, vocabulary)
+    return Items([r[0] for r in rows], words, answers, [bool(r[2]) for r in rows], vocabulary)
 
 
 class _Numbers(dict):
@@ -275,7 +276,7 @@ def _leaks(items: Items, idf: np.ndarray, space: np.ndarray):
                         common = common_subsequence(words, text) / len(words)
                         answer = items.answers[c]
                         found = sum(x in there for x in answer) / max(1, len(answer))
-                        if common >= COMMON and found >= ANSWER and (old := best.get((doc, c), (0.0,)))[0] <= common:
+                        if common >= COMMON and (found >= ANSWER or not items.answered[c]) and (old := best.get((doc, c), (0.0,)))[0] <= common:
                             best[doc, c] = max(old, (common, float(cosine[r, c]), found, max(0, start)))
             if best:
                 rows = [(b.column(0)[d].as_py(), items.ids[c], *v) for (d, c), v in best.items()]
@@ -310,7 +311,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, answer_col: str | None = None,
     """``(doc_id, item_id, common, cosine, answer, start)``: the items that leaked into each document, at their best place.
 
     ``common``: longest common subsequence by item length; ``answer``: share of the answer's words in
-    the text around; ``start``: word at which the passage begins. Null and empty texts and items
+    the text around, at least half of them for a leak; an item without an answer has the share of its
+    last words there, whatever it is. ``start``: word at which the passage begins. Null and empty texts and items
     leak nothing; repeated documents come back repeated; either table may be empty.
     """
     spark = docs.sparkSession

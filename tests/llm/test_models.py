@@ -122,6 +122,23 @@ def test_leaks_outside_the_latent_space(spark, monkeypatch):
     assert {(r.item_id, r.item_id) for r in bench.collect()} <= got
 
 
+@pytest.mark.parametrize("kind", ["cut 3", "cut 5", "reworded 5"])
+def test_leaks_without_their_end(spark, kind):
+    """An item whose last words lack or are others is a leak; with an answer column its answer must be there."""
+    what, n = kind.split()
+    rows = [(r.item_id, r.text.split()) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    rows = [(k, w) for k, w in rows if len(w) - int(n) >= 0.7 * len(w)]
+    end = "" if what == "cut" else " novel" * int(n)
+    planted = [(k, "a start of its own " * 9 + " ".join(w[: -int(n)]) + end + " and the last part" * 9) for k, w in rows]
+    docs = spark.createDataFrame(planted, "doc_id long, text string").unionByName(spark.read.parquet(f"{SF}/documents.parquet").select((F.col("doc_id") + 10**6).alias("doc_id"), "text"))
+    bench = spark.createDataFrame([(k, " ".join(w), " ".join(w[-int(n) :])) for k, w in rows], "item_id long, text string, reply string")
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(docs, bench).collect()}
+    assert len(rows) >= 20 and {(k, k) for k, _ in rows} <= got
+    if kind == "reworded 5":
+        asked = {r.doc_id for r in decontam.leaks(docs, bench, answer_col="reply").collect() if r.doc_id < 10**6}
+        assert len(asked) <= 0.2 * len(rows)
+
+
 def test_pipeline(spark):
     source = spark.read.parquet(f"{SF}/documents.parquet")
     extra = spark.createDataFrame([(None, None, None, None, None), (10**6, "", "en", "x", 0)], source.schema)
