@@ -18,10 +18,10 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_arrow, slices, stored
+from tessera.llm.common import map_arrow, release, slices, stored
 from tessera.llm.components import connected_components
 
 SEED = 42
@@ -29,6 +29,8 @@ SEED = 42
 NODE_LIMIT = 4096
 #: Node pairs that are walked at once.
 FRONT = 1 << 18
+#: Rows of whole nodes that are walked together; nodes over the limit that are broadcast, at most.
+WALK_ROWS, BROADCAST_NODES = 1 << 18, 50_000
 
 
 def shingles(words: list[bytes], size: int) -> list[bytes]:
@@ -42,23 +44,12 @@ def hashes(items: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, items, repeat(SEED)), np.uint64, len(items))
 
 
-def _spread(h: np.ndarray, words: int) -> np.ndarray:
-    """(n, words) hashes from n: the first word is the hash itself, the others are remixed."""
-    if words == 1:
-        return h[:, None]
-    seeds = np.arange(1, words, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    z = h[:, None] + seeds[None, :]
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return np.concatenate([h[:, None], z ^ (z >> np.uint64(31))], axis=1)
-
-
-def majority(h: np.ndarray, words: int = 1) -> np.ndarray:
-    """The ``words`` 64-bit words whose bits are set in over half the hashes; zero if there are none."""
+def majority(h: np.ndarray) -> np.ndarray:
+    """The 64-bit word, as an array of one, whose bits are set in over half the hashes; zero if there are none."""
     n = len(h)
     if not n:
-        return np.zeros(words, np.uint64)
-    bits = np.unpackbits(np.ascontiguousarray(_spread(h, words)).view(np.uint8).reshape(n, -1), axis=1)
+        return np.zeros(1, np.uint64)
+    bits = np.unpackbits(np.ascontiguousarray(h).view(np.uint8).reshape(n, 8), axis=1)
     lanes = np.add.reduceat(bits.view(np.uint64), np.arange(0, n, 255), axis=0)  # eight byte counters in a word, none over 255
     counts = lanes.view(np.uint8).sum(0, dtype=np.int64)
     return np.packbits(counts * 2 > n).view(np.uint64)
@@ -188,26 +179,41 @@ def _leaves(alo, ahi, blo, bhi) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         at += len(size)
 
 
-def _walk_partition(budget: int):
-    """Rows (node, depth, key, id) of one partition -> links (a, b) between ids."""
+def _walk_nodes(budget: int):
+    """Rows (node, depth, key, id) sorted by node -> links (a, b) between ids; some whole nodes are held at a time."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
+    def links(table: pa.Table) -> pa.RecordBatch:
         node, depth, ids = (table.column(c).to_numpy() for c in ("node", "depth", "id"))
         keys = table.column("key").to_numpy().view(np.uint64)
         order = np.lexsort((keys, node))
         node, depth, ids, keys = node[order], depth[order], ids[order], keys[order]
         start = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
         forest = Forest(len(ids))
-
         walk(start, np.append(start[1:], len(ids)), keys, depth[start], budget, forest.unite, forest)
         every = np.arange(len(ids))
         root = forest.roots(every)
         tied = (root != every) & (ids[root] != ids)
-        yield pa.record_batch([pa.array(ids[tied]), pa.array(ids[root[tied]])], ["a", "b"])
+        return pa.record_batch([pa.array(ids[tied]), pa.array(ids[root[tied]])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            node = b.column(0).to_numpy()
+            first = int(np.searchsorted(node, node[-1]))  # the last node may go on in the next batch
+            if first and rows + first >= WALK_ROWS:
+                yield links(pa.Table.from_batches([*held, b.slice(0, first)]))
+                held, rows = [b.slice(first)], b.num_rows - first
+            elif held and rows >= WALK_ROWS and not first and held[-1].column(0)[-1].as_py() != node[0]:
+                yield links(pa.Table.from_batches(held))
+                held, rows = [b], b.num_rows
+            else:
+                held.append(b)
+                rows += b.num_rows
+        if held:
+            yield links(pa.Table.from_batches(held))
 
     return run
 
@@ -233,29 +239,31 @@ def _rotated(key, offset: int, width: int, top: int = 0):
     return out.bitwiseOR(key.bitwiseAND(F.lit(keep))) if top else out
 
 
-def trie_links(prints: DataFrame, budget: int, key_cols: list[str]) -> DataFrame:
-    """Links between rows one of whose 64-bit ``key_cols`` differ in at most ``budget`` bits.
+def trie_links(prints: DataFrame, budget: int) -> DataFrame:
+    """Links between rows whose 64-bit ``key`` differs in at most ``budget`` bits.
 
-    ``prints(id, <key_cols>)`` has distinct ids. Gives ``(a, b)``: a forest for each node, whose
-    union connects exactly what all pairs would.
+    ``prints(id, key)`` has distinct ids and should have distinct keys. Gives ``(a, b)``: a forest for
+    each node, whose union connects exactly what all pairs would.
     """
-    starts = [F.struct(F.lit(c * (budget + 1) + i).alias("block"), F.lit(w).alias("depth"), _rotated(F.col(name), o, w).alias("key")) for c, name in enumerate(key_cols) for i, (o, w) in enumerate(_blocks(64, budget + 1))]
+    starts = [F.struct(F.lit(i).alias("block"), F.lit(w).alias("depth"), _rotated(F.col("key"), o, w).alias("key")) for i, (o, w) in enumerate(_blocks(64, budget + 1))]
     rows = prints.select("id", F.explode(F.array(*starts)).alias("s")).select("id", "s.*")
     top = F.expr("shiftrightunsigned(key, 64 - depth)")
-    rows = rows.withColumn("node", F.xxhash64("block", top))
+    rows = rows.select(F.xxhash64("block", top).alias("node"), "depth", "key", "id")
     # Nodes over the limit go one level down: their remaining bits have budget+1 blocks as well.
-    big = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > NODE_LIMIT).select("node", F.lit(True).alias("big"))
-    rows = rows.join(big, "node", "left")
-    down = []
-    for width in sorted({w for _, w in _blocks(64, budget + 1)}):
-        for i, (o, w) in enumerate(_blocks(64 - width, budget + 1)):
-            down.append((width, i, _rotated(F.col("key"), o, w, width), width + w))
-    nest = F.array(F.struct(F.col("node"), F.col("depth"), F.col("key")))
-    for width in sorted({x[0] for x in down}):
-        parts = F.array(*[F.struct(F.xxhash64("node", F.lit(i), F.shiftrightunsigned(k, 64 - d)).alias("node"), F.lit(d).alias("depth"), k.alias("key")) for w, i, k, d in down if w == width])
-        nest = F.when(F.col("big") & (F.col("depth") == width), parts).otherwise(nest)
-    rows = rows.select("id", F.explode(nest).alias("s")).select("s.node", "s.depth", "s.key", "id")
-    return map_arrow(rows.repartition("node"), _walk_partition(budget), "a long, b long")
+    big = stored(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > NODE_LIMIT).select("node", F.lit(True).alias("big")), "big-nodes")
+    few = big.count()
+    if few:
+        rows = rows.join(F.broadcast(big) if few <= BROADCAST_NODES else big, "node", "left")
+        down = []
+        for width in sorted({w for _, w in _blocks(64, budget + 1)}):
+            for i, (o, w) in enumerate(_blocks(64 - width, budget + 1)):
+                down.append((width, i, _rotated(F.col("key"), o, w, width), width + w))
+        nest = F.array(F.struct(F.col("node"), F.col("depth"), F.col("key")))
+        for width in sorted({x[0] for x in down}):
+            parts = F.array(*[F.struct(F.xxhash64("node", F.lit(i), F.shiftrightunsigned(k, 64 - d)).alias("node"), F.lit(d).alias("depth"), k.alias("key")) for w, i, k, d in down if w == width])
+            nest = F.when(F.col("big") & (F.col("depth") == width), parts).otherwise(nest)
+        rows = rows.select("id", F.explode(nest).alias("s")).select("s.node", "s.depth", "s.key", "id")
+    return map_arrow(rows.repartition("node").sortWithinPartitions("node"), _walk_nodes(budget), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = 2, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -267,7 +275,7 @@ def near_duplicates(docs: DataFrame, max_bits: int = 2, shingle: int = 3, id_col
     """
     rows = stored(fingerprints(docs, id_col, text_col, shingle), "simhash")
     heads = stored(rows.groupBy("print").agg(F.min("id").alias("head")), "heads")
-    roots = connected_components(trie_links(heads.select(F.col("print").alias("id"), F.col("print").alias("key0")), max_bits, ["key0"]))
+    roots = connected_components(trie_links(heads.select(F.col("print").alias("id"), F.col("print").alias("key")), max_bits))
     classes = heads.join(roots.withColumnRenamed("v", "print"), "print", "left").select("print", "head", F.coalesce("root", "print").alias("root"))
     classes = stored(classes, "classes")
     least = classes.groupBy("root").agg(F.min("head").alias("component"))
@@ -275,12 +283,14 @@ def near_duplicates(docs: DataFrame, max_bits: int = 2, shingle: int = 3, id_col
     return rows.join(of, "print").select("id", "print", "component")
 
 
-#: SimHashes of the word set that give candidates, and the bits in which one of them may differ.
-KEYS, KEY_BITS = 12, 3
+#: Bits in which the SimHashes of two candidates may differ.
+KEY_BITS = 3
 #: Minima in a MinHash band; share of the pairs at the similarity itself that may share no band.
 BAND_ROWS, MISSED = 5, 1e-3
 #: Low bits of a shingle's hash that the first look at a pair goes by; documents looked at together.
 LOW_BITS, TOGETHER = 20, 1024
+#: Documents that one comparison holds in memory.
+GROUP = 512
 
 
 def bands_for(similarity: float) -> int:
@@ -303,27 +313,28 @@ def band_keys(h: np.ndarray, bands: int) -> np.ndarray:
 
 
 def _sketches(shingle: int, bands: int):
-    """(id, digest of the shingle set, SimHashes of the word set, band keys, 32-bit hashes of the shingle set)."""
+    """(id, text's hash, digest of the shingle set, its SimHash, its band keys, 32-bit hashes of its members)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            same, keys, keyed, sets = [], [], [], []
-            for text in b.column(1).to_pylist():
-                w = text.lower().split()
-                h = np.unique(hashes(shingles(w, shingle)))
+            same, prints, keyed, sets = [], [], [], []
+            for text in b.column(2).to_pylist():
+                h = np.unique(hashes(shingles(text.lower().split(), shingle)))
                 same.append(xxhash.xxh3_128_digest(h.tobytes()))
-                keys.append(majority(hashes(list(dict.fromkeys(w))), KEYS).tobytes())
+                prints.append(majority(h).tobytes())
                 keyed.append(band_keys(h, bands).view(np.int64) if len(h) else None)
                 sets.append(np.unique((h >> np.uint64(32)).astype(np.uint32)).tobytes())
-            yield pa.record_batch([b.column(0), pa.array(same, pa.binary()), pa.array(keys, pa.binary()), pa.array(keyed, pa.list_(pa.int64())), pa.array(sets, pa.binary())], ["id", "same", "keys", "bands", "shingles"])
+            prints = pa.array(np.frombuffer(b"".join(prints), np.int64))
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(same, pa.binary()), prints, pa.array(keyed, pa.list_(pa.int64())), pa.array(sets, pa.binary())], ["id", "hash", "same", "print", "bands", "shingles"])
 
     return run
 
 
-def confirmed(sets: list[np.ndarray], similarity: float) -> np.ndarray:
-    """For each of some distinct sets the first one reachable over pairs with at least that Jaccard similarity.
+def confirmed(sets: list[np.ndarray], similarity: float, queries: int | None = None, comp: np.ndarray | None = None) -> np.ndarray:
+    """For each of some sets the first one reachable over pairs with at least that Jaccard similarity.
 
-    All pairs are held against each other but those that are linked already.
+    The first ``queries`` sets (default: all) are held against all after them, but for those that are
+    linked already; sets of one ``comp`` are from the start.
     """
     n = len(sets)
     size = np.array([len(x) for x in sets], np.int64)
@@ -332,7 +343,10 @@ def confirmed(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     low = (np.concatenate(sets) if n else np.zeros(0, np.uint32)) & np.uint32((1 << LOW_BITS) - 1)
     table = np.zeros(1 << LOW_BITS, bool)
     forest = Forest(n)
-    for i in range(n - 1):
+    if comp is not None:
+        _, first, which = np.unique(comp, return_index=True, return_inverse=True)
+        forest.unite(np.arange(n), first[which])
+    for i in range(min(n - 1, n if queries is None else queries)):
         root = forest.roots(np.arange(n))
         rest = np.arange(i + 1, n)
         rest = rest[(root[rest] != root[i]) & (np.minimum(size[rest], size[i]) >= similarity * np.maximum(size[rest], size[i]))]
@@ -355,49 +369,125 @@ def confirmed(sets: list[np.ndarray], similarity: float) -> np.ndarray:
 
 
 def _confirmed(similarity: float):
-    """Rows (bucket, id, shingles) sorted by bucket -> links (a, b) between ids of a bucket."""
+    """Rows (bucket, other, comp, v, shingles) sorted by bucket, those that aren't ``other`` first -> links (a, b) of a bucket."""
+
+    def links(held: list[tuple]) -> pa.RecordBatch:
+        v, comp = (np.array([x[k] for x in held], np.int64) for k in (2, 1))
+        root = confirmed([np.frombuffer(x[3], np.uint32) for x in held], similarity, sum(not x[0] for x in held), comp)
+        tied = comp[root] != comp
+        pairs = np.unique(np.stack([comp[tied], comp[root[tied]]], 1), axis=0)
+        return pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(held: dict[tuple[int, bytes], None]) -> pa.RecordBatch:
-            own = sorted(held)
-            ids = np.array([x[0] for x in own], np.int64)
-            root = confirmed([np.frombuffer(x[1], np.uint32) for x in own], similarity)
-            tied = ids[root] != ids
-            return pa.record_batch([pa.array(ids[tied]), pa.array(ids[root[tied]])], ["a", "b"])
-
-        bucket, held = None, {}
+        bucket, held = None, []
         for b in batches:
-            for name, i, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for name, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if name != bucket:
                     if len(held) > 1:
                         yield links(held)
-                    bucket, held = name, {}
-                held[i, raw] = None
+                    bucket, held = name, []
+                held.append(tuple(row))
         if len(held) > 1:
             yield links(held)
 
     return run
 
 
-def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, component)``: near-duplicates by Jaccard similarity of the ``shingle``-word shingle sets.
+def _links(asked: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links between the ``comp`` of confirmed pairs of ``asked(bucket, other, comp, v)``."""
+    rows = asked.join(sets, "v").select("bucket", "other", "comp", "v", "shingles")
+    rows = rows.repartition("bucket").sortWithinPartitions("bucket", "other", "v")
+    return map_arrow(rows, _confirmed(similarity), "a long, b long")
+
+
+def _parts(n) -> Column:
+    return F.ceil(n / F.lit(GROUP)).cast("int")
+
 
-    Candidates share a MinHash band of the shingles, as many bands as the similarity asks for, or
-    are linked by the trie self-joins of twelve 64-bit SimHashes of the word set within 3 bits. Each
-    link is then confirmed on the shingle sets themselves (32-bit hashes), which are joined by id.
-    Null ids are left out; of repeated ids the rows share one component.
+def _dealt(parts, *more) -> Column:
+    return F.pmod(F.xxhash64("v", *more), parts).cast("int")
+
+
+def _every(parts) -> Column:
+    return F.explode(F.sequence(F.lit(0), parts - 1))
+
+
+def _first_looks(candidates: DataFrame, group: DataFrame) -> DataFrame:
+    """What to compare first: groups of candidates that fit one task, all with all; in larger ones the first of each bucket with the others."""
+    n = group.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
+    group = group.join(n, "group")
+    small = group.where(F.col("n") <= GROUP).select(F.xxhash64("group").alias("bucket"), F.lit(False).alias("other"), F.col("v").alias("comp"), "v")
+    star = candidates.join(group.where(F.col("n") > GROUP).select("v"), "v").where("v <> first").select("first", "v").distinct()
+    many = star.groupBy("first").agg(_parts(F.count(F.lit(1))).alias("parts"))
+    others = star.join(many, "first").select(F.xxhash64("first", _dealt(F.col("parts"))).alias("bucket"), F.lit(True).alias("other"), F.col("v").alias("comp"), "v")
+    firsts = many.select("first", _every(F.col("parts")).alias("part")).select(F.xxhash64("first", "part").alias("bucket"), F.lit(False).alias("other"), F.col("first").alias("comp"), F.col("first").alias("v"))
+    return small.unionByName(others).unionByName(firsts)
+
+
+def _second_looks(candidates: DataFrame, comp: DataFrame) -> DataFrame:
+    """What to compare then: in each bucket that is not one component yet, all outside its largest one with all of another.
+
+    Buckets of the same members are one. Both sides are dealt out in parts.
+    """
+    rows = candidates.select("bucket", "v").distinct().join(comp, "v")
+    own = rows.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum(F.shiftright(F.xxhash64("v"), 32)).alias("x"), F.bit_xor(F.xxhash64("v", F.lit(1))).alias("y"))
+    open_ = own.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"), F.sum("x").alias("x"), F.bit_xor("y").alias("y")).where("main.n < n")
+    open_ = open_.groupBy("n", "x", "y").agg(F.min(F.struct("bucket", F.col("main.comp").alias("main"), (F.col("n") - F.col("main.n")).alias("outside"))).alias("b"))
+    open_ = open_.select("b.bucket", "b.main", _parts(F.col("n")).alias("parts"), _parts(F.col("b.outside")).alias("blocks"))
+    rows = rows.join(open_, "bucket")
+    outside = rows.where("comp <> main").withColumn("block", _dealt(F.col("blocks"), F.lit(2))).withColumn("part", _every(F.col("parts")))
+    every = rows.withColumn("part", _dealt(F.col("parts"))).withColumn("block", _every(F.col("blocks")))
+    task = F.xxhash64("bucket", "part", "block").alias("bucket")
+    return outside.select(task, F.lit(False).alias("other"), "comp", "v").unionByName(every.select(task, F.lit(True).alias("other"), "comp", "v"))
+
+
+def _with_roots(roots: DataFrame, name: str) -> DataFrame:
+    """``(v, name)`` of all vertices of a forest, roots included."""
+    return roots.select("v", F.col("root").alias(name)).unionByName(roots.select(F.col("root").alias("v"), F.col("root").alias(name)).distinct())
+
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, hash, component, kept)`` of each row: near-duplicates by Jaccard similarity of the ``shingle``-word shingle sets.
+
+    Candidates are linked by the trie self-join of the SimHashes within 3 bits, or share a MinHash
+    band of the shingles, as many bands as the similarity asks for. Links between them are confirmed
+    on the shingle sets themselves (32-bit hashes): groups of candidates that fit one task are
+    compared all with all. In larger ones, each bucket's first member is compared with the others,
+    and then, in each bucket that is still several components, those outside its largest with all
+    the others, in parts of bounded size.
+
+    ``hash`` is the text's xxhash64; ``component`` the smallest id of the group; ``kept`` is true for
+    one of the group's texts, that of ``component`` (of several texts of that id, the one of the least
+    hash). Null and empty texts, which have no shingles, are one group; null ids are left out; rows of
+    one id and different texts are rows of their own; repeated rows come back repeated.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")).where("id is not null")
-    rows = stored(map_arrow(rows, _sketches(shingle, bands_for(similarity)), "id long, same binary, keys binary, bands array<long>, shingles binary"), "sketches")
-    heads = rows.groupBy("same").agg(F.min(F.struct("id", "keys", "bands")).alias("head")).select("same", "head.*")
-    key = lambda i: F.conv(F.hex(F.substring("keys", 8 * i + 1, 8)), 16, -10).cast("long").alias(f"k{i}")
-    heads = stored(heads.select("id", "same", "bands", *[key(i) for i in range(KEYS)]), "heads")
-    near = trie_links(heads.drop("same", "bands"), KEY_BITS, [f"k{i}" for i in range(KEYS)]).distinct()
-    near = near.select(F.xxhash64("a", "b").alias("bucket"), F.explode(F.array("a", "b")).alias("id"))
-    banded = heads.select(F.explode("bands").alias("bucket"), "id")
-    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    pairs = stored(banded.join(shared, "bucket").unionByName(near), "candidates")
-    held = pairs.join(rows.select("id", "shingles"), "id").select("bucket", "id", "shingles")
-    roots = connected_components(map_arrow(held.repartition("bucket").sortWithinPartitions("bucket"), _confirmed(similarity), "a long, b long"))
-    of = stored(heads.select("id", "same").join(roots.withColumnRenamed("v", "id"), "id", "left").select("same", F.coalesce("root", "id").alias("component")), "class")
-    return rows.select("id", "same").join(of, "same").select("id", "component")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("hash"), text.cast("binary").alias("text")).where("id is not null")
+    rows = stored(map_arrow(rows, _sketches(shingle, bands_for(similarity)), "id long, hash long, same binary, print long, bands array<long>, shingles binary"), "sketches")
+    heads = rows.groupBy("same").agg(F.min(F.struct("id", "hash", "print", "bands")).alias("head")).select(F.monotonically_increasing_id().alias("v"), "same", "head.*")
+    heads = stored(heads, "heads")
+    equal = F.array(F.xxhash64("print", F.lit("print")))
+    banded = heads.where("bands is not null").select("v", F.explode(F.concat("bands", equal)).alias("bucket"))
+    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("first")).where("n > 1").select("bucket", "first")
+    prints = heads.where("bands is not null").groupBy(F.col("print").alias("key")).agg(F.min("v").alias("id"))
+    near = trie_links(prints, KEY_BITS).distinct()
+    near = near.select(F.xxhash64("a", "b").alias("bucket"), F.least("a", "b").alias("first"), F.explode(F.array("a", "b")).alias("v"))
+    candidates = stored(banded.join(shared, "bucket").select("bucket", "first", "v").unionByName(near), "candidates")
+    group = stored(_with_roots(connected_components(candidates.where("v <> first").select(F.col("first").alias("a"), F.col("v").alias("b"))), "group"), "candidate-groups")
+    asked = heads.select("v", "id", "hash", "same").join(group.select("v"), "v")
+    texts = stored(rows.select("id", "hash", "same", "shingles").join(asked, ["id", "hash", "same"]).groupBy("v").agg(F.min("shingles").alias("shingles")), "sets")
+    ids = stored(rows.select("id", "hash", "same"), "ids")
+    release(rows)
+    links = stored(_links(_first_looks(candidates, group), texts, similarity), "links")
+    roots = connected_components(links)
+    if not group.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP).isEmpty():
+        comp = group.select("v").join(roots, "v", "left").select("v", F.coalesce("root", "v").alias("comp"))
+        large = group.join(group.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP), "group", "left_semi")
+        comp = stored(comp.join(large, "v", "left_semi"), "components")
+        more = _links(_second_looks(candidates, comp), texts, similarity)
+        roots = connected_components(links.unionByName(more))
+    of = heads.select("v", "id", "hash", "same").join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
+    of = stored(of, "class")
+    best = of.groupBy("root").agg(F.min(F.struct("id", "hash", "same")).alias("best"))
+    of = stored(of.join(best, "root").select("same", F.col("best.id").alias("component"), F.col("best.hash").alias("__hash")), "class")
+    return ids.join(of, "same").select("id", "hash", "component", ((F.col("id") == F.col("component")) & (F.col("hash") == F.col("__hash"))).alias("kept"))

@@ -54,8 +54,8 @@ def test_trie_join_finds_every_link(spark, budget, limit, monkeypatch):
                 k ^= 1 << int(bit)
             keys.append(k)
     keys = np.unique(np.array(keys, np.uint64))
-    df = spark.createDataFrame([(i, int(k)) for i, k in enumerate(keys.view(np.int64))], "id long, key0 long")
-    links = [(r.a, r.b) for r in simhash.trie_links(df, budget, ["key0"]).collect()]
+    df = spark.createDataFrame([(i, int(k)) for i, k in enumerate(keys.view(np.int64))], "id long, key long")
+    links = [(r.a, r.b) for r in simhash.trie_links(df, budget).collect()]
     i, j = np.nonzero(np.triu(np.bitwise_count(keys[:, None] ^ keys[None, :]) <= budget, 1))
     assert roots(len(keys), links) == roots(len(keys), zip(i.tolist(), j.tolist(), strict=True))
 
@@ -97,11 +97,45 @@ def test_similar_documents(spark):
             for at in rng.sample(range(len(copy)), max(1, len(copy) // 150)):
                 copy[at] = word()
             docs.append((10 * k + 1 + c, " ".join(copy)))
-    got = {r.id: r.component for r in simhash.similar_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    rows = simhash.similar_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    got = {r.id: r.component for r in rows}
     assert all(got[i] // 10 == i // 10 for i in got)
     assert sum(got[i] == i // 10 * 10 for i in got) >= 0.98 * len(got)
-    odd = spark.createDataFrame([(1, None), (2, ""), (3, "a"), (3, "a"), (None, "a")], "doc_id long, text string")
-    assert sorted((r.id, r.component) for r in simhash.similar_documents(odd).collect()) == [(1, 1), (2, 1), (3, 3), (3, 3)]
+    assert all(r.kept == (r.id == r.component) for r in rows)
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "a"), (3, "a"), (3, "b"), (None, "a")], "doc_id long, text string")
+    assert sorted((r.id, r.component, r.kept) for r in simhash.similar_documents(odd).collect()) == [(1, 1, True), (2, 1, False), (3, 3, True), (3, 3, True), (3, 3, True)]
+    assert simhash.similar_documents(odd.limit(0)).count() == 0
+
+
+def jaccard_components(texts):
+    parts = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := t.lower().split()) else set() for t in texts]
+    links = [(i, j) for i, a in enumerate(parts) for j, b in enumerate(parts[:i]) if (a or b) and len(a & b) >= 0.8 * len(a | b) or a == b]
+    return roots(len(texts), links)
+
+
+@pytest.mark.parametrize("limit", [512, 4])
+def test_similar_groups_of_any_size(spark, limit, monkeypatch):
+    """Groups larger than a task's share give the same components: chains of edits, near copies, and look-alikes that are none."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    texts = []
+    for _ in range(4):
+        text = [word() for _ in range(120)]
+        for _ in range(25):  # each is near the one before
+            text = list(text)
+            text[rng.randrange(120)] = word()
+            texts.append(" ".join(text))
+        texts += [" ".join(text[:75] + [word() for _ in range(45)]) for _ in range(12)]  # share a passage, similarity 0.45
+    monkeypatch.setattr(simhash, "GROUP", limit)
+    got = {r.id: r.component for r in simhash.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == jaccard_components(texts)
+
+
+def test_equal_keys(spark):
+    """Many texts with one SimHash are one key of the walk."""
+    df = spark.range(50_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("x y "), F.repeat(F.lit("same words again "), 200), F.col("id").cast("string")).alias("text"))
+    found = simhash.near_duplicates(df.limit(20_000))
+    assert found.select("component").distinct().count() == 1 and found.count() == 20_000
 
 
 def edited(rng, least, most, word):
@@ -146,6 +180,10 @@ def test_confirmed():
     sets.append(np.zeros(0, np.uint32))
     near = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))]
     assert simhash.confirmed(sets, 0.8).tolist() == roots(len(sets), near)
+    some = [(i, j) for i, j in near if j < 20]
+    assert simhash.confirmed(sets, 0.8, 20).tolist() == roots(len(sets), some)
+    comp = np.arange(len(sets)) // 8 * 8
+    assert simhash.confirmed(sets, 0.8, 20, comp).tolist() == roots(len(sets), [*some, *enumerate(comp.tolist())])
 
 
 def slow_removed(texts, window):
