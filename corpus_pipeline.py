@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontam, packing, phrases, quality, simhash
-from tessera.llm.common import made, release, stored, sweep
+from tessera.llm.common import fresh, made, release, stored, sweep
 
 #: A document whose quality score is lower goes.
 LEAST_QUALITY = 0.5
@@ -30,16 +30,19 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word shingles, similarity 0.8) the document of the least id.
 
-    Of repeated rows of that id one stays; documents without an id are in no group and stay.
+    Different texts of one id are documents of their own; of repeated rows of an id and text one
+    stays; documents without an id are in no group and stay; an empty table gives no rows.
     """
-    found = stored(simhash.similar_documents(docs, similarity=0.8, shingle=5), "groups")
-    extra = found.where("id = component").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
-    gone = found.where("id <> component").select(F.col("id").alias("doc_id")).distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if extra.isEmpty():
-        return kept
-    again = kept.join(extra.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(extra.select(F.col("id").alias("doc_id")), "doc_id", "left_anti").unionByName(again).select(*docs.columns)
+    doc, hashed = fresh(docs.columns, "tessera_id", "tessera_hash")
+    found = stored(simhash.similar_documents(docs, similarity=0.8, shingle=5), "groups").select(F.col("id").alias(doc), F.col("hash").alias(hashed), "kept")
+    own = docs.withColumn(doc, F.col("doc_id").cast("long")).withColumn(hashed, F.xxhash64(F.coalesce("text", F.lit(""))))
+    gone = found.where("not kept").select(doc, hashed).distinct()
+    kept = own.join(gone, [doc, hashed], "left_anti")
+    again = stored(found.where("kept").groupBy(doc, hashed).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(doc, hashed), "repeated")
+    if again.isEmpty():
+        return kept.select(*docs.columns)
+    one = kept.join(again, [doc, hashed], "left_semi").groupBy(doc, hashed).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias(doc + "_row"))
+    return kept.join(again, [doc, hashed], "left_anti").select(*docs.columns).unionByName(one.select(doc + "_row.*"))
 
 
 def recurring_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
