@@ -1,18 +1,20 @@
 """Removal of recurring passages: windows of words that also occur elsewhere.
 
-Three passes over a stored copy of the texts, whose rows have a row id; nothing but hashes is shuffled.
+Three passes over a stored copy of the texts; only hashes and phrases are shuffled, never texts. Rows
+have a row id, and blocks of consecutive rows are the shards.
 
 1. Anchors. Of the 8-word phrases in a window the one with the least hash is its anchor, so equal
-   windows have equal anchors; about one phrase in fourteen is one. Each is emitted with a hash of its
-   context, all words that a window around it can reach. An anchor seen once is in no recurring
-   window. One seen in a single context confirms that whole context.
-2. Windows. Only around anchors with several contexts are windows themselves counted.
-3. Location. Confirmed passages go back to the shards of documents that they came from. Each shard
-   compiles the phrases of its passages to an Aho-Corasick automaton, streams its documents through
-   it, and keeps the hits whose context or window is confirmed.
-
-A shard's passages lie in one folder of the shared store for each part of the text table, which the
-part's tasks read themselves, so that texts are never shuffled.
+   windows have equal anchors; about one phrase in fourteen is one. Each block counts its anchors with
+   a hash of their context, all words that a window around one can reach. An anchor seen once is in no
+   recurring window. One seen in a single context confirms that whole context.
+2. Windows. Around anchors with several contexts, windows themselves are counted. The block in which
+   a confirmed anchor comes first also hands out its phrase, the text that stands there.
+3. Location. The phrases of confirmed passages go to the shards that need them. Each shard compiles
+   them to Aho-Corasick automata of bounded size and streams all its documents through them. Their
+   hits alone are the places looked at; what a hit's context or window has recur goes.
+
+A shard's phrases lie in the shared store, in one folder for each part of the text table and sorted by
+block, from which the part's tasks read them themselves.
 """
 
 from __future__ import annotations
@@ -28,9 +30,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_arrow, scratch, slices, stored
+from tessera.llm.common import fresh, map_arrow, scratch, slices, stored
 
 PHRASE = 8
+#: Rows of a block, as a power of two; blocks of a part; phrases of one automaton; anchors counted at once.
+BLOCK_BITS, PART_BITS = 12, 33 - 12
+MACHINE, COUNTED = 40_000, 1 << 20
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -141,171 +146,222 @@ def _long(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
+def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Slices whose rows, by the row id in the first column, lie in one block."""
+    for b in slices(batches):
+        block = b.column(0).to_numpy() >> BLOCK_BITS
+        cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)]
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            yield int(block[i]), b.slice(i, j - i)
+
+
+def _split(b: pa.RecordBatch) -> list[list[bytes]]:
+    return [(t or b"").split() for t in b.column(1).to_pylist()]
+
+
 def _anchors(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            rid = b.column(0).to_numpy()
-            words = Words([(t or b"").split() for t in b.column(1).to_pylist()], window)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        now, n = -1, 0
+
+        def counted() -> pa.RecordBatch:
+            (anchor, context), times = _counted(*(np.concatenate([h[k] for h in held]) for k in (0, 1)))
+            return pa.record_batch([pa.array(np.full(len(anchor), now)), _long(anchor), _long(context), pa.array(times.astype(np.int64))], ["block", "a", "ctx", "n"])
+
+        for block, b in by_block(batches):
+            if held and (block != now or n >= COUNTED):
+                yield counted()
+                held, n = [], 0
+            now = block
+            words = Words(_split(b), window)
             at, anchor = words.selected()
-            context = words.run(*words.context(at))
-            (row, anchor, context), n = _counted(rid[words.doc[at]], anchor, context)
-            yield pa.record_batch([_long(row), _long(anchor), _long(context), pa.array(n.astype(np.int64))], ["rid", "a", "ctx", "n"])
+            held.append((anchor, words.run(*words.context(at))))
+            n += len(anchor)
+        if held:
+            yield counted()
 
     return run
 
 
-def _side(path: str):
-    """Rows of a table written by part, of one part: {rid: (a, value) arrays}."""
-    have: dict[int, dict] = {}
+class _Side:
+    """Rows of a table written by part and sorted by block, a block at a time."""
+
+    def __init__(self, path: str, columns: list[str]):
+        self.path, self.columns, self.at, self.rows = path, columns, None, None
 
-    def of(part: int) -> dict:
-        if part not in have:
-            have.clear()
-            fs, at = pa.fs.FileSystem.from_uri(f"{path}/part={part}")
-            out: dict = {}
+    def of(self, block: int) -> pa.Table:
+        if self.at != block:
+            fs, at = pa.fs.FileSystem.from_uri(f"{self.path}/part={block >> PART_BITS}")
+            found = []
             if fs.get_file_info(at).type != pa.fs.FileType.NotFound:
-                found = [f for f in fs.get_file_info(pa.fs.FileSelector(at)) if f.base_name.endswith(".parquet")]
-                for f in found:
-                    t = pq.read_table(f.path, filesystem=fs, columns=["rid", "a", "v"], partitioning=None)
-                    rid, a, v = (t.column(c).to_numpy() for c in ("rid", "a", "v"))
-                    order = np.argsort(rid, kind="stable")
-                    rid, a, v = rid[order], a[order].view(np.uint64), v[order].view(np.uint64)
-                    ids, first = np.unique(rid, return_index=True)
-                    for r, x, y in zip(ids.tolist(), first.tolist(), np.append(first[1:], len(rid)).tolist(), strict=True):
-                        old = out.get(r)
-                        out[r] = (a[x:y], v[x:y]) if old is None else (np.append(old[0], a[x:y]), np.append(old[1], v[x:y]))
-            have[part] = out
-        return have[part]
-
-    return of
-
-
-def _windows(window: int, mixed: str):
+                for f in fs.get_file_info(pa.fs.FileSelector(at)):
+                    if f.base_name.endswith(".parquet"):
+                        found.append(pq.read_table(f.path, filesystem=fs, columns=self.columns, partitioning=None, filters=[("block", "=", block)]))
+            self.at, self.rows = block, pa.concat_tables(found) if found else None
+        return self.rows
+
+    def hashes(self, block: int, name: str, where: str | None = None) -> np.ndarray:
+        """Distinct values of a column, of the rows in which another one is true."""
+        rows = self.of(block)
+        if rows is None:
+            return np.zeros(0, np.uint64)
+        return np.unique((rows if where is None else rows.filter(rows.column(where))).column(name).to_numpy().view(np.uint64))
+
+
+def _windows(window: int, asked: str):
+    """(block, a, w, n): windows around anchors of several contexts; (block, a, phrase): the phrases that a block hands out."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        side = _side(mixed)
-        for b in slices(batches):
-            rids, wanted, docs, own = b.column(0).to_pylist(), [], [], []
-            for i, r in enumerate(rids):
-                if (got := side(r >> 33).get(r)) is not None:
-                    wanted.append(got[0])
-                    docs.append((b.column(1)[i].as_py() or b"").split())
-                    own.append(r)
-            if not docs:
+        side = _Side(asked, ["a", "mixed", "own"])
+        now, mixed, own = -1, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        for block, b in by_block(batches):
+            if block != now:
+                now, mixed, own = block, side.hashes(block, "a", "mixed"), side.hashes(block, "a", "own")
+            if not len(mixed) and not len(own):
                 continue
+            docs = _split(b)
             words = Words(docs, window)
-            _, starts, least = words.anchors()
-            row = np.array(own)[words.doc[starts]]
-            keep = np.isin(least, np.concatenate(wanted))
-            starts, least, row = starts[keep], least[keep], row[keep]
-            (row, least, hashed), n = _counted(row, least, words.run(starts, starts + window))
-            yield pa.record_batch([_long(row), _long(least), _long(hashed), pa.array(n.astype(np.int64))], ["rid", "a", "w", "n"])
+            phrases, starts, least = words.anchors()
+            keep = np.isin(least, mixed)
+            (anchor, hashed), n = _counted(least[keep], words.run(starts[keep], starts[keep] + window))
+            at = np.flatnonzero(np.isin(phrases, own))
+            given, first = np.unique(phrases[at], return_index=True)
+            own = own[~np.isin(own, given)]
+            text = []
+            for p in at[first].tolist():
+                doc = int(words.doc[p])
+                k = p - int(words.begin[doc])
+                text.append(b" ".join(docs[doc][k : k + PHRASE]))
+            a = pa.array(np.concatenate([anchor, given]).view(np.int64))
+            few, many = len(given), len(anchor)
+            yield pa.record_batch([pa.array(np.full(many + few, block)), a, pa.concat_arrays([_long(hashed), pa.nulls(few, pa.int64())]), pa.concat_arrays([pa.array(n.astype(np.int64)), pa.nulls(few, pa.int64())]), pa.concat_arrays([pa.nulls(many, pa.binary()), pa.array(text, pa.binary())])], ["block", "a", "w", "n", "phrase"])
 
     return run
 
 
-def _located(words: Words, texts: list[list[bytes]], anchors: np.ndarray) -> np.ndarray:
-    """Positions at which a phrase with one of these hashes stands, found by an automaton of the phrases."""
-    phrases = words.phrases()
-    machine = ahocorasick.Automaton()
-    where = np.flatnonzero(np.isin(phrases, anchors))
-    _, first = np.unique(phrases[where], return_index=True)
-    for at in where[first].tolist():
-        doc = int(words.doc[at])
-        k = at - int(words.begin[doc])
-        machine.add_word(b" ".join([b"", *texts[doc][k : k + PHRASE], b""]).decode("utf-8", "surrogateescape"), PHRASE)
-    if not len(first):
-        return where
-    machine.make_automaton()
-    hits: list[np.ndarray] = []
-    for doc, own in enumerate(texts):
-        if len(own) < words.window:
-            continue
-        line = b" ".join([b"", *own, b""]).decode("utf-8", "surrogateescape")
-        ends = [end for end, _ in machine.iter(line)]
-        if ends:
-            blanks = np.cumsum([len(w) + 1 for w in line[1:-1].split(" ")])  # place of the blank after each word
-            hits.append(np.searchsorted(blanks, np.unique(ends)) - (PHRASE - 1) + words.begin[doc])
-    return np.concatenate(hits) if hits else where[:0]
-
-
-def _removed(window: int, whole: str, confirmed: str, original: bool):
+class _Shard:
+    """The automata of a shard's phrases, what confirms their hits, and its documents' places."""
+
+    def __init__(self, phrases: _Side, confirmed: _Side, block: int, window: int):
+        self.window = window
+        rows = phrases.of(block)
+        self.machines, self.context, self.whole = [], np.zeros(0, np.uint64), np.zeros(0, bool)
+        self.windows = np.zeros(0, np.uint64)
+        if rows is None:
+            return
+        context = rows.column("v")
+        self.whole = context.is_valid().to_numpy()
+        self.context = context.fill_null(0).to_numpy().view(np.uint64)
+        text = rows.column("phrase").to_pylist()
+        for at in range(0, len(text), MACHINE):
+            machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+            for k, t in enumerate(text[at : at + MACHINE], at):
+                machine.add_word(f" {t.decode('latin-1')} ", k)  # a letter a byte
+            machine.make_automaton()
+            self.machines.append(machine)
+        if (own := confirmed.of(block)) is not None:
+            self.windows = np.unique(pair(*(own.column(c).to_numpy().view(np.uint64) for c in ("a", "v"))))
+
+    def located(self, docs: list[list[bytes]]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """{document: (word at which a phrase stands, which phrase)} of those with hits."""
+        out = {}
+        for doc, own in enumerate(docs):
+            if len(own) < self.window:
+                continue
+            line = f" {b' '.join(own).decode('latin-1')} "
+            hits = [hit for machine in self.machines for hit in machine.iter(line)]
+            if hits:
+                ends, which = np.array(hits, np.int64).T
+                blanks = np.cumsum([len(w) + 1 for w in own])  # place of the blank after each word
+                out[doc] = (np.searchsorted(blanks, ends) - (PHRASE - 1), which)
+        return out
+
+    def dropped(self, docs: list[list[bytes]]) -> dict[int, np.ndarray]:
+        """{document: whether each of its words goes} of those that lose any."""
+        found = self.located(docs) if self.machines else {}
+        if not found:
+            return {}
+        words = Words([docs[i] for i in found], self.window)
+        at = np.concatenate([p + words.begin[k] for k, (p, _) in enumerate(found.values())])
+        which = np.concatenate([x for _, x in found.values()])
+        change = np.zeros(words.n + 1, np.int64)
+        whole = self.whole[which]
+        lo, hi = words.context(at[whole])
+        ok = (words.run(lo, hi) == self.context[which[whole]]) & (hi - lo >= self.window)
+        np.add.at(change, lo[ok], 1)
+        np.add.at(change, hi[ok], -1)
+        if not whole.all():
+            _, starts, least = words.anchors()
+            near = np.zeros(words.n + 1, np.int64)
+            np.add.at(near, np.maximum(0, at[~whole] - (self.window - PHRASE)), 1)
+            np.add.at(near, at[~whole] + 1, -1)
+            keep = np.cumsum(near)[starts] > 0
+            starts, least = starts[keep], least[keep]
+            ok = np.isin(pair(least, words.run(starts, starts + self.window)), self.windows)
+            np.add.at(change, starts[ok], 1)
+            np.add.at(change, starts[ok] + self.window, -1)
+        drop = np.cumsum(change)[:-1] > 0
+        cut = {i: drop[words.begin[k] : words.end[k]] for k, i in enumerate(found)}
+        return {i: own for i, own in cut.items() if own.any()}
+
+
+def _removed(window: int, phrases: str, confirmed: str, original: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_context, by_window = _side(whole), _side(confirmed)
-        for b in slices(batches):
-            rids, raw = b.column(0).to_pylist(), b.column(1).to_pylist()
-            docs = [(t or b"").split() for t in raw]
-            gone = [0] * len(docs)
-            sides = [(by_context(r >> 33).get(r), by_window(r >> 33).get(r)) for r in rids]
-            open_ = [i for i, s in enumerate(sides) if s[0] is not None or s[1] is not None]
-            kept = docs
-            if open_:
-                texts = [docs[i] for i in open_]
-                words = Words(texts, window)
-                every = [s for i in open_ for s in sides[i] if s is not None]
-                at = _located(words, texts, np.unique(np.concatenate([s[0] for s in every])))
-                change = np.zeros(words.n + 1, np.int64)
-                contexts = [sides[i][0] for i in open_ if sides[i][0] is not None]
-                if contexts:
-                    lo, hi = words.context(at)
-                    ok = np.isin(pair(words.phrases()[at], words.run(lo, hi)), pair(np.concatenate([c[0] for c in contexts]), np.concatenate([c[1] for c in contexts]))) & (hi - lo >= window)
-                    np.add.at(change, lo[ok], 1)
-                    np.add.at(change, hi[ok], -1)
-                counted = [sides[i][1] for i in open_ if sides[i][1] is not None]
-                if counted:
-                    _, starts, least = words.anchors()
-                    near = np.zeros(words.n + 1, np.int64)
-                    np.add.at(near, np.maximum(0, at - (window - PHRASE)), 1)
-                    np.add.at(near, at + 1, -1)
-                    keep = np.cumsum(near)[starts] > 0
-                    starts, least = starts[keep], least[keep]
-                    ok = np.isin(pair(least, words.run(starts, starts + window)), pair(np.concatenate([c[0] for c in counted]), np.concatenate([c[1] for c in counted])))
-                    np.add.at(change, starts[ok], 1)
-                    np.add.at(change, starts[ok] + window, -1)
-                drop = np.cumsum(change)[:-1] > 0
-                kept = list(docs)
-                for k, i in enumerate(open_):
-                    own = drop[words.begin[k] : words.end[k]]
-                    if own.any():
-                        gone[i] = int(own.sum())
-                        kept[i] = [w for w, x in zip(docs[i], own.tolist(), strict=True) if not x]
+        sides = _Side(phrases, ["phrase", "v"]), _Side(confirmed, ["a", "v"])
+        now, shard = -1, None
+        for block, b in by_block(batches):
+            if block != now:
+                now, shard = block, _Shard(*sides, block, window)
+            raw, docs = b.column(1).to_pylist(), _split(b)
+            gone, kept = [0] * len(docs), list(docs)
+            for i, own in shard.dropped(docs).items():
+                gone[i] = int(own.sum())
+                kept[i] = [w for w, x in zip(docs[i], own.tolist(), strict=True) if not x]
             out = [t if original and not g else b" ".join(w) for t, w, g in zip(raw, kept, gone, strict=True)]
-            yield pa.record_batch([*b.columns[2:], pa.array([len(d) for d in docs], pa.int64()), pa.array(gone, pa.int64()), pa.array(out, pa.binary())], [*b.schema.names[2:], "n_words", "n_removed", "kept"])
+            yield pa.record_batch([*b.columns[2:], pa.array([len(d) for d in docs], pa.int64()), pa.array(gone, pa.int64()), pa.array(out, pa.binary())], [*b.schema.names[2:], *NEW])
 
     return run
 
 
 def _by_part(df: DataFrame, name: str) -> str:
-    """Write rows of (rid, a, v) into a folder for each part of the text table."""
+    """Write rows with a ``block`` into a folder for each part of the text table, sorted by block."""
     path = scratch(df.sparkSession, name)
-    df = df.withColumn("part", F.shiftright("rid", 33))
-    df.repartition("part").write.option("compression", "zstd").partitionBy("part").parquet(path)
+    df = df.withColumn("part", F.shiftright("block", PART_BITS))
+    df = df.repartition("part").sortWithinPartitions("part", "block")
+    df.write.option("compression", "zstd").option("parquet.block.size", 8 << 20).partitionBy("part").parquet(path)
     return path
 
 
-def without_recurring(docs: DataFrame, text_col: str = "text", window: int = 35, carry: tuple[str, ...] = ("doc_id",), original: bool = False) -> DataFrame:
+NEW = ("n_words", "n_removed", "kept")
+
+
+def without_recurring(docs: DataFrame, text_col: str = "text", window: int = 35, carry: tuple[str, ...] = ("doc_id",), original: bool = False, new: tuple[str, str, str] = NEW) -> DataFrame:
     """``(*carry, n_words, n_removed, kept)``: each text without the words of recurring windows.
 
     Words are runs of anything but the six ASCII blanks. A word goes if a window of ``window`` words
     over it also starts anywhere else, in the same text or another; windows are judged on the input.
     ``kept`` has the kept words with single blanks, or with ``original`` the text as it was if no word
-    went. Null is as empty text (null with ``original``); texts shorter than a window lose nothing;
-    of repeated rows each is another text. ``carry`` names must not be those of the new columns.
+    went. Null is as empty text (null with ``original``); texts shorter than a window lose nothing; an
+    empty table gives no rows; of repeated rows each is another text, so that they lose all their
+    windows. ``carry`` columns may have any names; ``new`` renames the three columns where one clashes.
     """
     assert window >= PHRASE
-    spark = docs.sparkSession
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(text_col).cast("binary").alias("bytes"), *carry)
+    inner = fresh(list(NEW), *[f"c{i}" for i in range(len(carry))])
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(text_col).cast("binary").alias("bytes"), *[F.col(c).alias(i) for c, i in zip(carry, inner, strict=True)])
     rows = stored(rows, "texts")
     only = rows.select("rid", "bytes")
-    anchors = stored(map_arrow(only, _anchors(window), "rid long, a long, ctx long, n long"), "anchors")
-    known = anchors.groupBy("a").agg(F.sum("n").alias("n"), F.min("ctx").alias("lo"), F.max("ctx").alias("hi")).where("n > 1")
-    known = known.select("a", (F.col("lo") == F.col("hi")).alias("whole"))
-    back = stored(anchors.select("rid", "a", F.col("ctx").alias("v")).join(known, "a"), "recurring")
-    whole = _by_part(back.where("whole").select("rid", "a", "v"), "contexts")
-    mixed = _by_part(back.where("not whole").select("rid", "a", "v"), "mixed")
-    windows = stored(map_arrow(only, _windows(window, mixed), "rid long, a long, w long, n long"), "windows")
+    anchors = stored(map_arrow(only, _anchors(window), "block long, a long, ctx long, n long"), "anchors")
+    known = anchors.groupBy("a").agg(F.sum("n").alias("n"), F.min("ctx").alias("lo"), F.max("ctx").alias("hi"), F.min("block").alias("first")).where("n > 1")
+    known = known.select("a", (F.col("lo") != F.col("hi")).alias("mixed"), "first")
+    back = stored(anchors.select("block", "a", "ctx").join(known, "a").select("block", "a", "ctx", "mixed", (F.col("block") == F.col("first")).alias("own")), "recurring")
+    asked = _by_part(back.where("mixed or own").select("block", "a", "mixed", "own"), "asked")
+    looked = stored(map_arrow(only, _windows(window, asked), "block long, a long, w long, n long, phrase binary"), "windows")
+    windows = looked.where("w is not null")
     often = windows.groupBy("a", "w").agg(F.sum("n").alias("n")).where("n > 1").select("a", "w")
-    confirmed = _by_part(windows.join(often, ["a", "w"]).select("rid", "a", F.col("w").alias("v")), "confirmed")
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    schema = ", ".join([f"`{c}` {kinds[c]}" for c in carry] + ["n_words long", "n_removed long", "kept binary"])
-    out = map_arrow(rows, _removed(window, whole, confirmed, original), schema)
-    return out.select(*carry, "n_words", "n_removed", F.col("kept").cast("string").alias("kept"))
+    confirmed = stored(windows.join(often, ["a", "w"]).select("block", "a", F.col("w").alias("v")), "confirmed")
+    needs = back.where("not mixed").select("block", "a", F.col("ctx").alias("v"))
+    needs = needs.unionByName(confirmed.select("block", "a", F.lit(None).cast("long").alias("v")).distinct())
+    phrases = looked.where("phrase is not null").select("a", "phrase")
+    phrases = _by_part(needs.join(phrases, "a").select("block", "phrase", "v"), "phrases")
+    out = map_arrow(rows, _removed(window, phrases, _by_part(confirmed, "confirmed-by-part"), original), ", ".join([f"{i} {rows.schema[i].dataType.simpleString()}" for i in inner] + ["n_words long, n_removed long, kept binary"]))
+    return out.select(*[F.col(i).alias(c) for c, i in zip(carry, inner, strict=True)], F.col("n_words").alias(new[0]), F.col("n_removed").alias(new[1]), F.col("kept").cast("string").alias(new[2]))

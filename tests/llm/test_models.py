@@ -75,13 +75,83 @@ def test_common_subsequence():
         assert decontam.common_subsequence(a, b) == slow_lcs(a, b)
 
 
-def test_latent_space():
-    rng = np.random.default_rng(1)
-    a = rng.standard_normal((300, 6)) @ rng.standard_normal((6, 40))
-    basis = rng.standard_normal((40, 10))
-    q, _ = np.linalg.qr(a.T @ (a @ basis))
-    small = q.T @ (a.T @ (a @ q))
-    assert np.allclose(np.sort(np.linalg.eigvalsh(small))[-6:], np.sort(np.linalg.svd(a)[1] ** 2)[-6:])
+def weighted_passages(texts, vocabulary, idf):
+    """TF-IDF rows of length one of all 64-word passages, by loops."""
+    rows = []
+    for t in texts:
+        words = [vocabulary.get(decontam.normal(w), 0) for w in t.split()]
+        for at in range(0, len(words), decontam.PASSAGE):
+            row = np.zeros(len(idf))
+            for w in words[at : at + decontam.PASSAGE]:
+                row[w] += 1
+            row = np.where(row > 0, 1 + np.log(np.maximum(row, 1)), 0) * idf
+            rows.append(row / max(1e-30, np.linalg.norm(row)))
+    return np.array(rows)
+
+
+def test_latent_space(spark, monkeypatch):
+    """The space from sums over partitions has numpy's leading singular vectors, whatever the tree of sums."""
+    monkeypatch.setattr(decontam, "FAN_IN", 2)
+    rng = random.Random(3)
+    topics = [[f"{chr(97 + k)}w{i}" for i in range(12)] for k in range(5)]
+    texts = [" ".join(rng.choice(topics[rng.randrange(5) if rng.random() < 0.1 else n % 5]) for _ in range(150)) for n in range(80)]
+    items = decontam.items_of([(k, " ".join(t), None) for k, t in enumerate(topics)])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    ids = stored(decontam.map_arrow(docs, decontam._numbered(items.vocabulary), "doc_id long, ids binary"), "numbered")
+    idf = decontam.weights(ids, items)
+    assert (idf[1:] > 0).all()
+    space = decontam.latent_space(ids, idf, rank=5)
+    _, _, right = np.linalg.svd(weighted_passages(texts, items.vocabulary, idf), full_matrices=False)
+    assert np.allclose(np.linalg.svd(space.T @ right[:5].T)[1], 1, atol=1e-3)  # the same subspace
+    assert np.allclose(space.T @ space, np.eye(5), atol=1e-8)
+
+
+def test_candidates_are_all_near_passages(spark):
+    """No passage that an exhaustive search puts at the least cosine is missed, and every leak by brute force comes out."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(3000)]
+    bench = [(k, " ".join(rng.choice(words[:900]) for _ in range(rng.randint(8, 60))), None) for k in range(40)]
+    texts = []
+    for n in range(150):
+        t = [rng.choice(words) for _ in range(rng.randint(0, 300))]
+        if n < 80:
+            own = [w if rng.random() < 0.7 else rng.choice(words) for w in bench[n % 40][1].split()]
+            at = rng.randint(0, len(t))
+            t[at:at] = own
+        texts.append(" ".join(t))
+    items = decontam.items_of(bench)
+    number = decontam._Numbers(items.vocabulary)
+    docs = [np.array([number[w] for w in t.split()], np.int64) for t in texts]
+    ids, sizes = np.concatenate(docs), np.array([len(d) for d in docs])
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=len(items.vocabulary) + 1)
+    idf = np.log(200 / (1 + df)) * (np.arange(len(df)) > 0)
+    space = np.linalg.qr(np.random.default_rng(1).standard_normal((len(idf), 8)))[0]
+    matcher = decontam._Matcher(items, idf, space)
+    got = {(int(d), int(s), int(i)) for d, s, i, _ in (x for c in matcher.candidates(decontam.Passages(ids, sizes, 0, idf > 0)) for x in zip(*c, strict=True))}
+    rows, place = weighted_passages(texts, items.vocabulary, idf), [(d, s) for d, n in enumerate(sizes) for s in range(0, n, decontam.PASSAGE)]
+    wide = np.zeros((len(bench), len(idf)))
+    for k, w in enumerate(items.words):
+        for x in set(w):
+            wide[k, x] = (1 + np.log(w.count(x))) * idf[x]
+    wide /= np.linalg.norm(wide, axis=1, keepdims=True)
+    a, b = rows @ space, wide @ space
+    latent = (a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-30)) @ (b / np.linalg.norm(b, axis=1, keepdims=True)).T
+    near = np.maximum(latent, rows @ wide.T)
+    assert {(*place[p], k) for p, k in zip(*np.nonzero(near >= decontam.COSINE + 1e-4), strict=True)} <= got
+    assert got <= {(*place[p], k) for p, k in zip(*np.nonzero(near >= decontam.COSINE - 1e-4), strict=True)}
+    found = set(matcher.leaks(ids, sizes))
+    slow = {(d, k) for d, t in enumerate(docs) for k, w in enumerate(items.words) if slow_lcs(w, t.tolist()) >= 0.75 * len(w)}
+    near_leaks = {(n, n % 40) for n in range(80)} & {(d, k) for d, t in enumerate(docs) for k, w in enumerate(items.words) if slow_lcs(w, t.tolist()) >= 0.62 * len(w)}
+    assert slow & near_leaks and len(near_leaks & found) >= 0.98 * len(near_leaks)
+
+
+def test_long_items(spark):
+    """More distinct words than 16 bits hold, in one item, and items of signs alone."""
+    long = " ".join(f"w{i}" for i in range(100_000))
+    bench = spark.createDataFrame([(1, long), (2, "..."), (3, None), (None, "w1 w2 w3"), (4, "one two three four five"), (4, "one two three four five")], "item_id long, text string")
+    docs = spark.createDataFrame([(7, "first " + long + " last"), (8, "zero one two three four five six"), (8, "zero one two three four five six"), (9, None)], "doc_id long, text string")
+    got = [(r.doc_id, r.item_id, r.common) for r in decontam.leaks(docs, bench).collect()]
+    assert sorted(got) == [(7, 1, 1.0)] + [(8, 4, 1.0)] * 4
 
 
 def test_leaks(spark):
