@@ -1,13 +1,14 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Documents become passages, passages TF-IDF vectors over the words of the benchmark, and a randomised
-SVD of all of them, run as sums over partitions, a latent space. A passage and an item near each
-other by cosine, there or by the TF-IDF vectors themselves, are a candidate, however the words are
-ordered or replaced; it counts as a leak
-if the item's longest common subsequence with the text around the passage is long enough and, where
-the benchmark has answers, the item's answer is there too.
-
-The benchmark is the query set: it is taken in blocks of items, each against all rows.
+SVD of all of them, run as sums over partitions, a latent space. A passage and an item near each other
+by cosine, there or by the TF-IDF vectors themselves, are a candidate, however the words are ordered
+or replaced; it counts as a leak if the item's longest common subsequence with the text around the
+passage is long enough and, where the benchmark has answers, the item's answer is there too.
+
+The benchmark is the query set: vocabulary, weights and latent space are of all items, and each
+passage is held against all items, in blocks. What is broadcast grows with the benchmark and not with
+the documents: about half a kilobyte for each of its distinct words.
 """
 
 from __future__ import annotations
@@ -25,17 +26,16 @@ from tessera.llm.common import map_arrow, slices, stored
 
 #: Words of a passage; latent dimensions, and those beyond them in the random range.
 PASSAGE, RANK, EXTRA = 64, 96, 16
-#: Bytes of numbered words (two a word) that are worked on at once.
-PORTION = 256 << 10
-#: Items of a block; words of a worker's cache; vocabulary rows in one partial sum.
-BLOCK, CACHE, ROWS = 1000, 300_000, 64
+#: Bytes of numbered words (four a word) that are worked on at once; passages and items of a matrix of cosines.
+PORTION, ROWS_AT_ONCE, ITEMS_AT_ONCE = 512 << 10, 4096, 1024
+#: Words of a worker's cache; vocabulary rows in one partial sum; partial sums that are added at once.
+CACHE, ROWS, FAN_IN = 300_000, 64, 64
 #: A word in a larger share of passages tells nothing, unless an item has no others.
 MAX_DF = 0.01
 #: Least cosine, common subsequence by item length, and share of the answer's words.
 COSINE, COMMON, ANSWER, ANSWER_WORDS = 0.3, 0.6, 0.5, 5
-
-#: Informative words that a passage shares with an item at least, or all that the item has.
-SHARED = 2
+#: Slots of the table of (word, item) pairs, as a power of two.
+PAIR_BITS = 24
 
 BLANKS = string.punctuation + "…“”„«»‘’–—¡¿"
 
@@ -46,7 +46,7 @@ def normal(word: str) -> str:
 
 @dataclass
 class Items:
-    """A block of the benchmark: ids, words as vocabulary numbers (from 1), answers, and which of these are real."""
+    """The benchmark: ids, words as vocabulary numbers (from 1), answers, and which of these are real."""
 
     ids: list[int]
     words: list[list[int]]
@@ -55,7 +55,7 @@ class Items:
     vocabulary: dict[str, int]
 
 
-def block_of(rows: list) -> Items:
+def items_of(rows: list) -> Items:
     """``rows`` of (item id, text, answer or None); without an answer the share of the item's last words is told, but none is asked for."""
     vocabulary: dict[str, int] = {}
     number = lambda text: [vocabulary.setdefault(w, len(vocabulary) + 1) for w in map(normal, (text or "").split()) if w]
@@ -79,13 +79,13 @@ class _Numbers(dict):
 
 
 def _numbered(vocabulary: dict[str, int]):
-    """(doc_id, words as 16-bit vocabulary numbers, 0 for others)."""
+    """(doc_id, words as 32-bit vocabulary numbers, 0 for others)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = _Numbers(vocabulary).__getitem__
         for b in slices(batches):
             docs = [t.split() for t in b.column(1).to_pylist()]
-            out = [np.fromiter(map(number, d), np.uint16, len(d)).tobytes() for d in docs]
+            out = [np.fromiter(map(number, d), np.uint32, len(d)).tobytes() for d in docs]
             yield pa.record_batch([b.column(0), pa.array(out, pa.binary())], ["doc_id", "ids"])
 
     return run
@@ -119,7 +119,7 @@ class Passages:
 
 def _parts(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     raw = b.column(1).to_pylist()
-    return np.frombuffer(b"".join(raw), np.uint16).astype(np.int64), np.array([len(r) // 2 for r in raw], np.int64)
+    return np.frombuffer(b"".join(raw), np.uint32).astype(np.int64), np.array([len(r) // 4 for r in raw], np.int64)
 
 
 def _document_counts(width: int):
@@ -154,8 +154,11 @@ def _gram_product(idf: np.ndarray, basis: np.ndarray):
             order = np.argsort(term, kind="stable")
             rows, at = np.unique(term[order], return_index=True)
             total[rows] += np.add.reduceat(back[order], at, axis=0)
+        from pyspark import TaskContext
+
         names = np.arange(0, len(total), ROWS)
-        yield pa.record_batch([pa.array(names), pa.array([total[k : k + ROWS].tobytes() for k in names], pa.binary())], ["part", "sums"])
+        task = np.full(len(names), TaskContext.get().partitionId())
+        yield pa.record_batch([pa.array(names), pa.array(task), pa.array([total[k : k + ROWS].tobytes() for k in names], pa.binary())], ["part", "task", "sums"])
 
     return run
 
@@ -165,13 +168,17 @@ def _summed(table: pa.Table) -> pa.Table:
     total = np.frombuffer(parts[0], np.float64).copy()
     for p in parts[1:]:
         total += np.frombuffer(p, np.float64)
-    return pa.table({"part": table.column("part")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
+    return pa.table({"part": table.column("part")[:1], "task": table.column("task")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
 
 
 def _product(ids: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """A'(A basis): vocabulary rows by a few dozen columns, whatever the number of documents."""
-    shares = map_arrow(ids, _gram_product(idf, basis), "part long, sums binary")
-    got = shares.groupBy("part").applyInArrow(_summed, "part long, sums binary").collect()
+    """A'(A basis): vocabulary rows by a few dozen columns, whatever the number of documents; tasks' shares are summed up a tree."""
+    shares = map_arrow(ids, _gram_product(idf, basis), "part long, task long, sums binary")
+    tasks = ids.rdd.getNumPartitions()
+    while tasks > FAN_IN:
+        shares = shares.select("part", F.expr(f"task div {FAN_IN}").alias("task"), "sums").groupBy("part", "task").applyInArrow(_summed, "part long, task long, sums binary")
+        tasks = -(-tasks // FAN_IN)
+    got = shares.groupBy("part").applyInArrow(_summed, "part long, task long, sums binary").collect()
     return np.concatenate([np.frombuffer(r.sums, np.float64) for r in sorted(got, key=lambda r: r.part)]).reshape(basis.shape)
 
 
@@ -228,56 +235,88 @@ class _ByTerm:
         return out
 
 
-def _leaks(items: Items, idf: np.ndarray, space: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        useful = idf > 0
-        size = np.array([len(w) for w in items.words], np.int64)
+class _Matcher:
+    """The items in a task: their vectors, in blocks, and what bounds a common subsequence."""
+
+    def __init__(self, items: Items, idf: np.ndarray, space: np.ndarray):
+        self.items, self.idf, self.useful, self.space = items, idf, idf > 0, space.astype(np.float32)
+        self.size = np.array([len(w) for w in items.words], np.int64)
         flat = np.array([w for words in items.words for w in words], np.int64)
+        item = np.repeat(np.arange(len(self.size)), self.size)
+        self.pairs = np.zeros(1 << PAIR_BITS, bool)
+        self.pairs[self._slot(flat, item)] = True
+        rare = self.useful[flat]
+        key, n = np.unique(item[rare] * len(idf) + flat[rare], return_counts=True)
+        item, term = key // len(idf), key % len(idf)
+        weight = (1 + np.log(n)) * idf[term]
         latent = np.zeros((len(items.ids), space.shape[1]))
-        item = np.repeat(np.arange(len(size)), size)
-        key, n = np.unique(item[useful[flat]] * len(idf) + flat[useful[flat]], return_counts=True)
-        np.add.at(latent, key // len(idf), ((1 + np.log(n)) * idf[key % len(idf)])[:, None] * space[key % len(idf)])
+        np.add.at(latent, item, weight[:, None] * space[term])
         latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-30)
-        whole = _ByTerm(key // len(idf), key % len(idf), (1 + np.log(n)) * idf[key % len(idf)], len(idf), len(size))
-        latent, small = latent.T.astype(np.float32), space.astype(np.float32)
-        has = np.zeros((len(idf), len(size)), bool)
-        has[flat, item] = True
-        has[~useful] = False
-        least = np.minimum(SHARED, has.sum(0))
-        for b in slices(batches, 1024, PORTION):
-            ids, sizes = _parts(b)
-            begin = np.cumsum(sizes) - sizes
-            best: dict[tuple[int, int], tuple] = {}
-            for shift in (0, PASSAGE // 2):
-                p = Passages(ids, sizes, shift, useful)
-                own, first, term, w = p.weighted(idf)
-                for k in range(0, len(own), 8192):
-                    lo, hi = first[k], first[k + 8192] if k + 8192 < len(own) else len(w)
-                    y = np.add.reduceat(small[term[lo:hi]] * w[lo:hi, None].astype(np.float32), first[k : k + 8192] - lo, axis=0)
-                    y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-30)
-                    # Of an item that leaks once little is in the latent space: its words themselves count as well.
-                    cosine = np.maximum(y @ latent, whole.cosines(np.append(first, len(w))[k : k + 8193] - lo, term[lo:hi], w[lo:hi]))
-                    near, which = np.nonzero(cosine >= COSINE)
-                    if not len(near):
+        self.blocks = []
+        for at in range(0, len(items.ids), ITEMS_AT_ONCE):
+            own = (item >= at) & (item < at + ITEMS_AT_ONCE)
+            many = min(ITEMS_AT_ONCE, len(items.ids) - at)
+            self.blocks.append((at, latent[at : at + many].T.astype(np.float32), _ByTerm(item[own] - at, term[own], weight[own], len(idf), many)))
+
+    @staticmethod
+    def _slot(word: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Where the pair stands in the table; others may share its slot, which only weakens the bound."""
+        return (word * 0x9E3779B1 + item * 0x85EBCA77) & ((1 << PAIR_BITS) - 1)
+
+    def candidates(self, p: Passages) -> Iterator[tuple[np.ndarray, ...]]:
+        """(document, first word, item, cosine) of passages near an item."""
+        own, first, term, w = p.weighted(self.idf)
+        for k in range(0, len(own), ROWS_AT_ONCE):
+            lo, hi = first[k], first[k + ROWS_AT_ONCE] if k + ROWS_AT_ONCE < len(own) else len(w)
+            bounds = np.append(first, len(w))[k : k + ROWS_AT_ONCE + 1] - lo
+            y = np.add.reduceat(self.space[term[lo:hi]] * w[lo:hi, None].astype(np.float32), bounds[:-1], axis=0)
+            y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-30)
+            for at, latent, by_term in self.blocks:
+                # Of an item that leaks once little is in the latent space: its words themselves count as well.
+                cosine = np.maximum(y @ latent, by_term.cosines(bounds, term[lo:hi], w[lo:hi]))
+                near, which = np.nonzero(cosine >= COSINE)
+                passage = own[k + near]
+                yield p.doc_of[passage], p.start_of[passage], which + at, cosine[near, which]
+
+    def likely(self, ids: np.ndarray, lo: np.ndarray, hi: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Whether so many words from lo to hi are words of the item as the common subsequence must have at least."""
+        out = np.zeros(len(lo), bool)
+        for at in range(0, len(lo), 2048):
+            n = (hi - lo)[at : at + 2048]
+            base = np.cumsum(n) - n
+            word = ids[np.repeat(lo[at : at + 2048] - base, n) + np.arange(int(n.sum()))]
+            hit = np.concatenate([[0], np.cumsum(self.pairs[self._slot(word, np.repeat(item[at : at + 2048], n))] & (word > 0))])
+            out[at : at + 2048] = hit[base + n] - hit[base] >= COMMON * self.size[item[at : at + 2048]]
+        return out
+
+    def leaks(self, ids: np.ndarray, sizes: np.ndarray) -> dict[tuple[int, int], tuple]:
+        """{(document, item): (common, cosine, answer, start)} at the best place."""
+        begin = np.cumsum(sizes) - sizes
+        best: dict[tuple[int, int], tuple] = {}
+        for shift in (0, PASSAGE // 2):
+            for doc, start, item, cosine in self.candidates(Passages(ids, sizes, shift, self.useful)):
+                side = np.maximum(PASSAGE // 2, self.size[item])
+                lo = begin[doc] + np.maximum(0, start - side)
+                hi = begin[doc] + np.minimum(sizes[doc], start + PASSAGE + side)
+                kept = np.flatnonzero(self.likely(ids, lo, hi, item))
+                for d, s, c, x, a, b in zip(*(v[kept].tolist() for v in (doc, start, item, cosine, lo, hi)), strict=True):
+                    words, text = self.items.words[c], ids[a:b].tolist()
+                    there = set(text)
+                    if sum(w in there for w in words) < COMMON * len(words):
                         continue
-                    ends = np.append(first[1:], len(w))[k : k + 8192]
-                    n = (ends - first[k : k + 8192])[near]
-                    begins = np.cumsum(n) - n
-                    entry = np.repeat(first[k : k + 8192][near] - begins, n) + np.arange(int(n.sum()))
-                    both = np.add.reduceat(has[term[entry], np.repeat(which, n)].astype(np.int64), begins) >= least[which]
-                    for r, c in zip(near[both].tolist(), which[both].tolist(), strict=True):
-                        doc, start = int(p.doc_of[own[k + r]]), int(p.start_of[own[k + r]])
-                        words = items.words[c]
-                        side = max(PASSAGE // 2, len(words))
-                        text = ids[begin[doc] + max(0, start - side) : begin[doc] + min(int(sizes[doc]), start + PASSAGE + side)].tolist()
-                        there = set(text)
-                        if sum(x in there for x in words) < COMMON * len(words):
-                            continue
-                        common = common_subsequence(words, text) / len(words)
-                        answer = items.answers[c]
-                        found = sum(x in there for x in answer) / max(1, len(answer))
-                        if common >= COMMON and (found >= ANSWER or not items.answered[c]) and (old := best.get((doc, c), (0.0,)))[0] <= common:
-                            best[doc, c] = max(old, (common, float(cosine[r, c]), found, max(0, start)))
+                    common = common_subsequence(words, text) / len(words)
+                    answer = self.items.answers[c]
+                    found = sum(w in there for w in answer) / max(1, len(answer))
+                    if common >= COMMON and (found >= ANSWER or not self.items.answered[c]):
+                        best[d, c] = max(best.get((d, c), (0.0,)), (common, x, found, max(0, s)))
+        return best
+
+
+def _leaks(items: Items, idf: np.ndarray, space: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = _Matcher(items, idf, space)
+        for b in slices(batches, 1024, PORTION):
+            best = matcher.leaks(*_parts(b))
             if best:
                 rows = [(b.column(0)[d].as_py(), items.ids[c], *v) for (d, c), v in best.items()]
                 yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()), strict=True)], ["doc_id", "item_id", "common", "cosine", "answer", "start"])
@@ -288,10 +327,10 @@ def _leaks(items: Items, idf: np.ndarray, space: np.ndarray):
 RESULT = "doc_id long, item_id long, common double, cosine double, answer double, start long"
 
 
-def _block(docs: DataFrame, items: Items) -> DataFrame:
+def weights(ids: DataFrame, items: Items) -> np.ndarray:
+    """Inverse document frequency of each vocabulary word over all passages; zero for those that tell nothing."""
     width = len(items.vocabulary) + 1
-    ids = stored(map_arrow(docs, _numbered(items.vocabulary), "doc_id long, ids binary"), "numbered")
-    counts = map_arrow(ids, _document_counts(width), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # a row a word of the block
+    counts = map_arrow(ids, _document_counts(width), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # a row a word of the benchmark
     df = np.zeros(width)
     for r in counts:
         df[r.term] = r.n
@@ -304,7 +343,7 @@ def _block(docs: DataFrame, items: Items) -> DataFrame:
             keep[words] = True
     idf[~keep] = 0
     idf[0] = 0
-    return map_arrow(ids, _leaks(items, idf, latent_space(ids, idf)), RESULT)
+    return idf
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, answer_col: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -312,18 +351,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, answer_col: str | None = None,
 
     ``common``: longest common subsequence by item length; ``answer``: share of the answer's words in
     the text around, at least half of them for a leak; an item without an answer has the share of its
-    last words there, whatever it is. ``start``: word at which the passage begins. Null and empty texts and items
-    leak nothing; repeated documents come back repeated; either table may be empty.
+    last words there, whatever it is. ``start``: word at which the passage begins; of equally good
+    places the last. Null and empty texts and items leak nothing; items without an id are left out;
+    repeated documents and repeated items come back repeated; items and texts may be of any length;
+    either table may be empty; other columns are not read.
     """
     spark = docs.sparkSession
     answer = F.col(answer_col).cast("string") if answer_col else F.lit(None).cast("string")
-    items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"), answer.alias("answer"))
-    blocks = -(-items.count() // BLOCK)
+    own = benchmark.where("item_id is not null").select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")), answer).collect()  # the benchmark
+    items = items_of([r for r in sorted(own, key=lambda r: (r[0], r[1], r[2] or "")) if r[1].strip()])
+    if not items.vocabulary:
+        return spark.createDataFrame([], RESULT)
+    if any(not w for w in items.words):  # of signs alone
+        real = [k for k, w in enumerate(items.words) if w]
+        items = Items(*[[x[k] for k in real] for x in (items.ids, items.words, items.answers, items.answered)], items.vocabulary)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    out = spark.createDataFrame([], RESULT)
-    for k in range(blocks):
-        own = sorted(items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect(), key=lambda r: (r.item_id, r.text))  # about BLOCK items
-        block = block_of([r for r in own if r.text.strip()])
-        if block.ids:
-            out = out.unionByName(_block(rows, block))
-    return out
+    ids = stored(map_arrow(rows, _numbered(items.vocabulary), "doc_id long, ids binary"), "numbered")
+    idf = weights(ids, items)
+    return map_arrow(ids, _leaks(items, idf, latent_space(ids, idf)), RESULT)
