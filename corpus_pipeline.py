@@ -46,10 +46,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def recurring_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without words of 35-word windows that recur; a text that loses none stays as it was."""
+    """Texts without words of 35-word windows that recur; a text that loses none stays as it was, null included.
+
+    ``n_chars`` follows the text where the table has it. Repeated rows lose their common windows; an
+    empty table gives no rows.
+    """
     carry = tuple(c for c in docs.columns if c not in ("text", "n_chars"))
-    left = phrases.without_recurring(docs, window=35, carry=carry, original=True)
-    left = left.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("long"))
+    words, removed, kept = fresh(docs.columns, "n_words", "n_removed", "kept")
+    left = phrases.without_recurring(docs, window=35, carry=carry, original=True, new=(words, removed, kept))
+    left = left.withColumn("text", F.col(kept)).withColumn("n_chars", F.length(kept).cast("long"))
     return left.select(*docs.columns)
 
 
