@@ -9,7 +9,8 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -17,11 +18,14 @@ ROOT = str(Path(__file__).resolve().parents[2])
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests, a laptop) is a temporary folder set.
+    Only in local mode (tests, a laptop), where the driver's folders are the executors', is a
+    temporary one set if none is named.
     """
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not where:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="tessera-shared-")
         sc.setCheckpointDir(where)
         where = sc.getCheckpointDir()
@@ -92,6 +96,27 @@ def fresh(columns: list[str], *names: str) -> list[str]:
     return out
 
 
+def quoted(name: str) -> str:
+    return f"`{name.replace('`', '``')}`"
+
+
+def columns_of(docs: DataFrame) -> list[Column]:
+    """All columns, whatever their names."""
+    return [F.col(quoted(c)) for c in docs.columns]
+
+
+def carried(docs: DataFrame, carry: tuple[str, ...]) -> tuple[list[Column], str, list[Column]]:
+    """Columns that pass through an Arrow stage, whatever their names: as they go in, their schema there, and as they come out."""
+    inner = [f"carried_{i}" for i in range(len(carry))]
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    schema = ", ".join(f"{i} {kinds[c]}" for c, i in zip(carry, inner, strict=True))
+    return [F.col(quoted(c)).alias(i) for c, i in zip(carry, inner, strict=True)], schema, [F.col(i).alias(c) for c, i in zip(carry, inner, strict=True)]
+
+
+def schema_of(*parts: str) -> str:
+    return ", ".join(p for p in parts if p)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with this package at hand."""
     importable(df.sparkSession)

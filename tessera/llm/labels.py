@@ -15,7 +15,8 @@ def training_rows(labels: DataFrame, docs: DataFrame, label: str, parts: int, he
     """``(y, text)`` of at most ``per_class`` rows of each label, and the share of label 1 among all.
 
     Rows of the held-out part, null ids and labels other than 0 and 1 are left out; an id with
-    several labels counts with the largest. Which rows are taken hangs on a hash of the id alone.
+    several labels counts with the largest, one with several texts with that of the least hash. Which
+    rows are taken hangs on a hash of the id alone.
     """
     rows = labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1) & (part_of(id_col, parts) != held_out))
     rows = rows.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label).cast("int").alias("y"))
@@ -27,4 +28,5 @@ def training_rows(labels: DataFrame, docs: DataFrame, label: str, parts: int, he
         own = rows.where(F.col("y") == y).orderBy(order, "id").limit(per_class)
         sample = own if sample is None else sample.unionByName(own)
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return text.join(F.broadcast(sample), "id").select("y", "text"), share  # at most 2 * per_class rows
+    own = text.join(F.broadcast(sample), "id").groupBy("id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return own.select("y", "text"), share  # at most 2 * per_class rows, whatever repeats

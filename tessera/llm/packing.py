@@ -2,8 +2,8 @@
 
 Each task tokenises its documents, cuts those over the capacity, and packs its pieces best-fit,
 longest first. Bins that are nearly full are final. The others are items of the next round, in which
-fewer tasks pack the bins of several tasks each; and so on up the tree, until what is left fits one
-task or a round no longer saves bins. A bin carries its pieces, at most one for each token.
+fewer tasks pack the bins of several tasks each; and so on up the tree, until what is left has been in
+one task or a round merges nothing. A bin carries its pieces, at most one for each token.
 """
 
 from __future__ import annotations
@@ -24,8 +24,6 @@ from tessera.llm.common import map_arrow, slices, stored
 CACHE = 300_000
 #: Items that one task packs in the rounds after the first; and children of a node of the merge tree.
 TASK_ITEMS, FAN_IN = 20_000, 4
-#: A round that saves a smaller share of its bins ends the rounds.
-LEAST_GAIN = 0.01
 
 PIECE = "struct<doc_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint>"
 
@@ -234,8 +232,7 @@ def packed(docs: DataFrame, capacity: int = 2048, end_id: int = 0, tokenizer: st
         full.append(bins.where("final"))
         left = bins.where("not final").drop("final")
         before, count = count, left.count()
-        final = before - count
-        if parts == 1 or count + bins.where("final").count() > before * (1 - LEAST_GAIN) or not final:
+        if parts == 1 or count + bins.where("final").count() == before:
             break
     out = full[0].select("bin", "pieces")
     for more in full[1:]:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fresh, map_arrow, scratch, slices, stored
+from tessera.llm.common import carried, map_arrow, schema_of, scratch, slices, stored
 
 PHRASE = 8
 #: Rows of a block, as a power of two; blocks of a part; phrases of one automaton; anchors counted at once.
@@ -346,8 +346,8 @@ def without_recurring(docs: DataFrame, text_col: str = "text", window: int = 35,
     windows. ``carry`` columns may have any names; ``new`` renames the three columns where one clashes.
     """
     assert window >= PHRASE
-    inner = fresh(list(NEW), *[f"c{i}" for i in range(len(carry))])
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(text_col).cast("binary").alias("bytes"), *[F.col(c).alias(i) for c, i in zip(carry, inner, strict=True)])
+    picks, schema, back_out = carried(docs, carry)
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(text_col).cast("binary").alias("bytes"), *picks)
     rows = stored(rows, "texts")
     only = rows.select("rid", "bytes")
     anchors = stored(map_arrow(only, _anchors(window), "block long, a long, ctx long, n long"), "anchors")
@@ -363,5 +363,5 @@ def without_recurring(docs: DataFrame, text_col: str = "text", window: int = 35,
     needs = needs.unionByName(confirmed.select("block", "a", F.lit(None).cast("long").alias("v")).distinct())
     phrases = looked.where("phrase is not null").select("a", "phrase")
     phrases = _by_part(needs.join(phrases, "a").select("block", "phrase", "v"), "phrases")
-    out = map_arrow(rows, _removed(window, phrases, _by_part(confirmed, "confirmed-by-part"), original), ", ".join([f"{i} {rows.schema[i].dataType.simpleString()}" for i in inner] + ["n_words long, n_removed long, kept binary"]))
-    return out.select(*[F.col(i).alias(c) for c, i in zip(carry, inner, strict=True)], F.col("n_words").alias(new[0]), F.col("n_removed").alias(new[1]), F.col("kept").cast("string").alias(new[2]))
+    out = map_arrow(rows, _removed(window, phrases, _by_part(confirmed, "confirmed-by-part"), original), schema_of(schema, "n_words long, n_removed long, kept binary"))
+    return out.select(*back_out, F.col("n_words").alias(new[0]), F.col("n_removed").alias(new[1]), F.col("kept").cast("string").alias(new[2]))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_arrow, slices
+from tessera.llm.common import carried, map_arrow, schema_of, slices
 from tessera.llm.labels import part_of, training_rows
 
 ROWS, DIM = 1 << 15, 8
@@ -135,17 +135,22 @@ def _scores(model: Model):
     return run
 
 
-def scored(docs: DataFrame, model: Model, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def scored(docs: DataFrame, model: Model, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), new: str = "score") -> DataFrame:
     """``(*carry, score)``: probability of label 1 of each whole text, one row for each input row.
 
-    Null and empty texts, having no features, get the model's prior. Nothing but the text is read.
+    Null and empty texts, having no features, get the model's prior; repeated rows come back repeated;
+    an empty table gives no rows. Nothing but the text and the carried columns, of any names, is read;
+    ``new`` renames the score.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("__text"), *carry)
-    return map_arrow(rows, _scores(model), ", ".join([f"`{c}` {kinds[c]}" for c in carry] + ["score double"]))
+    picks, schema, back = carried(docs, carry)
+    rows = map_arrow(docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), *picks), _scores(model), schema_of(schema, "score double"))
+    return rows.select(*back, F.col("score").alias(new))
 
 
 def quality(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int = 4, held_out: int = 2, threshold: float = 0.7) -> DataFrame:
-    """``(doc_id, held_out, score, predicted)`` of every document."""
+    """``(doc_id, held_out, score, predicted)`` of every document; a null id is not held out.
+
+    Without labels of both kinds every score is the labels' share of ones, or a half without any.
+    """
     rows = scored(docs, fit(labels, docs, label, parts, held_out))
     return rows.select("doc_id", (F.coalesce(part_of("doc_id", parts), F.lit(-1)) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -1,13 +1,17 @@
 """Toxicity by a weighted lexicon, matched with Aho-Corasick over folded text.
 
-Folding lowers case, turns look-alike letters and digit substitutions into the letters they stand for
-and everything else into blanks. Terms are whole words or beginnings of words; their weights are log
+Folding lowers case, takes compatibility forms apart, drops marks on letters, turns look-alike letters
+and digit substitutions into the letters they stand for and everything else into blanks. A 1 or ! in a
+word may be an i or an l: both readings are matched. Terms are whole words or beginnings of words; their weights are log
 odds learned from labelled documents. Phrases in which a term is innocent cancel its hits. The sum of
 weights, alone and by length, goes through a logistic curve fitted to the same documents.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -18,32 +22,61 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_arrow, slices, stored
+from tessera.llm.common import carried, map_arrow, schema_of, slices, stored
 from tessera.llm.labels import part_of, training_rows
 
-#: Documents of each label that are learned from, at most; terms and phrases kept, at most.
-PER_CLASS, TERMS, PHRASES = 4000, 2000, 2000
+#: Documents of each label that are learned from, at most.
+PER_CLASS = 4000
 STEMS = (4, 5, 6, 7)
 #: Least z-score and log odds of a term.
 LEAST_Z, LEAST_ODDS = 4.5, 1.5
 
+#: Letters of other scripts and signs by the Latin letter they look like.
 LOOKALIKES = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j", "һ": "h", "ԁ": "d", "ո": "n", "к": "k", "м": "m", "т": "t",
     "α": "a", "ε": "e", "ο": "o", "ρ": "p", "ι": "i", "κ": "k", "ν": "v", "τ": "t", "υ": "u", "χ": "x",
-    "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i",
-    "à": "a", "á": "a", "â": "a", "ã": "a", "ä": "a", "å": "a", "ç": "c", "è": "e", "é": "e", "ê": "e", "ë": "e", "ì": "i", "í": "i", "î": "i", "ï": "i", "ñ": "n",
-    "ò": "o", "ó": "o", "ô": "o", "õ": "o", "ö": "o", "ù": "u", "ú": "u", "û": "u", "ü": "u", "ý": "y", "ÿ": "y", "ł": "l", "ı": "i",
+    "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "ł": "l", "ı": "i", "ø": "o",
 }
-_FOLD = {c: " " for c in range(128) if not chr(c).isalnum()} | str.maketrans(LOOKALIKES)
-_FOLD |= {ord("!"): " "} | {c: None for c in (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF)}
+
+
+class _Folds(dict):
+    """What each character folds to, learned as characters come."""
+
+    def __missing__(self, code: int) -> str | None:
+        c = chr(code)
+        if c in LOOKALIKES:
+            out: str | None = LOOKALIKES[c]
+        elif unicodedata.combining(c) or unicodedata.category(c) in ("Cf", "Mn"):
+            out = None
+        else:
+            apart = "".join(x for x in unicodedata.normalize("NFKD", c).lower() if not unicodedata.combining(x))
+            out = "".join(LOOKALIKES.get(x, x) if x.isalnum() else " " for x in apart) or " "
+        self[code] = out
+        return out
+
+
+_FOLDS, _BLANK_BANG = _Folds(), {ord("!"): " "}
+_EITHER = re.compile(r"(?<=\w)[1!]|1(?=[^\W\d_])")
+
+
+def _translated(text: str) -> str:
+    if "!" in text:  # it stands for a letter only inside a word
+        text = re.sub(r"(?<![^\W\d_])!|!(?![^\W\d_])", " ", text)
+    return f" {text.translate(_FOLDS)} "
 
 
 def fold(text: str) -> str:
-    """Folded text between blanks. ``!`` stands for a letter only inside a word."""
+    """Folded text between blanks."""
+    return _translated(text.lower())
+
+
+def folds(text: str) -> list[str]:
+    """The folded text, and again with each 1 or ! in a word as an l if there are any; places are the same."""
     text = text.lower()
-    if "!" in text:
-        text = "".join("i" if c == "!" and text[i - 1 : i].isalpha() and text[i + 1 : i + 2].isalpha() else c for i, c in enumerate(text))
-    return f" {text.translate(_FOLD)} "
+    if "1" not in text and "!" not in text:
+        return [_translated(text)]
+    other = _EITHER.sub(lambda m: "l" if m.group() == "1" or text[m.end() : m.end() + 1].isalpha() else m.group(), text)
+    return [_translated(text)] + ([_translated(other)] if other != text else [])
 
 
 def _terms(words: list[str]) -> set[str]:
@@ -116,14 +149,33 @@ class Lexicon:
                 free.append((start, end))
             elif weight > found.get(start, 0.0):
                 found[start] = weight
-        return {s: w for s, w in found.items() if not any(a <= s < e for a, e in free)} if free else found
+        if not free:
+            return found
+        starts, upto = merged(free)
+        return {s: w for s, w in found.items() if (k := bisect_right(starts, s)) == 0 or s >= upto[k - 1]}
 
     def measures(self, text: str) -> tuple[float, float, int]:
         """Log of the sum of weights; sum by length; number of hits."""
-        folded = fold(text)
-        found = self.hits(folded)
+        first, *others = folds(text)
+        found = self.hits(first)
+        for other in others:
+            for start, weight in self.hits(other).items():
+                found[start] = max(weight, found.get(start, 0.0))
         total = sum(found.values())
-        return float(np.log1p(total)), 100 * total / (folded.count(" ") + 50), len(found)
+        return float(np.log1p(total)), 100 * total / (first.count(" ") + 50), len(found)
+
+
+def merged(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Begins and ends of the union of some spans, in order."""
+    begins: list[int] = []
+    ends: list[int] = []
+    for a, b in sorted(spans):
+        if begins and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            begins.append(a)
+            ends.append(b)
+    return begins, ends
 
 
 def _measured(lexicon: Lexicon):
@@ -155,7 +207,11 @@ def _curve(x: np.ndarray, y: np.ndarray, prior: float, steps: int = 2000) -> np.
 
 
 def fit(labels: DataFrame, docs: DataFrame, label: str = "toxic", parts: int = 3, held_out: int = 1, per_class: int = PER_CLASS) -> Lexicon:
-    """Learn terms, exception phrases and curve from at most ``per_class`` labelled documents of each label."""
+    """Learn terms, exception phrases and curve from at most ``per_class`` labelled documents of each label.
+
+    Null texts are as empty; repeated ids count once; labels of one kind, or none, give no terms and
+    the labels' share as every score. Terms of equal weight at one place count once.
+    """
     rows, prior = training_rows(labels, docs, label, parts, held_out, per_class)
     rows = stored(rows, "labelled")
     n = {r.y: r.n for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -167,9 +223,9 @@ def fit(labels: DataFrame, docs: DataFrame, label: str = "toxic", parts: int = 3
     z = (F.col("t") / toxic - F.col("c") / clean) / F.sqrt(share * (1 - share) * (1 / clean + 1 / toxic) + 1e-12)
     odds = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1))
     best = counts.where("t > 1").select("term", z.alias("z"), odds.alias("odds")).where((F.col("z") >= LEAST_Z) & (F.col("odds") >= LEAST_ODDS))
-    terms = {r.term: r.odds for r in best.orderBy(F.desc("z"), "term").limit(TERMS).collect()}
+    terms = {r.term: r.odds for r in best.orderBy(F.desc("z"), "term").collect()}  # bounded by the sample's words
     around = map_arrow(rows, _phrase_counts(terms), "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
-    innocent = around.where((F.col("c") >= 3) & (F.col("c") / clean >= 2 * F.col("t") / toxic)).orderBy(F.desc("c"), "term").limit(PHRASES)
+    innocent = around.where((F.col("c") >= 3) & (F.col("c") / clean >= 2 * F.col("t") / toxic)).orderBy(F.desc("c"), "term")
     lexicon = Lexicon(terms, tuple(r.term for r in innocent.collect()))
     got = map_arrow(rows.select("text", "y"), _measured(lexicon), "y int, total double, density double, hits long").select("y", "total", "density").collect()  # bounded by per_class
     got = np.array(sorted(got), float)
@@ -177,17 +233,21 @@ def fit(labels: DataFrame, docs: DataFrame, label: str = "toxic", parts: int = 3
     return lexicon
 
 
-def scored(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``(*carry, score, hits)`` of each whole text. Null and empty texts have no hits, and the score of none."""
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("__text"), *carry)
+def scored(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), new: tuple[str, str] = ("score", "hits")) -> DataFrame:
+    """``(*carry, score, hits)`` of each whole text, in time linear in its length.
+
+    Null and empty texts have no hits, and the score of none; repeated rows come back repeated; an
+    empty table gives no rows; carried columns may have any names, and ``new`` renames the other two.
+    """
+    picks, schema, back = carried(docs, carry)
     plain = Lexicon(lexicon.terms, lexicon.exceptions, lexicon.curve)
-    rows = map_arrow(rows, _measured(plain), ", ".join([f"`{c}` {kinds[c]}" for c in carry] + ["total double", "density double", "hits long"]))
+    rows = map_arrow(docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), *picks), _measured(plain), schema_of(schema, "total double, density double, hits long"))
     a, b, c = (float(x) for x in lexicon.curve)
-    return rows.select(*carry, (1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.col("total") + F.lit(c) * F.col("density"))))).alias("score"), "hits")
+    score = 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.col("total") + F.lit(c) * F.col("density"))))
+    return rows.select(*back, score.alias(new[0]), F.col("hits").alias(new[1]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 3, held_out: int = 1, threshold: float = 0.7) -> DataFrame:
-    """``(doc_id, held_out, score, predicted)`` of every document."""
+    """``(doc_id, held_out, score, predicted)`` of every document; a null id is not held out."""
     rows = scored(docs, fit(labels, docs, label, parts, held_out))
     return rows.select("doc_id", (F.coalesce(part_of("doc_id", parts), F.lit(-1)) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

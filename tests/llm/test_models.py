@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -26,8 +27,6 @@ def test_held_out(spark, name, label, least):
     own = rows.merge(labels, on="doc_id")
     own = own[own.held_out]
     assert auc(own[label].to_numpy(), own.score.to_numpy()) >= least
-    import zlib
-
     parts, held = (4, 2) if label == "quality" else (3, 1)
     assert (rows.held_out == rows.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % parts == held)).all()
 
@@ -47,6 +46,90 @@ def test_folding():
     assert toxicity.fold("L0ser, ιdіot! n!ce $tupïd").split() == ["loser", "idiot", "nice", "stupid"]
     lex = toxicity.Lexicon({" kill": 2.0, " kill ": 3.0}, (" kill switch ",))
     assert list(lex.hits(toxicity.fold("kill it, killer; a kill switch")).values()) == [3.0, 2.0]
+    for text in ("“idiot”", "ｉｄｉｏｔ", "id́iot", "1d1ot", "i\u00addiot"):
+        assert toxicity.fold(text).split() == ["idiot"], text
+    both = toxicity.Lexicon({" loser ": 2.0, " kill ": 1.0})
+    assert [both.measures(t)[2] for t in ("1oser", "a k1ll", "ki1l", "k!ll", "kill! 1", "10")] == [1, 1, 1, 1, 1, 0]
+
+
+def slow_measures(lexicon, text):
+    """Every pattern at every place, by loops."""
+    out = {}
+    for folded in toxicity.folds(text):
+        free = [(i, i + len(x) - 1) for x in lexicon.exceptions for i in range(len(folded)) if folded.startswith(x, i)]
+        for i in range(len(folded)):
+            w = max((w for t, w in lexicon.terms.items() if folded.startswith(t, i)), default=0.0)
+            if w > 0 and not any(a <= i < b for a, b in free):
+                out[i] = max(w, out.get(i, 0.0))
+    return np.log1p(sum(out.values())), 100 * sum(out.values()) / (toxicity.fold(text).count(" ") + 50), len(out)
+
+
+def test_measures_equal_brute_force():
+    rng = random.Random(6)
+    words = ["kill", "killer", "k1ll", "switch", "dumb", "dumbo", "so", "a", "ｄumb", "dúmb", "f!ne", "fine!"]
+    lex = toxicity.Lexicon({" kill": 2.0, " kill ": 3.0, " dumb": 1.5, " dumbo ": 4.0, " so ": 0.5}, (" kill switch ", " so dumb ", " a so "))
+    for _ in range(300):
+        text = "".join(rng.choice(words) + rng.choice([" ", "  ", ", ", "-"]) for _ in range(rng.randint(0, 40)))
+        assert np.allclose(lex.measures(text), slow_measures(lex, text))
+
+
+def test_exceptions_take_linear_time():
+    import time
+
+    lex = toxicity.Lexicon({" kill": 2.0}, (" kill switch ",))
+    text = toxicity.fold("kill switch kill it " * 50_000)
+    began = time.time()
+    assert len(lex.hits(text)) == 50_000 and time.time() - began < 5
+
+
+def test_scores_equal_brute_force(spark):
+    """The mean of the vectors of words, character n-grams and repeat marks, and softmax over it, by loops."""
+    rng = np.random.default_rng(2)
+    vectors, layer, bias = rng.standard_normal((quality.ROWS, quality.DIM)), rng.standard_normal((quality.DIM, 2)), rng.standard_normal(2)
+    model = quality.Model((vectors @ (layer[:, 1] - layer[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
+    texts = ["one two two three", "", None, "é 😀 a", "same " * 5000, "x"]
+    got = {r.doc_id: r.score for r in quality.scored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for i, t in enumerate(texts):
+        words = (t or "").split()
+        rows = [f for w in words for f in quality.features(w)] + [quality.REPEAT for a, b in zip(words, words[1:], strict=False) if a == b]
+        z = (np.mean([vectors[f] for f in rows], axis=0) if rows else np.zeros(quality.DIM)) @ layer + bias
+        p = np.exp(z - z.max())
+        assert abs(got[i] - p[1] / p.sum()) < 1e-4
+    assert quality.features("ab") == [1 + zlib.crc32(x.encode()) % (quality.ROWS - 1) for x in ("ab", "<ab", "ab>", "<ab>")]
+
+
+def test_repeated_ids_are_learned_once(spark):
+    from tessera.llm.labels import training_rows
+
+    docs = spark.createDataFrame([(i % 7, f"t{i % 14}") for i in range(700)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i % 7, i % 2) for i in range(70)], "doc_id long, quality int")
+    rows, _ = training_rows(labels, docs, "quality", 4, 2, 3)
+    assert rows.count() <= 6
+
+
+#: Names that stages use inside, or have used.
+CLASHES = ["score", "__text", "rid", "bytes", "kept", "n_words", "n_removed", "hash", "a.b", "tessera_id", "tessera_hash", "tessera_key", "carried_0", "text_", "hits"]
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_with_clashing_columns(spark, name, stage):
+    """Columns of any name come through, with nulls, repeated rows, one id of different texts and a long text."""
+    source = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    odd = [(None, None, None, None, None), (None, "x", "en", "x", 1), (10**6, "", "en", "x", 0), (10**6 + 1, "word " * 30_000, "en", "x", 150_000), (10**6 + 2, "one text of an id", "en", "x", 17), (10**6 + 2, "other words under it", "en", "x", 20)]
+    docs = source.unionByName(spark.createDataFrame(odd, source.schema)).unionByName(source.limit(5))
+    for k, c in enumerate(CLASHES):
+        docs = docs.withColumn(c, F.lit(k))
+    docs = stored(docs, "docs")
+    out = stage(spark, docs, "/root/testdata/sf0.001")
+    if name != corpus_pipeline.STAGES[-1][0]:
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert 0 < len(rows) <= docs.count() and all(r[c] == k for r in rows for k, c in enumerate(CLASHES))
+        if name == "SimHash near-dedup":
+            assert sum(r.doc_id == 10**6 + 2 for r in rows) == 2 and sum(r.doc_id is None for r in rows) == 2
+    else:
+        assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == {r.doc_id for r in docs.select("doc_id").distinct().collect()}
+    assert stage(spark, docs.limit(0), "/root/testdata/sf0.001").count() == 0
 
 
 def test_no_peeking(spark):
