@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontam, packing, phrases, quality, simhash
-from tessera.llm.common import fresh, made, release, stored, sweep
+from tessera.llm.common import columns_of, fresh, made, release, stored, sweep
 
 #: A document whose quality score is lower goes.
 LEAST_QUALITY = 0.5
@@ -21,10 +21,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on labelled rows of ``docs``, does not reject."""
+    """Documents that the classifier, trained on labelled rows of ``docs``, does not reject.
+
+    Null and empty texts have the labels' share of good ones as their score; repeated rows go or stay
+    together; an empty table gives no rows.
+    """
     model = quality.fit(_table(spark, sf_dir, "labels"), docs)
-    carry = tuple(docs.columns)
-    return quality.scored(docs, model, carry=carry).where(F.col("score") >= LEAST_QUALITY).select(*carry)
+    (score,) = fresh(docs.columns, "score")
+    return quality.scored(docs, model, carry=tuple(docs.columns), new=score).where(F.col(score) >= LEAST_QUALITY).select(*columns_of(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +44,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     kept = own.join(gone, [doc, hashed], "left_anti")
     again = stored(found.where("kept").groupBy(doc, hashed).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(doc, hashed), "repeated")
     if again.isEmpty():
-        return kept.select(*docs.columns)
-    one = kept.join(again, [doc, hashed], "left_semi").groupBy(doc, hashed).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias(doc + "_row"))
-    return kept.join(again, [doc, hashed], "left_anti").select(*docs.columns).unionByName(one.select(doc + "_row.*"))
+        return kept.select(*columns_of(docs))
+    one = kept.join(again, [doc, hashed], "left_semi").groupBy(doc, hashed).agg(F.min_by(F.struct(*columns_of(docs)), F.xxhash64(*columns_of(docs))).alias(doc + "_row"))
+    return kept.join(again, [doc, hashed], "left_anti").select(*columns_of(docs)).unionByName(one.select(doc + "_row.*"))
 
 
 def recurring_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,17 +59,28 @@ def recurring_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     words, removed, kept = fresh(docs.columns, "n_words", "n_removed", "kept")
     left = phrases.without_recurring(docs, window=35, carry=carry, original=True, new=(words, removed, kept))
     left = left.withColumn("text", F.col(kept)).withColumn("n_chars", F.length(kept).cast("long"))
-    return left.select(*docs.columns)
+    return left.select(*columns_of(docs))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents into which no benchmark item leaked."""
-    gone = decontam.leaks(docs, _table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Documents into which no benchmark item leaked.
+
+    Null texts and texts of repeated rows are judged like any other; a document without an id stays if
+    its text has no leak; of several texts of one id only those with a leak go; an empty table gives
+    no rows.
+    """
+    (key,) = fresh(docs.columns, "tessera_key")
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    gone = decontam.leaks(keyed, _table(spark, sf_dir, "benchmark"), id_col=key).select(F.col("doc_id").alias(key)).distinct()
+    return keyed.join(gone, key, "left_anti").select(*columns_of(docs))
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the remaining documents, each with its sequence of at most 2048 tokens and its place there."""
+    """Pieces of the remaining documents, each with its sequence of at most 2048 tokens and its place there.
+
+    Null texts are as empty; repeated rows and rows without an id are documents of their own; an empty
+    table gives no rows.
+    """
     return packing.packed(docs, capacity=2048)
 
 
