@@ -31,33 +31,43 @@ def unescaped(text: Column) -> Column:
     return F.regexp_replace(text, OPENERS + r"\\(\\*)" + CONTROLS, "$1$2$3")
 
 
-def paths(messages: DataFrame) -> DataFrame:
-    """``messages(tree, node, parent)`` -> ``(tree, leaf, node, up)``: each leaf's ancestors, itself at 0.
-
-    ``node`` is unique in its tree. A parent that isn't in the tree makes a root; nodes that reach no
-    root, being in a ring, and what hangs on them, are on no path.
-    """
-    nodes = messages.select("tree", "node", "parent")
-    known = nodes.select("tree", F.col("node").alias("parent"), F.lit(True).alias("is_node"))
-    links = nodes.join(known, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("is_node"), F.col("parent")).alias("over"))
-    links = stored(links, "links")
-    # Top down: depth by doubling, of the nodes that reach a root.
-    reach = stored(links.select("tree", "node", F.col("over").alias("far"), F.when(F.col("over").isNull(), 0).otherwise(1).cast("long").alias("depth")), "reach")
+def _rooted(links: DataFrame) -> DataFrame:
+    """``links(tree, node, over, score)`` -> ``(tree, node, depth, total)`` of nodes that reach a root: depth, and the sum of scores from the root on, by doubling."""
+    depth = F.when(F.col("over").isNull(), 0).otherwise(1).cast("long")
+    reach = stored(links.select("tree", "node", F.col("over").alias("far"), depth.alias("depth"), F.col("score").alias("total")), "reach")
     rounds, most = 0, links.count().bit_length() + 1
     while rounds < most and not reach.where("far is not null").isEmpty():
         # Only nodes still below their root go on; those that reached it are looked up, not joined again.
-        step = reach.select("tree", F.col("node").alias("far"), F.col("far").alias("further"), F.col("depth").alias("more"))
-        moved = reach.where("far is not null").join(step, ["tree", "far"], "left").select("tree", "node", F.col("further").alias("far"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
+        step = reach.select("tree", F.col("node").alias("far"), F.col("far").alias("further"), F.col("depth").alias("more"), F.col("total").alias("plus"))
+        moved = reach.where("far is not null").join(step, ["tree", "far"])
+        moved = moved.select("tree", "node", F.col("further").alias("far"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("total") + F.col("plus")).alias("total"))
         reach = stored(reach.where("far is null").unionByName(moved), "reach")
         rounds += 1
-    rooted = reach.where("far is null").select("tree", "node", "depth")
+    return reach.where("far is null").select("tree", "node", "depth", "total")
+
+
+def paths(messages: DataFrame, best: int | None = None) -> DataFrame:
+    """``messages(tree, node, parent, score)`` -> ``(tree, leaf, rank, node, up)``: the ancestors of the ``best`` leaves of each tree, the leaf itself at 0.
+
+    Leaves rank by the mean score of their path, summed while depths are found, before any path is
+    enumerated. ``node`` is unique in its tree. A parent that isn't in the tree makes a root; nodes
+    that reach no root, being in a ring, and what hangs on them, are on no path.
+    """
+    nodes = messages.select("tree", "node", "parent", "score")
+    known = nodes.select("tree", F.col("node").alias("parent"), F.lit(True).alias("is_node"))
+    links = nodes.join(known, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("is_node"), F.col("parent")).alias("over"), "score")
+    links = stored(links, "links")
     parents = links.where("over is not null").select("tree", F.col("over").alias("node")).distinct()
-    leaves = rooted.join(parents, ["tree", "node"], "left_anti")
-    out = stored(leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")), "paths")
-    jump, width = links.where("over is not null"), 1
+    leaves = _rooted(links).join(parents, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "depth", (F.col("total") / (F.col("depth") + 1)).alias("mean"))
+    # A tree has as many rows here as leaves, without texts.
+    leaves = leaves.withColumn("rank", F.row_number().over(W.partitionBy("tree").orderBy(F.desc("mean"), "leaf")))
+    leaves = leaves if best is None else leaves.where(F.col("rank") <= best)
+    leaves = stored(leaves, "leaves")
+    out = leaves.select("tree", "leaf", "rank", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("up"))
+    jump, width = links.where("over is not null").select("tree", "node", "over"), 1
     deepest = leaves.agg(F.max("depth")).first()[0] or 0
     while width <= deepest:
-        out = stored(out.unionByName(out.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("over").alias("node"), (F.col("up") + width).alias("up"))), "paths")
+        out = stored(out.unionByName(out.join(jump, ["tree", "node"]).select("tree", "leaf", "rank", F.col("over").alias("node"), (F.col("up") + width).alias("up"))), "paths")
         width *= 2
         if width <= deepest:
             on = jump.select("tree", F.col("node").alias("over"), F.col("over").alias("further"))
@@ -65,26 +75,34 @@ def paths(messages: DataFrame) -> DataFrame:
     return out
 
 
-def conversations(messages: DataFrame, best: int | None = 1) -> DataFrame:
-    """``messages(tree, node, parent, role, text, score)`` -> ``(tree, leaf, rank, turns, formatted)``.
+def conversations(messages: DataFrame, best: int | None = 1, learned: tuple[str, ...] = ("assistant",)) -> DataFrame:
+    """``messages(tree, node, parent, role, text, score)`` -> ``(tree, leaf, rank, turns, formatted, mask)``.
 
     One row for each root-to-leaf path among the ``best`` of its tree (None: all) by the mean score of
-    its messages, higher first, ties by the smaller leaf. Null role or text is as empty, null score as
-    zero; a null tree is a tree of its own; an empty table gives no rows.
+    its messages, higher first, ties by the smaller leaf. ``mask``: spans (start from 0, length) of
+    ``formatted`` that a loss is taken over, the texts of ``learned`` roles as they stand there,
+    empty ones included. Null role or text is as empty, null score as zero; a null tree is a tree of
+    its own; of repeated (tree, node) rows the least by parent, role, text and score counts; texts may
+    be of any length, all of a path's being one row; other columns are not read; an empty table gives
+    no rows.
     """
     rows = messages.select("tree", "node", "parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
-    rows = rows.withColumn("tree", F.coalesce(F.col("tree").cast("string"), F.lit("")))
-    steps = paths(rows)
-    steps = steps.join(rows.select("tree", "node", "role", "text", "score"), ["tree", "node"])
-    turn = F.struct((-F.col("up")).alias("at"), F.concat(F.lit(TURN), escaped(F.col("role")), F.lit(SAYS), escaped(F.col("text")), F.lit(END)).alias("line"))
-    whole = steps.groupBy("tree", "leaf").agg(F.avg("score").alias("score"), F.count(F.lit(1)).alias("turns"), F.sort_array(F.collect_list(turn)).alias("lines"))
-    whole = whole.select("tree", "leaf", "score", "turns", F.array_join("lines.line", "").alias("formatted"))
-    if best is None:
-        return whole.select("tree", "leaf", F.lit(None).cast("int").alias("rank"), "turns", "formatted")
-    ranked = stored(whole, "branches")
-    # Branches of a tree are ranked without their texts; a tree has as many rows here as leaves.
-    order = ranked.select("tree", "leaf", "score").withColumn("rank", F.row_number().over(W.partitionBy("tree").orderBy(F.desc("score"), "leaf")))
-    return ranked.join(order.where(F.col("rank") <= best).select("tree", "leaf", "rank"), ["tree", "leaf"]).select("tree", "leaf", "rank", "turns", "formatted")
+    rows = rows.withColumn("tree", F.coalesce(F.concat(F.lit("="), F.col("tree").cast("string")), F.lit("")))
+    rows = rows.groupBy("tree", "node").agg(F.min(F.struct("parent", "role", "text", "score")).alias("m")).select("tree", "node", "m.*")
+    steps = paths(rows, best).join(rows.select("tree", "node", "role", "text"), ["tree", "node"])
+    text = escaped(F.col("text"))
+    before = F.concat(F.lit(TURN), escaped(F.col("role")), F.lit(SAYS))
+    turn = F.struct((-F.col("up")).alias("at"), F.concat(before, text, F.lit(END)).alias("line"), F.col("role").isin(*learned).alias("learn"), (F.col("past") + F.length(before)).alias("start"), F.length(text).alias("length"))
+    past = F.sum(F.length(F.concat(before, text, F.lit(END)))).over(W.partitionBy("tree", "leaf", "rank").orderBy(F.desc("up")).rowsBetween(W.unboundedPreceding, -1))
+    whole = steps.withColumn("past", F.coalesce(past, F.lit(0))).groupBy("tree", "leaf", "rank").agg(F.count(F.lit(1)).alias("turns"), F.sort_array(F.collect_list(turn)).alias("lines"))
+    mask = F.transform(F.filter("lines", lambda x: x.learn), lambda x: F.struct(x.start.cast("long").alias("start"), x.length.cast("long").alias("length")))
+    tree = F.when(F.col("tree") != "", F.col("tree").substr(F.lit(2), F.length("tree"))).alias("tree")
+    return whole.select(tree, "leaf", "rank", "turns", F.array_join("lines.line", "").alias("formatted"), mask.alias("mask"))
+
+
+def masked(formatted: Column, mask: Column) -> Column:
+    """The texts under a mask, unescaped, one after the other."""
+    return F.array_join(F.transform(mask, lambda m: unescaped(formatted.substr((m.start + 1).cast("int"), m.length.cast("int")))), "")
 
 
 def parsed(formatted: Column) -> Column:

@@ -8,21 +8,20 @@ sum over buckets of the steps between quartiles, and of the steps in length, up
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import importable, map_arrow, slices
+from tessera.llm.common import carried, importable, map_arrow, schema_of, slices
 
 BUCKETS = 256
 #: Difference at which two digests count as unlike altogether; steps of length that count, at most.
 BOUND, LENGTH_STEPS = 256, 32
-#: The least id that is told apart (quantiles of longs are taken as doubles), and where rows without an id go.
-LEAST = -(1 << 62)
 
 
 def digest(raw: bytes) -> np.ndarray:
@@ -64,11 +63,11 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.record_batch([*b.columns[1:], pa.array([encode(digest(t)) for t in b.column(0).to_pylist()], pa.string())], [*b.schema.names[1:], "fingerprint"])
 
 
-def fingerprints(docs: DataFrame, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``(*carry, fingerprint)`` of each whole text; null is as empty."""
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("__text"), *carry)
-    return map_arrow(rows, _fingerprints, ", ".join([f"`{c}` {kinds[c]}" for c in carry] + ["fingerprint string"]))
+def fingerprints(docs: DataFrame, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), new: str = "fingerprint") -> DataFrame:
+    """``(*carry, fingerprint)`` of each whole text; null is as empty; repeated rows come back repeated; carried columns may have any names."""
+    picks, schema, back = carried(docs, carry)
+    rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), *picks)
+    return map_arrow(rows, _fingerprints, schema_of(schema, "fingerprint string")).select(*back, F.col("fingerprint").alias(new))
 
 
 def _edited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,37 +99,60 @@ def _compared(own: tuple, then: tuple) -> tuple:
     return doc, len(text), hashlib.sha256(raw).hexdigest(), encode(print_), encode(edited), likeness(print_, edited), likeness(print_, then[2])
 
 
+def key_of(id_col: str, text_col: str) -> Column:
+    """A row's place in the order, as bytes that compare as it does: without an id last, then ids descending, then the text's hash."""
+    sign = F.lit(-(1 << 63))
+    ordered = lambda c: F.lpad(F.hex(c.bitwiseXOR(sign)), 16, "0")
+    own = F.col(id_col).cast("long")
+    head = F.when(own.isNull(), F.lit("01" + "0" * 16)).otherwise(F.concat(F.lit("00"), ordered(F.bitwise_not(own))))
+    return F.unhex(F.concat(head, ordered(F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))))).alias("key")
+
+
+def ranges(keys: DataFrame, parts: int) -> list[bytes]:
+    """Keys at which about ``parts`` ranges of near equal row counts begin, the first range's excepted.
+
+    Quantiles are of ids; an id, or the lack of one, that holds several ranges' rows is cut by the hash.
+    """
+    unsigned = F.conv(F.hex(F.substring("key", 2, 8)), 16, -10).cast("long").bitwiseXOR(F.lit(-(1 << 63)))
+    null = F.substring("key", 1, 1) == F.lit(b"\x01")
+    got = keys.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(null, 1)).alias("nulls"), F.percentile_approx(F.when(~null, unsigned), [i / parts for i in range(1, parts)] or [0.5], 20000).alias("cuts")).first()
+    heads: Counter = Counter(bytes(1) + ((c + (1 << 63)) % (1 << 64)).to_bytes(8, "big") for c in (got.cuts or []))
+    if got.nulls:
+        heads[b"\x01" + bytes(8)] = 1 + got.nulls * parts // max(1, got.n)
+    out = {head + (j * ((1 << 64) // n)).to_bytes(8, "big") for head, n in heads.items() for j in range(n)}
+    return sorted(out)
+
+
 def with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document's fingerprint against that of its edited text and of the next document.
 
-    Documents go in descending id, rows of one id by text, null ids last; after the last comes the
-    first. Ranges of ids of near equal row counts are dealt out, and each range also gets the first
-    row of the one after it. Null text is as empty; a lone document is its own next.
+    Documents go in descending id, rows of one id by their text's hash, null ids last; after the last
+    comes the first. Ranges of near equal row counts are dealt out, an id of many rows in several; and
+    each range also gets the first row of the one after it. Null text is as empty; repeated rows each
+    come next to the other; a lone document is its own next; a text may be of any length, a task
+    holding two; other columns are not read; an empty table gives no rows.
     """
     spark = docs.sparkSession
     importable(spark)
-    key = F.greatest(F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST)), F.lit(LEAST))
-    ids = docs.select(key.alias("k"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = ids.agg(F.percentile_approx("k", [i / parts for i in range(1, parts)] or [0.5], 20000).alias("c")).first().c or []
-    cuts = np.array(sorted({-int(c) for c in cuts if c is not None}), np.float64 if not cuts else np.int64)
+    keys = docs.select(key_of(id_col, text_col))
+    cuts = np.array(ranges(keys, int(spark.conf.get("spark.sql.shuffle.partitions"))), "S17")
 
-    def range_of(k: pd.Series) -> np.ndarray:
-        return np.searchsorted(cuts, -k.to_numpy(np.int64), side="right") if len(cuts) else np.zeros(len(k), np.int64)
+    def range_of(key: pd.Series) -> np.ndarray:
+        return np.searchsorted(cuts, np.array(key.tolist(), "S17"), side="right") if len(cuts) and len(key) else np.zeros(len(key), np.int64)
 
     @F.pandas_udf("int")
-    def in_range(k: pd.Series) -> pd.Series:
-        return pd.Series(range_of(k).astype(np.int32))
+    def in_range(key: pd.Series) -> pd.Series:
+        return pd.Series(range_of(key).astype(np.int32))
 
-    heads = sorted((r.r, r.k) for r in ids.select("k", in_range("k").alias("r")).groupBy("r").agg(F.max("k").alias("k")).collect())  # one row a range
+    heads = sorted((r.r, bytes(r.key)) for r in keys.select("key", in_range("key").alias("r")).groupBy("r").agg(F.min("key").alias("key")).collect())  # one row a range
     before = {k: heads[i - 1][0] for i, (_, k) in enumerate(heads)}
 
     @F.pandas_udf("array<int>")
-    def places(k: pd.Series) -> pd.Series:
-        return pd.Series([[int(r), before[x]] if x in before else [int(r)] for r, x in zip(range_of(k), k.tolist(), strict=True)])
+    def places(key: pd.Series) -> pd.Series:
+        return pd.Series([[int(r), before[x]] if x in before else [int(r)] for r, x in zip(range_of(key), map(bytes, key), strict=True)])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), key.alias("k"))
-    rows = rows.select("doc_id", "text", "k", F.posexplode(places("k")).alias("guest", "range"))
-    rows = rows.repartitionById(max(1, len(cuts) + 1), F.col("range")).sortWithinPartitions("guest", F.desc("k"), "text")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), key_of(id_col, text_col))
+    rows = rows.select("doc_id", "text", "key", F.posexplode(places("key")).alias("guest", "range"))
+    rows = rows.repartitionById(len(cuts) + 1, F.col("range")).sortWithinPartitions("guest", "key", "text")
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return map_arrow(rows.select("doc_id", "text", (F.col("guest") > 0).alias("guest")), _edited, schema)

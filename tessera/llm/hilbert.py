@@ -9,11 +9,11 @@ from __future__ import annotations
 
 import pandas as pd
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql import Window as W
 
-from tessera.llm.common import importable, stored
+from tessera.llm.common import fresh, importable, stored
 
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -44,40 +44,61 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def _ordinal(df: DataFrame, name: str) -> Column:
-    """A long in the column's order: of a string, its first seven bytes."""
-    col = F.col(name)
-    if isinstance(df.schema[name].dataType, StringType):
-        head = F.rpad(F.hex(F.substring(col.cast("binary"), 1, 7)), 14, "0")
-        return F.coalesce(F.conv(head, 16, 10).cast("long"), F.lit(-1))
-    return F.coalesce(col.cast("long"), F.lit(-(1 << 62)))
+def cuts_of(rows: DataFrame, name: str, cells: int) -> list:
+    """The distinct values, in order, at the ``cells``-quantiles of a column over all rows, nulls first; at most ``cells`` - 1.
+
+    Values are counted, the counts sorted by value and summed up by ranges: exact for any type that
+    can be ordered, and the driver gets a row a range and the cuts.
+    """
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    value = F.col(name)
+    counts = rows.groupBy(value.alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.repartitionByRange(parts, F.col("v").asc_nulls_first()).sortWithinPartitions(F.col("v").asc_nulls_first())
+    counts = stored(counts.withColumn("at", F.monotonically_increasing_id()), "values")
+    run = F.shiftright("at", 33)
+    sizes = sorted((r.run, r.n) for r in counts.groupBy(run.alias("run")).agg(F.sum("n").alias("n")).collect())  # a row a range
+    before, starts = 0, []
+    for r, n in sizes:
+        starts.append((r, before))
+        before += n
+    if not before:
+        return []
+    wanted = sorted({-(-before * k // cells) for k in range(1, cells)})  # ranks from 1
+    starts = F.broadcast(rows.sparkSession.createDataFrame(starts, "run long, start long"))
+    upto = F.sum("n").over(W.partitionBy("run").orderBy("at")) + F.col("start")
+    summed = counts.withColumn("run", run).join(starts, "run").select("v", "n", upto.alias("upto"))
+    hit = F.exists(F.array(*[F.lit(w).cast("long") for w in wanted]), lambda w: (F.col("upto") >= w) & (F.col("upto") - F.col("n") < w))
+    return sorted(r.v for r in summed.where(hit & F.col("v").isNotNull()).select("v").collect())  # at most a row a cut
 
 
 def sharded(rows: DataFrame, dims: list[str], shards: int, keep: list[str], tie: str, bits: int = 4) -> DataFrame:
     """``(*keep, curve, shard, slot)``: rows in curve order, cut into ``shards`` runs whose counts are at most one apart.
 
-    ``slot`` is the place in the shard, from 0 without gaps; rows of one cell go by ``tie``. Nulls
-    come first in a dimension. Repeated rows each get a place; an empty table gives no rows. Only the
-    kept columns are shuffled: keep ids and sizes, not texts.
+    ``slot`` is the place in the shard, from 0 without gaps; rows of one cell go by ``tie`` and then
+    the other kept columns. Dimensions are cut at the quantiles of their values over all rows, nulls
+    first. Repeated rows each get a place; an empty table gives no rows. Only the kept columns are
+    shuffled: keep ids and sizes to place rows, or all columns, none of them called ``curve``,
+    ``shard`` or ``slot``, to write them; other columns may have any names.
     """
+    if len(dims) * bits > 63:
+        raise ValueError(f"{len(dims)} dimensions of {bits} bits are over 63")
     importable(rows.sparkSession)
-    ordinals = [_ordinal(rows, d).alias(f"__d{i}") for i, d in enumerate(dims)]
-    rows = rows.select(*keep, *ordinals)
-    share = [i / (1 << bits) for i in range(1, 1 << bits)]
-    cuts = rows.agg(*[F.percentile_approx(f"__d{i}", share, 10000).alias(f"c{i}") for i in range(len(dims))]).first()
-    cuts = [np.unique(np.array(c or [], np.int64)) for c in cuts]
 
     @F.pandas_udf("long")
-    def curve(*cols: pd.Series) -> pd.Series:
-        cells = np.stack([np.searchsorted(c, x.to_numpy(np.int64)) for c, x in zip(cuts, cols, strict=True)], 1)
-        return pd.Series(hilbert_index(cells, bits))
+    def along(cells: pd.Series) -> pd.Series:
+        return pd.Series(hilbert_index(np.stack(cells.to_numpy()), bits)) if len(cells) else pd.Series([], dtype="int64")
 
-    rows = rows.withColumn("curve", curve(*[f"__d{i}" for i in range(len(dims))])).drop(*[f"__d{i}" for i in range(len(dims))])
+    cells = []
+    for d in dims:
+        cuts = cuts_of(rows, d, 1 << bits)
+        cells.append(sum((F.coalesce(F.col(d) > F.lit(c), F.lit(False)).cast("long") for c in cuts), F.lit(0).cast("long")))
+    curve, at = fresh(keep, "curve", "at")
+    rows = rows.select(*keep, along(F.array(*cells)).alias(curve))
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    runs = rows.repartitionByRange(parts, "curve", tie).sortWithinPartitions("curve", tie, *[k for k in keep if k != tie])
+    runs = rows.repartitionByRange(parts, curve, tie).sortWithinPartitions(curve, tie, *[k for k in keep if k != tie])
     # Stored with each row's run and place in it: ranks must not be taken from a shuffle that may run again.
-    runs = stored(runs.withColumn("__at", F.monotonically_increasing_id()), "curve")
-    run, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    runs = stored(runs.withColumn(at, F.monotonically_increasing_id()), "curve")
+    run, place = F.shiftright(at, 33), F.col(at).bitwiseAND(F.lit((1 << 33) - 1))
     counts = sorted((r.run, r.n) for r in runs.groupBy(run.alias("run")).agg(F.count(F.lit(1)).alias("n")).collect())  # one row a run
     total = sum(n for _, n in counts)
     before, starts = 0, []
@@ -85,14 +106,14 @@ def sharded(rows: DataFrame, dims: list[str], shards: int, keep: list[str], tie:
         starts.append((r, before))
         before += n
     spark = rows.sparkSession
-    starts = F.broadcast(spark.createDataFrame(starts, "run long, start long"))
-    ranked = runs.withColumn("run", run).join(starts, "run").withColumn("rank", F.col("start") + place)
-    shard = F.floor(F.col("rank") * shards / F.lit(max(1, total))) if total * shards > 1 << 52 else F.expr(f"rank * {shards} div {max(1, total)}")
-    first = F.expr(f"(shard * {total} + {shards - 1}) div {shards}")
-    return ranked.withColumn("shard", shard.cast("int")).select(*keep, "curve", "shard", (F.col("rank") - first).cast("long").alias("slot"))
+    run_, start, rank = fresh([*keep, curve, at], "run", "start", "rank")
+    starts = F.broadcast(spark.createDataFrame(starts, f"{run_} long, {start} long"))
+    ranked = runs.withColumn(run_, run).join(starts, run_).withColumn(rank, F.col(start) + place)
+    shard = F.floor(F.col(rank) * shards / F.lit(max(1, total))) if total * shards > 1 << 52 else F.expr(f"{rank} * {shards} div {max(1, total)}")
+    out = ranked.select(*keep, F.col(curve).alias("curve"), shard.cast("int").alias("shard"), F.col(rank))
+    return out.select(*keep, "curve", "shard", (F.col(rank) - F.expr(f"(shard * {total}L + {shards - 1}) div {shards}")).cast("long").alias("slot"))
 
 
-def write_shards(rows: DataFrame, placed: DataFrame, key: str, path: str) -> None:
-    """Write whole rows as one folder for each shard, each sorted along the curve."""
-    own = rows.join(placed.select(key, "shard", "slot"), key)
-    own.repartition("shard").sortWithinPartitions("shard", "slot").drop("slot").write.partitionBy("shard").parquet(path)
+def write_shards(placed: DataFrame, path: str) -> None:
+    """Write rows that ``sharded`` has placed as one folder for each shard, each sorted along the curve. A shard is one task's."""
+    placed.repartition("shard").sortWithinPartitions("shard", "slot").drop("slot", "curve").write.partitionBy("shard").parquet(path)

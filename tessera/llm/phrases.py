@@ -4,8 +4,8 @@ Three passes over a stored copy of the texts; only hashes and phrases are shuffl
 have a row id, and blocks of consecutive rows are the shards.
 
 1. Anchors. Of the 8-word phrases in a window the one with the least hash is its anchor, so equal
-   windows have equal anchors; about one phrase in fourteen is one. Each block counts its anchors with
-   a hash of their context, all words that a window around one can reach. An anchor seen once is in no
+   windows have equal anchors; about one phrase in fourteen is one. Each block counts its anchors,
+   with the least and the largest hash of their contexts, all words that a window around one can reach. An anchor seen once is in no
    recurring window. One seen in a single context confirms that whole context.
 2. Windows. Around anchors with several contexts, windows themselves are counted. The block in which
    a confirmed anchor comes first also hands out its phrase, the text that stands there.
@@ -165,8 +165,12 @@ def _anchors(window: int):
         now, n = -1, 0
 
         def counted() -> pa.RecordBatch:
-            (anchor, context), times = _counted(*(np.concatenate([h[k] for h in held]) for k in (0, 1)))
-            return pa.record_batch([pa.array(np.full(len(anchor), now)), _long(anchor), _long(context), pa.array(times.astype(np.int64))], ["block", "a", "ctx", "n"])
+            anchor, context = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+            order = np.lexsort((context.view(np.int64), anchor))
+            anchor, context = anchor[order], context[order]
+            first = np.flatnonzero(np.concatenate([anchor[:1] == anchor[:1], anchor[1:] != anchor[:-1]]))
+            last = np.append(first[1:], len(anchor))
+            return pa.record_batch([pa.array(np.full(len(first), now)), _long(anchor[first]), _long(context[first]), _long(context[last - 1]), pa.array(last - first)], ["block", "a", "lo", "hi", "n"])
 
         for block, b in by_block(batches):
             if held and (block != now or n >= COUNTED):
@@ -350,10 +354,11 @@ def without_recurring(docs: DataFrame, text_col: str = "text", window: int = 35,
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(text_col).cast("binary").alias("bytes"), *picks)
     rows = stored(rows, "texts")
     only = rows.select("rid", "bytes")
-    anchors = stored(map_arrow(only, _anchors(window), "block long, a long, ctx long, n long"), "anchors")
-    known = anchors.groupBy("a").agg(F.sum("n").alias("n"), F.min("ctx").alias("lo"), F.max("ctx").alias("hi"), F.min("block").alias("first")).where("n > 1")
-    known = known.select("a", (F.col("lo") != F.col("hi")).alias("mixed"), "first")
-    back = stored(anchors.select("block", "a", "ctx").join(known, "a").select("block", "a", "ctx", "mixed", (F.col("block") == F.col("first")).alias("own")), "recurring")
+    anchors = stored(map_arrow(only, _anchors(window), "block long, a long, lo long, hi long, n long"), "anchors")
+    known = anchors.groupBy("a").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("block").alias("first")).where("n > 1")
+    known = known.select("a", (F.col("lo") != F.col("hi")).alias("mixed"), F.col("lo").alias("ctx"), "first")
+    back = anchors.select("block", "a").join(known, "a").select("block", "a", "ctx", "mixed", (F.col("block") == F.col("first")).alias("own"))
+    back = stored(back, "recurring")
     asked = _by_part(back.where("mixed or own").select("block", "a", "mixed", "own"), "asked")
     looked = stored(map_arrow(only, _windows(window, asked), "block long, a long, w long, n long, phrase binary"), "windows")
     windows = looked.where("w is not null")

@@ -66,10 +66,9 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     in_turn = W.partitionBy("conv_id").orderBy("turn", "role", "text")  # a conversation is one output row
     rows = rows.withColumn("node", F.row_number().over(in_turn).cast("long"))
     messages = rows.select(F.col("conv_id").alias("tree"), "node", (F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
-    turns = chat.conversations(messages).select(F.expr("try_cast(tree as bigint)").alias("conv_id"), "formatted", chat.parsed(F.col("formatted")).alias("turns"))
+    turns = chat.conversations(messages).select(F.expr("try_cast(tree as bigint)").alias("conv_id"), "formatted", chat.masked(F.col("formatted"), F.col("mask")).alias("loss"), chat.parsed(F.col("formatted")).alias("turns"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t.role == "assistant"), lambda t: t.text), "")
-    turns = turns.select("conv_id", F.size("turns").cast("long").alias("n_turns"), said.alias("said"), loss.alias("loss"), "formatted")
+    turns = turns.select("conv_id", F.size("turns").cast("long").alias("n_turns"), said.alias("said"), "loss", "formatted")
     return turns.select("conv_id", "n_turns", F.sha2(F.col("said").cast("binary"), 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
@@ -97,6 +96,31 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(page("id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), page("refers_to").alias("refers_to"))
 
 
+ORACLES["op1_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS s FROM pages),
+t AS (SELECT s, max(page_id) AS top FROM p GROUP BY s),
+n AS (SELECT s, list_transform([1, 11, 21, 31], lambda i: CAST('0x' || substr(s, i, 10) AS BIGINT)) AS five FROM t),
+d AS (SELECT s, array_to_string(list_transform(five, lambda v: array_to_string(list_transform([35, 30, 25, 20, 15, 10, 5, 0],
+        lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((v >> k) & 31 AS INTEGER) + 1, 1)), '')), '') AS digest FROM n)
+SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
+FROM p JOIN t USING (s) JOIN d USING (s)
+"""
+
+ORACLES["op5_phrases"] = r"""
+WITH w AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+k AS (SELECT rid, unnest(list_transform(range(1, len(ws) - 33), lambda i: array_to_string(ws[i:i + 34], ' '))) AS run,
+             unnest(range(1, len(ws) - 33)) AS i FROM w WHERE len(ws) >= 35),
+r AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY run) AS n FROM k) WHERE n > 1),
+g AS (SELECT DISTINCT rid, unnest(range(i, i + 35)) AS p FROM r),
+x AS (SELECT rid, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM w),
+f AS (SELECT x.rid, count(g.p) AS gone, string_agg(word, ' ' ORDER BY x.p) FILTER (WHERE g.p IS NULL) AS kept
+      FROM x LEFT JOIN g ON g.rid = x.rid AND g.p = x.p GROUP BY x.rid)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN f USING (rid)
+"""
+
+
 @query
 def op6_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")

@@ -19,11 +19,13 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_arrow, scratch, slices
+from tessera.llm.common import map_arrow, scratch, slices, stored
 
 MAGIC = b"\x1f\x8b\x08"
-#: Bytes of a range; of one read; that a header may take at most before a candidate is given up.
-RANGE, READ, HEADER = 4 << 20, 1 << 20, 64 << 10
+#: Revisits that are broadcast, at most (36 bytes each).
+BROADCAST_ROWS = 500_000
+#: Bytes of a range; of one read; that are unpacked at once at the beginning of a record.
+RANGE, READ, HEADER = 4 << 20, 1 << 20, 2 << 10
 
 
 def payload_digest(raw: bytes) -> str:
@@ -43,7 +45,7 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     head, _, rest = raw.partition(b"\r\n\r\n")
     first, *lines = head.decode("utf-8", "replace").split("\r\n")
     fields = {"version": first} | {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-    return fields, rest[: int(fields.get("content-length", "0"))]
+    return fields, rest[: int(fields.get("content-length", "0") or 0)]
 
 
 def _write(path: str):
@@ -72,16 +74,24 @@ def _write(path: str):
 def write_archives(pages: DataFrame, path: str, min_dup_bytes: int = 0) -> list[tuple[str, int, int]]:
     """Write ``pages(page_id, url, html)`` as archives under ``path``; gives (file, bytes, records) of each.
 
-    Null html is an empty payload. Of pages with equal payloads of at least ``min_dup_bytes`` that
-    with the largest id is the response, the others revisit it; pages with a null id are responses.
-    A file belongs to one task attempt, and only the files of attempts that succeeded are returned.
+    Null html is an empty payload, null url an empty one. Of pages with equal payloads of at least
+    ``min_dup_bytes`` that with the largest id is the response, the others revisit it; of repeated
+    rows of that id each is a response; pages with a null id are responses. A page's record is in one
+    task's memory. Other columns are not read; an empty table writes no file. A file belongs to one
+    task attempt, and only the files of attempts that succeeded are returned.
+
+    Payloads stay where they are read: digests are grouped by (payload, id) pairs alone, and what a
+    page revisits comes to it by its id, broadcast if these are few.
     """
     raw = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), raw.alias("payload"))
     rows = rows.withColumn("sha", F.unhex(F.sha1("payload")))
-    own = F.when(F.octet_length("payload") >= min_dup_bytes, F.col("page_id"))
-    groups = rows.groupBy("sha").agg(F.max(own).alias("original"), F.count(own).alias("n")).where("n > 1").select("sha", "original")
-    rows = rows.join(groups, "sha", "left")
+    pairs = rows.where((F.octet_length("payload") >= min_dup_bytes) & F.col("page_id").isNotNull()).select("sha", "page_id")
+    most = pairs.groupBy("sha").agg(F.max("page_id").alias("original"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha", "original")
+    again = stored(pairs.join(most, "sha").where("page_id <> original").distinct(), "revisits")
+    few = again.count() <= BROADCAST_ROWS
+    named = rows.where("page_id is not null").join(F.broadcast(again) if few else again, ["page_id", "sha"], "left")
+    rows = named.unionByName(rows.where("page_id is null").withColumn("original", F.lit(None).cast("long")))
     written = map_arrow(rows.select("page_id", "url", "payload", base32(F.col("sha")).alias("digest"), "original"), _write(path), "path string, size long, records long")
     return [(r.path, r.size, r.records) for r in written.collect()]  # one row a file
 
@@ -100,93 +110,127 @@ class _Reader:
     """Bytes of a file from a place on, a portion at a time."""
 
     def __init__(self, file: pa.NativeFile, at: int, size: int):
-        self.file, self.at, self.size, self.have = file, at, size, b""
+        self.file, self.size = file, size
+        self.base, self.have, self.off = at, b"", 0
+
+    @property
+    def at(self) -> int:
+        return self.base + self.off
+
+    def left(self) -> int:
+        return len(self.have) - self.off
 
     def more(self) -> bool:
-        """Read another portion behind what is held."""
-        want = min(READ, self.size - self.at - len(self.have))
+        """Read another portion behind what is held; what lies before the place is let go."""
+        want = min(READ, self.size - self.base - len(self.have))
         if want <= 0:
             return False
-        self.file.seek(self.at + len(self.have))
-        self.have += self.file.read(want)
+        self.file.seek(self.base + len(self.have))
+        self.base, self.have, self.off = self.at, self.have[self.off :] + self.file.read(want), 0
         return True
 
-    def skip(self, n: int) -> None:
-        self.have = self.have[n:]
-        self.at += n
+    def find(self, what: bytes) -> int | None:
+        """Move on to where these bytes come next, if they do."""
+        while (found := self.have.find(what, self.off)) < 0:
+            self.off = max(self.off, len(self.have) - len(what) + 1)
+            if not self.more():
+                return None
+        self.off = found
+        return self.at
+
+    def move(self, to: int) -> None:
+        """Go on from a place further on."""
+        if self.base <= to <= self.base + len(self.have):
+            self.off = to - self.base
+        else:
+            self.base, self.have, self.off = to, b"", 0
+
 
+def _member(reader: _Reader) -> tuple[bytes | None, str | None]:
+    """(record, what is wrong with it) of the member that begins at the reader's place, behind which that moves.
 
-def _member(reader: _Reader) -> bytes | None:
-    """The record of the member that begins at the reader's place, which moves behind it; None if there is none."""
-    file, size = reader.file, reader.size
-    unpack, out, at, data = zlib.decompressobj(31), [], reader.at, reader.have
-    got, checked = 0, False
+    No record: the place is not a member's. A record that is cut off or damaged after its header
+    comes as far as it goes, and leaves the reader one byte on.
+    """
+    start, unpack, out = reader.at, zlib.decompressobj(31), []
+    at, data, got, wrong = reader.at, reader.have[reader.off :], 0, None
+    while not unpack.eof:
+        if not data and at < reader.size:
+            reader.file.seek(at)
+            data = reader.file.read(min(READ, reader.size - at))
+        try:
+            part = unpack.decompress(data, 16 if got < 7 else HEADER if got < HEADER else READ)
+        except zlib.error:
+            wrong = "damaged"
+            break
+        rest = unpack.unused_data if unpack.eof else unpack.unconsumed_tail
+        at, data = at + len(data) - len(rest), rest
+        out.append(part)
+        got += len(part)
+        if (got >= 7 or unpack.eof) and not (out[0] if len(out[0]) >= 7 else b"".join(out)).startswith(b"WARC/1."):
+            got = 0
+            break
+        if not part and not data and at >= reader.size and not unpack.eof:
+            wrong = "cut off"
+            break
+    if unpack.eof and got:
+        reader.move(at)
+        return b"".join(out), None
+    reader.move(start + 1)
+    return (b"".join(out), wrong or "damaged") if got >= 7 else (None, None)
+
+
+def records_in(file: pa.NativeFile, size: int, start: int, end: int) -> Iterator[tuple[int, bytes, str | None]]:
+    """(place, record, what is wrong) of the members that begin in [start, end).
+
+    Behind a member another must begin, or the file end: where none does, an empty record tells of it.
+    """
+    reader, expected = _Reader(file, start, size), None
+    while True:
+        at = reader.find(MAGIC) if expected is None else expected
+        if at is None or at >= size:
+            return
+        if at >= end:
+            if expected is not None and not _begins(reader):
+                yield at, b"", "no record"
+            return
+        raw, wrong = _member(reader)
+        if raw is not None:
+            yield at, raw, wrong
+        elif expected is not None:
+            yield at, b"", "no record"
+        expected = reader.at if raw is not None and wrong is None else None
+
+
+def _begins(reader: _Reader) -> bool:
+    """Whether a record's header decodes at the reader's place."""
+    while reader.left() < 4096 and reader.more():
+        pass
     try:
-        while True:
-            if not data:
-                want = min(READ, size - at)
-                if want <= 0:
-                    return None
-                file.seek(at)
-                data = file.read(want)
-            part = unpack.decompress(data, HEADER if not checked else 0)
-            out.append(part)
-            got += len(part)
-            if not checked and (got >= 7 or unpack.eof):
-                head = b"".join(out)
-                if not head.startswith(b"WARC/1."):
-                    return None
-                checked = True
-            if unpack.eof:
-                end = at + len(data) - len(unpack.unused_data)
-                reader.skip(end - reader.at) if end - reader.at <= len(reader.have) else reader.__init__(file, end, size)
-                return b"".join(out)
-            if unpack.unconsumed_tail:
-                at += len(data) - len(unpack.unconsumed_tail)
-                data = unpack.unconsumed_tail
-            else:
-                at += len(data)
-                data = b""
+        return zlib.decompressobj(31).decompress(reader.have[reader.off :], 7).startswith(b"WARC/1.")
     except zlib.error:
-        return None
-
-
-def records_in(file: pa.NativeFile, size: int, start: int, end: int) -> Iterator[tuple[int, bytes]]:
-    """(place, record) of the members that begin in [start, end)."""
-    reader = _Reader(file, start, size)
-    while reader.at < end:
-        found = reader.have.find(MAGIC)
-        if found < 0:
-            keep = min(len(MAGIC) - 1, len(reader.have))
-            reader.skip(len(reader.have) - keep)
-            if not reader.more():
-                return
-            continue
-        reader.skip(found)
-        if reader.at >= end:
-            return
-        at = reader.at
-        raw = _member(reader)
-        if raw is None:
-            reader.skip(1)
-        else:
-            yield at, raw
+        return False
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["path", "at", "kind", "id", "uri", "digest", "refers_to", "payload_bytes", "payload"]
+    names = ["path", "at", "kind", "id", "uri", "digest", "refers_to", "payload_bytes", "payload", "error"]
     for b in batches:
         for path, size, start, end in zip(*(c.to_pylist() for c in b.columns), strict=True):
             fs, name = pa.fs.FileSystem.from_uri(path)
             with fs.open_input_file(name) as file:
                 out: list[tuple] = []
                 held = 0
-                for at, raw in records_in(file, size, start, end):
+                for at, raw, wrong in records_in(file, size, start, end):
                     h, block = parse(raw)
                     kind = h.get("warc-type", "")
                     revisit = kind == "revisit"
-                    digest = h.get("warc-payload-digest", "").removeprefix("sha1:") if revisit else payload_digest(block)
-                    out.append((path, at, kind, h.get("warc-record-id"), h.get("warc-target-uri"), digest, h.get("warc-refers-to"), int(h.get("x-payload-length", 0)) if revisit else len(block), None if revisit else block))
+                    said = h.get("warc-payload-digest", "").removeprefix("sha1:")
+                    digest = said if revisit or wrong else payload_digest(block)
+                    if wrong is None and len(block) != int(h.get("content-length", "-1")):
+                        wrong = "length"
+                    elif wrong is None and said and digest != said:
+                        wrong = "digest"
+                    out.append((path, at, kind, h.get("warc-record-id"), h.get("warc-target-uri"), digest, h.get("warc-refers-to"), int(h.get("x-payload-length", 0)) if revisit else len(block), None if revisit else block, wrong))
                     held += len(block)
                     if held > 8 << 20 or len(out) >= 1024:
                         yield _batch(out, names)
@@ -196,14 +240,16 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string()]
     return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
 def read_archives(spark: SparkSession, files: list[tuple[str, int]], range_bytes: int = RANGE) -> DataFrame:
-    """Records of archives given as (URI, bytes): ``path, at, kind, id, uri, digest, refers_to, payload_bytes, payload``.
+    """Records of archives given as (URI, bytes): ``path, at, kind, id, uri, digest, refers_to, payload_bytes, payload, error``.
 
-    Ranges are dealt out whatever file they are in. A response's digest is taken from its payload; a
+    ``error`` is null for a whole record; else ``cut off`` or ``damaged`` (what decodes is there),
+    ``length`` or ``digest`` (the block is not as its header says), or ``no record`` where one must
+    begin and none does. Ranges are dealt out whatever file they are in. A response's digest is taken from its payload; a
     revisit, which has none, tells its payload's digest and length in its header.
     """
     files_ = spark.createDataFrame([(p, s) for p, s in files], "path string, size long")
@@ -211,7 +257,7 @@ def read_archives(spark: SparkSession, files: list[tuple[str, int]], range_bytes
     ranges = files_.where("size > 0").select("path", "size", starts).withColumn("end", F.least(F.col("start") + range_bytes, F.col("size")))
     n = sum(-(-s // range_bytes) for _, s in files)
     ranges = ranges.repartition(max(1, n), F.xxhash64("path", "start")) if n > 1 else ranges
-    schema = "path string, at long, kind string, id string, uri string, digest string, refers_to string, payload_bytes long, payload binary"
+    schema = "path string, at long, kind string, id string, uri string, digest string, refers_to string, payload_bytes long, payload binary, error string"
     return map_arrow(ranges, _read, schema)
 
 
