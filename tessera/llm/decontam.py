@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +29,8 @@ from tessera.llm.common import map_arrow, slices, stored
 PASSAGE, RANK, EXTRA = 64, 96, 16
 #: Bytes of numbered words (four a word) that are worked on at once; passages and items of a matrix of cosines.
 PORTION, ROWS_AT_ONCE, ITEMS_AT_ONCE = 512 << 10, 4096, 1024
-#: Words of a worker's cache; vocabulary rows in one partial sum; partial sums that are added at once.
-CACHE, ROWS, FAN_IN = 300_000, 64, 64
+#: Vocabulary rows in one partial sum; partial sums that are added at once.
+ROWS, FAN_IN = 64, 64
 #: A word in a larger share of passages tells nothing, unless an item has no others.
 MAX_DF = 0.01
 #: Least cosine, common subsequence by item length, and share of the answer's words.
@@ -40,8 +41,10 @@ PAIR_BITS = 24
 BLANKS = string.punctuation + "…“”„«»‘’–—¡¿"
 
 
-def normal(word: str) -> str:
-    return word.lower().strip(BLANKS)
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words in lower case without signs around them, of all texts, and where each text's begin. A word of signs alone is empty, and so is an empty text's only one."""
+    words = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(texts))
+    return pc.utf8_trim(pc.utf8_lower(words.values), characters=BLANKS), words.offsets.to_numpy()
 
 
 @dataclass
@@ -58,35 +61,29 @@ class Items:
 def items_of(rows: list) -> Items:
     """``rows`` of (item id, text, answer or None); without an answer the share of the item's last words is told, but none is asked for."""
     vocabulary: dict[str, int] = {}
-    number = lambda text: [vocabulary.setdefault(w, len(vocabulary) + 1) for w in map(normal, (text or "").split()) if w]
+    number = lambda text: [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(pa.array([text or ""]))[0].to_pylist() if w]
     words = [number(r[1]) for r in rows]
     answers = [number(r[2]) if r[2] else w[-ANSWER_WORDS:] for r, w in zip(rows, words, strict=True)]
     return Items([r[0] for r in rows], words, answers, [bool(r[2]) for r in rows], vocabulary)
 
 
-class _Numbers(dict):
-    """Vocabulary numbers by word as written, kept up to a number of words."""
-
-    def __init__(self, vocabulary: dict[str, int]):
-        super().__init__()
-        self.vocabulary = vocabulary
-
-    def __missing__(self, word: str) -> int:
-        own = self.vocabulary.get(word if word.isalpha() and word.islower() else normal(word), 0)
-        if len(self) < CACHE:
-            self[word] = own
-        return own
+def numbers(texts: pa.Array, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit vocabulary numbers from 1, 0 for other words, of all texts, and where each text's begin."""
+    words, offsets = words_of(texts)
+    at = pc.fill_null(pc.index_in(words, value_set=vocabulary), -1).to_numpy()
+    return (at + 1).astype(np.uint32), offsets
 
 
 def _numbered(vocabulary: dict[str, int]):
     """(doc_id, words as 32-bit vocabulary numbers, 0 for others)."""
+    known = list(vocabulary)  # in the order of their numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = _Numbers(vocabulary).__getitem__
-        for b in slices(batches):
-            docs = [t.split() for t in b.column(1).to_pylist()]
-            out = [np.fromiter(map(number, d), np.uint32, len(d)).tobytes() for d in docs]
-            yield pa.record_batch([b.column(0), pa.array(out, pa.binary())], ["doc_id", "ids"])
+        value_set = pa.array(known, pa.string())
+        for b in slices(batches, 2048):
+            ids, offsets = numbers(b.column(1), value_set)
+            raw, cuts = ids.tobytes(), (4 * offsets.astype(np.int64)).tolist()
+            yield pa.record_batch([b.column(0), pa.array([raw[i:j] for i, j in zip(cuts, cuts[1:], strict=False)], pa.binary())], ["doc_id", "ids"])
 
     return run
 

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,6 +142,10 @@ def test_no_peeking(spark):
     assert (a.weight == b.weight).all() and a.bias == b.bias
 
 
+def normal(word):
+    return word.lower().strip(decontam.BLANKS)
+
+
 def slow_lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
@@ -162,7 +167,7 @@ def weighted_passages(texts, vocabulary, idf):
     """TF-IDF rows of length one of all 64-word passages, by loops."""
     rows = []
     for t in texts:
-        words = [vocabulary.get(decontam.normal(w), 0) for w in t.split()]
+        words = [vocabulary.get(normal(w), 0) for w in t.split()]
         for at in range(0, len(words), decontam.PASSAGE):
             row = np.zeros(len(idf))
             for w in words[at : at + decontam.PASSAGE]:
@@ -203,8 +208,8 @@ def test_candidates_are_all_near_passages(spark):
             t[at:at] = own
         texts.append(" ".join(t))
     items = decontam.items_of(bench)
-    number = decontam._Numbers(items.vocabulary)
-    docs = [np.array([number[w] for w in t.split()], np.int64) for t in texts]
+    docs = [decontam.numbers(pa.array([t]), pa.array(list(items.vocabulary)))[0].astype(np.int64)[: len(t)] for t in texts]
+    assert all([items.vocabulary.get(normal(w), 0) for w in t.split()] == d.tolist() for t, d in zip(texts, docs, strict=True))
     ids, sizes = np.concatenate(docs), np.array([len(d) for d in docs])
     df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=len(items.vocabulary) + 1)
     idf = np.log(200 / (1 + df)) * (np.arange(len(df)) > 0)
@@ -240,8 +245,8 @@ def test_long_items(spark):
 def test_leaks(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
-    items = {r.item_id: " ".join(map(decontam.normal, r.text.split())) for r in bench.collect()}
-    texts = {r.doc_id: " " + " ".join(map(decontam.normal, r.text.split())) + " " for r in docs.collect()}
+    items = {r.item_id: " ".join(map(normal, r.text.split())) for r in bench.collect()}
+    texts = {r.doc_id: " " + " ".join(map(normal, r.text.split())) + " " for r in docs.collect()}
     truth = {(d, i) for d, t in texts.items() for i, x in items.items() if f" {x} " in t}
     rng, near = random.Random(1), []
     for k, text in items.items():
