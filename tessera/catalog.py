@@ -348,10 +348,46 @@ def gram_count(spark, sf_dir):
     return index.gram_sets(documents(spark, sf_dir)).select("path", F.size("grams").cast("long").alias("n_grams"))
 
 
-@query(rf"WITH {LINES} SELECT path, line_no, line FROM lines WHERE regexp_matches(line, '(pathetic|worthless) [a-z]+')")
+PRUNED = "(pathetic|worthless) [a-z]+"
+
+
+def chunked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a chunk number; a chunk's rows follow each other in the table."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return rows.select(F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("content"), F.expr("doc_id div 64").alias("chunk_id"))
+
+
+@query(f"WITH {LINES} SELECT path, line_no, line FROM lines WHERE regexp_matches(line, '{PRUNED}')")
 def gram_prune(spark, sf_dir):
-    corpus = documents(spark, sf_dir)
-    return index.search_indexed(corpus, index.gram_table(corpus), "(pathetic|worthless) [a-z]+").select("path", "line_no", "line")
+    corpus = chunked_documents(spark, sf_dir)
+    return index.search_indexed(corpus, index.blooms(corpus), PRUNED).select("path", "line_no", "line")
+
+
+@query(f"WITH {LINES} SELECT path, line_no, line FROM lines WHERE regexp_matches(line, '{PRUNED}')")
+def gram_bruteforce(spark, sf_dir):
+    corpus = chunked_documents(spark, sf_dir)
+    return index.search_indexed(corpus, index.blooms(corpus), PRUNED, parse_options("b")).select("path", "line_no", "line")
+
+
+@query("SELECT doc_id // 64 AS chunk_id, CAST(sum(strlen(text)) + count(*) - 1 AS BIGINT) AS bytes, CAST((sum(strlen(text)) + count(*) - 1) // 50 AS BIGINT) AS filter_bytes FROM documents GROUP BY doc_id // 64")
+def bloom_sizes(spark, sf_dir):
+    built = index.blooms(chunked_documents(spark, sf_dir).repartition(1).sortWithinPartitions("chunk_id"))
+    return built.select("chunk_id", "bytes", F.octet_length("bloom").cast("long").alias("filter_bytes"))
+
+
+@query("SELECT doc_id // 64 AS chunk_id, true AS holds FROM documents GROUP BY doc_id // 64")
+def bloom_membership(spark, sf_dir):
+    """Every chunk's filter holds all 4-grams of its own texts: a filter never rules out what is there."""
+    import pandas as pd
+
+    corpus = chunked_documents(spark, sf_dir)
+
+    @F.pandas_udf("boolean")
+    def holds(raw: pd.Series, rounds: pd.Series, text: pd.Series) -> pd.Series:
+        return pd.Series([bloom.might_hold(b, bloom.grams(t.encode()), r) for b, r, t in zip(raw, rounds, text, strict=True)], dtype=bool)
+
+    built = index.blooms(corpus.repartition(1).sortWithinPartitions("chunk_id"))
+    return corpus.join(built, "chunk_id").groupBy("chunk_id").agg(F.bool_and(holds("bloom", "rounds", "content")).alias("holds"))
 
 
 M = 4294967295

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import string
 from functools import lru_cache, reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from tessera.plans.options import Options
 from tessera.plans.pattern import compile_pattern
 
 FAR = 1 << 30
+ASCII_FOLD = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
 
 def entries(paths: DataFrame, order: Column | None = None) -> DataFrame:
@@ -38,60 +41,54 @@ def subsequence(query: str) -> Column:
     return fold_ascii(F.col("path")).rlike("(?s)" + ".*?".join(quoted))
 
 
-def _side(c: str, other: str | None) -> int:
-    """Cost of leaving a run at character ``c`` whose neighbour outside is ``other``."""
-    if other is None:
-        return 0
-    if "a" <= c <= "z" or c in "[{":  # two signs count as letters
-        return {"/": 1, ".": 1, "_": 2, "-": 2}.get(other, 4)
-    return 4
+def _sides(codes: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Cost of leaving a run at each character whose neighbour outside is ``other`` (0: none)."""
+    letter = (codes >= ord("a")) & (codes <= ord("z")) | np.isin(codes, [ord("["), ord("{")])  # two signs count as letters
+    near = np.select([other == 0, np.isin(other, [ord("/"), ord(".")]), np.isin(other, [ord("_"), ord("-")])], [0, 1, 2], 4)
+    return np.where(other == 0, 0, np.where(letter, near, 4))
 
 
-def rank(query: str, path: str) -> int | None:
-    """Least cost of the query's characters as a subsequence of the folded path; None without one.
+def ranks(query: str, paths: list[str]) -> np.ndarray:
+    """Least cost of the query's characters as a subsequence of each folded path; ``FAR`` without one.
 
     A run costs its open sides, a gap ten and its inner length. The last character takes its first
-    place after the one before it.
+    place after the one before it. One array step a query character, over all paths at once.
     """
-    q, s = query.lower(), path.lower() if path.isascii() else "".join(c.lower() if c.isascii() else c for c in path)
-    n = len(s)
-    left = [_side(s[i], s[i - 1] if i else None) for i in range(n)]
-    right = [_side(s[i], s[i + 1] if i + 1 < n else None) for i in range(n)]
-    now = {i: left[i] for i in range(n) if s[i] == q[0]}
+    q = query.lower()
+    codes = np.array([p.translate(ASCII_FOLD) for p in paths], "U").reshape(-1, 1).view(np.uint32).reshape(len(paths), -1).astype(np.int64) if paths else np.zeros((0, 1), np.int64)
+    none = np.zeros((len(codes), 1), np.int64)
+    left, right = _sides(codes, np.hstack([none, codes[:, :-1]])), _sides(codes, np.hstack([codes[:, 1:], none]))
+    at = np.arange(codes.shape[1])
+    is_ = lambda c: codes == ord(c)
+    now = np.where(is_(q[0]), left, FAR)
     if len(q) == 1:
-        now = dict(list(now.items())[:1])
+        now = np.where(np.cumsum(is_(q[0]), 1) == 1, now, FAR)
     for k, c in enumerate(q[1:], 1):
-        places = [i for i in range(n) if s[i] == c]
-        then: dict[int, int] = {}
         if k == len(q) - 1:
-            for p, cost in now.items():
-                i = next((i for i in places if i > p), None)
-                if i is not None:
-                    own = cost + (0 if i == p + 1 else right[p] + 10 + i - p - 2 + left[i])
-                    then[i] = min(own, then.get(i, FAR))
-        else:
-            best = FAR  # least of cost + right - p over places left behind by a gap
-            at = 0
-            order = sorted(now)
-            for i in places:
-                while at < len(order) and order[at] < i - 1:
-                    p = order[at]
-                    best = min(best, now[p] + right[p] - p)
-                    at += 1
-                own = min(now.get(i - 1, FAR), best + 8 + i + left[i] if best < FAR else FAR)
-                if own < FAR:
-                    then[i] = own
-        now = then
-        if not now:
-            return None
-    return min((cost + right[p] for p, cost in now.items()), default=None)
+            place = np.where(is_(c), at, FAR)
+            ahead = np.hstack([np.minimum.accumulate(place[:, ::-1], 1)[:, ::-1][:, 1:], none + FAR])  # first place after each
+            there = np.minimum(ahead, codes.shape[1] - 1)
+            cost = np.where(ahead == at + 1, 0, right + 8 + ahead - at + np.take_along_axis(left, there, 1)) + np.take_along_axis(right, there, 1)
+            return np.where((now < FAR) & (ahead < FAR), now + cost, FAR).min(1, initial=FAR)
+        gap = np.minimum.accumulate(np.where(now < FAR, now + right - at, FAR), 1)  # by a gap, from places two or more before
+        gap = np.hstack([none + FAR, none + FAR, gap])[:, : codes.shape[1]]
+        run = np.hstack([none + FAR, now[:, :-1]])
+        now = np.where(is_(c), np.minimum(run, np.where(gap < FAR, gap + 8 + at + left, FAR)), FAR)
+    return np.where(now < FAR, now + right, FAR).min(1, initial=FAR)
+
+
+def rank(query: str, path: str) -> int | None:
+    """The rank of one path; None without one."""
+    cost = int(ranks(query, [path])[0])
+    return None if cost >= FAR else cost
 
 
 @lru_cache(maxsize=64)
 def rank_udf(query: str):
     @F.pandas_udf("int")
     def ranked(path: pd.Series) -> pd.Series:
-        return path.map(lambda p: rank(query, p)).astype("Int32")
+        cost = np.concatenate([ranks(query, path.iloc[i : i + 1024].tolist()) for i in range(0, len(path), 1024)]) if len(path) else np.zeros(0, np.int64)
+        return pd.Series(cost).where(cost < FAR).astype("Int32")
 
     return ranked
 

@@ -8,34 +8,47 @@ from pyspark.sql import functions as F
 from tessera.plans.options import Options
 from tessera.plans.pattern import compile_pattern
 
-# Terminal colours.
-MATCH, PATH, NUMBER, SEPARATOR, RESET = "\x1b[31;1m", "\x1b[35m", "\x1b[32m", "\x1b[36m", "\x1b[0m"
+# Terminal colours, the usual ones of grep.
+MATCH = "\x1b[;01;31m"
+PATH = "\x1b[;0;35m"
+NUMBER = "\x1b[;0;32m"
+SEPARATOR = "\x1b[;0;36m"
+RESET = "\x1b[0m"
 
 
 def highlighted(line: Column, query: str, options: Options = Options(), begin: str = MATCH, end: str = RESET) -> Column:
-    """The line with each match between marks, touching matches as one; empty matches get none."""
+    """The line with each match between marks, touching matches as one; empty matches get none. What looks like a mark in the line stays."""
     plan = compile_pattern(query, options.ignore_case, options.literal)
-    if plan.folded:  # cut the line where its folded copy matches
-        return _by_cuts(line, plan.data(line), plan.pattern, begin, end)
+    cut = _by_cuts(line, plan.pattern, begin, end)
     marked = F.regexp_replace(line, plan.pattern, f"{_quoted(begin)}$0{_quoted(end)}")
-    return F.replace(F.replace(marked, F.lit(begin + end), F.lit("")), F.lit(end + begin), F.lit(""))
+    marked = F.replace(F.replace(marked, F.lit(begin + end), F.lit("")), F.lit(end + begin), F.lit(""))
+    return F.when(line.rlike(f"[{_signs(begin, end)}]"), cut).otherwise(marked)
+
+
+def _signs(begin: str, end: str) -> str:
+    """Characters without which no part of a line can be taken for marks: their first, if it is one sign that comes nowhere else in them."""
+    both = begin + end
+    own = begin[0] if begin[0] == end[0] and both.count(begin[0]) == 2 else both
+    return "".join(f"\\x{{{ord(c):x}}}" for c in dict.fromkeys(own))
 
 
 def _quoted(text: str) -> str:
     return text.replace("\\", "\\\\").replace("$", "\\$")
 
 
-def _by_cuts(line: Column, data: Column, pattern: str, begin: str, end: str) -> Column:
-    """Marks by the lengths of matched and unmatched pieces of a copy of equal length."""
-    cut = F.split(F.regexp_replace(data, pattern, "\x01$0\x02"), "[\x01\x02]", -1)
-    start = F.struct(F.lit(1).alias("at"), F.lit("").alias("out"), F.lit(False).alias("inside"))
+def _by_cuts(line: Column, pattern: str, begin: str, end: str) -> Column:
+    """Marks by the lengths of matched and unmatched pieces of a copy of equal length, in which two control characters are others."""
+    cut = F.split(F.regexp_replace(F.translate(line, "\x01\x02", "\x03\x03"), pattern, "\x01$0\x02"), "[\x01\x02]", -1)
+    start = F.struct(F.lit(1).alias("at"), F.lit("").alias("out"), F.lit(False).alias("inside"), F.lit(False).alias("open"))
 
     def step(acc: Column, piece: Column) -> Column:
         own = line.substr(acc["at"], F.length(piece))
-        text = F.when(acc["inside"] & (own != ""), F.concat(F.lit(begin), own, F.lit(end))).otherwise(own)
-        return F.struct((acc["at"] + F.length(piece)).alias("at"), F.concat(acc["out"], text).alias("out"), (~acc["inside"]).alias("inside"))
+        mark = F.when(acc["inside"] & ~acc["open"], F.lit(begin)).when(~acc["inside"] & acc["open"], F.lit(end)).otherwise(F.lit(""))
+        some = F.length(piece) > 0
+        out = F.when(some, F.concat(acc["out"], mark, own)).otherwise(acc["out"])
+        return F.struct((acc["at"] + F.length(piece)).alias("at"), out.alias("out"), (~acc["inside"]).alias("inside"), F.when(some, acc["inside"]).otherwise(acc["open"]).alias("open"))
 
-    return F.replace(F.aggregate(cut, start, step, lambda acc: acc["out"]), F.lit(end + begin), F.lit(""))
+    return F.aggregate(cut, start, step, lambda acc: F.when(acc["open"], F.concat(acc["out"], F.lit(end))).otherwise(acc["out"]))
 
 
 def rendered(found: DataFrame, query: str, options: Options = Options()) -> DataFrame:

@@ -22,9 +22,10 @@ def lines(corpus: DataFrame, *carry: str) -> DataFrame:
     ``ended`` is false for a last line without LF. Empty and null content has no lines.
     """
     first = F.col("start_line") if "start_line" in corpus.columns else F.lit(0)
-    rows = corpus.where("content <> ''").select("path", *carry, first.alias("__first"), F.split("content", "\n", -1).alias("__lines"))
-    last = F.size("__lines") - 1
-    rows = rows.select("path", *carry, "__first", last.alias("__last"), F.posexplode("__lines").alias("__pos", "line"))
+    ends = F.octet_length("content") - F.octet_length(F.replace("content", F.lit("\n"), F.lit("")))
+    rows = corpus.where("content <> ''").select("path", *carry, first.alias("__first"), ends.alias("__last"), "content")
+    # Outer: a filter on the array's size, which would split each text once more, is not inferred.
+    rows = rows.select("path", *carry, "__first", "__last", F.posexplode_outer(F.split("content", "\n", -1)).alias("__pos", "line"))
     rows = rows.where("__pos < __last OR line <> ''")
     return rows.select("path", *carry, (F.col("__pos") + 1 + F.col("__first")).cast("int").alias("line_no"), "line", (F.col("__pos") < F.col("__last")).alias("ended"))
 
@@ -41,10 +42,10 @@ def accepts(path: Column, include: tuple[str, ...] = (), exclude: tuple[str, ...
 
 def first_match(plan: Plan, line: Column) -> tuple[Column, Column]:
     """Bytes before a line's first match, and of the match itself."""
-    data, flags = plan.data(line), plan.pattern[: plan.pattern.index(")") + 1]
+    flags = plan.pattern[: plan.pattern.index(")") + 1]
     body = plan.pattern[len(flags) :]
-    before = F.octet_length(F.regexp_extract(data, f"{flags}^(.*?)(?:{body})", 1))
-    return before, F.octet_length(F.regexp_extract(data, plan.pattern, 0))
+    before = F.octet_length(F.regexp_extract(line, f"{flags}^(.*?)(?:{body})", 1))
+    return before, F.octet_length(F.regexp_extract(line, plan.pattern, 0))
 
 
 def search(corpus: DataFrame, query: str, options: Options = Options(), *carry: str) -> DataFrame:
@@ -58,7 +59,7 @@ def search(corpus: DataFrame, query: str, options: Options = Options(), *carry:
     if (possible := plan.possible(F.col("content"))) is not None and not options.bruteforce:
         corpus = corpus.where(possible)
     found = lines(corpus, *carry).where(plan.matches(F.col("line")))
-    if plan.literal:
+    if not plan.empty:
         return found
     before, size = first_match(plan, F.col("line"))
     return found.where(F.col("ended") | (size > 0) | (before < F.octet_length("line")))
@@ -72,9 +73,13 @@ def columns(found: DataFrame, query: str, options: Options = Options()) -> DataF
 
 
 def ordered(found: DataFrame, limit: int | None = None, *first: str) -> DataFrame:
-    """Rows in path and line order, after the columns in ``first``; a limit keeps the first rows of that order."""
-    found = found.orderBy(*first, "path", "line_no")
-    return found if limit is None else found.limit(limit)
+    """Rows in path and line order, after the columns in ``first``; a limit keeps the first rows of that order.
+
+    Without a limit the rows found are shuffled once before the sort, so that the sort takes its
+    sample from them and the corpus is searched only once.
+    """
+    order = (*first, "path", "line_no")
+    return found.repartition("path").orderBy(*order) if limit is None else found.orderBy(*order).limit(limit)
 
 
 def search_projects(projects: list[tuple[str, DataFrame]], query: str, options: Options = Options()) -> DataFrame:

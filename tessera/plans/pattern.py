@@ -1,20 +1,20 @@
 """Patterns: egrep syntax with perl classes and ``\\b``, parsed once and written for the JVM.
 
-A plan holds the JVM pattern, whether data must be folded before matching, and the literals without
+A plan holds the JVM pattern, in which letters stand for both cases if case is ignored, and the literals without
 which a text can't match, as a tree that becomes a cheap condition on whole documents.
 """
 
 from __future__ import annotations
 
+import re
 import string
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.text import fold_ascii
-
 MOST_REPEATS = 1000
 WORD = "0-9A-Za-z_"
 #: The members of named classes.
@@ -217,23 +217,60 @@ def _code(point: int) -> str:
     return c if c.isascii() and c.isalnum() else f"\\x{{{point:x}}}"
 
 
-def java(node: Node) -> str:
-    """The node as a JVM pattern, for one line without its end."""
+def _either(ranges: tuple[tuple[int, int], ...]) -> list[tuple[int, int]]:
+    """The characters whose folded form is in the ranges: capital letters go by their small ones."""
+    out = []
+    for a, b in ranges:
+        out += [(lo, hi) for lo, hi in ((a, min(b, 0x40)), (max(a, 0x5B), b)) if lo <= hi]
+        lo, hi = max(a, 0x61), min(b, 0x7A)
+        if lo <= hi:
+            out.append((lo - 32, hi - 32))
+    return out
+
+
+_WORDY = _ranges(WORD)
+
+
+def _is_word(node: Node, last: bool) -> bool:
+    """Whether the node's first (or last) character is always one of a word."""
+    if node.kind == "char":
+        return any(a <= ord(node.value) <= b for a, b in _WORDY)
+    if node.kind == "set":
+        return bool(node.value) and all(any(a <= x and y <= b for a, b in _WORDY) for x, y in node.value)
+    if node.kind == "repeat":
+        return node.value[0] > 0 and _is_word(node.parts[0], last)
+    if node.kind == "alt":
+        return all(_is_word(p, last) for p in node.parts)
+    return node.kind == "seq" and bool(node.parts) and _is_word(node.parts[-1 if last else 0], last)
+
+
+def java(node: Node, both: bool = False) -> str:
+    """The node as a JVM pattern, for one line without its end; with ``both`` letters match in either case."""
     kind = node.kind
     if kind == "char":
-        return _code(ord(node.value))
+        c = node.value
+        return f"[{c}{c.upper()}]" if both and c in string.ascii_lowercase else _code(ord(c))
     if kind == "set":
-        return "[" + "".join(_code(a) if a == b else f"{_code(a)}-{_code(b)}" for a, b in node.value) + "]" if node.value else "(?!)"
+        ranges = _either(node.value) if both else node.value
+        return "[" + "".join(_code(a) if a == b else f"{_code(a)}-{_code(b)}" for a, b in ranges) + "]" if ranges else "(?!)"
+    before, after = f"(?<![{WORD}])", f"(?![{WORD}])"
     if kind == "seq":
-        return "".join(f"(?:{java(p)})" if p.kind == "alt" else java(p) for p in node.parts)
+        out = []
+        for i, p in enumerate(node.parts):
+            if p.kind == "word" and i + 1 < len(node.parts) and _is_word(node.parts[i + 1], False):
+                out.append(before)  # half the test is enough beside a word's character
+            elif p.kind == "word" and i and _is_word(node.parts[i - 1], True):
+                out.append(after)
+            else:
+                out.append(f"(?:{java(p, both)})" if p.kind == "alt" else java(p, both))
+        return "".join(out)
     if kind == "alt":
-        return "|".join(java(p) for p in node.parts)
+        return "|".join(java(p, both) for p in node.parts)
     if kind == "repeat":
         low, high = node.value
-        inner = java(node.parts[0])
+        inner = java(node.parts[0], both)
         inner = inner if node.parts[0].kind in ("char", "set", "any") else f"(?:{inner})"
         return inner + {(0, None): "*", (1, None): "+", (0, 1): "?"}.get((low, high), f"{{{low}}}" if low == high else f"{{{low},{'' if high is None else high}}}")
-    before, after = f"(?<![{WORD}])", f"(?![{WORD}])"
     in_, out = f"(?<=[{WORD}])", f"(?=[{WORD}])"
     return {"any": ".", "begin": "^", "end": "$", "word": f"(?:{before}{out}|{in_}{after})", "inside": f"(?:{before}{after}|{in_}{out})"}[kind]
 
@@ -283,27 +320,33 @@ def needs(node: Node) -> Needs | None:
     return _joined("all", out)
 
 
+def may_be_empty(node: Node) -> bool:
+    """Whether the node can match nothing."""
+    if node.kind in ("seq", "alt"):
+        return (all if node.kind == "seq" else any)(map(may_be_empty, node.parts))
+    if node.kind == "repeat":
+        return node.value[0] == 0 or may_be_empty(node.parts[0])
+    return node.kind not in ("char", "set", "any")
+
+
 @dataclass(frozen=True)
 class Plan:
-    """How to match one query: against data as it is, or folded."""
+    """How to match one query. ``folded``: ``needs`` are of the text in lower case; ``empty``: it can match nothing."""
 
     regex: str | None
     literal: str | None
     folded: bool
     needs: Needs | None
-
-    def data(self, col: Column) -> Column:
-        return fold_ascii(col) if self.folded else col
+    empty: bool = False
 
     def matches(self, col: Column) -> Column:
-        col = self.data(col)
         return F.contains(col, F.lit(self.literal)) if self.literal is not None else col.rlike(self.regex)
 
     def possible(self, text: Column) -> Column | None:
         """What any text with a matching line has; None if nothing can be said."""
         if self.literal is not None:
-            return F.contains(self.data(text), F.lit(self.literal)) if self.literal else None
-        return self.needs.condition(self.data(text)) if self.needs else None
+            return F.contains(text, F.lit(self.literal)) if self.literal else None
+        return self.needs.condition(F.lower(text) if self.folded else text) if self.needs else None
 
     @property
     def pattern(self) -> str:
@@ -312,15 +355,23 @@ class Plan:
 
 @lru_cache(maxsize=1024)
 def compile_pattern(query: str, ignore_case: bool = False, literal: bool = False) -> Plan:
-    """Plan of a query. Ignoring case folds A-Z of pattern and data; a pattern beyond ASCII takes the engine's Unicode folding instead."""
+    """Plan of a query. Ignoring case, A-Z and a-z are one; a pattern beyond ASCII takes the engine's Unicode folding instead."""
     folded = ignore_case and query.isascii()
     if "\n" in query:
         raise PatternError("a line has no line end")
-    if literal and not (ignore_case and not folded):
-        return Plan(None, query.lower() if folded else query, folded, None)
-    if literal:
-        return Plan("(?diu)" + "".join(_code(ord(c)) for c in query), None, False, None)
-    tree = _Parser(query, folded).whole()
+    if literal and not ignore_case:
+        return Plan(None, query, False, None, not query)
+    tree = Node("seq", None, tuple(Node("char", c.lower() if folded else c) for c in query)) if literal else _Parser(query, folded).whole()
     if ignore_case and not folded:
-        return Plan("(?diu)" + java(tree), None, False, None)
-    return Plan("(?d)" + java(tree), None, folded, needs(tree))
+        return Plan("(?diu)" + java(tree), None, False, None, may_be_empty(tree))
+    return Plan("(?d)" + java(tree, folded), None, folded, needs(tree), may_be_empty(tree))
+
+
+def in_python(plan: Plan) -> Callable[[str], bool]:
+    """The same test for single strings on the driver or in a directory walk."""
+    if plan.literal is not None:
+        return lambda text: plan.literal in text
+    flags, body = plan.regex[: plan.regex.index(")") + 1], plan.regex[plan.regex.index(")") + 1 :]
+    body = re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", body)
+    found = re.compile(body, re.IGNORECASE if "i" in flags else 0)
+    return lambda text: found.search(text) is not None

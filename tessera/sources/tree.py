@@ -100,8 +100,12 @@ def to_utf8_udf(raw: pd.Series) -> pd.Series:
 
 
 def decoded(raw: Column) -> Column:
-    """Text of raw bytes: transcoded, invalid bytes replaced, line ends normalised, in that order."""
-    return normal_line_ends(F.make_valid_utf8(to_utf8_udf(raw).cast("string")))
+    """Text of raw bytes: transcoded, invalid bytes replaced, line ends normalised, in that order. Only bytes with a mark of another encoding go to Python."""
+    two, three, four = (F.substring(raw, 1, n) for n in (2, 3, 4))
+    wide = two.isin(b"\xff\xfe", b"\xfe\xff") | (four == F.lit(b"\0\0\xfe\xff"))
+    plain = F.when(three == F.lit(b"\xef\xbb\xbf"), F.substring(raw, 4, 1 << 30)).otherwise(raw)
+    own = F.when(wide, to_utf8_udf(F.when(wide, raw))).otherwise(plain)
+    return normal_line_ends(F.make_valid_utf8(own.cast("string")))
 
 
 def contents(spark: SparkSession, paths: list[str], root: str | None = None) -> DataFrame:

@@ -40,6 +40,9 @@ def test_limit_is_a_prefix(spark):
 def test_highlight(spark):
     df = spark.createDataFrame([("aXbxa",)], "line string")
     show = lambda q, o="": df.select(formats.highlighted(F.col("line"), q, parse_options(o), "<", ">")).first()[0]
+    odd = spark.createDataFrame([("a><b\x01a<>",), ("><",)], "line string")
+    assert [r[0] for r in odd.select(formats.highlighted(F.col("line"), "a|b", parse_options(""), "<", ">")).collect()] == ["<a>><<b>\x01<a><>", "><"]
+    assert [r[0] for r in odd.select(formats.highlighted(F.col("line"), "[ab><]", parse_options("i"), "<<", ">>")).collect()] == ["<<a><b>>\x01<<a<>>>", "<<><>>"]
     assert show("[ab]") == "<a>X<b>x<a>" and show("x*") == "aXb<x>a" and show("x|b", "i") == "a<Xbx>a" and show("y") == "aXbxa"
 
 
@@ -108,22 +111,46 @@ def test_update_and_overlay(spark):
 
 def test_index_changes_nothing(spark):
     rng = random.Random(5)
-    df = corpus(spark, **{f"f{i}": "\n".join("".join(rng.choice("abcd ") for _ in range(30)) for _ in range(8)) for i in range(60)})
-    table = index.gram_table(df)
-    for q, o in [("abcd", ""), ("(abca|bbbb)", ""), ("ab", ""), ("ABCD", "i"), ("abcd.*dcba", ""), ("aab", "l"), ("abcda", "l")]:
-        a, b = (sorted((r.path, r.line_no) for r in f.collect()) for f in (index.search_indexed(df, table, q, parse_options(o)), lines.search(df, q, parse_options(o + "b"))))
+    texts = {f"f{i:02}": "\n".join("".join(rng.choice("abcd ") for _ in range(30)) for _ in range(400)) + f"\nonly{i} here" for i in range(24)}
+    df = corpus(spark, **texts).withColumn("chunk_id", F.expr("cast(substr(path, 2) as int) div 5").cast("long"))
+    built = index.blooms(df.repartition(1).sortWithinPartitions("chunk_id", "path"))
+    for q, o in [("abcd", ""), ("(abca|only7 h)", ""), ("ab", ""), ("ONLY1", "i"), ("abcd.*dcba", ""), ("only23", "l"), ("ONLY23", "l"), ("ONLY23", "li"), ("nowhere at all", "")]:
+        a, b = (sorted((r.path, r.line_no) for r in f.collect()) for f in (index.search_indexed(df, built, q, parse_options(o)), lines.search(df, q, parse_options(o + "b"))))
         assert a == b, q
+    found = lambda q: sorted(r.chunk_id for r in index.possible_chunks(built, index.wanted(q, parse_options(""))).collect())
+    assert found("only13 here") == [2, 4] and found("nowhere at all") == [4]  # the last chunk is too small for a filter
+    assert index.wanted("only23", parse_options("b")) is None
 
 
 def test_bloom(spark):
     text = " ".join(f"word{i}" for i in range(9000))
-    parts = spark.createDataFrame([(1, text), (2, "tiny")], "chunk_id long, content string")
+    parts = spark.createDataFrame([(1, text), (2, "tiny")], "chunk_id long, content string").coalesce(1)
     built = index.blooms(parts)
     row = built.where("chunk_id = 1").first()
     own = bloom.grams(text.encode())
     assert bloom.might_hold(bytes(row.bloom), own, row.rounds) and len(row.bloom) == len(text) // 50
-    assert [r.chunk_id for r in index.possible_chunks(built, "zqxjk").collect()] == [2]
-    assert sorted(r.chunk_id for r in index.possible_chunks(built, "word77").collect()) == [1, 2]
+    assert [r.chunk_id for r in index.possible_chunks(built, index.wanted("zqxjk", parse_options("l"))).collect()] == [2]
+    assert sorted(r.chunk_id for r in index.possible_chunks(built, index.wanted("word77", parse_options("l"))).collect()) == [1, 2]
+
+
+def test_search_plan(spark):
+    """A text is split once, in the one pass that the sort samples from too, and nothing is extracted for patterns that can't match nothing."""
+    df = corpus(spark, a="thing\nx", b="y")
+    plan = lines.ordered(lines.search(df, r"\bth[a-z]+\b"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("split(") == 1 and "regexp_extract" not in plan and plan.count("hashpartitioning") == 1
+    assert "regexp_extract" in lines.search(df, "x*")._jdf.queryExecution().executedPlan().toString()
+    assert lines.ordered(lines.search(df, "x"), 3)._jdf.queryExecution().executedPlan().toString().count("TakeOrderedAndProject") == 1
+
+
+def test_ignored_case_is_ascii_case(spark):
+    texts = ["KELVIN \u212a", "a[b", "A]B", "zZ", "É", "x_Y"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    from tessera.plans.pattern import compile_pattern, in_python
+
+    for q, want in [("k$", []), ("[^a-y]z", ["zZ"]), ("A\\[b", ["a[b"]), ("[^k]elvin", []), ("kel", ["KELVIN \u212a"]), ("[^a]\\]b", []), ("[@-\\[]\\]", []), ("é", ["É"]), ("\\bX_y\\b", ["x_Y"])]:
+        plan = compile_pattern(q, ignore_case=True)
+        assert [r.t for r in df.where(plan.matches(F.col("t"))).collect()] == want, q
+        assert [t for t in texts if in_python(plan)(t)] == want, q
 
 
 def test_parts_have_the_lines_of_the_whole(spark):
