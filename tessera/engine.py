@@ -2,136 +2,181 @@
 
 from __future__ import annotations
 
-import shutil
+import os
 import time
+import uuid
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import files, formats, groups, info, lines, snapshot
+from tessera.functions.text import grouped
+from tessera.operators import files, formats, groups, index, info, lines, snapshot
+from tessera.operators.parts import parts
 from tessera.plans.options import Options, from_arguments
 from tessera.sources import config, tree
-from tessera.sources.store import BUCKET_BYTES, Store
+from tessera.sources.store import BUCKET_BYTES, CHUNK, ChangeList, Folder, Store
+from tessera.streaming.watch import BEAT, UPDATE_FILES, UPDATE_QUIET, Watch
 from tessera.workers import importable
 
-VERSION = "0.1"
+VERSION = "0.2"
+HELP = """Verbs, each with a comma list of projects (* is all) but for the first and the last four:
+  init NAME FOLDER        write a project file
+  build, update LIST      index all files; only what changed
+  search LIST [OPTIONS] REGEX
+  files LIST [OPTIONS] [QUERY]
+  change LIST PATH...     tell of changed files
+  watch LIST              keep change lists, and update when it is quiet
+  info LIST               statistics and checks
+  interactive LIST [OPTIONS]
+  filter [OPTIONS] QUERY  match lines of input
+  projects, version, help
+Options: i no case, l literal, b without the index, V Visual Studio, C column, CE both columns,
+  H and HM highlight, HD don't, S summary, Ln limit, fiRE and feRE paths in and out,
+  fp fn fs ff match paths, names, tokens, fuzzily"""
+
+ROWS = ("path", "part_no", "start_line", "content", "mtime", "size")
 
 
 class Engine:
-    """Runs verbs; ``execute`` takes the words of a command line and gives lines of text."""
+    """Runs verbs; ``execute`` takes the words of a command line and gives lines of text. ``say`` is told how work goes on."""
 
-    def __init__(self, spark: SparkSession, home: str | None = None):
+    def __init__(self, spark: SparkSession, home: str | None = None, say: Callable[[str], None] = lambda line: None):
         importable(spark)
-        self.spark, self.home = spark, home or config.home()
+        self.spark, self.home, self.say = spark, home or config.home(), say
+        self.watching: list = []
 
     # --- tables ---------------------------------------------------------------------------
 
     def _store(self, file: str) -> Store:
         return Store(self.spark, str(Path(file).with_suffix("")) + ".tables")
 
+    def _changes(self, file: str) -> ChangeList:
+        return ChangeList(self.spark, self._store(file).top)
+
     def _group(self, file: str) -> config.Group:
         return config.parse_config(Path(file).read_text(), str(Path(file).resolve().parent), file)
 
     def scan(self, file: str) -> DataFrame:
-        """``(path, mtime, size)`` of a project's files as they are now."""
+        """``(path, mtime, size)`` of a project's files as they are now. Folders that all groups of a root exclude are not walked."""
         group = self._group(file)
-        roots = sorted({p for g in group.walk() for p in g.paths})
+        excludes: dict[str, list[list[str]]] = {}
+        for g in group.walk():
+            own, at = [], g
+            while at is not None:
+                own, at = own + at.exclude, at.parent
+            for root in g.paths:
+                excludes.setdefault(root, []).append(own)
         rows = self.spark.createDataFrame([], tree.SCHEMA)
-        for root in roots:
-            rows = rows.unionByName(tree.listing(self.spark, root))
+        for root, own in sorted(excludes.items()):
+            rows = rows.unionByName(tree.listing(self.spark, root, own if all(own) else []))
         named = [(f, int(s.st_mtime), s.st_size) for g in group.walk() for f in g.files if Path(f).is_file() and (s := Path(f).stat())]
         if named:
             rows = rows.unionByName(self.spark.createDataFrame(named, tree.SCHEMA))
         return groups.project_files(group, rows)
 
     def _read(self, rows: DataFrame) -> DataFrame:
-        """Contents of listed files, read by the tasks that hold their paths."""
+        """Contents of listed files, read by the tasks that hold their paths, large ones in parts."""
 
         def read(batches):
             for b in batches:
-                b["raw"] = [Path(p).read_bytes() if Path(p).is_file() else None for p in b["path"]]
-                yield b
+                for i in range(len(b)):  # a file at a time
+                    own = b.iloc[i : i + 1].copy()
+                    path = Path(own["path"].iloc[0])
+                    own["raw"] = [path.read_bytes() if path.is_file() else None]
+                    yield own
 
         raw = rows.select("path", "mtime", "size").mapInPandas(read, f"{tree.SCHEMA}, raw binary")
-        return raw.where("raw is not null").select("path", "mtime", "size", tree.decoded(F.col("raw")).alias("content"))
+        texts = raw.where("raw is not null").select("path", "mtime", "size", tree.decoded(F.col("raw")).alias("content"))
+        return parts(texts, CHUNK, "mtime", "size").select(*ROWS)
+
+    def _listed(self, store: Store) -> DataFrame:
+        """``(path, mtime, size)`` as the index has it; no contents are read."""
+        old = store.read()
+        return self.spark.createDataFrame([], tree.SCHEMA) if old is None else old.where("part_no = 0").select("path", "mtime", "size")
 
     # --- verbs ----------------------------------------------------------------------------
 
     def init(self, name: str, path: str) -> str:
         file = config.projects(name, self.home)[0][1]
         config.new_config(file, path)
-        return f"Project file {file} created, run update {name} to build"
+        return f"Wrote {file}. Next: update {name}"
 
     def build(self, file: str) -> None:
-        self._forget_changes(file)
+        changes = self._changes(file)
+        listed = changes.number()
         now = self.scan(file)
-        total = now.agg(F.sum("size")).first()[0] or 0
+        total, n = now.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
+        self.say(f"{n} files of {total} bytes")
         self._store(file).write(f"v{time.time_ns()}", self._read(now), max(1, -(-total // BUCKET_BYTES)))
+        changes.forget(listed)
 
     def update(self, file: str) -> DataFrame:
-        """Read only files that are new or changed, and write only the buckets that differ; gives the counts by status.
+        """Read only files that are new or changed, and write only the buckets that differ; gives counts of files by status, and of buckets kept and written.
 
         The old index gives its paths, times and sizes for the comparison, and its contents only for
-        buckets that are written anew. Without an index, build one.
+        buckets that are written anew. Without an index, build one. The change list goes once the new
+        index is there, but for what was added to it meanwhile.
         """
-        store = self._store(file)
+        store, changes = self._store(file), self._changes(file)
         manifest = store.manifest()
         if manifest is None:
             self.build(file)
             return self.spark.createDataFrame([], "status string, n long")
-        self._forget_changes(file)
-        old, now = store.read(), self.scan(file)
-        was = self.spark.createDataFrame([], tree.SCHEMA) if old is None else old.select("path", "mtime", "size")
-        diff = snapshot.differences(was, now).withColumn("bucket", store.bucket(manifest["buckets"])).persist(StorageLevel.DISK_ONLY)
-        counts = snapshot.difference_counts(diff).collect()
-        touched = {r.bucket for r in diff.where("status <> 'reused'").select("bucket").distinct().collect()}  # at most a row a bucket
-        if touched:
-            fresh = self._read(now.join(diff.where("status in ('added', 'changed')").select("path"), "path", "left_semi"))
-            part = store.read(touched)
-            if part is not None:
-                kept = part.select("path", "mtime", "size", "content").join(diff.where("status = 'reused'").select("path"), "path", "left_semi")
-                fresh = kept.unionByName(fresh)
-            keep = {b: f for b, f in manifest["folders"].items() if int(b) not in touched}
-            store.write(f"v{time.time_ns()}", fresh, manifest["buckets"], keep)
-        diff.unpersist()
-        return self.spark.createDataFrame([(r.status, r.n) for r in counts], "status string, n long")
-
-    def _forget_changes(self, file: str) -> None:
-        """An index that is about to be brought up to date needs no change list."""
-        shutil.rmtree(Path(self._store(file).top) / "changes", ignore_errors=True)
+        listed = changes.number()
+        work = Folder(self.spark, f"{store.top}/.work-{uuid.uuid4().hex}")
+        try:
+            # Stored, so that all steps see the same tree.
+            self.scan(file).write.parquet(f"{work.top}/now")
+            now = self.spark.read.schema(tree.SCHEMA).parquet(f"{work.top}/now")
+            snapshot.differences(self._listed(store), now).withColumn("bucket", store.bucket(manifest["buckets"])).write.parquet(f"{work.top}/diff")
+            diff = self.spark.read.schema("path string, status string, bucket int").parquet(f"{work.top}/diff")
+            counts = [(r.status, r.n) for r in snapshot.difference_counts(diff).collect()]
+            touched = {r.bucket for r in diff.where("status <> 'reused'").select("bucket").distinct().collect()}  # at most a row a bucket
+            self.say(", ".join(f"{n} {status}" for status, n in sorted(counts)))
+            keep = {b: v for b, v in manifest["folders"].items() if int(b) not in touched}
+            if touched:
+                fresh = self._read(now.join(diff.where("status in ('added', 'changed')").select("path"), "path", "left_semi"))
+                part = store.read(touched)
+                if part is not None:
+                    fresh = part.select(*ROWS).join(diff.where("status = 'reused'").select("path"), "path", "left_semi").unionByName(fresh)
+                store.write(f"v{time.time_ns()}", fresh, manifest["buckets"], keep)
+            changes.forget(listed)
+        finally:
+            work.delete("")
+        return self.spark.createDataFrame([*counts, ("buckets kept", len(keep)), ("buckets written", len(touched))], "status string, n long")
 
     def change(self, file: str, paths: list[str]) -> None:
-        """Add paths that belong to the project to its change list."""
-        store, group = self._store(file), self._group(file)
-        roots = [p for g in group.walk() for p in g.paths]
-        named = {f for g in group.walk() for f in g.files}
-        new = self.spark.createDataFrame([(p,) for p in paths], "path string")
-        new = new.where(snapshot.under_roots(F.col("path"), roots) | F.col("path").isin(*named or [""]))
-        merged = snapshot.merged_changes(self.changes(file), new)
-        merged = self.spark.createDataFrame([tuple(r) for r in merged.orderBy("path").collect()], "path string")  # a list a person typed
-        merged.write.mode("overwrite").parquet(f"{store.top}/changes")
+        """Add paths that the project's groups accept to its change list. They need not be there any more."""
+        full = [(config.normal_path(os.getcwd(), p),) for p in paths]
+        new = groups.project_files(self._group(file), self.spark.createDataFrame(full, "path string"))
+        if not new.isEmpty():
+            changes = self._changes(file)
+            changes.write(snapshot.merged_changes(changes.read(), new))
 
     def changes(self, file: str) -> DataFrame:
-        where = Path(self._store(file).top) / "changes"
-        return self.spark.read.parquet(str(where)) if where.exists() else self.spark.createDataFrame([], "path string")
-
-    def corpus(self, file: str) -> DataFrame:
-        """Indexed contents with the change list laid on top."""
-        parts = self._store(file).read()
-        if parts is None:
-            raise ValueError(f"{file} has no index; run update")
-        changes = self.changes(file)
+        return self._changes(file).read()
+
+    def corpus(self, file: str, query: str | None = None, options: Options = Options()) -> DataFrame:
+        """Indexed contents with the change list laid on top; with a query, only chunks that may hold a match."""
+        store = self._store(file)
+        rows = store.read()
+        if rows is None:
+            if store.manifest() is None:
+                raise ValueError(f"{file} has no index; run update")
+            rows = self.spark.createDataFrame([], "path string, part_no int, start_line int, content string, mtime long, size long, chunk_id long")
+        elif query is not None and (need := index.wanted(query, options)) is not None:
+            rows = index.pruned(rows, store.read(what="index"), need)
+        rows, changes = rows.select(*ROWS), self.changes(file)
         if changes.isEmpty():
-            return parts.select("path", "mtime", "size", "content")
+            return rows
         listed = changes.select("path", F.lit(0).cast("long").alias("mtime"), F.lit(0).cast("long").alias("size"))
-        return snapshot.overlaid(parts.select("path", "mtime", "size", "content"), changes, self._read(listed))
+        return snapshot.overlaid(rows, changes, self._read(listed))
 
     def search(self, spec: str, query: str, options: Options = Options()) -> DataFrame:
         """Matching lines of several projects in list order, with their printed ``text``."""
-        chosen = [(n, self.corpus(f)) for n, f in config.projects(spec, self.home)]
+        chosen = [(n, self.corpus(f, query, options)) for n, f in config.projects(spec, self.home)]
         found = lines.search_projects(chosen, query, options)
         if options.column:
             found = lines.columns(found, query, options)
@@ -141,7 +186,7 @@ class Engine:
         """Paths of projects that match; column pruning leaves contents unread."""
         rows = None
         for i, (_, f) in enumerate(config.projects(spec, self.home)):
-            own = files.entries(self._store(f).read().select("path"), F.struct(F.lit(i).alias("project"), F.col("path").alias("path")))
+            own = files.entries(self._listed(self._store(f)).select("path"), F.struct(F.lit(i).alias("project"), F.col("path").alias("path")))
             rows = own if rows is None else rows.unionByName(own)
         return files.find(rows, query, options)
 
@@ -151,15 +196,32 @@ class Engine:
         return files.find(files.entries(numbered, F.col("ord")), query, options)
 
     def info(self, spec: str) -> DataFrame:
+        """One row a project: files, lines, bytes in the files and in the store, chunks, filters, and parts that break the index's order."""
         out = None
         for name, f in config.projects(spec, self.home):
-            own = info.summary(self.corpus(f)).withColumn("project", F.lit(name))
-            out = own if out is None else out.unionByName(own)
+            store, rows = self._store(f), self.corpus(f)
+            own = info.summary(rows).withColumn("project", F.lit(name))
+            stored = store.stored_bytes()
+            own = own.withColumn("stored_bytes", F.lit(stored).cast("long")).withColumn("ratio", F.col("bytes") / F.lit(max(1, stored)))
+            if (data := store.read()) is not None:
+                chunks = info.chunk_stats(data.select("chunk_id", F.octet_length("content").cast("long").alias("size"))).select("chunks", F.col("least").alias("least_chunk"), F.col("most").alias("largest_chunk"))
+                filters = info.index_stats(store.read(what="index")).select(F.col("indexed").alias("filters"), F.coalesce("bytes", F.lit(0)).cast("long").alias("filter_bytes"), "filled_avg")
+                counted = info.line_counts(data.select("path", "part_no", "start_line", "size", "mtime", "chunk_id", "content")).drop("bytes", "longest")
+                broken = info.integrity(counted).where("not (order_ok and metadata_ok and lines_ok)").agg(F.count(F.lit(1)).alias("broken"))
+                for one in (chunks, filters, broken):  # a row each
+                    own = own.join(F.broadcast(one))
+            out = own if out is None else out.unionByName(own, allowMissingColumns=True)
         return out
 
+    def watch(self, file: str, seconds: float = BEAT, files: int = UPDATE_FILES, quiet: float = UPDATE_QUIET) -> Watch:
+        """A watch of one project; ``start`` begins its beats."""
+        changes, store = self._changes(file), self._store(file)
+        changed = lambda: snapshot.changed_paths(self._listed(store), self.scan(file))
+        return Watch(changed, changes.read, changes.write, lambda: self.update(file), files, quiet)
+
     def execute(self, words: list[str], rows: DataFrame | None = None) -> list[str]:
-        """One command; lines that it prints. ``rows`` is the input of ``filter``."""
-        verb, *rest = words
+        """One command; lines that it prints. ``rows`` is the input of ``filter``. ``watch`` starts queries that run on, in ``watching``."""
+        verb, *rest = words or ["help"]
         if verb == "version":
             return [VERSION]
         if verb == "projects":
@@ -177,10 +239,23 @@ class Engine:
                     out.append(f"{name}: +{n.get('added', 0)} -{n.get('removed', 0)} *{n.get('changed', 0)}")
             return out
         if verb == "change":
-            self.change(config.projects(rest[0], self.home)[0][1], rest[1:])
+            for _, f in config.projects(rest[0], self.home):
+                self.change(f, rest[1:])
             return []
+        if verb == "watch":
+            out = []
+            for name, f in config.projects(rest[0], self.home):
+                self.watching.append(self.watch(f).start(self.spark))
+                out.append(f"Watching {name}")
+            return out
         if verb == "info":
-            return [f"{r.project}: {r.files} files, {r.bytes} bytes, {r.lines} lines, longest {r.longest_line} in {r.longest_file}" for r in self.info(rest[0]).collect()]
+            shown = self.info(rest[0]).withColumn("shown", grouped(F.col("bytes"))).collect()
+            out = []
+            for r in shown:
+                out.append(f"{r.project}: {r.files} files, {r.shown} bytes, {r.lines} lines, longest {r.longest_line} in {r.longest_file}")
+                if "chunks" in r and r.chunks is not None:
+                    out.append(f"{r.project}: {r.stored_bytes} bytes stored ({r.ratio:.2f} to one), {r.chunks} chunks up to {r.largest_chunk} bytes, {r.filters} filters of {r.filter_bytes} bytes, {r.broken} parts out of order")
+            return out
         if verb == "filter":
             options, query = from_arguments(rest)
             return [r.path for r in self.filter(rows, query, options).collect()]
@@ -190,12 +265,17 @@ class Engine:
             found = self.search(rest[0], query, options).select("text") if verb == "search" else self.files(rest[0], query, options).select("path")
             out = [r[0] for r in found.collect()]
             return [*out, formats.summary(len(out), time.time() - began, options.limit)] if options.summary else out
-        raise ValueError(f"unknown verb {verb}")
-
-    def interactive(self, spec: str, ask: Callable[[], str | None], say: Callable[[str], None]) -> None:
-        """Queries until there are none, each a verb with its options and query."""
-        while (line := ask()) is not None:
-            verb, _, rest = line.strip().partition(" ")
-            if verb:
-                for out in self.execute([verb, spec, *rest.split(" ", 1)]):
-                    say(out)
+        return HELP.split("\n")
+
+    def interactive(self, spec: str, ask: Callable[[], str | None], say: Callable[[str], None], options: list[str] = (), watch: bool = True) -> None:
+        """Watch the projects and answer lines ``search QUERY`` and ``files QUERY``, with the options of this call, until there are none."""
+        began = [self.watch(f).start(self.spark) for _, f in config.projects(spec, self.home)] if watch else []
+        try:
+            while (line := ask()) is not None:
+                verb, _, query = line.strip("\n").partition(" ")
+                if verb in ("search", "files"):
+                    for out in self.execute([verb, spec, *options, query]):
+                        say(out)
+        finally:
+            for q in began:
+                q.stop()

@@ -99,18 +99,20 @@ def fuzzy(rows: DataFrame, query: str, limit: int | None = None) -> DataFrame:
     return found if limit is None else found.limit(limit)
 
 
+def matches(query: str, options: Options) -> Column:
+    """Whether a row matches in the options' style, but for fuzzy."""
+    if options.style == "tokens":
+        return by_tokens(query, options.ignore_case)
+    return compile_pattern(query, options.ignore_case, options.literal).matches(F.col(options.style))
+
+
 def find(rows: DataFrame, query: str, options: Options = Options(), path_filters: bool = False) -> DataFrame:
     """Entries that match in the options' style; an empty query matches all. Include and exclude count only with ``path_filters``."""
     from tessera.operators.lines import accepts
 
     if path_filters:
         rows = rows.where(accepts(F.col("path"), options.include, options.exclude))
-    style = options.style
-    if query and style == "fuzzy":
+    if query and options.style == "fuzzy":
         return fuzzy(rows, query, options.limit)
-    if query and style == "tokens":
-        rows = rows.where(by_tokens(query, options.ignore_case))
-    elif query:
-        rows = rows.where(compile_pattern(query, options.ignore_case, options.literal).matches(F.col(style)))
-    rows = rows.orderBy("ord")
+    rows = (rows.where(matches(query, options)) if query else rows).orderBy("ord")
     return rows if options.limit is None else rows.limit(options.limit)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -38,13 +37,21 @@ def line_lengths(corpus: DataFrame) -> DataFrame:
 def running(rows: DataFrame, order: str, value: str, out: str) -> DataFrame:
     """Adds the sum of ``value`` over all rows before this one in ``order``: ranges summed apart, then each by what lies before it."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(parts, order).withColumn("__range", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
+    bounds = [c[0] for c in _cuts(rows, order, parts)]
+    # Ranges by fixed bounds: a task that runs again makes the same ones.
+    ranged = rows.withColumn("__range", sum((F.coalesce(F.col(order) > F.lit(b), F.lit(False)).cast("int") for b in bounds), F.lit(0)))
     sums = ranged.groupBy("__range").agg(F.sum(value).alias("__sum"))  # one row a range
     before = sums.withColumn("__before", F.coalesce(F.sum("__sum").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__sum")
     own = W.partitionBy("__range").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     return ranged.join(F.broadcast(before), "__range").withColumn(out, F.coalesce(F.sum(value).over(own), F.lit(0)) + F.col("__before")).drop("__range", "__before")
 
 
+def _cuts(rows: DataFrame, order: str, parts: int) -> list[tuple]:
+    """Bounds of near equal ranges: quantiles of the rows with the least hashes, the same for each run."""
+    least = sorted(r[0] for r in rows.where(F.col(order).isNotNull()).select(order).orderBy(F.xxhash64(order), order).limit(100 * parts).collect())  # a hundred a range
+    return [(v,) for v in sorted({least[len(least) * k // parts] for k in range(1, parts)})] if least else []
+
+
 def chunked(corpus: DataFrame, target: int = CHUNK) -> DataFrame:
     """Files with their ``chunk_id``: in path order, a chunk being the files that begin in the same ``target`` bytes."""
     sized = corpus.select("path", F.octet_length(F.coalesce("content", F.lit(""))).cast("long").alias("size"))

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tessera.operators.info import CHUNK
 
@@ -24,12 +25,17 @@ def cut(text: str, target: int) -> Iterator[tuple[int, str]]:
         at = end
 
 
-def parts(corpus: DataFrame, target: int = CHUNK) -> DataFrame:
-    """``(path, part_no, start_line, content)``: parts of each file in order, the lines of all parts being the file's."""
+def parts(corpus: DataFrame, target: int = CHUNK, *carry: str) -> DataFrame:
+    """``(path, part_no, start_line, content, *carry)``: parts of each file in order, the lines of all parts being the file's.
+
+    Only files over ``target`` bytes go through Python.
+    """
+    large = F.octet_length(F.coalesce("content", F.lit(""))) > target
+    rows = corpus.select("path", F.lit(0).alias("part_no"), F.lit(0).alias("start_line"), "content", *carry)
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(p, i, n, t) for p, text in zip(b["path"], b["content"], strict=True) for i, (n, t) in enumerate(cut(text or "", target))]
-            yield pd.DataFrame(rows, columns=["path", "part_no", "start_line", "content"])
+            for own in b.to_dict("records"):
+                yield pd.DataFrame([own | {"part_no": i, "start_line": n, "content": t} for i, (n, t) in enumerate(cut(own["content"], target))])
 
-    return corpus.select("path", "content").mapInPandas(split, "path string, part_no int, start_line int, content string")
+    return rows.where(~large).unionByName(rows.where(large).mapInPandas(split, rows.schema))

@@ -1,45 +1,85 @@
-"""A project's index on disk: buckets of Parquet, and a manifest that tells which folder holds each bucket.
+"""A project's index on disk: buckets of Parquet, and numbered manifests that tell which folder holds each bucket.
 
-A version writes only the buckets that change, beside the old ones; the new manifest names the others
-where they are. Readers see a version as a whole once the manifest is renamed into place.
+A version writes only the buckets that change, beside the old ones; its manifest names the others where
+they are. A manifest is written under a name of its own and renamed to the next number, and readers take
+the highest: there is no moment without an index, and a crash leaves the old one. The manifest before
+the newest and its folders stay for readers that have begun; older ones are deleted.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-FORMAT = 1
-#: Bytes of contents that a bucket is meant to hold.
-BUCKET_BYTES = 128 << 20
+FORMAT = 2
+#: Bytes of contents that a bucket is meant to hold; and a chunk.
+BUCKET_BYTES, CHUNK = 128 << 20, 512 << 10
+
+
+class Folder:
+    """A folder of Spark's file system, whichever that is."""
+
+    def __init__(self, spark: SparkSession, top: str):
+        self.spark, self.top = spark, top.rstrip("/")
+
+    def at(self, name: str = ""):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.top}/{name}" if name else self.top)
+
+    @property
+    def fs(self):
+        return self.at().getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def names(self, below: str = "") -> list[str]:
+        return [s.getPath().getName() for s in self.fs.listStatus(self.at(below))] if self.fs.exists(self.at(below)) else []
+
+    def read(self, name: str) -> str:
+        file = self.fs.open(self.at(name))
+        try:
+            return bytes(file.readAllBytes()).decode()
+        finally:
+            file.close()
+
+    def publish(self, name: str, text: str) -> None:
+        """Write a file that is there whole or not at all. One that is there already is an error."""
+        new = f".{uuid.uuid4().hex}"
+        out = self.fs.create(self.at(new), True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        if self.fs.exists(self.at(name)) or not self.fs.rename(self.at(new), self.at(name)):
+            raise OSError(f"{self.top}/{name} is there already: another writer was faster")
+
+    def delete(self, name: str) -> None:
+        self.fs.delete(self.at(name), True)
+
+    def bytes_in(self, name: str) -> int:
+        return self.fs.getContentSummary(self.at(name)).getLength() if self.fs.exists(self.at(name)) else 0
+
+    def numbers(self, head: str) -> list[int]:
+        """Numbers of the names that begin so, highest last."""
+        return sorted(int(n[len(head) :]) for n in self.names() if n.startswith(head) and n[len(head) :].isdigit())
 
 
 @dataclass
 class Store:
-    """``<top>/MANIFEST`` and ``<top>/<version>/bucket=<n>/``."""
+    """``<top>/MANIFEST-<n>``, ``<top>/<version>/data/bucket=<b>/`` and ``<top>/<version>/index/bucket=<b>/``."""
 
     spark: SparkSession
     top: str
 
-    def _fs(self):
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.top)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+    def __post_init__(self):
+        self.folder = Folder(self.spark, self.top)
 
-    def manifest(self) -> dict | None:
-        """``{"format", "buckets", "folders": {bucket: folder}}`` of the current version; None if there is none."""
-        fs, path = self._fs()
-        at = path(f"{self.top}/MANIFEST")
-        if not fs.exists(at):
+    def manifest(self, number: int | None = None) -> dict | None:
+        """``{"format", "buckets", "folders": {bucket: version}}`` of the current version; None if there is none."""
+        numbers = self.folder.numbers("MANIFEST-")
+        if not numbers:
             return None
-        file = fs.open(at)
-        try:
-            found = json.loads(bytes(file.readAllBytes()).decode())
-        finally:
-            file.close()
+        found = json.loads(self.folder.read(f"MANIFEST-{numbers[-1] if number is None else number}"))
         if found["format"] != FORMAT:
             raise ValueError(f"{self.top} has format {found['format']}, not {FORMAT}")
         return found
@@ -48,29 +88,73 @@ class Store:
     def bucket(buckets: int) -> Column:
         return F.pmod(F.xxhash64("path"), F.lit(buckets)).cast("int")
 
-    def read(self, only: set[int] | None = None) -> DataFrame | None:
+    def read(self, only: set[int] | None = None, what: str = "data") -> DataFrame | None:
         """Rows of the current version, or of some of its buckets. Columns not selected are not read."""
         found = self.manifest()
         if found is None:
             return None
-        folders = [f"{self.top}/{f}" for b, f in found["folders"].items() if only is None or int(b) in only]
+        folders = [f"{self.top}/{v}/{what}/bucket={b}" for b, v in found["folders"].items() if only is None or int(b) in only]
         return self.spark.read.parquet(*folders) if folders else None
 
+    def stored_bytes(self, what: str = "data") -> int:
+        found = self.manifest() or {"folders": {}}
+        return sum(self.folder.bytes_in(f"{v}/{what}/bucket={b}") for b, v in found["folders"].items())  # a look a bucket
+
     def write(self, version: str, rows: DataFrame, buckets: int, keep: dict[str, str] | None = None) -> None:
-        """Write ``rows`` as buckets, sorted by path, and publish them with the folders in ``keep``."""
-        rows = rows.withColumn("bucket", self.bucket(buckets))
-        rows = rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "path")
-        rows.write.option("compression", "lz4_raw").partitionBy("bucket").parquet(f"{self.top}/{version}")
-        fs, path = self._fs()
-        folders = dict(keep or {})
-        for s in fs.listStatus(path(f"{self.top}/{version}")):
-            name = s.getPath().getName()
-            if name.startswith("bucket="):
-                folders[name.partition("=")[2]] = f"{version}/{name}"
-        new, at = path(f"{self.top}/MANIFEST.{version}"), path(f"{self.top}/MANIFEST")
-        out = fs.create(new, True)
-        out.write(bytearray(json.dumps({"format": FORMAT, "buckets": buckets, "folders": folders}).encode()))
-        out.close()
-        fs.delete(at, False)
-        if not fs.rename(new, at):
-            raise OSError(f"{at} was not replaced")
+        """Write ``rows(path, part_no, content, ...)`` as buckets, sorted by path and cut into chunks, index them, and publish both with the buckets in ``keep``."""
+        from tessera.operators.index import blooms
+
+        own = W.partitionBy("bucket").orderBy("path", "part_no")
+        before = F.coalesce(F.sum(F.octet_length(F.coalesce("content", F.lit("")))).over(own.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        rows = rows.withColumn("bucket", self.bucket(buckets)).repartition(buckets, "bucket")
+        rows = rows.withColumn("chunk_id", F.shiftleft(F.col("bucket").cast("long"), 32) + F.floor(before / CHUNK).cast("long"))
+        rows.sortWithinPartitions("bucket", "path", "part_no").write.option("compression", "lz4_raw").partitionBy("bucket").parquet(f"{self.top}/{version}/data")
+        if any(n.startswith("bucket=") for n in self.folder.names(f"{version}/data")):
+            data = self.spark.read.parquet(f"{self.top}/{version}/data")
+            built = blooms(data).withColumn("bucket", F.shiftright("chunk_id", 32).cast("int"))
+            built.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.top}/{version}/index")
+        folders = dict(keep or {}) | {n.partition("=")[2]: version for n in self.folder.names(f"{version}/data") if n.startswith("bucket=")}
+        numbers = self.folder.numbers("MANIFEST-")
+        self.folder.publish(f"MANIFEST-{numbers[-1] + 1 if numbers else 1}", json.dumps({"format": FORMAT, "buckets": buckets, "folders": folders}))
+        self.clean()
+
+    def clean(self) -> None:
+        """Delete what neither the newest manifest nor the one before it names."""
+        *old, last = [[], *([n] for n in self.folder.numbers("MANIFEST-"))][-2:]
+        keep = {n for x in (*old, last) for n in x}
+        used = {v for n in keep for v in self.manifest(n)["folders"].values()}
+        for name in self.folder.names():
+            if (name.startswith("MANIFEST-") and int(name[9:]) not in keep) or (name.startswith("v") and name not in used):
+                self.folder.delete(name)
+
+
+class ChangeList:
+    """Paths that differ from the index, as a table with numbered versions, of which readers take the highest that is whole."""
+
+    def __init__(self, spark: SparkSession, top: str):
+        self.spark, self.folder = spark, Folder(spark, f"{top}/changes")
+
+    def number(self) -> int:
+        """Of the newest whole version; 0 if there is none."""
+        return next((n for n in reversed(self.folder.numbers("c")) if "_SUCCESS" in self.folder.names(f"c{n}")), 0)
+
+    def read(self, number: int | None = None) -> DataFrame:
+        n = self.number() if number is None else number
+        return self.spark.read.schema("path string").parquet(f"{self.folder.top}/c{n}") if n else self.spark.createDataFrame([], "path string")
+
+    def write(self, paths: DataFrame) -> int:
+        """Write a new version, sorted and unique, and delete those before the last."""
+        numbers = self.folder.numbers("c")
+        n = numbers[-1] + 1 if numbers else 1
+        paths.select("path").where("path <> ''").distinct().sort("path").write.parquet(f"{self.folder.top}/c{n}")
+        for old in numbers[:-1]:
+            self.folder.delete(f"c{old}")
+        return n
+
+    def forget(self, number: int) -> None:
+        """Drop the changes of a version, once they are in the index; later ones stay."""
+        now = self.number()
+        if number and now > number:
+            self.write(self.read(now).join(self.read(number), "path", "left_anti"))
+        elif number and now == number:
+            self.write(self.spark.createDataFrame([], "path string"))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,10 +13,13 @@ from pyspark.sql.types import BinaryType
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tessera.functions.text import normal_line_ends
+from tessera.plans.pattern import compile_pattern, in_python
 
 # Folders of version control.
 SKIPPED = ("CVS", ".bzr", ".git", ".hg", ".svn")
 SCHEMA = "path string, mtime long, size long"
+#: Folders that the driver lists for tasks to walk, about; levels that it opens, at most.
+BRANCHES, LEVELS = 256, 4
 
 
 def not_versioned(path: Column) -> Column:
@@ -24,49 +28,69 @@ def not_versioned(path: Column) -> Column:
     return ~path.rlike(rf"(^|/)({names})(/|$)")
 
 
-def scan(root: str) -> Iterator[tuple[str, int, int]]:
-    """(path, mtime in seconds, size) of regular files below a folder, links left out, in byte order of names."""
+def _entries(folder: str) -> list[os.DirEntry]:
     try:
-        found = sorted(os.scandir(root), key=lambda e: os.fsencode(e.name))
+        return sorted((e for e in os.scandir(folder) if not e.is_symlink() and e.name not in SKIPPED), key=lambda e: os.fsencode(e.name))
     except OSError:
-        return
-    for e in found:
-        if e.is_symlink() or e.name in SKIPPED:
-            continue
+        return []
+
+
+def scan(root: str, skip: Callable[[str], bool] = lambda folder: False) -> Iterator[tuple[str, int, int]]:
+    """(path, mtime in seconds, size) of regular files below a folder, links left out, in byte order of names. Folders to ``skip`` are not entered."""
+    for e in _entries(root):
         if e.is_dir():
-            yield from scan(e.path)
+            if not skip(e.path):
+                yield from scan(e.path, skip)
         elif e.is_file():
             s = e.stat()
             yield e.path.replace(os.sep, "/"), int(s.st_mtime), s.st_size
 
 
-class _Branch(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+def skipper(root: str, excludes: list[list[str]]) -> Callable[[str], bool]:
+    """Whether a folder is excluded by each of some groups' patterns; they see what follows the root."""
+    plans = [[in_python(compile_pattern(p, ignore_case=True)) for p in own] for own in excludes]
+    cut = len(root.rstrip("/")) + 1
 
+    def skip(folder: str) -> bool:
+        path = folder.replace(os.sep, "/")[cut:]
+        return bool(plans) and all(any(p(path) for p in own) for own in plans)
 
-class TreeReader(DataSourceReader):
-    """A task for each entry of the root folder."""
+    return skip
 
-    def __init__(self, root: str):
-        self.root = root
 
-    def partitions(self) -> list[_Branch]:
-        try:
-            return [_Branch(e.path) for e in os.scandir(self.root) if not e.is_symlink() and e.name not in SKIPPED] or [_Branch("")]
-        except OSError:
-            return [_Branch("")]
+class _Branches(InputPartition):
+    def __init__(self, paths: list[str]):
+        self.paths = paths
 
-    def read(self, partition: _Branch) -> Iterator[tuple]:
-        if os.path.isdir(partition.path):
-            yield from scan(partition.path)
-        elif partition.path:
-            s = os.stat(partition.path)
-            yield partition.path.replace(os.sep, "/"), int(s.st_mtime), s.st_size
+
+class TreeReader(DataSourceReader):
+    """Tasks of folders: the upper levels are opened until there are some hundred."""
+
+    def __init__(self, root: str, excludes: list[list[str]]):
+        self.root, self.excludes = root, excludes
+
+    def partitions(self) -> list[_Branches]:
+        skip = skipper(self.root, self.excludes)
+        files, level, depth = [], [self.root], 0
+        while level and len(level) < BRANCHES and depth < LEVELS:
+            found = [e for folder in level for e in _entries(folder)]
+            files += [e.path for e in found if not e.is_dir() and e.is_file()]
+            level, depth = [e.path for e in found if e.is_dir() and not skip(e.path)], depth + 1
+        every = [_Branches([p]) for p in level] + [_Branches(files[i : i + 1000]) for i in range(0, len(files), 1000)]
+        return every or [_Branches([])]
+
+    def read(self, partition: _Branches) -> Iterator[tuple]:
+        skip = skipper(self.root, self.excludes)
+        for path in partition.paths:
+            if os.path.isdir(path):
+                yield from scan(path, skip)
+            else:
+                s = os.stat(path)
+                yield path.replace(os.sep, "/"), int(s.st_mtime), s.st_size
 
 
 class TreeSource(DataSource):
-    """``spark.read.format("tessera_tree").load(root)``: metadata only, contents are not opened."""
+    """``spark.read.format("tessera_tree").load(root)``: metadata only, contents are not opened. Option ``exclude``: JSON lists of patterns."""
 
     @classmethod
     def name(cls) -> str:
@@ -76,12 +100,13 @@ class TreeSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> TreeReader:
-        return TreeReader(self.options["path"])
+        return TreeReader(self.options["path"], json.loads(self.options.get("exclude", "[]")))
 
 
-def listing(spark: SparkSession, root: str) -> DataFrame:
+def listing(spark: SparkSession, root: str, excludes: list[list[str]] | None = None) -> DataFrame:
+    """Files below a folder; folders that each of the ``excludes`` lists rules out are not walked."""
     spark.dataSource.register(TreeSource)
-    return spark.read.format(TreeSource.name()).load(root)
+    return spark.read.format(TreeSource.name()).option("exclude", json.dumps(excludes or [])).load(root)
 
 
 def to_utf8(raw: bytes) -> bytes:

@@ -1,101 +1,71 @@
-"""Watching trees: a stream of changed paths, kept as a set, flushed after a delay, updating when it has grown and gone quiet."""
+"""Watching projects: a stream's heartbeat compares the tree with the index, keeps the change list, and updates when it has grown and gone quiet."""
 
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql import functions as F
 
-from tessera.operators.snapshot import merged_changes
-from tessera.sources.tree import SCHEMA, scan
-
-#: Seconds before changes are written; changed files and quiet seconds before an update.
-WRITE_DELAY, UPDATE_FILES, UPDATE_QUIET = 1, 100, 60
-
-
-class _Reader(SimpleDataSourceStreamReader):
-    """The offset is the listing itself: what was seen of each file. Deleted files come with size -1."""
-
-    def __init__(self, root: str):
-        self.root = root
-
-    def initialOffset(self) -> dict:
-        return {"seen": {p: [m, s] for p, m, s in scan(self.root)}}
-
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        seen, now = start["seen"], {p: [m, s] for p, m, s in scan(self.root)}
-        rows = [(p, *v) for p, v in now.items() if seen.get(p) != v] + [(p, 0, -1) for p in seen if p not in now]
-        return iter(rows), {"seen": now}
-
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        a, b = start["seen"], end["seen"]
-        return iter([(p, *v) for p, v in b.items() if a.get(p) != v] + [(p, 0, -1) for p in a if p not in b])
-
-
-class WatchSource(DataSource):
-    """``spark.readStream.format("tessera_watch").load(root)``: files that appeared, changed or went since the query began."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "tessera_watch"
-
-    def schema(self) -> str:
-        return SCHEMA
-
-    def simpleStreamReader(self, schema) -> _Reader:
-        return _Reader(self.options["path"])
-
-
-def changes_stream(spark: SparkSession, root: str) -> DataFrame:
-    spark.dataSource.register(WatchSource)
-    return spark.readStream.format(WatchSource.name()).load(root)
+#: Seconds between looks at the tree; changed files and quiet seconds before an update.
+BEAT, UPDATE_FILES, UPDATE_QUIET = 1, 100, 60
 
 
 class Watch:
-    """Keeps a change table up to date with a stream, and asks for an update when it is due.
+    """Keeps a project's change list equal to what differs from its index.
 
-    A failed update leaves the changes as they are, so that the next quiet time tries again.
+    Each beat lists the tree and joins it with the index's listing, so a watch that starts again, or a
+    beat that runs again, comes to the same list: nothing but the list itself is kept. Beats come
+    whether or not anything changed, so an update is not missed when the tree goes quiet. An update that
+    fails leaves the changes as they are, and is tried again after the next quiet time.
     """
 
-    def __init__(self, spark: SparkSession, table: str, update: Callable[[], None] | None = None, files: int = UPDATE_FILES, quiet: float = UPDATE_QUIET):
-        self.spark, self.table, self.update, self.files, self.quiet = spark, table, update, files, quiet
-        self.last, self.version = time.time(), 0
-        self.current: str | None = None
-
-    def changes(self) -> DataFrame:
-        empty = self.spark.createDataFrame([], "path string")
-        return self.spark.read.parquet(self.current) if self.current else empty
+    def __init__(self, changed: Callable[[], DataFrame], listed: Callable[[], DataFrame], write: Callable[[DataFrame], None], update: Callable[[], None], files: int = UPDATE_FILES, quiet: float = UPDATE_QUIET, clock: Callable[[], float] = time.time):
+        self.changed, self.listed, self.write, self.update = changed, listed, write, update
+        self.files, self.quiet, self.clock = files, quiet, clock
+        self.last, self.failures = clock(), 0
 
-    def batch(self, rows: DataFrame, number: int) -> None:
-        """One micro-batch: merge its paths into the table; a batch that runs again changes nothing."""
-        if not rows.isEmpty():
-            path = f"{self.table}/{number}"
-            merged_changes(self.changes(), rows).write.mode("overwrite").parquet(path)
-            self.current, self.last = path, time.time()
-        self.maybe_update()
-
-    def maybe_update(self) -> bool:
-        """Run the update if enough files changed and it has been quiet; true if it ran and went well."""
-        if self.update is None or time.time() - self.last < self.quiet or self.changes().count() <= self.files:
-            return False
+    def beat(self) -> str:
+        """One look; tells what was done: ``written``, ``updated``, ``failed`` or ``quiet``."""
+        now, was = self.changed().select("path").distinct(), self.listed().select("path")
+        now = now.persist()
+        try:
+            gone, new = was.join(now, "path", "left_anti"), now.join(was, "path", "left_anti")
+            if not new.isEmpty() or not gone.isEmpty():
+                self.write(now)
+                self.last = self.clock()
+                return "written"
+            if self.clock() - self.last < self.quiet or now.count() <= self.files:
+                return "quiet"
+        finally:
+            now.unpersist()
+        self.last = self.clock()
         try:
             self.update()
         except Exception:
-            self.last = time.time()
-            return False
-        self.current = None
-        return True
+            self.failures += 1
+            return "failed"
+        return "updated"
 
-    def start(self, stream: DataFrame, checkpoint: str):
-        return stream.writeStream.foreachBatch(self.batch).option("checkpointLocation", checkpoint).trigger(processingTime=f"{WRITE_DELAY} seconds").start()
+    def start(self, spark: SparkSession, seconds: float = BEAT):
+        """A streaming query whose batches are the beats; stop it to end the watch."""
+        beats = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+        return beats.writeStream.foreachBatch(lambda rows, number: self.beat()).trigger(processingTime=f"{max(1, round(seconds * 1000))} milliseconds").start()
 
 
-def filter_stream(stream: DataFrame, query: str, ignore_case: bool = False) -> DataFrame:
-    """Regex over a stream's ``path`` column, batch by batch as it comes; ranks need all rows and are for tables only."""
-    from pyspark.sql import functions as F
+def filter_stream(stream: DataFrame, query: str, options=None) -> DataFrame:
+    """The path matchers over a stream's ``path`` column, batch by batch as lines come: by regex, literal, name or tokens.
 
-    from tessera.plans.pattern import compile_pattern
-
-    return stream.where("path <> ''").where(compile_pattern(query, ignore_case).matches(F.col("path")))
+    A fuzzy query adds each line's ``score``; an order over all lines is for tables only.
+    """
+    from tessera.operators import files
+    from tessera.plans.options import Options
+
+    options = options or Options()
+    rows = stream.where("path <> ''")
+    if "name" not in rows.columns:
+        rows = rows.withColumn("name", files.name_of(F.col("path")))
+    if query and options.style == "fuzzy":
+        return rows.where(files.subsequence(query)).withColumn("score", files.rank_udf(query)(F.col("path")))
+    return rows.where(files.matches(query, options)) if query else rows

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from tessera.engine import Engine
 from tessera.sources import config, tree
-from tessera.sources.store import Store
-from tessera.streaming.watch import Watch, changes_stream, filter_stream
+from tessera.sources.store import ChangeList, Store
+from tessera.streaming.watch import Watch, filter_stream
 
 
 def test_transcoding():
@@ -57,7 +57,9 @@ def test_engine(spark, tmp_path):
     (src / "d.c").write_text("two\n")
     (src / "a.c").write_text("changed\n")
     assert run("search", "p", "two") == ["S/a.c:2:two"]
-    engine.execute(["change", "p", f"{src}/a.c", f"{src}/d.c", "/elsewhere/x"])
+    (src / "x.bin").write_text("two\n")
+    engine.execute(["change", "p", f"{src}/a.c", f"{src}/d.c", f"{src}/x.bin", "/elsewhere/x.c"])
+    assert sorted(r.path.replace(str(src), "S") for r in engine.changes(str(home / "p.cfg")).collect()) == ["S/a.c", "S/d.c"]
     assert run("search", "p", "two|changed") == ["S/a.c:1:changed", "S/d.c:1:two"]
     os.remove(src / "b.c")
     assert run("update", "p") == ["p: +1 -1 *1"]
@@ -65,9 +67,10 @@ def test_engine(spark, tmp_path):
     assert run("info", "p")[0].startswith("p: 2 files, 12 bytes, 2 lines, longest 7 in S/a.c")
     rows = spark.createDataFrame([("b/x",), ("",), ("a/xy",)], "line string")
     assert engine.execute(["filter", "x"], rows) == ["b/x", "a/xy"]
-    asked, said = iter(["files ff a.c", None]), []
-    engine.interactive("p", lambda: next(asked), said.append)
-    assert [s.replace(str(src), "S") for s in said] == ["S/a.c"]
+    asked, said = iter(["files a.c\n", "nonsense", "search two", None]), []
+    engine.interactive("p", lambda: next(asked), said.append, ["ff"], watch=False)
+    assert [s.replace(str(src), "S") for s in said] == ["S/a.c", "S/d.c:1:two"]
+    assert engine.execute(["help"])[0].startswith("Verbs") and engine.execute([]) == engine.execute(["help"])
 
 
 def test_binary_contents(spark, tmp_path):
@@ -77,45 +80,184 @@ def test_binary_contents(spark, tmp_path):
     assert [(r.path, r.size, r.content) for r in got] == [("d/x.txt", 4, "a\nb")]
 
 
-def test_watch(spark, tmp_path):
-    top = tmp_path / "w"
-    top.mkdir()
-    (top / "old").write_text("1")
-    updates = []
-    watch = Watch(spark, str(tmp_path / "changes"), lambda: updates.append(1), files=2, quiet=0)
-    stream = changes_stream(spark, str(top))
-    query = watch.start(stream, str(tmp_path / "cp"))
+class Clock:
+    def __init__(self):
+        self.now = 0.0
+
+    def __call__(self):
+        return self.now
+
+
+def watched(spark, tmp_path, n=3, quiet=60):
+    src, home = tmp_path / "src", tmp_path / "home"
+    src.mkdir()
+    home.mkdir()
+    for i in range(n):
+        (src / f"f{i}.c").write_text(f"line {i}\n")
+    file = str(home / "p.cfg")
+    (home / "p.cfg").write_text(f"path {src}\ninclude \\.c$\n")
+    engine, clock = Engine(spark, str(home)), Clock()
+    engine.build(file)
+    watch = engine.watch(file, files=1, quiet=quiet)
+    watch.clock, watch.last = clock, 0.0
+    listed = lambda: sorted(r.path.rsplit("/", 1)[1] for r in engine.changes(file).collect())
+    return src, file, engine, watch, clock, listed
+
+
+def test_watch_updates_when_quiet(spark, tmp_path):
+    src, file, engine, watch, clock, listed = watched(spark, tmp_path)
+    assert watch.beat() == "quiet" and listed() == []
+    (src / "new.c").write_text("new\n")
+    (src / "out.bin").write_text("x")
+    assert watch.beat() == "written" and listed() == ["new.c"]
+    clock.now = 1000
+    assert watch.beat() == "quiet"  # one change is not over the number
+    (src / "f0.c").unlink()
+    (src / "f1.c").write_text("longer than before\n")
+    assert watch.beat() == "written" and listed() == ["f0.c", "f1.c", "new.c"]
+    clock.now = 1059
+    assert watch.beat() == "quiet" and listed() == ["f0.c", "f1.c", "new.c"]
+    clock.now = 1061
+    assert watch.beat() == "updated" and listed() == []
+    assert sorted(r.path.rsplit("/", 1)[1] for r in engine.files("p", "").collect()) == ["f1.c", "f2.c", "new.c"]
+    (src / "f1.c").write_text("again\n")
+    assert watch.beat() == "written"
+    (src / "f1.c").write_text("longer than before\n")
+    row = engine._listed(engine._store(file)).where("path like '%f1.c'").first()
+    os.utime(src / "f1.c", (row.mtime, row.mtime))
+    assert watch.beat() == "written" and listed() == []  # as the index has it again
+
+
+def test_watch_restarts_and_fails_well(spark, tmp_path, monkeypatch):
+    src, file, engine, watch, clock, listed = watched(spark, tmp_path)
+    for i in range(3):
+        (src / f"n{i}.c").write_text("x\n")
+    assert watch.beat() == "written" and len(listed()) == 3
+    again = engine.watch(file, files=1, quiet=60)  # a new process
+    again.clock, again.last = clock, 0.0
+    assert again.beat() == "quiet" and len(listed()) == 3
+
+    def broken(*a, **k):
+        raise OSError("no room")
+
+    clock.now = 61
+    with monkeypatch.context() as m:
+        m.setattr(Store, "write", broken)
+        assert again.beat() == "failed" and len(listed()) == 3 and again.failures == 1
+    assert again.beat() == "quiet"
+    clock.now = 122
+    assert again.beat() == "updated" and listed() == []
+
+
+def test_watch_beats_as_a_stream(spark, tmp_path):
+    src, file, engine, watch, clock, listed = watched(spark, tmp_path, quiet=2)
+    watch.clock = time.time
+    query = watch.start(spark, 0.5)
     try:
-        time.sleep(4)
-        (top / "new").write_text("1")
-        (top / "old").write_text("22")
-        for _ in range(40):
-            time.sleep(0.5)
-            if {r.path.rsplit("/", 1)[1] for r in watch.changes().collect()} == {"new", "old"}:
-                break
-        assert {r.path.rsplit("/", 1)[1] for r in watch.changes().collect()} == {"new", "old"}
-        (top / "old").unlink()
-        (top / "third").write_text("1")
-        for _ in range(40):
+        for i in range(2):
+            (src / f"n{i}.c").write_text("x\n")
+        for _ in range(120):  # nothing changes any more, and still the update comes
             time.sleep(0.5)
-            if updates:
+            if engine._listed(engine._store(file)).count() == 5:
                 break
-        assert updates
+        assert engine._listed(engine._store(file)).count() == 5
     finally:
         query.stop()
-    assert filter_stream(spark.createDataFrame([("a",), ("",), ("b",)], "path string"), "a").count() == 1
+    assert query.exception() is None
+
+
+def test_changes_that_come_during_an_update_stay(spark, tmp_path):
+    changes = ChangeList(spark, str(tmp_path / "t"))
+    paths = lambda *p: spark.createDataFrame([(x,) for x in p], "path string")
+    n = changes.write(paths("b", "a", "a"))
+    changes.write(paths("a", "b", "c"))
+    changes.forget(n)
+    assert [r.path for r in changes.read().collect()] == ["c"]
+    (tmp_path / "t" / "changes" / "c99").mkdir()  # a version whose writer died
+    assert [r.path for r in changes.read().collect()] == ["c"]
+    assert changes.write(paths("z")) == 100 and [r.path for r in changes.read().collect()] == ["z"]
+
+
+def test_filter_stream(spark):
+    from tessera.plans.options import parse_options
+
+    rows = spark.createDataFrame([("src/abc",), ("",), ("b/xa",)], "path string")
+    found = lambda q, o="": [r.path for r in filter_stream(rows, q, parse_options(o)).collect()]
+    assert found("A$", "i") == ["b/xa"] and found("") == ["src/abc", "b/xa"] and found("a.c", "l") == [] and found("^a", "fn") == ["src/abc"]
+    assert found("b/ xa", "fs") == ["b/xa"] and found("sab", "ff") == ["src/abc"]
+
+
+def test_excluded_folders_are_not_walked(spark, tmp_path, monkeypatch):
+    for d in ("a/gen/deep", "a/src", ".git"):
+        (tmp_path / d).mkdir(parents=True)
+        (tmp_path / d / "f.c").write_text("x")
+    monkeypatch.setattr(tree, "BRANCHES", 1)
+    walked = []
+    found = tree.scan(str(tmp_path), lambda folder: walked.append(folder) or tree.skipper(str(tmp_path), [["^a/gen$"]])(folder))
+    assert [p for p, _, _ in found] == [f"{tmp_path}/a/src/f.c"] and f"{tmp_path}/a/gen/deep" not in walked
+    rows = lambda *e: sorted(r.path[len(str(tmp_path)) + 1 :] for r in tree.listing(spark, str(tmp_path), list(e)).collect())
+    assert rows(["^a/gen$"]) == ["a/src/f.c"] and rows() == ["a/gen/deep/f.c", "a/src/f.c"]
+    assert rows(["^a/gen$"], ["^a/src"]) == rows()  # each group excludes another
+
+
+def test_store_survives_a_writer_that_dies(spark, tmp_path, monkeypatch):
+    """Readers have an index at any time, whatever step of a write fails, and two writers don't mix."""
+    store = Store(spark, str(tmp_path / "s"))
+    rows = lambda v: spark.createDataFrame([(f"f{i}", 0, "x", v) for i in range(4)], "path string, part_no int, content string, size long")
+    store.write("v1", rows(1), 2)
+    sizes = lambda: {r.size for r in store.read().collect()}
+
+    def dies(*a):
+        raise OSError("gone")
+
+    with monkeypatch.context() as m:
+        m.setattr(store.folder, "publish", dies, raising=False)
+        with pytest.raises(OSError):
+            store.write("v2", rows(2), 2)
+    assert sizes() == {1}
+    before = store.read()
+    store.write("v3", rows(3), 2)
+    assert sizes() == {3} and {r.size for r in before.collect()} == {1}  # a reader that has begun goes on
+    store.write("v4", rows(4), 2)
+    assert sizes() == {4} and sorted(n for n in store.folder.names() if n.startswith("v")) == ["v3", "v4"]
+    with pytest.raises(OSError):
+        store.folder.publish(f"MANIFEST-{store.folder.numbers('MANIFEST-')[-1]}", "{}")
+    assert store.read(what="index").count() > 0 and store.stored_bytes() > 0
 
 
 def test_store_keeps_untouched_buckets(spark, tmp_path):
     store = Store(spark, str(tmp_path / "s"))
-    rows = spark.createDataFrame([(f"f{i}", i) for i in range(40)], "path string, size long")
+    rows = spark.createDataFrame([(f"f{i}", 0, "x", i) for i in range(40)], "path string, part_no int, content string, size long")
     store.write("v1", rows, 8)
     first = store.manifest()["folders"]
     bucket = next(iter(first))
     kept = {b: f for b, f in first.items() if b != bucket}
-    store.write("v2", store.read({int(bucket)}).select("path", (F.col("size") + 100).alias("size")), 8, kept)
+    store.write("v2", store.read({int(bucket)}).select("path", "part_no", "content", (F.col("size") + 100).alias("size")), 8, kept)
     second = store.manifest()["folders"]
     assert {b for b in first if first[b] != second[b]} == {bucket}
     got = {r.path: r.size for r in store.read().collect()}
     assert len(got) == 40 and {p: s % 100 for p, s in got.items()} == {f"f{i}": i for i in range(40)} and any(s >= 100 for s in got.values())
     assert Store(spark, str(tmp_path / "none")).read() is None
+
+
+def test_large_files_in_parts(spark, tmp_path):
+    """A file over a chunk is stored in parts, its lines keep their numbers, and the index leaves out chunks."""
+    src, home = tmp_path / "src", tmp_path / "home"
+    src.mkdir()
+    home.mkdir()
+    (src / "big.c").write_text("".join(f"line number {i} of a large file\n" for i in range(40_000)) + "the needle is here\n")
+    (src / "small.c").write_text("small\n")
+    (home / "p.cfg").write_text(f"path {src}\n")
+    said = []
+    engine = Engine(spark, str(home), said.append)
+    engine.execute(["build", "p"])
+    assert said[0].startswith("2 files of")
+    assert engine.execute(["search", "p", "l", "needle"]) == engine.execute(["search", "p", "lb", "needle"]) == [f"{src}/big.c:40001:the needle is here"]
+    data = engine._store(str(home / "p.cfg")).read()
+    assert data.where("path like '%big.c'").count() > 2 and engine.corpus(str(home / "p.cfg"), "needle").count() < data.count()
+    assert len(engine.execute(["files", "p", ""])) == 2
+    first, second = engine.execute(["info", "p"])
+    assert first.startswith("p: 2 files,") and second.endswith("0 parts out of order")
+    (src / "small.c").write_text("other size\n")
+    n = {r.status: r.n for r in engine.update(str(home / "p.cfg")).collect()}
+    assert n["changed"] == 1 and n["reused"] == 1 and engine.execute(["search", "p", "l", "number 39999 of"]) == [f"{src}/big.c:40000:line number 39999 of a large file"]
