@@ -8,12 +8,14 @@ one task or a round merges nothing. A bin carries its pieces, at most one for ea
 
 from __future__ import annotations
 
+import re
 import string
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,12 +30,17 @@ TASK_ITEMS, FAN_IN = 20_000, 4
 PIECE = "struct<doc_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint>"
 
 
+#: Letters below code point 256; their lower case is one to one.
+LETTERS = re.compile("[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+
+
 class TokenIds:
-    """Token ids as little-endian 32-bit bytes, by words between blanks and line ends.
+    """Token ids by words between blanks and line ends.
 
     The tokenizer splits at white space, and letters from punctuation, before it merges, so a text's
     ids are its words' ids one after the other, and a word's those of its letters and of the
-    punctuation after them. Both are kept, up to a number; any other white space stays in its word.
+    punctuation after them. Both are kept as little-endian 32-bit bytes, up to a number; any other
+    white space stays in its word.
     """
 
     def __init__(self, path: str):
@@ -46,15 +53,16 @@ class TokenIds:
             self.last[at] = token.endswith("</w>")
         self.known, self.parts = {"": b""}, {"": b""}
 
-    def whole(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+    def encode(self, text: str) -> np.ndarray:
+        (found,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)  # without offsets
+        return np.array(found.ids, "<u4")
 
     def runs(self, parts: list[str]) -> dict[str, bytes]:
         """Ids of letter runs and punctuation runs, many at a call."""
         out = {}
         for at in range(0, len(parts), 256):
             own = parts[at : at + 256]
-            ids = np.array(self.tokenizer.encode(" ".join(own), add_special_tokens=False).ids, "<u4")
+            ids = self.encode(" ".join(own))
             ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
             raw, begin = ids.tobytes(), 0
             for w, end in zip(own, ends, strict=True):
@@ -62,29 +70,34 @@ class TokenIds:
                 begin = end
         return out
 
-    def of(self, texts: list[str]) -> list[bytes]:
-        known, parts, cut = self.known, self.parts, {}
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new: dict[str, bytes] = {}
-        for w in [w for w in set().union(*split) if w not in known]:
+    def learned(self, words: list[str]) -> list[bytes]:
+        """Ids of words that are not kept yet."""
+        parts, cut, fresh = self.parts, [], {}
+        for w in words:
             stem = w.rstrip(string.punctuation)
-            if stem.isalpha() and max(stem) < "\u0100":  # lower case is one to one here
-                cut[w] = (stem.lower(), w[len(stem) :])
-            else:
-                new[w] = self.whole(w)
-        fresh = self.runs(list({p for pair in cut.values() for p in pair if p not in parts}))
+            cut.append((stem.lower(), w[len(stem) :]) if LETTERS.fullmatch(stem) else None)
+        fresh = self.runs(list({p for pair in cut if pair for p in pair if p not in parts}))
         if len(parts) < CACHE:
             parts |= fresh
-        for w, (a, b) in cut.items():
-            new[w] = (fresh.get(a) or parts[a]) + (fresh.get(b) or parts[b])
-        if len(known) < CACHE:
-            known |= new
-            return [b"".join(map(known.__getitem__, words)) for words in split]
-        known |= new  # for these texts only
-        out = [b"".join(map(known.__getitem__, words)) for words in split]
-        for w in new:
-            del known[w]
-        return out
+        of = lambda p: parts[p] if p in parts else fresh[p]
+        return [of(pair[0]) + of(pair[1]) if pair else self.encode(w).tobytes() for w, pair in zip(words, cut, strict=True)]
+
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and where each text's end. Distinct words are looked up once."""
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = pc.dictionary_encode(lists.values)
+        words, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        found = list(map(self.known.get, words))
+        new = [i for i, x in enumerate(found) if x is None]
+        for i, x in zip(new, self.learned([words[i] for i in new]), strict=True):
+            found[i] = x
+        if len(self.known) < CACHE:
+            self.known.update((words[i], found[i]) for i in new)
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        begin, n = np.cumsum(size) - size, size[at]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = np.frombuffer(b"".join(found), "<u4")[np.repeat(begin[at] - ends[:-1], n) + np.arange(ends[-1])]
+        return ids, ends[lists.offsets.to_numpy()[1:]]
 
 
 _TOKENS: dict[str, TokenIds] = {}
@@ -150,13 +163,18 @@ def _first_round(path: str, capacity: int, end_id: int, slack: int):
         cols: list[list[np.ndarray]] = [[] for _ in range(5)]
         null: list[np.ndarray] = []
         end = np.array([end_id], "<u4").tobytes()
-        for b in slices(batches):
+        for b in slices(batches, 2048, 16 << 20):
             got: list[tuple[int, int, int, int, int]] = []
-            for row, ids in enumerate(tokens.of(b.column(1).to_pylist())):
-                ids += end
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    got.append((row, piece, at // 4, len(part) // 4, zlib.crc32(part)))
+            ids, ends = tokens.of(b.column(1))
+            raw, begin = memoryview(ids.tobytes()), 0
+            for row, stop in enumerate((4 * ends).tolist()):
+                n = (stop - begin) // 4 + 1  # with the end's id
+                for piece, at in enumerate(range(0, n, capacity)):
+                    size = min(capacity, n - at)
+                    own = raw[begin + 4 * at : min(stop, begin + 4 * (at + size))]
+                    crc = zlib.crc32(own) if at + size < n else zlib.crc32(end, zlib.crc32(own))
+                    got.append((row, piece, at, size, crc))
+                begin = stop
             table = np.array(got, np.int64).reshape(-1, 5)
             ids_, valid = b.column(0).fill_null(0).to_numpy(), b.column(0).is_valid().to_numpy(zero_copy_only=False)
             cols[0].append(ids_[table[:, 0]])
