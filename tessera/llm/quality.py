@@ -11,10 +11,10 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,17 +37,30 @@ def features(word: str) -> list[int]:
     return [1 + crc(x.encode("utf-8", "surrogatepass")) % (ROWS - 1) for x in names]
 
 
-def words_of(text: str) -> list[str]:
-    return text.split()
+def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct words of all texts, the words one after the other as places among these, and where each text's begin. An empty text has one empty word."""
+    lists = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(texts))
+    coded = pc.dictionary_encode(lists.values)
+    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(), lists.offsets.to_numpy().astype(np.int64)
+
+
+def repeats(at: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Words of each text that repeat the one before."""
+    same = np.concatenate([[0], np.cumsum(np.concatenate([[False], at[1:] == at[:-1]]) if len(at) else np.zeros(0, bool))])
+    first = np.zeros(len(begin) - 1, np.int64)
+    inner = begin[:-1][begin[:-1] < len(at)]
+    first[: len(inner)] = same[inner + 1] - same[inner]  # a text's first word follows another text's
+    return same[begin[1:]] - same[begin[:-1]] - first
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(y, features, counts) of training texts."""
     for b in slices(batches):
         out = []
-        for text in b.column(1).to_pylist():
-            words = words_of(text)
-            rows = [f for w in words for f in features(w)] + [REPEAT] * sum(map(eq, words, words[1:]))
+        words, places, begin = words_of(b.column(1))
+        own = [features(w) if w else [] for w in words]
+        for i, j, same in zip(begin.tolist(), begin[1:].tolist(), repeats(places, begin).tolist(), strict=False):
+            rows = [f for p in places[i:j].tolist() for f in own[p]] + [REPEAT] * same
             at, n = np.unique(np.array(rows, np.int64), return_counts=True)
             out.append((at.astype(np.uint16).tobytes(), (n / max(1, n.sum())).astype(np.float32).tobytes()))
         yield pa.record_batch([b.column(0), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], ["y", "at", "share"])
@@ -113,23 +126,22 @@ def fit(labels: DataFrame, docs: DataFrame, label: str = "quality", parts: int =
 def _scores(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = model.weight.astype(np.float64).tolist()
-        value: dict[str, float] = {}
-        count: dict[str, int] = {}
-        for b in slices(batches):
-            if len(value) > CACHE:
-                value.clear()
-                count.clear()
-            out = []
-            for text in b.column(0).to_pylist():
-                words = words_of(text)
-                for w in set(words):
-                    if w not in value:
-                        rows = features(w)
-                        value[w], count[w] = sum(map(weight.__getitem__, rows)), len(rows)
-                same = sum(map(eq, words, words[1:]))
-                n = sum(map(count.__getitem__, words)) + same
-                z = (sum(map(value.__getitem__, words)) + same * weight[REPEAT]) / n if n else 0.0
-                out.append(1 / (1 + np.exp(-np.clip(z + model.bias, -30, 30))))
+        known: dict[str, tuple[float, int]] = {"": (0.0, 0)}
+        for b in slices(batches, 2048, 16 << 20):
+            if len(known) > CACHE:
+                known = {"": (0.0, 0)}
+            words, at, begin = words_of(b.column(0))
+            found = list(map(known.get, words))
+            for i, x in enumerate(found):
+                if x is None:
+                    rows = features(words[i])
+                    found[i] = known[words[i]] = sum(map(weight.__getitem__, rows)), len(rows)
+            value, count = np.array(found, np.float64).reshape(-1, 2)[at].T
+            value, count = (np.concatenate([[0.0], np.cumsum(x)]) for x in (value, count))
+            same = repeats(at, begin)
+            n = count[begin[1:]] - count[begin[:-1]] + same
+            z = np.where(n > 0, (value[begin[1:]] - value[begin[:-1]] + same * weight[REPEAT]) / np.maximum(n, 1), 0.0)
+            out = 1 / (1 + np.exp(-np.clip(z + model.bias, -30, 30)))
             yield pa.record_batch([*b.columns[1:], pa.array(out, pa.float64())], [*b.schema.names[1:], "score"])
 
     return run
