@@ -9,12 +9,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import bloom
 from tessera.functions.text import grouped
 from tessera.operators import files, formats, groups, index, info, lines, snapshot
+from tessera.operators.parts import parts
 from tessera.plans.options import parse_options
 from tessera.sources.config import parse_config
 from tessera.workers import importable
@@ -336,6 +338,68 @@ def group_acceptance(spark, sf_dir):
     return documents(spark, sf_dir).select("path", groups.accepted(inner, F.col("path")).alias("accepted"))
 
 
+@query("""WITH c AS (SELECT l_orderkey AS k FROM lineitem UNION ALL SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0)
+  SELECT CAST(k AS VARCHAR) AS path FROM c GROUP BY k""")
+def project_union(spark, sf_dir):
+    """Files that several groups find, each path once."""
+    inner = parse_config("path /a\ngroup\npath /b\nendgroup\n", "/")
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.concat(F.lit("/a/"), F.col("l_orderkey").cast("string")).alias("path"))
+    more = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 3 = 0").select(F.concat(F.lit("/a/"), F.col("o_orderkey").cast("string")).alias("path"))
+    return groups.project_files(inner, rows.unionByName(more)).select(F.substring("path", 4, 100).alias("path"))
+
+
+@query("""WITH t AS (SELECT unnest(['x', 'é', chr(8364) || 'b', 'plain', '']) AS t)
+  SELECT t AS text, code FROM t, (SELECT unnest(['utf-8', 'utf-16-le', 'utf-16-be', 'utf-32-le', 'utf-32-be']) AS code)""")
+def transcoding(spark, sf_dir):
+    """Bytes of each encoding with its mark come out as the text."""
+    from tessera.sources.tree import decoded
+
+    marks = {"utf-8": b"\xef\xbb\xbf", "utf-16-le": b"\xff\xfe", "utf-16-be": b"\xfe\xff", "utf-32-le": b"\xff\xfe\0\0", "utf-32-be": b"\0\0\xfe\xff"}
+    rows = [(code, bytearray(mark + t.encode(code))) for code, mark in marks.items() for t in ("x", "é", "€b", "plain", "")]
+    return spark.createDataFrame(rows, "code string, raw binary").select(decoded(F.col("raw")).alias("text"), "code")
+
+
+@query(f"WITH {LINES} SELECT path, line_no, line FROM lines WHERE regexp_matches(line, 'ing$')")
+def search_parts(spark, sf_dir):
+    """Lines of files cut into parts have the numbers they have in the whole."""
+    return lines.search(parts(documents(spark, sf_dir), 2048), "ing$").select("path", "line_no", "line")
+
+
+@query(f"""WITH {LINES} SELECT chr(27) || '[;0;35m' || path || chr(27) || '[0m' || chr(27) || '[;0;36m:' || chr(27) || '[0m' || chr(27) || '[;0;32m' || line_no || chr(27) || '[0m' || chr(27) || '[;0;36m:' || chr(27) || '[0m' ||
+  replace(regexp_replace(line, 'qu[aeiou]', chr(27) || '[;01;31m\\0' || chr(27) || '[0m', 'g'), chr(27) || '[0m' || chr(27) || '[;01;31m', '') AS text FROM lines WHERE regexp_matches(line, 'qu[aeiou]')""")
+def format_highlight(spark, sf_dir):
+    options = parse_options("H")
+    return formats.rendered(lines.search(documents(spark, sf_dir), "qu[aeiou]", options), "qu[aeiou]", options).select("text")
+
+
+@query(f"WITH {URLS} SELECT ord, path FROM u WHERE regexp_matches(name, '^[a-z]*3')")
+def files_style_priority(spark, sf_dir):
+    """Of several styles the name wins over the path, tokens and fuzzy."""
+    return files.find(urls(spark, sf_dir), "^[a-z]*3", parse_options("ff fs fp fn")).select("ord", "path")
+
+
+@query("""WITH b AS (SELECT chr(CAST(32 + l_linenumber AS INTEGER)) AS c, l_orderkey AS k FROM lineitem WHERE l_orderkey < 400)
+  SELECT k, count(*) * 2 AS set_bits FROM b GROUP BY k""")
+def filter_bits(spark, sf_dir):
+    """Set bits of filters as the statistics count them: two bits in each byte of these."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_orderkey < 400").groupBy(F.col("l_orderkey").alias("k")).agg(F.count(F.lit(1)).cast("int").alias("n"))
+    built = rows.select("k", F.unhex(F.repeat(F.lit("81"), F.col("n"))).alias("bloom"), F.lit(1).alias("rounds"), (F.col("n") * 8).alias("bits"))
+    return built.select("k", F.round(info.filled(F.col("bloom")) * F.col("bits")).cast("long").alias("set_bits"))
+
+
+@query(f"WITH {LINES} SELECT count(*) AS matches FROM lines WHERE contains(line, 'the')")
+def match_count(spark, sf_dir):
+    return lines.search(documents(spark, sf_dir), "the", parse_options("l")).agg(F.count(F.lit(1)).alias("matches"))
+
+
+@query("""WITH c AS (SELECT path FROM (VALUES ('a.c'), ('b.c'), ('B.H'), ('d/e.c'), ('z')) AS t(path)) SELECT path FROM c WHERE path IN ('a.c', 'B.H')""")
+def change_acceptance(spark, sf_dir):
+    """Changed paths count if the groups accept what follows their folder."""
+    group = parse_config("path /r\ninclude \\.[ch]$\nexclude ^d$\nexclude ^b\\.c\n", "/")
+    rows = spark.createDataFrame([(f"/r/{p}",) for p in ("a.c", "b.c", "B.H", "d/e.c", "z")] + [("/q/a.c",)], "path string")
+    return groups.project_files(group, rows).select(F.substring("path", 4, 100).alias("path"))
+
+
 # --- index ------------------------------------------------------------------------------------
 
 GRAMS = f"""{DOCS}, bytes AS (SELECT path, hex(encode({FOLD.format('content')})) AS h FROM docs),
@@ -369,24 +433,23 @@ def gram_bruteforce(spark, sf_dir):
     return index.search_indexed(corpus, index.blooms(corpus), PRUNED, parse_options("b")).select("path", "line_no", "line")
 
 
-@query("SELECT doc_id // 64 AS chunk_id, CAST(sum(strlen(text)) + count(*) - 1 AS BIGINT) AS bytes, CAST((sum(strlen(text)) + count(*) - 1) // 50 AS BIGINT) AS filter_bytes FROM documents GROUP BY doc_id // 64")
+@query("""WITH c AS (SELECT doc_id // 64 AS chunk_id, CAST(sum(strlen(text)) + count(*) - 1 AS BIGINT) AS bytes FROM documents GROUP BY doc_id // 64)
+  SELECT chunk_id, bytes, CASE WHEN bytes // 50 < 1024 THEN 0 ELSE bytes // 50 END AS filter_bytes FROM c""")
 def bloom_sizes(spark, sf_dir):
-    built = index.blooms(chunked_documents(spark, sf_dir).repartition(1).sortWithinPartitions("chunk_id"))
+    built = index.blooms(chunked_documents(spark, sf_dir).repartition("chunk_id").sortWithinPartitions("chunk_id"))
     return built.select("chunk_id", "bytes", F.octet_length("bloom").cast("long").alias("filter_bytes"))
 
 
 @query("SELECT doc_id // 64 AS chunk_id, true AS holds FROM documents GROUP BY doc_id // 64")
 def bloom_membership(spark, sf_dir):
     """Every chunk's filter holds all 4-grams of its own texts: a filter never rules out what is there."""
-    import pandas as pd
-
     corpus = chunked_documents(spark, sf_dir)
 
     @F.pandas_udf("boolean")
     def holds(raw: pd.Series, rounds: pd.Series, text: pd.Series) -> pd.Series:
         return pd.Series([bloom.might_hold(b, bloom.grams(t.encode()), r) for b, r, t in zip(raw, rounds, text, strict=True)], dtype=bool)
 
-    built = index.blooms(corpus.repartition(1).sortWithinPartitions("chunk_id"))
+    built = index.blooms(corpus.repartition("chunk_id").sortWithinPartitions("chunk_id"))
     return corpus.join(built, "chunk_id").groupBy("chunk_id").agg(F.bool_and(holds("bloom", "rounds", "content")).alias("holds"))
 
 

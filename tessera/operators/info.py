@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -83,8 +83,13 @@ def integrity(parts: DataFrame) -> DataFrame:
     )
 
 
+def filled(raw: Column) -> Column:
+    """Share of set bits of a filter, counted in words of up to eight bytes."""
+    words = F.transform(F.sequence(F.lit(0), F.floor((F.octet_length(raw) - 1) / 8).cast("int")), lambda i: F.bit_count(F.conv(F.hex(F.substring(raw, i * 8 + 1, F.lit(8))), 16, -10).cast("long")))
+    return F.aggregate(words, F.lit(0), lambda a, x: a + x) / (F.octet_length(raw) * 8)
+
+
 def index_stats(index: DataFrame) -> DataFrame:
     """One row over ``index(bloom, rounds)``: indexed chunks, bytes, rounds and the share of set bits."""
-    bits = F.aggregate(F.transform(F.sequence(F.lit(1), F.octet_length("bloom")), lambda i: F.bit_count(F.conv(F.hex(F.substring("bloom", i, F.lit(1))), 16, 10).cast("int"))), F.lit(0), lambda a, x: a + x)
-    rows = index.where(F.octet_length("bloom") > 0).select(F.octet_length("bloom").alias("size"), "rounds", (bits / (F.octet_length("bloom") * 8)).alias("filled"))
+    rows = index.where(F.octet_length("bloom") > 0).select(F.octet_length("bloom").alias("size"), "rounds", filled(F.col("bloom")).alias("filled"))
     return rows.agg(F.count(F.lit(1)).alias("indexed"), F.sum("size").alias("bytes"), *[f(c).alias(f"{c}_{n}") for c in ("rounds", "filled") for n, f in (("min", F.min), ("max", F.max), ("avg", F.avg))])
