@@ -327,6 +327,20 @@ def test_packing_edges(spark):
     assert packing.packed(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("items", [20_000, 300])
+def test_packing_against_one_best_fit(spark, items, monkeypatch):
+    """Local packing and merging over many partitions takes hardly more bins than best-fit decreasing over all pieces at once."""
+    monkeypatch.setattr(packing, "TASK_ITEMS", items)
+    rng = np.random.default_rng(4)
+    docs = [(i, " ".join(["word"] * int(n))) for i, n in enumerate(rng.choice([int(x) for x in rng.integers(1, 130, 400)], 6000))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(24)
+    rows = packing.packed(df, capacity=64).collect()
+    assert len({(r.doc_id, r.piece) for r in rows}) == len(rows)
+    bins = len({r.sequence_id for r in rows})
+    _, whole = packing.best_fit(np.array([r.length for r in rows]), 64)
+    assert bins <= 1.01 * len(whole) + 2
+
+
 def test_best_fit():
     where, fill = packing.best_fit(np.array([6, 5, 4, 3, 2, 10, 1]), 10)
     assert sorted(fill) == [1, 10, 10, 10] or len(fill) == 4
