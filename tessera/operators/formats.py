@@ -71,5 +71,5 @@ def rendered(found: DataFrame, query: str, options: Options = Options()) -> Data
 
 
 def summary(matches: int, seconds: float, limit: int | None) -> str:
-    """Closing line; a plus says that the limit ended the search."""
+    """Closing line; a plus says that the limit ended the search. Fixed value: the sentence, which tools look for."""
     return f"Search complete, found {matches}{'+' if limit is not None and matches >= limit else ''} matches in {seconds:.2f} sec"

@@ -68,8 +68,8 @@ def normal_path(base: str, path: str) -> str:
 def parse_config(text: str, base: str, name: str = "project") -> Group:
     """The root group of a project file's text; paths are relative to ``base``."""
     root = at = Group()
-    for n, line in enumerate(text.splitlines(), 1):
-        line = line.strip(" \t")
+    for n, line in enumerate(text.split("\n"), 1):
+        line = line.strip(" \t\r")
         if not line or line.startswith("#"):
             continue
         word, *rest = line.split(None, 1)
@@ -127,4 +127,4 @@ def new_config(file: str, path: str) -> None:
     for language, endings in LANGUAGES.items():
         rows += [f"# {language}", f"include \\.({endings})$"]
     where.parent.mkdir(parents=True, exist_ok=True)
-    where.write_text("\n".join([*rows, "# exclude ^some folder/", "", ""]))
+    where.write_text("\n".join([*rows, "# exclude ^folder to leave out/", "", ""]))

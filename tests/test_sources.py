@@ -178,6 +178,16 @@ def test_changes_that_come_during_an_update_stay(spark, tmp_path):
     assert changes.write(paths("z")) == 100 and [r.path for r in changes.read().collect()] == ["z"]
 
 
+def test_shell(spark, tmp_path, monkeypatch, capsys):
+    from tessera.__main__ import input_lines, main
+
+    assert [r.line for r in input_lines(spark, iter(["a\r\n", "\n", "b"])).collect()] == ["a", "", "b"]
+    monkeypatch.setenv("TESSERA_HOME", str(tmp_path))
+    monkeypatch.setattr("sys.stdin", iter(["x/abc\n", "\n", "q\n"]))
+    assert main(["filter", "fn", "^a"]) == 0 and capsys.readouterr().out == "x/abc\n"
+    assert main([]) == 0 and capsys.readouterr().out.startswith("Verbs")
+
+
 def test_filter_stream(spark):
     from tessera.plans.options import parse_options
 
