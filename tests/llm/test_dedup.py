@@ -1,7 +1,9 @@
+import hashlib
 import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from tessera.llm import phrases, queries, simhash
 from tessera.llm.components import connected_components
 from tests.conftest import SMALL
+from tests.oracle import same_rows
 
 
 def roots(n, links):
@@ -227,5 +230,41 @@ def test_recurring_passages_edges(spark):
 def test_op5(spark):
     rows = spark.read.parquet(f"{SMALL}/documents.parquet").collect()
     want = slow_removed([r.text for r in rows], 35)
-    got = {r.doc_id: (r.n_words, r.n_removed) for r in queries.op5_phrases(spark, SMALL).collect()}
-    assert got == {r.doc_id: w[:2] for r, w in zip(rows, want, strict=True)}
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in queries.op5_phrases(spark, SMALL).collect()}
+    assert got == {r.doc_id: (*w[:2], hashlib.sha256(w[2].encode()).hexdigest()) for r, w in zip(rows, want, strict=True)}
+
+
+def test_op5_equals_sql(spark):
+    assert same_rows(spark, queries.op5_phrases, queries.ORACLES["op5_phrases"], SMALL) == 200
+
+
+class Held:
+    """Rows of a shard, as the store would give them."""
+
+    def __init__(self, rows):
+        self.rows = rows
+
+    def of(self, block):
+        return self.rows
+
+
+def test_automata_alone_locate(monkeypatch):
+    """Automata, however many a shard has, find each place of each phrase, and without them nothing goes."""
+    monkeypatch.setattr(phrases, "MACHINE", 3)
+    rng = random.Random(3)
+    words = [b"w%d" % i for i in range(4)] + ["é".encode(), b"\xff"]
+    docs = [[rng.choice(words) for _ in range(n)] for n in (0, 12, 34, 35, 500, 700)]
+    wanted = [docs[4][i : i + 8] for i in (0, 17, 100, 492)] + [docs[5][i : i + 8] for i in (5, 692)] + [docs[4][:8]]
+    rows = pa.table({"phrase": pa.array([b" ".join(p) for p in wanted], pa.binary()), "v": pa.array([1] * len(wanted), pa.int64())})
+    shard = phrases._Shard(Held(rows), Held(None), 0, 35)
+    assert len(shard.machines) == 3
+    got = {(d, int(p)) for d, (at, which) in shard.located(docs).items() for p, k in zip(at, which, strict=True) if docs[d][p : p + 8] == wanted[k]}
+    every = [(d, int(p)) for d, (at, _) in shard.located(docs).items() for p in at]
+    assert got == set(every) == {(d, i) for d, own in enumerate(docs) if len(own) >= 35 for i in range(len(own) - 7) if own[i : i + 8] in wanted}
+    words = phrases.Words(docs, 35)
+    lo, hi = words.context(np.array([words.begin[4] + 100]))
+    rows = rows.set_column(1, "v", pa.array(np.full(len(wanted), words.run(lo, hi)[0]).view(np.int64)))
+    shard = phrases._Shard(Held(rows), Held(None), 0, 35)
+    assert {d: x.sum() for d, x in shard.dropped(docs).items()} == {4: int(hi[0] - lo[0])}
+    shard.machines = []
+    assert shard.dropped(docs) == {}
