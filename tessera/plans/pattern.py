@@ -320,6 +320,16 @@ def needs(node: Node) -> Needs | None:
     return _joined("all", out)
 
 
+def at_least(need: Needs | None, length: int) -> Needs | None:
+    """What remains of it with literals of some length only; None if that is nothing."""
+    if need is None or need.how == "text":
+        return need if need and len(need.text) >= length else None
+    parts = [at_least(p, length) for p in need.parts]
+    if need.how == "any":
+        return None if None in parts else _joined("any", parts)
+    return _joined("all", [p for p in parts if p])
+
+
 def may_be_empty(node: Node) -> bool:
     """Whether the node can match nothing."""
     if node.kind in ("seq", "alt"):
@@ -346,7 +356,10 @@ class Plan:
         """What any text with a matching line has; None if nothing can be said."""
         if self.literal is not None:
             return F.contains(text, F.lit(self.literal)) if self.literal else None
-        return self.needs.condition(F.lower(text) if self.folded else text) if self.needs else None
+        if not self.folded:
+            return self.needs.condition(text) if self.needs else None
+        long = at_least(self.needs, 3)  # shorter ones are in nearly all texts, and lower case is not for free
+        return long.condition(F.lower(text)) if long else None
 
     @property
     def pattern(self) -> str:
