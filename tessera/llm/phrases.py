@@ -169,7 +169,7 @@ def _anchors(window: int):
             order = np.lexsort((context.view(np.int64), anchor))
             anchor, context = anchor[order], context[order]
             first = np.flatnonzero(np.concatenate([anchor[:1] == anchor[:1], anchor[1:] != anchor[:-1]]))
-            last = np.append(first[1:], len(anchor))
+            last = np.append(first[1:], len(anchor))[: len(first)]
             return pa.record_batch([pa.array(np.full(len(first), now)), _long(anchor[first]), _long(context[first]), _long(context[last - 1]), pa.array(last - first)], ["block", "a", "lo", "hi", "n"])
 
         for block, b in by_block(batches):

@@ -225,6 +225,8 @@ def test_recurring_passages_edges(spark):
     df = spark.createDataFrame([(1, "a  b"), (1, "a  b"), (None, None)], "doc_id long, text string")
     assert sorted((r.n_words, r.kept is None, r.kept) for r in phrases.without_recurring(df, original=True).collect() if r.kept) == [(2, False, "a  b")] * 2
     assert phrases.without_recurring(df.limit(0)).count() == 0
+    short = spark.createDataFrame([(i, "few words only " * (i % 9)) for i in range(40)], "doc_id long, text string")  # no block has an anchor
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in phrases.without_recurring(short).collect()) == [(i, 3 * (i % 9), 0) for i in range(40)]
 
 
 def test_op5(spark):
