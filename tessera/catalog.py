@@ -359,10 +359,10 @@ def transcoding(spark, sf_dir):
     return spark.createDataFrame(rows, "code string, raw binary").select(decoded(F.col("raw")).alias("text"), "code")
 
 
-@query(f"WITH {LINES} SELECT path, line_no, line FROM lines WHERE regexp_matches(line, 'ing$')")
+@query(rf"WITH {LINES} SELECT path, line_no, line FROM lines WHERE regexp_matches(line, 'e\.$')")
 def search_parts(spark, sf_dir):
     """Lines of files cut into parts have the numbers they have in the whole."""
-    return lines.search(parts(documents(spark, sf_dir), 2048), "ing$").select("path", "line_no", "line")
+    return lines.search(parts(documents(spark, sf_dir), 2048), r"e\.$").select("path", "line_no", "line")
 
 
 @query(f"""WITH {LINES} SELECT chr(27) || '[;0;35m' || path || chr(27) || '[0m' || chr(27) || '[;0;36m:' || chr(27) || '[0m' || chr(27) || '[;0;32m' || line_no || chr(27) || '[0m' || chr(27) || '[;0;36m:' || chr(27) || '[0m' ||

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from tessera.operators.info import CHUNK
 
+#: Characters of parts that a task holds before it hands them on.
+HELD = 32 << 20
+
 
 def cut(text: str, target: int) -> Iterator[tuple[int, str]]:
     """(lines before, text) of parts that end at a line end once ``target`` bytes are in them; a longer line stays whole."""
@@ -34,8 +37,16 @@ def parts(corpus: DataFrame, target: int = CHUNK, *carry: str) -> DataFrame:
     rows = corpus.select("path", F.lit(0).alias("part_no"), F.lit(0).alias("start_line"), "content", *carry)
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
         for b in batches:
             for own in b.to_dict("records"):
-                yield pd.DataFrame([own | {"part_no": i, "start_line": n, "content": t} for i, (n, t) in enumerate(cut(own["content"], target))])
+                for i, (n, t) in enumerate(cut(own["content"], target)):
+                    held.append(own | {"part_no": i, "start_line": n, "content": t})
+                    size += len(t)
+                    if size > HELD:
+                        yield pd.DataFrame(held)
+                        held, size = [], 0
+        if held:
+            yield pd.DataFrame(held)
 
     return rows.where(~large).unionByName(rows.where(large).mapInPandas(split, rows.schema))
