@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tessera.llm import chat, decontam, fingerprint, hilbert, packing, phrases, quality, simhash, toxicity, warc
+from tessera.llm import alignment, centroids, chat, decontam, fingerprint, hilbert, packing, phrases, quality, simhash, token_counts, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -132,3 +132,51 @@ def op6_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document by the word tokenizer, each distinct pre-token counted once."""
+    counts = token_counts.token_counts(table(spark, sf_dir, "documents"))
+    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
+@query
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's groups and links of byte-level and sentence-piece tokens, with the links' corpus counts."""
+    return alignment.aligned(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every complete vector's nearest of 40 centroids after five rounds."""
+    return centroids.clustered(table(spark, sf_dir, "embeddings"), clusters=40, rounds=5)
+
+
+def _centroids_sql(clusters: int, rounds: int) -> str:
+    """The rounds written out, one after the other."""
+    near = """a{t} AS MATERIALIZED (
+  SELECT rid, arg_min(c, (d, c)) AS c, min(d) AS d FROM (
+    SELECT v.rid, m.c, list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - m.x[i]) * (v.x[i] - m.x[i])))::BIGINT AS d FROM v, m{t} m) GROUP BY rid)"""
+    moved = """m{u} AS MATERIALIZED (
+  SELECT m.c, coalesce(n.x, m.x) AS x FROM m{t} m LEFT JOIN (
+    SELECT c, list(f ORDER BY i) AS x FROM (
+      SELECT c, i, CAST((s - ((s % n) + n) % n) // n AS BIGINT) AS f FROM (
+        SELECT c, i, sum(q)::BIGINT AS s, count(*) AS n FROM (SELECT a.c, unnest(v.x) AS q, generate_subscripts(v.x, 1) AS i FROM a{t} a JOIN v USING (rid)) GROUP BY c, i))
+    GROUP BY c) n USING (c))"""
+    steps = [near.format(t=t) + (",\n" + moved.format(t=t, u=t + 1) if t < rounds else "") for t in range(rounds + 1)]
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda q: CAST(floor(256 * CAST(q AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda q: q IS NOT NULL AND isfinite(q))) = 64),
+m0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, x) - 1 AS c, x FROM (SELECT sha256('2:' || vec_id) AS h, x FROM v ORDER BY h, x LIMIT {clusters})),
+{",\n".join(steps)},
+t AS (SELECT c, CAST(sum(d) AS BIGINT) AS own FROM a{rounds} GROUP BY c),
+w AS (SELECT CAST(sum(d) AS BIGINT) AS whole FROM a{rounds})
+SELECT vec_id, CAST(a.c AS INTEGER) AS cluster, a.d AS distance, own AS cluster_inertia, whole AS inertia, sha256(array_to_string(m.x, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN v USING (rid) JOIN t USING (c) JOIN m{rounds} m USING (c), w
+"""
+
+
+ORACLES["op13_centroids"] = _centroids_sql(40, 5)
