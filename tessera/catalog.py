@@ -113,6 +113,25 @@ def search_limit(spark, sf_dir):
     return lines.ordered(lines.search(documents(spark, sf_dir), "the"), 25).select("path", "line_no", "line")
 
 
+DEEP = "([a-zé]+, )+[a-z]+[.]"
+WHOLE = f"{DOCS}, lines AS (SELECT path, 1 AS line_no, replace(content, chr(10), ' ') AS line FROM docs)"
+
+
+@query(f"""WITH {WHOLE} SELECT path, CAST(strlen(regexp_extract(line, '^(.*?)(?:{DEEP})', 1)) + 1 AS INTEGER) AS col,
+  CAST(strlen(regexp_extract(line, '^(.*?)(?:{DEEP})', 1)) + 1 + strlen(regexp_extract(line, '{DEEP}')) AS INTEGER) AS end_col FROM lines WHERE regexp_matches(line, '{DEEP}')""")
+def search_deep(spark, sf_dir):
+    """Repeated groups over whole documents as one line each, which the JVM's engine would recurse on."""
+    whole = documents(spark, sf_dir).withColumn("content", F.translate("content", "\n", " "))
+    options = parse_options("CE")
+    return lines.columns(lines.search(whole, DEEP, options), DEEP, options).select("path", "col", "end_col")
+
+
+@query(f"""WITH {LINES} SELECT path, line_no, replace(regexp_replace(line, '(e[a-z]* )+of', '<<\\0>>', 'g'), '>><<', '') AS marked FROM lines WHERE regexp_matches(line, '(e[a-z]* )+of')""")
+def highlight_deep(spark, sf_dir):
+    found = lines.search(documents(spark, sf_dir), "(e[a-z]* )+of")
+    return found.select("path", "line_no", formats.highlighted(F.col("line"), "(e[a-z]* )+of", begin="<<", end=">>").alias("marked"))
+
+
 @query(f"""WITH {LINES}, pg AS (SELECT url AS path, html AS content FROM pages), {SPLIT.format(name='pl', source='pg')},
   cv AS (SELECT conv_id || '/' || turn || '-' || role AS path, text AS content FROM conversations), {SPLIT.format(name='cl', source='cv')},
   every AS (SELECT 0 AS project_ord, 'documents' AS project, * FROM lines UNION ALL SELECT 1, 'pages', * FROM pl UNION ALL SELECT 2, 'conversations', * FROM cl UNION ALL SELECT 3, 'pages', * FROM pl)

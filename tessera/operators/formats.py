@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.plans.options import Options
-from tessera.plans.pattern import compile_pattern
+from tessera.plans.pattern import compile_pattern, spans_udf
 
 # Terminal colours, the usual ones of grep.
 MATCH = "\x1b[;01;31m"
@@ -19,6 +19,8 @@ RESET = "\x1b[0m"
 def highlighted(line: Column, query: str, options: Options = Options(), begin: str = MATCH, end: str = RESET) -> Column:
     """The line with each match between marks, touching matches as one; empty matches get none. What looks like a mark in the line stays."""
     plan = compile_pattern(query, options.ignore_case, options.literal)
+    if plan.deep:
+        return _by_spans(line, spans_udf(*plan.deep, every=True)(line), begin, end)
     cut = _by_cuts(line, plan.pattern, begin, end)
     marked = F.regexp_replace(line, plan.pattern, f"{_quoted(begin)}$0{_quoted(end)}")
     marked = F.replace(F.replace(marked, F.lit(begin + end), F.lit("")), F.lit(end + begin), F.lit(""))
@@ -36,6 +38,20 @@ def _quoted(text: str) -> str:
     return text.replace("\\", "\\\\").replace("$", "\\$")
 
 
+def _by_spans(line: Column, spans: Column, begin: str, end: str) -> Column:
+    """Marks at spans in order: one that touches the one before goes on with it."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        between = line.substr(acc["at"] + 1, s["begin"] - acc["at"])
+        first = F.when((acc["at"] == s["begin"]) & F.endswith(acc["out"], F.lit(end)), F.substring(acc["out"], F.lit(1), F.length(acc["out"]) - len(end))).otherwise(F.concat(acc["out"], between, F.lit(begin)))
+        out = F.concat(first, line.substr(s["begin"] + 1, s["end"] - s["begin"]), F.lit(end))
+        return F.struct(s["end"].alias("at"), out.alias("out"))
+
+    some = F.filter(spans, lambda s: s["end"] > s["begin"])
+    return F.aggregate(some, start, step, lambda acc: F.concat(acc["out"], line.substr(acc["at"] + 1, F.length(line))))
+
+
 def _by_cuts(line: Column, pattern: str, begin: str, end: str) -> Column:
     """Marks by the lengths of matched and unmatched pieces of a copy of equal length, in which two control characters are others."""
     cut = F.split(F.regexp_replace(F.translate(line, "\x01\x02", "\x03\x03"), pattern, "\x01$0\x02"), "[\x01\x02]", -1)

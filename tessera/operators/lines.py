@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import fold_ascii
 from tessera.plans.options import Options
-from tessera.plans.pattern import Plan, compile_pattern
+from tessera.plans.pattern import Plan, compile_pattern, spans_udf
 
 
 def lines(corpus: DataFrame, *carry: str) -> DataFrame:
@@ -42,6 +42,9 @@ def accepts(path: Column, include: tuple[str, ...] = (), exclude: tuple[str, ...
 
 def first_match(plan: Plan, line: Column) -> tuple[Column, Column]:
     """Bytes before a line's first match, and of the match itself."""
+    if plan.deep:
+        span = spans_udf(*plan.deep, every=False)(line)[0]
+        return F.octet_length(line.substr(F.lit(1), span["begin"])), F.octet_length(line.substr(span["begin"] + 1, span["end"] - span["begin"]))
     flags = plan.pattern[: plan.pattern.index(")") + 1]
     body = plan.pattern[len(flags) :]
     before = F.octet_length(F.regexp_extract(line, f"{flags}^(.*?)(?:{body})", 1))

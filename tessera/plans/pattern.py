@@ -1,7 +1,8 @@
 """Patterns: egrep syntax with perl classes and ``\\b``, parsed once and written for the JVM.
 
 A plan holds the JVM pattern, in which letters stand for both cases if case is ignored, and the literals without
-which a text can't match, as a tree that becomes a cheap condition on whole documents.
+which a text can't match, as a tree that becomes a cheap condition on whole documents. Patterns on which the
+JVM's engine would recurse once a repetition go to an automaton instead (``automaton``).
 """
 
 from __future__ import annotations
@@ -12,9 +13,12 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Depth of the JVM engine's stack that a pattern may need at most; some thousands of repetitions overflow it.
+FLAT = 500
 MOST_REPEATS = 1000
 WORD = "0-9A-Za-z_"
 #: The members of named classes.
@@ -131,6 +135,8 @@ class _Parser:
             return node
         if self.bounds() is not None:
             raise PatternError("repeat of a repeat")
+        if node.kind == "alt" and all(p.kind in ("char", "set") for p in node.parts):
+            node = Node("set", tuple(r for p in node.parts for r in (p.value if p.kind == "set" else ((ord(p.value),) * 2,))))
         return Node("repeat", span, (node,))
 
     def atom(self) -> Node:
@@ -269,12 +275,40 @@ def java(node: Node, both: bool = False) -> str:
     if kind == "repeat":
         low, high = node.value
         inner = java(node.parts[0], both)
-        inner = inner if node.parts[0].kind in ("char", "set", "any") else f"(?:{inner})"
+        if node.parts[0].kind not in ("char", "set", "any"):
+            inner = f"(?:{inner})"
+        elif high is None and low > 1:
+            return f"{inner}{{{low}}}{inner}*"  # the engine's loop for * takes characters of any width, that for {n,} recurses where width changes
         return inner + {(0, None): "*", (1, None): "+", (0, 1): "?"}.get((low, high), f"{{{low}}}" if low == high else f"{{{low},{'' if high is None else high}}}")
     in_, out = f"(?<=[{WORD}])", f"(?=[{WORD}])"
     return {"any": ".", "begin": "^", "end": "$", "word": f"(?:{before}{out}|{in_}{after})", "inside": f"(?:{before}{after}|{in_}{out})"}[kind]
 
 
+def _same_width(node: Node) -> bool:
+    """Whether the JVM's engine steps through repetitions of the node in a loop: all matches have one length in UTF-16."""
+    if node.kind == "char":
+        return ord(node.value) < 0x10000
+    if node.kind == "set":
+        return all(b < 0x10000 for _, b in node.value)
+    if node.kind == "repeat":
+        return node.value[0] == node.value[1] and _same_width(node.parts[0])
+    return node.kind == "seq" and all(_same_width(p) for p in node.parts)
+
+
+def stack_depth(node: Node) -> float:
+    """How deep the JVM's engine recurses on the node at most, in steps; infinite if that grows with the text."""
+    if node.kind in ("seq", "alt"):
+        return (sum if node.kind == "seq" else max)((stack_depth(p) for p in node.parts), **({} if node.kind == "seq" else {"default": 0})) + 1
+    if node.kind != "repeat":
+        return 1
+    (low, high), inner = node.value, node.parts[0]
+    if inner.kind in ("char", "set", "any"):
+        return 1 if high is None or low == high or _same_width(inner) else high
+    if _same_width(inner):
+        return 1 + stack_depth(inner)
+    return float("inf") if high is None else 1 + high * stack_depth(inner)
+
+
 @dataclass(frozen=True)
 class Needs:
     """A text without these literals can't match: ``all`` or ``any`` of the parts, or one ``text``."""
@@ -341,15 +375,19 @@ def may_be_empty(node: Node) -> bool:
 
 @dataclass(frozen=True)
 class Plan:
-    """How to match one query. ``folded``: ``needs`` are of the text in lower case; ``empty``: it can match nothing."""
+    """How to match one query. ``folded``: ``needs`` are of the text in lower case; ``empty``: it can match nothing;
+    ``deep``: the query and whether case is ignored, if the JVM's engine can't run it in bounded stack."""
 
     regex: str | None
     literal: str | None
     folded: bool
     needs: Needs | None
     empty: bool = False
+    deep: tuple[str, bool] | None = None
 
     def matches(self, col: Column) -> Column:
+        if self.deep:
+            return found_udf(*self.deep)(col)
         return F.contains(col, F.lit(self.literal)) if self.literal is not None else col.rlike(self.regex)
 
     def possible(self, text: Column) -> Column | None:
@@ -374,16 +412,58 @@ def compile_pattern(query: str, ignore_case: bool = False, literal: bool = False
         raise PatternError("a line has no line end")
     if literal and not ignore_case:
         return Plan(None, query, False, None, not query)
-    tree = Node("seq", None, tuple(Node("char", c.lower() if folded else c) for c in query)) if literal else _Parser(query, folded).whole()
+    tree = Node("seq", None, tuple(Node("char", c.lower() if folded else c) for c in query)) if literal else parsed(query, ignore_case)[0]
+    deep = None if literal or stack_depth(tree) <= FLAT + len(query) else (query, ignore_case)
     if ignore_case and not folded:
-        return Plan("(?diu)" + java(tree), None, False, None, may_be_empty(tree))
-    return Plan("(?d)" + java(tree, folded), None, folded, needs(tree), may_be_empty(tree))
+        return Plan("(?diu)" + java(tree), None, False, None, may_be_empty(tree), deep)
+    return Plan("(?d)" + java(tree, folded), None, folded, needs(tree), may_be_empty(tree), deep)
+
+
+def parsed(query: str, ignore_case: bool = False) -> tuple[Node, bool]:
+    """A query's tree, and whether it is folded."""
+    folded = ignore_case and query.isascii()
+    return _Parser(query, folded).whole(), folded
+
+
+@lru_cache(maxsize=64)
+def found_udf(query: str, ignore_case: bool) -> Callable[[Column], Column]:
+    """Whether a text matches, by the automaton."""
+
+    @F.pandas_udf("boolean")
+    def found(text: pd.Series) -> pd.Series:
+        from tessera.plans.automaton import automaton
+
+        known = text.notna()
+        out = pd.Series(pd.NA, index=text.index, dtype="boolean")
+        out[known] = automaton(query, ignore_case).found(text[known].tolist())
+        return out
+
+    return found
+
+
+@lru_cache(maxsize=64)
+def spans_udf(query: str, ignore_case: bool, every: bool) -> Callable[[Column], Column]:
+    """``array<struct<begin,end>>`` of a text's first match or all, in characters, by the automaton."""
+
+    @F.pandas_udf("array<struct<begin:int,end:int>>")
+    def spans(text: pd.Series) -> pd.Series:
+        from tessera.plans.automaton import automaton
+
+        own = automaton(query, ignore_case)
+        of = own.every if every else lambda x: [m for m in (own.first(x),) if m]
+        return text.map(lambda x: None if x is None else [{"begin": b, "end": e} for b, e in of(x)])
+
+    return spans
 
 
 def in_python(plan: Plan) -> Callable[[str], bool]:
     """The same test for single strings on the driver or in a directory walk."""
     if plan.literal is not None:
         return lambda text: plan.literal in text
+    if plan.deep:
+        from tessera.plans.automaton import automaton
+
+        return lambda text: bool(automaton(*plan.deep).found([text])[0])
     flags, body = plan.regex[: plan.regex.index(")") + 1], plan.regex[plan.regex.index(")") + 1 :]
     body = re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", body)
     found = re.compile(body, re.IGNORECASE if "i" in flags else 0)
