@@ -14,6 +14,7 @@ vocabulary at most.
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,16 +23,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.chunks import BLOCK_BYTES, BLOCK_ROWS, CUTS, cut, lists, per_row, place, portions, ragged, summed, sums, values
+from tessera.llm.chunks import BLOCK_ROWS, PORTION, Frequencies, cut, per_row, place, portions, ragged, summed, sums, values
 from tessera.llm.common import map_arrow, slices, stored
-from tessera.llm.token_counts import ModelPieces, by_block
+from tessera.llm.token_counts import ModelPieces, by_block, by_key, cell_of, first_block
 
 #: Chunks whose ids a worker keeps, characters of the longest of these, and chunks and bytes tokenised at a call.
-CACHE, CACHED_CHARS, AT_ONCE, AT_ONCE_BYTES = 300_000, 64, 256, 1 << 16
+CACHE, CACHED_CHARS, AT_ONCE, AT_ONCE_BYTES = 80_000, 32, 256, 1 << 16
 
-BLOCKS = "block long, pairs array<bigint>, holders array<int>, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pids array<int>, freqs array<int>"
+OWN = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
+BLOCKS = f"block long, pairs array<bigint>, holders array<int>, {', '.join(f'{c} array<bigint>' for c in OWN[:5])}, groups_sha256 array<string>, {Frequencies.schema}"
 ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
-OWN = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pids", "freqs"]
 
 
 def _byte_letters() -> dict[str, int]:
@@ -46,6 +47,7 @@ class Pair:
     doesn't normalise and adds a blank. Strings of special tokens are plain text to both."""
 
     def __init__(self, a: str, b: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core; each thread would keep memory of its own
         from tokenizers import Tokenizer
 
         self.a, other = Tokenizer.from_file(a), ModelPieces(b)
@@ -175,13 +177,13 @@ def _blocks(a: str, b: str):
         from pyspark import TaskContext
 
         both = pair(a, b)
-        block = TaskContext.get().partitionId() << 32
-        for batch in slices(batches, BLOCK_ROWS, BLOCK_BYTES):
+        block = first_block(TaskContext.get().partitionId())
+        for batch in slices(batches, BLOCK_ROWS, PORTION):
             n_rows = batch.num_rows
             totals = {k: np.zeros(n_rows, np.int64) for k in ("n_a", "n_b", "n_groups", "n_links")}
             digests: list = [None] * n_rows
             bad, parts = np.zeros(n_rows, bool), [(np.empty(0, np.int64),) * 3]
-            for rows, texts in portions(batch.column(1), both.at):
+            for rows, texts in portions(batch.column(1), both.at, PORTION // 2):
                 chunks, ends = cut(texts, both.at)
                 coded = chunks.dictionary_encode()
                 idx = coded.indices.to_numpy().astype(np.int64)
@@ -207,28 +209,21 @@ def _blocks(a: str, b: str):
             for total in totals.values():
                 total[bad] = 0
             digest = [d.hexdigest() if d is not None and not x else "" for d, x in zip(digests, bad.tolist(), strict=True)]
-            docs = [batch.column(0), *map(pa.array, totals.values()), pa.array(digest, pa.string()), lists(row, pid, n_rows), lists(row, freq, n_rows)]
-            names = ["block", "pairs", "holders", *OWN]
-            head = [pa.array([block]), pa.array([pairs], pa.list_(pa.int64())), pa.array([np.bincount(pid, minlength=len(pairs)).astype(np.int32)], pa.list_(pa.int32()))]
-            yield pa.record_batch([*head, *(pa.nulls(1, x.type) for x in docs)], names)
-            yield pa.record_batch([pa.array(np.full(n_rows, block)), pa.nulls(n_rows, pa.list_(pa.int64())), pa.nulls(n_rows, pa.list_(pa.int32())), *docs], names)
+            whole = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            held = np.bincount(pid, minlength=len(pairs)).astype(np.int32)
+            docs = [*map(whole, (batch.column(0), *map(pa.array, totals.values()), pa.array(digest, pa.string()))), *Frequencies.columns(row, pid, freq, n_rows)]
+            yield pa.record_batch([pa.array([block]), whole(pa.array(pairs)), whole(pa.array(held)), *docs], ["block", "pairs", "holders", *OWN, "cells", "n_keys", "keys", "freqs"])
             block += 1
+            pa.default_memory_pool().release_unused()
 
     return run
 
 
-def _with_counts(docs: pa.Table, found: pa.Table) -> pa.Table:
-    docs, pid = docs.combine_chunks(), found.column("pid").to_numpy()
-    n, best = np.zeros(int(pid.max(initial=-1)) + 1, np.int64), np.zeros(int(pid.max(initial=-1)) + 1, bool)
-    n[pid], best[pid] = found.column("n").to_numpy(), found.column("best").to_numpy()
-    counts, bests = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for b in docs.to_batches():
-        pids, freqs = b.column("pids"), b.column("freqs").flatten().to_numpy()
-        own, offsets = pids.flatten().to_numpy(), pids.offsets.to_numpy()
-        counts.append(sums(n[own] * freqs, offsets - offsets[0]))
-        bests.append(sums(best[own] * freqs, offsets - offsets[0]))
-    column = {c: docs.column(c) for c in OWN[:5]} | {"n_best": pa.array(np.concatenate(bests)), "count_sum": pa.array(np.concatenate(counts)), "groups_sha256": docs.column("groups_sha256")}
-    return pa.table(column)
+def _with_counts(block: dict, found: pa.Table) -> pa.Table:
+    keys, freqs, ends = Frequencies.of(block)
+    whole = {c: pa.array(block[c], pa.int64()) for c in OWN[:5]}
+    whole |= {"n_best": pa.array(sums(by_key(found, "best")[keys] * freqs, ends)), "count_sum": pa.array(sums(by_key(found, "n")[keys] * freqs, ends))}
+    return pa.table(whole | {"groups_sha256": pa.array(block["groups_sha256"], pa.string())})
 
 
 def aligned(docs: DataFrame, a: str = "byte_bpe_50k.json", b: str = "piece_bpe_32k.model", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -237,15 +232,15 @@ def aligned(docs: DataFrame, a: str = "byte_bpe_50k.json", b: str = "piece_bpe_3
     Null and empty texts, and those whose characters B can't give back, have no tokens: zeros and an empty
     ``groups_sha256``. Null ids and repeated rows are documents of their own (each counts as a holder of its
     pairs); of ids with the same count all are best; other columns, whatever their names, are not read; an
-    empty table gives no rows. A text longer than ``BLOCK_BYTES`` is worked on in portions, cut where chunks begin.
+    empty table gives no rows. A text longer than ``PORTION`` is worked on in portions, cut where chunks begin.
     """
     pa_, pb = place(a), place(b)
     pair(pa_, pb)  # tells of unfit tokenizers before any job
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.when(F.col(text_col) != "", F.concat(F.lit(" "), F.col(text_col))).otherwise("").alias("text"))
     blocks = stored(map_arrow(rows, _blocks(pa_, pb), BLOCKS), "blocks")
-    heads = blocks.where("pairs is not null").select("block", F.posexplode(F.arrays_zip("pairs", "holders")).alias("pid", "own")).select("block", "pid", F.col("own.pairs").alias("pair"), F.col("own.holders").alias("holders"))
+    heads = blocks.select("block", F.posexplode(F.arrays_zip("pairs", "holders")).alias("pid", "own")).select(cell_of("block", "pid"), F.col("own.pairs").alias("pair"), F.col("own.holders").alias("holders"))
     counted = stored(heads.groupBy("pair").agg(F.sum("holders").alias("n")), "pairs")
     highest = counted.groupBy(F.shiftright("pair", 32).alias("a")).agg(F.max("n").alias("most"))
     counted = counted.join(F.broadcast(highest), F.shiftright("pair", 32) == F.col("a")).select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
-    found = heads.join(counted, "pair").select("block", "pid", "n", "best")
-    return by_block(blocks.where("pairs is null").select("block", *OWN), found, _with_counts, ALIGNED)
+    found = heads.join(counted, "pair").select("cell", "n", "best")
+    return by_block(blocks.drop("pairs", "holders"), found, _with_counts, ALIGNED)

@@ -15,8 +15,8 @@ import pyarrow as pa
 
 #: Characters at which chunks may begin.
 CUTS = " \n"
-#: Bytes of text that a worker takes at once, and rows that share a block.
-BLOCK_BYTES, BLOCK_ROWS = 4 << 20, 4096
+#: Bytes of text that a worker takes at once, and bytes and rows of a block, whose texts share one list of keys.
+PORTION, BLOCK_BYTES, BLOCK_ROWS = 4 << 20, 32 << 20, 16384
 _CUT = re.compile(r"(?<=[^\s▁])[ \n]")
 
 
@@ -68,7 +68,7 @@ def cut(texts: pa.StringArray, at: str = CUTS, stops: str = "") -> tuple[pa.Stri
     return pa.StringArray.from_buffers(len(starts), pa.py_buffer(bounds.tobytes()), pa.py_buffer(data.tobytes())), np.searchsorted(starts, ends)
 
 
-def portions(texts: pa.StringArray, at: str = CUTS, size: int = BLOCK_BYTES) -> Iterator[tuple[np.ndarray, pa.StringArray]]:
+def portions(texts: pa.StringArray, at: str = CUTS, size: int = PORTION) -> Iterator[tuple[np.ndarray, pa.StringArray]]:
     """All texts in portions of about ``size`` bytes, as numbers of rows and texts. One longer than that comes
     as several portions, cut where chunks begin, so that what a portion needs doesn't grow with a text."""
     sizes = np.diff(values(texts)[1])
@@ -110,10 +110,33 @@ def per_row(idx: np.ndarray, ends: np.ndarray, kinds: int) -> tuple[np.ndarray,
     return key // max(1, kinds), key % max(1, kinds), n
 
 
-def lists(row: np.ndarray, value: np.ndarray, rows: int) -> pa.ListArray:
-    """A list of the values of each row; ``row`` in order."""
-    offsets = np.searchsorted(row, np.arange(rows + 1)).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(value.astype(np.int32)))
+def packed(numbers: np.ndarray) -> bytes:
+    """32-bit numbers as compressed bytes, all lowest bytes first: small ones take little room."""
+    planes = numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T
+    return pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(raw: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(raw, 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<i4").ravel().astype(np.int64)
+
+
+class Frequencies:
+    """How often each of a block's keys occurs in each of its texts, as one compressed row."""
+
+    schema = "cells long, n_keys array<int>, keys binary, freqs binary"
+
+    @staticmethod
+    def columns(row: np.ndarray, key: np.ndarray, freq: np.ndarray, rows: int) -> list[pa.Array]:
+        """``row`` and, within it, ``key`` in order."""
+        n = np.bincount(row, minlength=rows).astype(np.int32)
+        return [pa.array([len(key)]), pa.array([n], pa.list_(pa.int32())), pa.array([packed(np.diff(key, prepend=0))], pa.binary()), pa.array([packed(freq)], pa.binary())]
+
+    @staticmethod
+    def of(block: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys and frequencies of all texts one after the other, and where each text's begin and the last one's end."""
+        n = block["cells"]
+        return np.cumsum(unpacked(block["keys"], n)), unpacked(block["freqs"], n), np.concatenate([[0], np.cumsum(np.array(block["n_keys"], np.int64))])
 
 
 def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:

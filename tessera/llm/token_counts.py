@@ -1,7 +1,7 @@
 """Token counts by pre-tokens: each distinct pre-token is tokenised once in the whole corpus.
 
 A block is some megabytes of documents. One pass turns it into its distinct pre-tokens and, for each
-document, how often each occurs. The blocks' pre-tokens are made distinct over the corpus, the pieces of
+document, how often each occurs (compressed, a row a block). The blocks' pre-tokens are made distinct over the corpus, the pieces of
 each are counted, the counts are joined back to the blocks, and a document's tokens are a sum of
 frequency times count. No ids are kept. A pre-token that all documents share is one row a block, so no
 key is hot; and a block's rows bound every group.
@@ -16,10 +16,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.chunks import BLOCK_BYTES, BLOCK_ROWS, CUTS, cut, lists, per_row, place, portions, ragged, summed, sums, values
+from tessera.llm.chunks import BLOCK_BYTES, BLOCK_ROWS, CUTS, Frequencies, cut, per_row, place, portions, ragged, summed, sums, values
 from tessera.llm.common import importable, map_arrow, slices, stored
 
 #: Chunks whose pre-tokens a worker keeps, and characters of the longest of these.
@@ -31,7 +31,8 @@ STOPS = ".,;:!?)"
 #: The same for printable ASCII, which a byte-level step leaves as it is.
 PLAIN = re.compile(WORDS.replace(r"\p{L}", "a-zA-Z").replace(r"\p{N}", "0-9"), re.ASCII)
 
-BLOCKS = "block long, words array<string>, doc_id long, n_bytes long, special long, pids array<int>, freqs array<int>"
+OWN = "doc_id array<long>, n_bytes array<long>, special array<long>, " + Frequencies.schema
+BLOCKS = "block long, words array<string>, " + OWN
 COUNTED = "doc_id long, n_bytes long, n_tokens long"
 
 
@@ -135,7 +136,7 @@ def _frequencies(path: str):
         from pyspark import TaskContext
 
         own, kept = pieces(path), _PARTS.setdefault(path, {})
-        block = TaskContext.get().partitionId() << 32
+        block = first_block(TaskContext.get().partitionId())
         for b in slices(batches, BLOCK_ROWS, BLOCK_BYTES):
             special, parts, heard, base = np.zeros(b.num_rows, np.int64), [(np.empty(0, np.int64),) * 3], [pa.array([], pa.string())], 0
             for rows, texts in portions(b.column(1), own.at):
@@ -165,37 +166,51 @@ def _frequencies(path: str):
             words = coded.dictionary
             key, freq = summed(row * max(1, len(words)) + coded.indices.to_numpy()[pid], freq)
             row, pid = key // max(1, len(words)), key % max(1, len(words))
-            rows = b.num_rows
-            sizes = np.diff(values(b.column(1))[1]) - len(own.prefix) * (np.diff(values(b.column(1))[1]) > 0)
-            docs = [b.column(0), pa.array(sizes), pa.array(special), lists(row, pid, rows), lists(row, freq, rows)]
-            names = ["block", "words", "doc_id", "n_bytes", "special", "pids", "freqs"]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
-            yield pa.record_batch([pa.array([block]), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), *(pa.nulls(1, k) for k in kinds)], names)
-            yield pa.record_batch([pa.array(np.full(rows, block)), pa.nulls(rows, pa.list_(pa.string())), *docs], names)
+            sizes = np.diff(values(b.column(1))[1])
+            sizes -= len(own.prefix) * (sizes > 0)
+            words = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
+            whole = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            docs = [whole(b.column(0)), whole(pa.array(sizes)), whole(pa.array(special)), *Frequencies.columns(row, pid, freq, b.num_rows)]
+            yield pa.record_batch([pa.array([block]), words, *docs], ["block", "words", "doc_id", "n_bytes", "special", "cells", "n_keys", "keys", "freqs"])
             block += 1
 
     return run
 
 
-def by_block(docs: DataFrame, found: DataFrame, fn: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
-    """``fn`` of each block's documents and what the corpus says of its keys; both are a block's size."""
-    importable(docs.sparkSession)
-    return docs.groupBy("block").cogroup(found.withColumnRenamed("block", "of").groupBy("of")).applyInArrow(fn, schema)
+def first_block(partition: int) -> int:
+    """The number of a task's first block. Blocks have 31 bits, so that a block and a key in it are one number."""
+    if partition >= 1 << 20:
+        raise ValueError("over a million partitions: read larger ones")
+    return partition << 11
 
 
-def _totals(docs: pa.Table, found: pa.Table) -> pa.Table:
-    docs = docs.combine_chunks()
-    pid = found.column("pid").to_numpy()
-    n = np.zeros(int(pid.max(initial=-1)) + 1, np.int64)
-    n[pid] = found.column("n").to_numpy()
-    out: list[np.ndarray] = []
-    for b in docs.to_batches():
-        pids, freqs = b.column("pids"), b.column("freqs")
-        each = n[pids.flatten().to_numpy()] * freqs.flatten().to_numpy()
-        offsets = pids.offsets.to_numpy()
-        out.append(sums(each, offsets - offsets[0]) + b.column("special").to_numpy())
-    total = np.concatenate(out) if out else np.empty(0, np.int64)
-    return pa.table([docs.column("doc_id"), docs.column("n_bytes"), pa.array(total)], ["doc_id", "n_bytes", "n_tokens"])
+def by_block(blocks: DataFrame, found: DataFrame, fn: Callable[[dict, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``fn`` of each block's row and what the corpus says of its keys, ``found(cell, ...)``; both are a block's size."""
+    importable(blocks.sparkSession)
+    found = found.withColumn("of", F.shiftright("cell", 32))
+
+    def run(block: pa.Table, found: pa.Table) -> pa.Table:
+        return fn(block.to_pylist()[0], found)
+
+    return blocks.groupBy("block").cogroup(found.groupBy("of")).applyInArrow(run, schema)
+
+
+def cell_of(block: str, pid: str) -> Column:
+    return F.shiftleft(F.col(block), 32).bitwiseOR(F.col(pid).cast("long")).alias("cell")
+
+
+def by_key(found: pa.Table, column: str) -> np.ndarray:
+    """A column in the order of the keys."""
+    pid = found.column("cell").to_numpy() & 0xFFFFFFFF
+    out = np.zeros(int(pid.max(initial=-1)) + 1, np.int64)
+    out[pid] = found.column(column).to_numpy()
+    return out
+
+
+def _totals(block: dict, found: pa.Table) -> pa.Table:
+    keys, freqs, ends = Frequencies.of(block)
+    total = sums(by_key(found, "n")[keys] * freqs, ends) + np.array(block["special"], np.int64)
+    return pa.table([pa.array(block["doc_id"], pa.int64()), pa.array(block["n_bytes"], pa.int64()), pa.array(total)], ["doc_id", "n_bytes", "n_tokens"])
 
 
 def token_counts(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -204,7 +219,7 @@ def token_counts(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", id_col:
 
     Null text is as empty: no bytes, no tokens. Null ids and repeated rows are documents of their own; other
     columns, whatever their names, are not read; an empty table gives no rows. A text longer than
-    ``BLOCK_BYTES`` is worked on in portions, cut where chunks begin. Tokenizers whose chunks depend on each
+    ``PORTION`` is worked on in portions, cut where chunks begin. Tokenizers whose chunks depend on each
     other are given whole texts.
     """
     path = place(tokenizer)
@@ -212,7 +227,7 @@ def token_counts(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", id_col:
     text = F.when(text != "", F.concat(F.lit(pieces(path).prefix), text)).otherwise("") if pieces(path).prefix else text
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     blocks = stored(map_arrow(rows, _frequencies(path), BLOCKS), "blocks")
-    words = blocks.where("words is not null").select("block", F.posexplode("words").alias("pid", "word"))
+    words = blocks.select("block", F.posexplode("words").alias("pid", "word")).select(cell_of("block", "pid"), "word")
 
     @F.arrow_udf("long")
     def count(word: pa.Array) -> pa.Array:
@@ -220,5 +235,5 @@ def token_counts(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", id_col:
         return pa.array([own.count(w) for w in word.to_pylist()], pa.int64())
 
     counted = words.select("word").distinct().select("word", count("word").alias("n"))
-    found = words.join(counted, "word").select("block", "pid", "n")
-    return by_block(blocks.where("words is null").select("block", "doc_id", "n_bytes", "special", "pids", "freqs"), found, _totals, COUNTED)
+    found = words.join(counted, "word").select("cell", "n")
+    return by_block(blocks.drop("words"), found, _totals, COUNTED)
