@@ -13,10 +13,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import grouped
 from tessera.operators import files, formats, groups, index, info, lines, snapshot
-from tessera.operators.parts import parts
 from tessera.plans.options import Options, from_arguments
-from tessera.sources import config, tree
-from tessera.sources.store import BUCKET_BYTES, CHUNK, ChangeList, Folder, Store
+from tessera.sources import config, ranges, tree
+from tessera.sources.store import BUCKET_BYTES, ChangeList, Conflict, Folder, Manifest, Store, placed
 from tessera.streaming.watch import BEAT, UPDATE_FILES, UPDATE_QUIET, Watch
 from tessera.workers import importable
 
@@ -37,20 +36,27 @@ Options: i no case, l literal, b without the index, V Visual Studio, C column, C
   fp fn fs ff match paths, names, tokens, fuzzily"""
 
 ROWS = ("path", "part_no", "start_line", "content", "mtime", "size")
+#: Times that a writer begins anew because another was faster.
+ATTEMPTS = 3
+
+
+def new_version() -> str:
+    return f"v{time.time_ns()}-{uuid.uuid4().hex[:8]}"
 
 
 class Engine:
     """Runs verbs; ``execute`` takes the words of a command line and gives lines of text. ``say`` is told how work goes on."""
 
-    def __init__(self, spark: SparkSession, home: str | None = None, say: Callable[[str], None] = lambda line: None):
+    def __init__(self, spark: SparkSession, home: str | None = None, say: Callable[[str], None] = lambda line: None, bucket_bytes: int = BUCKET_BYTES, sizes: tuple[int, int] = (ranges.RANGE, ranges.CHUNK)):
+        """``sizes``: bytes of a range of a file and of a part, which an index keeps as long as it lives."""
         importable(spark)
-        self.spark, self.home, self.say = spark, home or config.home(), say
+        self.spark, self.home, self.say, self.bucket_bytes, self.sizes = spark, home or config.home(), say, bucket_bytes, sizes
         self.watching: list = []
 
     # --- tables ---------------------------------------------------------------------------
 
     def _store(self, file: str) -> Store:
-        return Store(self.spark, str(Path(file).with_suffix("")) + ".tables")
+        return Store(self.spark, str(Path(file).with_suffix("")) + ".tables", self.bucket_bytes)
 
     def _changes(self, file: str) -> ChangeList:
         return ChangeList(self.spark, self._store(file).top)
@@ -77,25 +83,24 @@ class Engine:
         return groups.project_files(group, rows)
 
     def _read(self, rows: DataFrame) -> DataFrame:
-        """Contents of listed files, read by the tasks that hold their paths, large ones in parts."""
-
-        def read(batches):
-            for b in batches:
-                for i in range(len(b)):  # a file at a time
-                    own = b.iloc[i : i + 1].copy()
-                    path = Path(own["path"].iloc[0])
-                    own["raw"] = [path.read_bytes() if path.is_file() else None]
-                    yield own
-
-        raw = rows.select("path", "mtime", "size").mapInPandas(read, f"{tree.SCHEMA}, raw binary")
-        texts = raw.where("raw is not null").select("path", "mtime", "size", tree.decoded(F.col("raw")).alias("content"))
-        return parts(texts, CHUNK, "mtime", "size").select(*ROWS)
+        """Contents of listed files, by byte ranges."""
+        return ranges.read(rows, *self.sizes).select(*ROWS)
 
-    def _listed(self, store: Store) -> DataFrame:
+    def _listed(self, store: Store, manifest: Manifest | None = None) -> DataFrame:
         """``(path, mtime, size)`` as the index has it; no contents are read."""
-        old = store.read()
+        old = store.read(manifest=manifest)
         return self.spark.createDataFrame([], tree.SCHEMA) if old is None else old.where("part_no = 0").select("path", "mtime", "size")
 
+    def _again(self, once: Callable[[], DataFrame | None]) -> DataFrame | None:
+        """Once, and anew from the newest version if another writer publishes meanwhile."""
+        for left in reversed(range(ATTEMPTS)):
+            try:
+                return once()
+            except Conflict as e:
+                if not left:
+                    raise
+                self.say(f"{e}; once more")
+
     # --- verbs ----------------------------------------------------------------------------
 
     def init(self, name: str, path: str) -> str:
@@ -104,48 +109,67 @@ class Engine:
         return f"Wrote {file}. Next: update {name}"
 
     def build(self, file: str) -> None:
-        changes = self._changes(file)
+        self._again(lambda: self._built(file))
+
+    def _built(self, file: str) -> None:
+        store, changes = self._store(file), self._changes(file)
         listed = changes.number()
-        now = self.scan(file)
-        total, n = now.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
-        self.say(f"{n} files of {total} bytes")
-        self._store(file).write(f"v{time.time_ns()}", self._read(now), max(1, -(-total // BUCKET_BYTES)))
+        work = Folder(self.spark, f"{store.top}/.work-{uuid.uuid4().hex}")
+        try:
+            now = self._kept(self.scan(file), work, "now")
+            total, n = now.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
+            self.say(f"{n} files of {total} bytes")
+            store.write(new_version(), self._read(now), store.sized(total))
+        finally:
+            work.delete("")
         changes.forget(listed)
 
+    def _kept(self, rows: DataFrame, work: Folder, name: str) -> DataFrame:
+        """Rows in a table, so that all steps see the same ones."""
+        rows.write.parquet(f"{work.top}/{name}")
+        return self.spark.read.schema(rows.schema).parquet(f"{work.top}/{name}")
+
     def update(self, file: str) -> DataFrame:
         """Read only files that are new or changed, and write only the buckets that differ; gives counts of files by status, and of buckets kept and written.
 
         The old index gives its paths, times and sizes for the comparison, and its contents only for
-        buckets that are written anew. Without an index, build one. The change list goes once the new
-        index is there, but for what was added to it meanwhile.
+        buckets that are written anew; of these, large ones are split. Without an index, build one. The
+        change list goes once the new index is there, but for what was added to it meanwhile. If another
+        writer publishes first, the update starts anew from what that one wrote.
         """
+        return self._again(lambda: self._updated(file))
+
+    def _updated(self, file: str) -> DataFrame:
         store, changes = self._store(file), self._changes(file)
         manifest = store.manifest()
         if manifest is None:
-            self.build(file)
+            self._built(file)
             return self.spark.createDataFrame([], "status string, n long")
         listed = changes.number()
         work = Folder(self.spark, f"{store.top}/.work-{uuid.uuid4().hex}")
         try:
-            # Stored, so that all steps see the same tree.
-            self.scan(file).write.parquet(f"{work.top}/now")
-            now = self.spark.read.schema(tree.SCHEMA).parquet(f"{work.top}/now")
-            snapshot.differences(self._listed(store), now).withColumn("bucket", store.bucket(manifest["buckets"])).write.parquet(f"{work.top}/diff")
-            diff = self.spark.read.schema("path string, status string, bucket int").parquet(f"{work.top}/diff")
+            now = self._kept(self.scan(file), work, "now")
+            old = self._listed(store, manifest)
+            diff = self._kept(snapshot.differences(old, now), work, "diff")
             counts = [(r.status, r.n) for r in snapshot.difference_counts(diff).collect()]
-            touched = {r.bucket for r in diff.where("status <> 'reused'").select("bucket").distinct().collect()}  # at most a row a bucket
             self.say(", ".join(f"{n} {status}" for status, n in sorted(counts)))
-            keep = {b: v for b, v in manifest["folders"].items() if int(b) not in touched}
+            other = diff.where("status <> 'reused'").select("path")
+            sizes = old.unionByName(now).join(other, "path", "left_semi").groupBy("path").agg(F.max("size").alias("size"))
+            touched = {r.bucket for r in placed(ranges.ranges(sizes, self.sizes[0]), manifest).select("bucket").distinct().collect()}  # at most a row a bucket
+            base = Manifest(manifest.number, {b: None if b in touched else v for b, v in manifest.buckets.items()})
+            kept = len(base.buckets) - len(touched)
             if touched:
+                filled = placed(ranges.ranges(now, self.sizes[0]), base).groupBy("bucket").agg(F.sum("share").alias("n"))
+                base = base.split({r.bucket: r.n for r in filled.collect() if r.bucket in touched}, store.target)
                 fresh = self._read(now.join(diff.where("status in ('added', 'changed')").select("path"), "path", "left_semi"))
-                part = store.read(touched)
+                part = store.read(touched, manifest=manifest)
                 if part is not None:
                     fresh = part.select(*ROWS).join(diff.where("status = 'reused'").select("path"), "path", "left_semi").unionByName(fresh)
-                store.write(f"v{time.time_ns()}", fresh, manifest["buckets"], keep)
+                store.write(new_version(), fresh, base)
             changes.forget(listed)
         finally:
             work.delete("")
-        return self.spark.createDataFrame([*counts, ("buckets kept", len(keep)), ("buckets written", len(touched))], "status string, n long")
+        return self.spark.createDataFrame([*counts, ("buckets kept", kept), ("buckets written", len(base.buckets) - kept)], "status string, n long")
 
     def change(self, file: str, paths: list[str]) -> None:
         """Add paths that the project's groups accept to its change list. They need not be there any more."""
@@ -161,18 +185,18 @@ class Engine:
     def corpus(self, file: str, query: str | None = None, options: Options = Options()) -> DataFrame:
         """Indexed contents with the change list laid on top; with a query, only chunks that may hold a match."""
         store = self._store(file)
-        rows = store.read()
+        manifest = store.manifest()
+        rows = store.read(manifest=manifest)
         if rows is None:
-            if store.manifest() is None:
+            if manifest is None:
                 raise ValueError(f"{file} has no index; run update")
             rows = self.spark.createDataFrame([], "path string, part_no int, start_line int, content string, mtime long, size long, chunk_id long")
         elif query is not None and (need := index.wanted(query, options)) is not None:
-            rows = index.pruned(rows, store.read(what="index"), need)
+            rows = index.pruned(rows, store.read(what="index", manifest=manifest), need)
         rows, changes = rows.select(*ROWS), self.changes(file)
         if changes.isEmpty():
             return rows
-        listed = changes.select("path", F.lit(0).cast("long").alias("mtime"), F.lit(0).cast("long").alias("size"))
-        return snapshot.overlaid(rows, changes, self._read(listed))
+        return snapshot.overlaid(rows, changes, self._read(tree.stats(changes)))
 
     def search(self, spec: str, query: str, options: Options = Options()) -> DataFrame:
         """Matching lines of several projects in list order, with their printed ``text``."""
@@ -207,7 +231,7 @@ class Engine:
                 chunks = info.chunk_stats(data.select("chunk_id", F.octet_length("content").cast("long").alias("size"))).select("chunks", F.col("least").alias("least_chunk"), F.col("most").alias("largest_chunk"))
                 filters = info.index_stats(store.read(what="index")).select(F.col("indexed").alias("filters"), F.coalesce("bytes", F.lit(0)).cast("long").alias("filter_bytes"), "filled_avg")
                 counted = info.line_counts(data.select("path", "part_no", "start_line", "size", "mtime", "chunk_id", "content")).drop("bytes", "longest")
-                broken = info.integrity(counted).where("not (order_ok and metadata_ok and lines_ok)").agg(F.count(F.lit(1)).alias("broken"))
+                broken = info.integrity(counted, bucketed=True).where("not (order_ok and metadata_ok and lines_ok)").agg(F.count(F.lit(1)).alias("broken"))
                 for one in (chunks, filters, broken):  # a row each
                     own = own.join(F.broadcast(one))
             out = own if out is None else out.unionByName(own, allowMissingColumns=True)

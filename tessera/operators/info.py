@@ -66,18 +66,20 @@ def chunk_stats(files: DataFrame) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("chunks"), F.sum("size").alias("total"), F.min(F.when(F.col("chunk_id") < F.col("last"), F.col("size"))).alias("least"), F.max("size").alias("most"), F.avg("size").alias("mean"))
 
 
-def integrity(parts: DataFrame) -> DataFrame:
+def integrity(parts: DataFrame, bucketed: bool = False) -> DataFrame:
     """``(path, part_no, order_ok, metadata_ok, lines_ok)`` of ``parts(path, part_no, start_line, n_lines, size, mtime, chunk_id)``.
 
     Parts of a file lie in chunks in order, tell the same size and time, and each begins at the line at which the one before ends.
+    ``bucketed``: chunks are numbered by bucket in their upper half, and a large file lies in several.
     """
     own = W.partitionBy("path").orderBy("part_no")
     before = lambda c: F.lag(c).over(own)
     first = before("part_no").isNull()
+    apart = F.shiftright("chunk_id", 32) != F.shiftright(before("chunk_id"), 32) if bucketed else F.lit(False)
     return parts.select(
         "path",
         "part_no",
-        (first | (F.col("chunk_id") >= before("chunk_id"))).alias("order_ok"),
+        (first | apart | (F.col("chunk_id") >= before("chunk_id"))).alias("order_ok"),
         (first | ((F.col("size") == before("size")) & (F.col("mtime") == before("mtime")))).alias("metadata_ok"),
         F.when(first, F.col("start_line") == 0).otherwise(F.col("start_line") == before("start_line") + before("n_lines")).alias("lines_ok"),
     )

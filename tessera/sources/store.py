@@ -1,24 +1,41 @@
 """A project's index on disk: buckets of Parquet, and numbered manifests that tell which folder holds each bucket.
 
 A version writes only the buckets that change, beside the old ones; its manifest names the others where
-they are. A manifest is written under a name of its own and renamed to the next number, and readers take
-the highest: there is no moment without an index, and a crash leaves the old one. The manifest before
-the newest and its folders stay for readers that have begun; older ones are deleted.
+they are. Readers take the manifest with the highest number: there is no moment without an index, and a
+crash leaves the old one. The manifest before the newest and its folders stay for readers that have begun.
+
+Writers see each other. One that begins notes the newest number and leases its folder; it may publish only
+the very next number, and fails with ``Conflict`` if another was faster, in which case nothing of the
+other is lost. Folders with a lease are nobody else's to delete until the lease ends.
+
+Buckets are those of extendible hashing: a bucket of depth d holds the rows whose hash ends in its d bits,
+and one that has grown splits by further bits. Its number is those bits behind a one.
 """
 
 from __future__ import annotations
 
 import json
+import math
+import os
+import time
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-FORMAT = 2
-#: Bytes of contents that a bucket is meant to hold; and a chunk.
-BUCKET_BYTES, CHUNK = 128 << 20, 512 << 10
+from tessera.sources.ranges import CHUNK, PARTS
+
+FORMAT = 3
+#: Bytes of contents that a bucket is meant to hold.
+BUCKET_BYTES = 128 << 20
+#: A bucket over so many times the target is split; depth at most; seconds that a lease lasts; slots of a directory in an expression.
+SPLIT, DEEPEST, LEASE, SLOTS = 1.5, 30, 24 * 3600, 256
+
+
+class Conflict(OSError):
+    """Another writer has published meanwhile."""
 
 
 class Folder:
@@ -44,14 +61,28 @@ class Folder:
         finally:
             file.close()
 
-    def publish(self, name: str, text: str) -> None:
-        """Write a file that is there whole or not at all. One that is there already is an error."""
-        new = f".{uuid.uuid4().hex}"
-        out = self.fs.create(self.at(new), True)
+    def write(self, name: str, text: str) -> None:
+        out = self.fs.create(self.at(name), True)
         out.write(bytearray(text.encode()))
         out.close()
-        if self.fs.exists(self.at(name)) or not self.fs.rename(self.at(new), self.at(name)):
-            raise OSError(f"{self.top}/{name} is there already: another writer was faster")
+
+    def publish(self, name: str, text: str) -> None:
+        """Write a file that is there whole or not at all. One that is there already is a ``Conflict``.
+
+        A rename onto a file fails in one step on HDFS; on a local disk a link does, where Hadoop's rename does not.
+        """
+        new = f".{uuid.uuid4().hex}"
+        self.write(new, text)
+        try:
+            if self.fs.getUri().getScheme() == "file":
+                path = self.at(new).toUri().getPath()
+                os.link(path, os.path.join(os.path.dirname(path), name))
+            elif self.fs.exists(self.at(name)) or not self.fs.rename(self.at(new), self.at(name)):
+                raise FileExistsError
+        except FileExistsError:
+            raise Conflict(f"{self.top}/{name} is there already: another writer was faster") from None
+        finally:
+            self.delete(new)
 
     def delete(self, name: str) -> None:
         self.fs.delete(self.at(name), True)
@@ -64,67 +95,149 @@ class Folder:
         return sorted(int(n[len(head) :]) for n in self.names() if n.startswith(head) and n[len(head) :].isdigit())
 
 
+@dataclass
+class Manifest:
+    """A version: its number, and for each bucket the folder that holds it (none if it is empty)."""
+
+    number: int = 0
+    buckets: dict[int, str | None] = field(default_factory=lambda: {1: None})
+
+    def text(self) -> str:
+        return json.dumps({"format": FORMAT, "buckets": {str(b): v for b, v in self.buckets.items()}})
+
+    def slots(self) -> list[int]:
+        """The bucket of each value of the last bits, as many as the deepest bucket has."""
+        depth = max(b.bit_length() for b in self.buckets) - 1
+        out = [0] * (1 << depth)
+        for b in self.buckets:
+            own = b.bit_length() - 1
+            for i in range(b & ((1 << own) - 1), 1 << depth, 1 << own):
+                out[i] = b
+        return out
+
+    def split(self, sizes: dict[int, int], target: int) -> "Manifest":
+        """These buckets with those that have grown in pieces near the target; the pieces are empty yet."""
+        out: dict[int, str | None] = {}
+        for b, folder in self.buckets.items():
+            more = min(DEEPEST - b.bit_length() + 1, math.ceil(math.log2(max(1, sizes.get(b, 0) / target)))) if sizes.get(b, 0) > SPLIT * target else 0
+            own = b.bit_length() - 1
+            out |= {(1 << (own + more)) | (k << own) | (b & ((1 << own) - 1)): None for k in range(1 << more)} if more else {b: folder}
+        return Manifest(self.number, out)
+
+
+def placed(rows: DataFrame, manifest: Manifest) -> DataFrame:
+    """Adds each row's ``bucket`` by its ``path`` and ``stripe``, the range of a large file: such a file lies in several buckets."""
+    slots = manifest.slots()
+    slot = F.xxhash64("path", F.col("stripe").cast("int")).bitwiseAND(F.lit(len(slots) - 1))
+    if len(slots) <= SLOTS:
+        return rows.withColumn("bucket", F.element_at(F.array(*map(F.lit, slots)), (slot + 1).cast("int")))
+    listed = rows.sparkSession.createDataFrame(list(enumerate(slots)), "slot long, bucket int")  # Spark broadcasts it if it is small
+    return rows.withColumn("slot", slot).join(listed, "slot").drop("slot")
+
+
 @dataclass
 class Store:
-    """``<top>/MANIFEST-<n>``, ``<top>/<version>/data/bucket=<b>/`` and ``<top>/<version>/index/bucket=<b>/``."""
+    """``<top>/MANIFEST-<n>``, ``<top>/<version>/data/bucket=<b>/``, ``<top>/<version>/index/bucket=<b>/`` and ``<top>/LEASE-<version>``."""
 
     spark: SparkSession
     top: str
+    target: int = BUCKET_BYTES
 
     def __post_init__(self):
         self.folder = Folder(self.spark, self.top)
 
-    def manifest(self, number: int | None = None) -> dict | None:
-        """``{"format", "buckets", "folders": {bucket: version}}`` of the current version; None if there is none."""
+    def manifest(self, number: int | None = None) -> Manifest | None:
+        """The current version or another; None if there is none."""
         numbers = self.folder.numbers("MANIFEST-")
         if not numbers:
             return None
-        found = json.loads(self.folder.read(f"MANIFEST-{numbers[-1] if number is None else number}"))
+        number = numbers[-1] if number is None else number
+        found = json.loads(self.folder.read(f"MANIFEST-{number}"))
         if found["format"] != FORMAT:
             raise ValueError(f"{self.top} has format {found['format']}, not {FORMAT}")
-        return found
-
-    @staticmethod
-    def bucket(buckets: int) -> Column:
-        return F.pmod(F.xxhash64("path"), F.lit(buckets)).cast("int")
+        return Manifest(number, {int(b): v for b, v in found["buckets"].items()})
 
-    def read(self, only: set[int] | None = None, what: str = "data") -> DataFrame | None:
-        """Rows of the current version, or of some of its buckets. Columns not selected are not read."""
-        found = self.manifest()
+    def read(self, only: set[int] | None = None, what: str = "data", manifest: Manifest | None = None) -> DataFrame | None:
+        """Rows of the current version (or a given one), or of some of its buckets. Columns not selected are not read."""
+        found = manifest or self.manifest()
         if found is None:
             return None
-        folders = [f"{self.top}/{v}/{what}/bucket={b}" for b, v in found["folders"].items() if only is None or int(b) in only]
+        folders = [f"{self.top}/{v}/{what}/bucket={b}" for b, v in found.buckets.items() if v and (only is None or b in only)]
         return self.spark.read.parquet(*folders) if folders else None
 
     def stored_bytes(self, what: str = "data") -> int:
-        found = self.manifest() or {"folders": {}}
-        return sum(self.folder.bytes_in(f"{v}/{what}/bucket={b}") for b, v in found["folders"].items())  # a look a bucket
+        found = self.manifest() or Manifest()
+        return sum(self.folder.bytes_in(f"{v}/{what}/bucket={b}") for b, v in found.buckets.items() if v)  # a look a bucket
+
+    def sized(self, total: int) -> Manifest:
+        """A manifest of empty buckets for so many bytes, to follow the current one."""
+        now = self.manifest()
+        return Manifest(now.number if now else 0).split({1: total}, self.target)
+
+    def write(self, version: str, rows: DataFrame, base: Manifest) -> Manifest:
+        """Write ``rows(path, part_no, content, ...)`` of ``base``'s empty buckets, and publish them with its others as the next version.
+
+        Rows are sorted by path and cut into chunks, and chunks are indexed. Rows that belong to a bucket
+        which has a folder already, and rows that are missing after the write, are an error; so is a
+        version after ``base`` (``Conflict``), and then what was written goes.
+        """
+        self.folder.write(f"LEASE-{version}", str(time.time() + LEASE))
+        try:
+            out = self._written(version, rows, base)
+            self.folder.publish(f"MANIFEST-{base.number + 1}", out.text())
+        except BaseException:
+            self.folder.delete(version)
+            raise
+        finally:
+            self.folder.delete(f"LEASE-{version}")
+        self.clean()
+        return out
 
-    def write(self, version: str, rows: DataFrame, buckets: int, keep: dict[str, str] | None = None) -> None:
-        """Write ``rows(path, part_no, content, ...)`` as buckets, sorted by path and cut into chunks, index them, and publish both with the buckets in ``keep``."""
+    def _written(self, version: str, rows: DataFrame, base: Manifest) -> Manifest:
         from tessera.operators.index import blooms
 
+        seen = Observation()
         own = W.partitionBy("bucket").orderBy("path", "part_no")
         before = F.coalesce(F.sum(F.octet_length(F.coalesce("content", F.lit("")))).over(own.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        rows = rows.withColumn("bucket", self.bucket(buckets)).repartition(buckets, "bucket")
+        empty = sum(v is None for v in base.buckets.values())
+        rows = placed(rows.withColumn("stripe", F.floor(F.col("part_no") / PARTS)), base).drop("stripe").repartition(max(1, empty), "bucket")
         rows = rows.withColumn("chunk_id", F.shiftleft(F.col("bucket").cast("long"), 32) + F.floor(before / CHUNK).cast("long"))
-        rows.sortWithinPartitions("bucket", "path", "part_no").write.option("compression", "lz4_raw").partitionBy("bucket").parquet(f"{self.top}/{version}/data")
-        if any(n.startswith("bucket=") for n in self.folder.names(f"{version}/data")):
-            data = self.spark.read.parquet(f"{self.top}/{version}/data")
-            built = blooms(data).withColumn("bucket", F.shiftright("chunk_id", 32).cast("int"))
+        rows = rows.sortWithinPartitions("bucket", "path", "part_no").observe(seen, F.count(F.lit(1)).alias("n"))
+        rows.write.option("compression", "lz4_raw").partitionBy("bucket").parquet(f"{self.top}/{version}/data")
+        got = {int(n.partition("=")[2]) for n in self.folder.names(f"{version}/data") if n.startswith("bucket=")}
+        there = self.spark.read.parquet(f"{self.top}/{version}/data").count() if got else 0  # from footers
+        if there != seen.get["n"]:
+            raise OSError(f"{seen.get['n']} rows were written to {self.top}/{version} and {there} are there")
+        if taken := {b for b in got if base.buckets.get(b, "") is not None}:
+            raise ValueError(f"rows of buckets that are not to be written: {sorted(taken)[:5]}")
+        if got:
+            built = blooms(self.spark.read.parquet(f"{self.top}/{version}/data")).withColumn("bucket", F.shiftright("chunk_id", 32).cast("int"))
             built.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.top}/{version}/index")
-        folders = dict(keep or {}) | {n.partition("=")[2]: version for n in self.folder.names(f"{version}/data") if n.startswith("bucket=")}
-        numbers = self.folder.numbers("MANIFEST-")
-        self.folder.publish(f"MANIFEST-{numbers[-1] + 1 if numbers else 1}", json.dumps({"format": FORMAT, "buckets": buckets, "folders": folders}))
-        self.clean()
+        return Manifest(base.number + 1, {b: version if b in got else v for b, v in base.buckets.items()})
+
+    def leased(self) -> set[str]:
+        """Versions that a writer is still at."""
+        out = set()
+        for name in self.folder.names():
+            if name.startswith("LEASE-"):
+                try:
+                    until = float(self.folder.read(name))
+                except Exception:  # it goes, or comes, just now
+                    until = math.inf
+                if until > time.time():
+                    out.add(name[6:])
+        return out
 
     def clean(self) -> None:
-        """Delete what neither the newest manifest nor the one before it names."""
-        *old, last = [[], *([n] for n in self.folder.numbers("MANIFEST-"))][-2:]
-        keep = {n for x in (*old, last) for n in x}
-        used = {v for n in keep for v in self.manifest(n)["folders"].values()}
+        """Delete what neither the newest manifest nor the one before it names and no writer is at."""
+        leased = self.leased()  # before the manifests: a version that is published meanwhile is in one of the two
+        numbers = self.folder.numbers("MANIFEST-")
+        keep = numbers[-2:]
+        used = {v for n in keep for v in self.manifest(n).buckets.values()}
         for name in self.folder.names():
-            if (name.startswith("MANIFEST-") and int(name[9:]) not in keep) or (name.startswith("v") and name not in used):
+            if (name.startswith("MANIFEST-") and int(name[9:]) < keep[0]) or (name.startswith("v") and name not in used | leased):
+                self.folder.delete(name)
+            elif name.startswith("LEASE-") and name[6:] not in leased:
                 self.folder.delete(name)
 
 

@@ -109,6 +109,17 @@ def listing(spark: SparkSession, root: str, excludes: list[list[str]] | None = N
     return spark.read.format(TreeSource.name()).option("exclude", json.dumps(excludes or [])).load(root)
 
 
+def stats(paths: DataFrame) -> DataFrame:
+    """``(path, mtime, size)`` of those of the paths that are regular files now."""
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [(p, os.stat(p)) for p in b["path"] if os.path.isfile(p)]
+            yield pd.DataFrame([(p, int(s.st_mtime), s.st_size) for p, s in found], columns=["path", "mtime", "size"])
+
+    return paths.select("path").mapInPandas(look, SCHEMA)
+
+
 def to_utf8(raw: bytes) -> bytes:
     """UTF-8 of text with a byte order mark of UTF-8, 16 or 32; other bytes as they are. Lone surrogates go."""
     for mark, code in ((b"\xff\xfe\0\0", "utf-32-le"), (b"\0\0\xfe\xff", "utf-32-be"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be")):
@@ -129,8 +140,12 @@ def decoded(raw: Column) -> Column:
     two, three, four = (F.substring(raw, 1, n) for n in (2, 3, 4))
     wide = two.isin(b"\xff\xfe", b"\xfe\xff") | (four == F.lit(b"\0\0\xfe\xff"))
     plain = F.when(three == F.lit(b"\xef\xbb\xbf"), F.substring(raw, 4, 1 << 30)).otherwise(raw)
-    own = F.when(wide, to_utf8_udf(F.when(wide, raw))).otherwise(plain)
-    return normal_line_ends(F.make_valid_utf8(own.cast("string")))
+    return text_of(F.when(wide, to_utf8_udf(F.when(wide, raw))).otherwise(plain))
+
+
+def text_of(raw: Column) -> Column:
+    """Text of bytes that should be UTF-8: invalid ones replaced, line ends normalised."""
+    return normal_line_ends(F.make_valid_utf8(raw.cast("string")))
 
 
 def contents(spark: SparkSession, paths: list[str], root: str | None = None) -> DataFrame:

@@ -1,12 +1,13 @@
 import os
+import random
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.engine import Engine
-from tessera.sources import config, tree
-from tessera.sources.store import ChangeList, Store
+from tessera.sources import config, ranges, tree
+from tessera.sources.store import ChangeList, Conflict, Folder, Manifest, Store
 from tessera.streaming.watch import Watch, filter_stream
 
 
@@ -210,11 +211,15 @@ def test_excluded_folders_are_not_walked(spark, tmp_path, monkeypatch):
     assert rows(["^a/gen$"], ["^a/src"]) == rows()  # each group excludes another
 
 
+def stored_rows(spark, v, n=4):
+    return spark.createDataFrame([(f"f{i}", 0, "x", v) for i in range(n)], "path string, part_no int, content string, size long")
+
+
 def test_store_survives_a_writer_that_dies(spark, tmp_path, monkeypatch):
-    """Readers have an index at any time, whatever step of a write fails, and two writers don't mix."""
-    store = Store(spark, str(tmp_path / "s"))
-    rows = lambda v: spark.createDataFrame([(f"f{i}", 0, "x", v) for i in range(4)], "path string, part_no int, content string, size long")
-    store.write("v1", rows(1), 2)
+    """Readers have an index at any time, whatever step of a write fails."""
+    store = Store(spark, str(tmp_path / "s"), target=50)
+    rows = lambda v: stored_rows(spark, v)
+    store.write("v1", rows(1), store.sized(100))
     sizes = lambda: {r.size for r in store.read().collect()}
 
     def dies(*a):
@@ -223,33 +228,219 @@ def test_store_survives_a_writer_that_dies(spark, tmp_path, monkeypatch):
     with monkeypatch.context() as m:
         m.setattr(store.folder, "publish", dies, raising=False)
         with pytest.raises(OSError):
-            store.write("v2", rows(2), 2)
-    assert sizes() == {1}
+            store.write("v2", rows(2), store.sized(100))
+    assert sizes() == {1} and "v2" not in store.folder.names()
     before = store.read()
-    store.write("v3", rows(3), 2)
+    store.write("v3", rows(3), store.sized(100))
     assert sizes() == {3} and {r.size for r in before.collect()} == {1}  # a reader that has begun goes on
-    store.write("v4", rows(4), 2)
+    store.write("v4", rows(4), store.sized(100))
     assert sizes() == {4} and sorted(n for n in store.folder.names() if n.startswith("v")) == ["v3", "v4"]
-    with pytest.raises(OSError):
-        store.folder.publish(f"MANIFEST-{store.folder.numbers('MANIFEST-')[-1]}", "{}")
+    with pytest.raises(Conflict):
+        store.folder.publish(f"MANIFEST-{store.manifest().number}", "{}")
     assert store.read(what="index").count() > 0 and store.stored_bytes() > 0
+    assert not [n for n in store.folder.names() if n.startswith((".", "LEASE"))]
+
+
+STEPS = ["before", "lease", "data", "index", "publish"]
+
+
+@pytest.mark.parametrize("step", STEPS)
+def test_two_writers_at_each_step(spark, tmp_path, monkeypatch, step):
+    """A writer that is overtaken at any step raises, and the other's index stays whole; its own folder goes."""
+    slow, fast = (Store(spark, str(tmp_path / "s"), target=50) for _ in range(2))
+    fast.write("v0", stored_rows(spark, 0), fast.sized(100))
+    base = slow.sized(100)
+    done = []
+
+    def overtaken():
+        if not done:
+            done.append(fast.write("v-fast", stored_rows(spark, 7, 30), fast.sized(100)))
+            assert {r.size for r in fast.read().collect()} == {7}
+
+    def after(name, now):
+        real = getattr(slow if name in ("_written",) else slow.folder, name)
+
+        def run(*a, **k):
+            if now == "first":
+                overtaken()
+            out = real(*a, **k)
+            if now == "last":
+                overtaken()
+            return out
+
+        monkeypatch.setattr(slow if name == "_written" else slow.folder, name, run, raising=False)
+
+    if step == "before":
+        overtaken()
+    elif step == "lease":
+        after("write", "last")
+    elif step == "data":
+        after("names", "first")  # the data is there, its index is not
+    elif step == "index":
+        after("_written", "last")
+    else:
+        after("publish", "first")
+    with pytest.raises(Conflict):
+        slow.write("v-slow", stored_rows(spark, 8), base)
+    assert done and {r.size for r in slow.read().collect()} == {7} and slow.read().count() == 30 and slow.read(what="index").count() > 0
+    assert not [n for n in slow.folder.names() if n.startswith(("v-slow", "LEASE", "."))]
+    slow.write("v-again", stored_rows(spark, 9), slow.sized(100))
+    assert {r.size for r in fast.read().collect()} == {9}
+
+
+def test_leases_end(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path / "s"))
+    store.folder.write("vdead/x", "x")
+    store.folder.write("LEASE-vdead", str(time.time() + 60))
+    store.write("v1", stored_rows(spark, 1), store.sized(10))
+    assert "vdead" in store.folder.names() and store.leased() == {"vdead"}
+    store.folder.write("LEASE-vdead", str(time.time() - 1))
+    store.clean()
+    assert sorted(n for n in store.folder.names() if not n.endswith(".crc")) == ["MANIFEST-1", "v1"]
 
 
-def test_store_keeps_untouched_buckets(spark, tmp_path):
+def test_rows_that_go_missing_are_told(spark, tmp_path, monkeypatch):
+    """A folder without the rows that were written is never published as an empty index."""
     store = Store(spark, str(tmp_path / "s"))
-    rows = spark.createDataFrame([(f"f{i}", 0, "x", i) for i in range(40)], "path string, part_no int, content string, size long")
-    store.write("v1", rows, 8)
-    first = store.manifest()["folders"]
-    bucket = next(iter(first))
-    kept = {b: f for b, f in first.items() if b != bucket}
-    store.write("v2", store.read({int(bucket)}).select("path", "part_no", "content", (F.col("size") + 100).alias("size")), 8, kept)
-    second = store.manifest()["folders"]
-    assert {b for b in first if first[b] != second[b]} == {bucket}
+    store.write("v1", stored_rows(spark, 1), store.sized(10))
+    monkeypatch.setattr(store.folder, "names", lambda below="": [] if "/" in below else Folder.names(store.folder, below), raising=False)
+    with pytest.raises(OSError, match="4 rows were written"):
+        store.write("v2", stored_rows(spark, 2), store.sized(10))
+    assert {r.size for r in store.read().collect()} == {1}
+    with pytest.raises(ValueError, match="not to be written"):
+        Store(spark, store.top).write("v3", stored_rows(spark, 3), store.manifest())
+
+
+def test_builds_and_updates_begin_anew_when_overtaken(spark, tmp_path, monkeypatch):
+    src, file, engine, *_ = watched(spark, tmp_path)
+    (src / "new.c").write_text("needle\n")
+    real, first = Store.write, []
+
+    def write(self, version, rows, base):
+        if not first:
+            first.append(1)
+            engine.update(file)  # another process, which is faster
+        return real(self, version, rows, base)
+
+    for verb in ("update", "build"):
+        first.clear()
+        with monkeypatch.context() as m:
+            m.setattr(Store, "write", write)
+            getattr(engine, verb)(file)
+        assert engine.execute(["search", "p", "l", "needle"]) == [f"{src}/new.c:1:needle"] and len(engine.execute(["files", "p", ""])) == 4
+        (src / "f1.c").write_text("other than before\n")
+
+
+def test_store_keeps_untouched_buckets(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"), target=10)
+    store.write("v1", stored_rows(spark, 1, 40), store.sized(80))
+    first = store.manifest()
+    bucket = next(b for b, v in first.buckets.items() if v)
+    base = Manifest(first.number, {b: None if b == bucket else v for b, v in first.buckets.items()})
+    store.write("v2", store.read({bucket}).select("path", "part_no", "content", (F.col("size") + 100).alias("size")), base)
+    second = store.manifest().buckets
+    assert {b for b, v in first.buckets.items() if second[b] != v} == {bucket} and len(second) == 8
     got = {r.path: r.size for r in store.read().collect()}
-    assert len(got) == 40 and {p: s % 100 for p, s in got.items()} == {f"f{i}": i for i in range(40)} and any(s >= 100 for s in got.values())
+    assert len(got) == 40 and set(got.values()) == {1, 101}
     assert Store(spark, str(tmp_path / "none")).read() is None
 
 
+def test_buckets_split_by_further_bits():
+    m = Manifest().split({1: 1000}, 100)
+    assert sorted(m.buckets) == list(range(16, 32)) and m.slots() == list(range(16, 32))
+    more = m.split({16: 350, 17: 149}, 100)
+    assert set(more.buckets) == {*range(17, 32), 64, 80, 96, 112}  # only the one that has grown, by two bits
+    slots = more.slots()
+    assert len(slots) == 64 and all(slots[h] == next(b for b in more.buckets if b & ((1 << (b.bit_length() - 1)) - 1) == h & ((1 << (b.bit_length() - 1)) - 1)) for h in range(64))
+
+
+def test_buckets_grow_with_a_project(spark, tmp_path):
+    """Built small and grown a hundred times, buckets are near the target; then a small change writes one of them."""
+    src, home, target = tmp_path / "src", tmp_path / "home", 4000
+    src.mkdir()
+    home.mkdir()
+    (home / "p.cfg").write_text(f"path {src}\n")
+    file, engine = str(home / "p.cfg"), Engine(spark, str(home), bucket_bytes=target)
+    write = lambda i: (src / f"f{i:03}.c").write_text(f"needle {i}\n" + "x" * 390)
+    for i in range(8):
+        write(i)
+    engine.build(file)
+    store = engine._store(file)
+    assert list(store.manifest().buckets) == [1]
+    for i in range(8, 800):
+        write(i)
+    engine.update(file)
+    sizes = {r.bucket: r.n for r in store.read().groupBy(F.shiftright("chunk_id", 32).alias("bucket")).agg(F.sum(F.length("content")).alias("n")).collect()}
+    assert len(sizes) > 60 and max(sizes.values()) <= 2.5 * target and sum(sizes.values()) / len(sizes) > target / 3
+    first = store.manifest().buckets
+    (src / "f700.c").write_text("needle anew\n")
+    (src / "f701.c").unlink()
+    n = {r.status: r.n for r in engine.update(file).collect()}
+    second = store.manifest().buckets
+    assert n["changed"] == n["removed"] == 1 and n["buckets written"] <= 2 and len({b for b in second if second[b] != first.get(b)}) <= 2
+    assert len(engine.execute(["search", "p", "needle"])) == 799 and engine.execute(["search", "p", "anew"]) == [f"{src}/f700.c:1:needle anew"]
+
+
+def whole_text(raw):
+    text = tree.to_utf8(raw).decode("utf-8", "replace")
+    return text.replace("\r\n", "\n").replace("\r", "\n")
+
+
+@pytest.mark.parametrize("code,mark", [("utf-8", b""), ("utf-8", b"\xef\xbb\xbf"), ("utf-16-le", b"\xff\xfe"), ("utf-16-be", b"\xfe\xff"), ("utf-32-le", b"\xff\xfe\0\0"), ("utf-32-be", b"\0\0\xfe\xff")])
+def test_ranges_make_up_the_file(tmp_path, monkeypatch, code, mark):
+    """Parts of all ranges, cut anywhere, are the file's text, and their line numbers go on."""
+    monkeypatch.setattr(ranges, "STEP", 16)
+    rnd = random.Random(4)
+    for trial in range(60):
+        text = "".join(rnd.choice(["a", "\u0a0d", "é", "😀", "\n", "\r", "\r\n", "ਊ", "\u0d0a"]) for _ in range(rnd.choice([0, 1, 5, 200])))
+        raw = mark + text.encode(code)
+        path = tmp_path / f"t{trial}"
+        path.write_bytes(raw)
+        size, chunk = rnd.choice([16, 33, 64]), rnd.choice([8, 16])
+        cuts = [*range(0, len(raw), size), len(raw)] if raw else [0, 0]
+        got, line = "", 0
+        for begin, end in zip(cuts, cuts[1:], strict=False):
+            own = list(ranges.parts_of(str(path), begin, end, chunk))
+            with open(path, "rb") as file:
+                lines = ranges.Lines(file)
+                counted = lines.count(lines.begin(begin), lines.begin(end))
+            assert counted == sum(ranges.line_ends(t) for _, t in own)
+            for before, part in own:
+                assert line + before == got.count("\n")
+                got += whole_text(part)
+                assert got.endswith("\n") or len(got) == len(whole_text(raw))
+            line += counted
+        assert got == whole_text(raw)
+
+
+def test_large_files_by_ranges(spark, tmp_path):
+    """A file of many ranges is read by many tasks, no row holds much of it, and an index of it is as one of small files."""
+    path = tmp_path / "big.txt"
+    path.write_bytes(b"\xff\xfe" + "".join(f"line {i} é\r\n" for i in range(60_000)).encode("utf-16-le"))
+    (tmp_path / "empty.txt").write_text("")
+    (tmp_path / "small.txt").write_bytes(b"one\rtwo")
+    size, chunk = 1 << 16, 1 << 11
+    rows = ranges.read(tree.listing(spark, str(tmp_path)), size, chunk).withColumn("task", F.spark_partition_id()).collect()
+    big = sorted((r for r in rows if r.path.endswith("big.txt")), key=lambda r: r.part_no)
+    assert len({r.task for r in big}) > 3 and max(len(r.content) for r in big) < 2 * chunk
+    assert "".join(r.content for r in big) == "".join(f"line {i} é\n" for i in range(60_000))
+    assert all(r.start_line == int(r.content.split()[1]) for r in big) and len({r.part_no for r in big}) == len(big)
+    assert [(r.part_no, r.content) for r in rows if "empty" in r.path] == [(0, "")] and [r.content for r in rows if "small" in r.path] == ["one\ntwo"]
+    assert ranges.read(spark.createDataFrame([(str(tmp_path / "gone"), 1, 5)], tree.SCHEMA)).count() == 0
+    home = tmp_path / "home"
+    home.mkdir()
+    (home / "p.cfg").write_text(f"path {tmp_path}\ninclude txt$\n")
+    engine = Engine(spark, str(home), bucket_bytes=1 << 18, sizes=(size, chunk))
+    engine.execute(["build", "p"])
+    data = engine._store(str(home / "p.cfg")).read()
+    assert data.where("path like '%big.txt'").select(F.shiftright("chunk_id", 32)).distinct().count() > 3
+    assert engine.execute(["search", "p", "C", "9999 é$"])[1] == f"{path}:19999:7:line 19999 é".replace(":19999:", ":20000:")
+    assert engine.execute(["info", "p"])[1].endswith("0 parts out of order")
+    path.write_bytes(b"".join(f"row {i}\n".encode() for i in range(10_000)))  # shrinks: all its buckets are written anew
+    engine.execute(["update", "p"])
+    assert engine.execute(["search", "p", "line|row 9999"]) == [f"{path}:10000:row 9999"]
+
+
 def test_large_files_in_parts(spark, tmp_path):
     """A file over a chunk is stored in parts, its lines keep their numbers, and the index leaves out chunks."""
     src, home = tmp_path / "src", tmp_path / "home"
