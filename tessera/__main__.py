@@ -1,20 +1,15 @@
-"""``python -m tessera VERB ...``: the engine's verbs from a shell. ``filter`` reads lines from standard input."""
+"""``python -m tessera VERB ...``: the engine's verbs from a shell. ``filter`` answers standard input as it comes."""
 
 from __future__ import annotations
 
 import sys
 import time
-from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 from tessera.engine import Engine
 from tessera.plans.options import from_arguments
-
-
-def input_lines(spark: SparkSession, lines: Iterator[str]) -> DataFrame:
-    """Lines as a table, as they come: without line ends, and without blank ones."""
-    return spark.createDataFrame([(line.rstrip("\r\n"),) for line in lines], "line string")
+from tessera.streaming.input import filter_input
 
 
 def main(words: list[str]) -> int:
@@ -26,7 +21,11 @@ def main(words: list[str]) -> int:
         from_arguments([*words[2:], ""])  # an unknown option is told before the watch begins
         engine.interactive(words[1], lambda: sys.stdin.readline() or None, print, words[2:])
         return 0
-    for line in engine.execute(words, input_lines(spark, sys.stdin) if verb == "filter" else None):
+    if verb == "filter":
+        options, query = from_arguments(words[1:])
+        filter_input(spark, getattr(sys.stdin, "buffer", sys.stdin), query, options, lambda line: print(line, flush=True))
+        return 0
+    for line in engine.lines(words):
         print(line)
     while engine.watching:
         time.sleep(1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -244,8 +244,25 @@ class Engine:
         return Watch(changed, changes.read, changes.write, lambda: self.update(file), files, quiet)
 
     def execute(self, words: list[str], rows: DataFrame | None = None) -> list[str]:
-        """One command; lines that it prints. ``rows`` is the input of ``filter``. ``watch`` starts queries that run on, in ``watching``."""
+        """One command; all lines that it prints. ``rows`` is the input of ``filter``. ``watch`` starts queries that run on, in ``watching``."""
+        return list(self.lines(words, rows))
+
+    def lines(self, words: list[str], rows: DataFrame | None = None) -> Iterator[str]:
+        """One command; its lines one after the other: the driver holds those of one partition of a result at a time."""
         verb, *rest = words or ["help"]
+        if verb in ("search", "files", "filter"):
+            spec, *own = [None, *rest] if verb == "filter" else rest
+            options, query = from_arguments(own)
+            began, n = time.time(), 0
+            found = self.filter(rows, query, options).select("path") if verb == "filter" else self.search(spec, query, options).select("text") if verb == "search" else self.files(spec, query, options).select("path")
+            for n, r in enumerate(found.toLocalIterator(), 1):
+                yield r[0]
+            if options.summary and verb != "filter":
+                yield formats.summary(n, time.time() - began, options.limit)
+        else:
+            yield from self._told(verb, rest)
+
+    def _told(self, verb: str, rest: list[str]) -> list[str]:
         if verb == "version":
             return [VERSION]
         if verb == "projects":
@@ -280,15 +297,6 @@ class Engine:
                 if "chunks" in r and r.chunks is not None:
                     out.append(f"{r.project}: {r.stored_bytes} bytes stored ({r.ratio:.2f} to one), {r.chunks} chunks up to {r.largest_chunk} bytes, {r.filters} filters of {r.filter_bytes} bytes, {r.broken} parts out of order")
             return out
-        if verb == "filter":
-            options, query = from_arguments(rest)
-            return [r.path for r in self.filter(rows, query, options).collect()]
-        if verb in ("search", "files"):
-            options, query = from_arguments(rest[1:])
-            began = time.time()
-            found = self.search(rest[0], query, options).select("text") if verb == "search" else self.files(rest[0], query, options).select("path")
-            out = [r[0] for r in found.collect()]
-            return [*out, formats.summary(len(out), time.time() - began, options.limit)] if options.summary else out
         return HELP.split("\n")
 
     def interactive(self, spec: str, ask: Callable[[], str | None], say: Callable[[str], None], options: list[str] = (), watch: bool = True) -> None:

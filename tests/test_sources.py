@@ -1,13 +1,17 @@
+import io
 import os
 import random
+import threading
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.engine import Engine
+from tessera.plans.options import parse_options
 from tessera.sources import config, ranges, tree
 from tessera.sources.store import ChangeList, Conflict, Folder, Manifest, Store
+from tessera.streaming import input
 from tessera.streaming.watch import Watch, filter_stream
 
 
@@ -180,15 +184,59 @@ def test_changes_that_come_during_an_update_stay(spark, tmp_path):
 
 
 def test_shell(spark, tmp_path, monkeypatch, capsys):
-    from tessera.__main__ import input_lines, main
+    from tessera.__main__ import main
 
-    assert [r.line for r in input_lines(spark, iter(["a\r\n", "\n", "b"])).collect()] == ["a", "", "b"]
     monkeypatch.setenv("TESSERA_HOME", str(tmp_path))
-    monkeypatch.setattr("sys.stdin", iter(["x/abc\n", "\n", "q\n"]))
-    assert main(["filter", "fn", "^a"]) == 0 and capsys.readouterr().out == "x/abc\n"
+    monkeypatch.setattr("sys.stdin", io.BytesIO(b"x/abc\r\n\nq\nz/ab"))
+    assert main(["filter", "fn", "^a"]) == 0 and capsys.readouterr().out == "x/abc\nz/ab\n"
     assert main([]) == 0 and capsys.readouterr().out.startswith("Verbs")
 
 
+def test_blocks_hold_whole_lines():
+    rnd = random.Random(8)
+    raw = b"".join(b"x" * rnd.randint(0, 60) + b"\n" for _ in range(500)) + b"y" * 300 + b"\n" + b"tail"
+    got = list(input.blocks(io.BytesIO(raw), 64, patience=1e9))
+    assert b"".join(got) == raw and all(b.endswith(b"\n") for b in got[:-1]) and got[-1].endswith(b"tail")
+    assert all(len(b) < 2 * 64 + 62 or b.count(b"\n") < 4 for b in got) and list(input.blocks(io.BytesIO(b""))) == []
+
+
+def test_input_is_answered_before_its_end(spark, monkeypatch):
+    """Answers come in the input's order while it is still open, and only a few blocks lie unread at a time."""
+    monkeypatch.setattr(input, "AHEAD", 3)
+    read, write = os.pipe()
+    said, most = [], []
+    real = input.Spool.unread
+    monkeypatch.setattr(input.Spool, "unread", lambda self: most.append(real(self)) or most[-1])
+    out = os.fdopen(write, "wb", buffering=0)
+
+    def feed():
+        out.write(b"a/first\nb/none\n")
+        for _ in range(600):
+            if said:
+                break
+            time.sleep(0.1)
+        said.append("-- the input goes on")
+        for i in range(12):
+            out.write(b"".join(b"a/n%d\n" % (1000 * i + k) for k in range(1000)))
+        out.write(b"a/last")
+        out.close()
+
+    feeder = threading.Thread(target=feed)
+    feeder.start()
+    with os.fdopen(read, "rb") as source:
+        n = input.filter_input(spark, source, "^a/", parse_options(""), said.append)
+    feeder.join()
+    assert n == 12_002 and said[:2] == ["a/first", "-- the input goes on"] and said[2:] == [f"a/n{i}" for i in range(12_000)] + ["a/last"]
+    assert max(most) <= 4
+
+
+def test_input_with_limits_and_ranks(spark):
+    raw = b"".join(b"src/x%d.c\n" % i for i in range(3000))
+    ran = lambda q, o: (lambda said: (input.filter_input(spark, io.BytesIO(raw), q, parse_options(o), said.append), said))([])
+    assert ran("x[0-9]*7\\.", "L3") == (3, ["src/x7.c", "src/x17.c", "src/x27.c"])
+    assert ran("s/x2999", "ff L2")[1] == ["src/x2999.c"] and ran("nothing", "")[0] == 0
+
+
 def test_filter_stream(spark):
     from tessera.plans.options import parse_options
 
