@@ -18,6 +18,7 @@ from tessera.functions.text import grouped
 from tessera.operators import files, formats, groups, index, info, lines, snapshot
 from tessera.operators.parts import parts
 from tessera.plans.options import parse_options
+from tessera.sources import tree
 from tessera.sources.config import parse_config
 from tessera.workers import importable
 
@@ -215,6 +216,12 @@ def files_fuzzy_rank(spark, sf_dir):
     return files.find(urls(spark, sf_dir), "exam/en8", parse_options("ff")).select("ord", "path", "score")
 
 
+@query(fuzzy_sql("tp/e", "ORDER BY score, ord LIMIT 15"))
+def files_fuzzy_first(spark, sf_dir):
+    """The best of many more matches than the limit, with ties in input order."""
+    return files.find(urls(spark, sf_dir), "tp/e", parse_options("ff L15")).select("ord", "path", "score")
+
+
 @query(fuzzy_sql("tion/s1", "ORDER BY score, ord LIMIT 20"))
 def files_fuzzy_topk(spark, sf_dir):
     return files.find(urls(spark, sf_dir), "tion/s1", parse_options("ff L20")).select("ord", "path", "score")
@@ -334,9 +341,13 @@ def chunk_currentness(spark, sf_dir):
     return snapshot.current_chunks(parts, new)
 
 
-@query(f"WITH {DOCS} SELECT path, starts_with(path, 'src1/') OR starts_with(path, 'src12/en/') AS member FROM docs")
+@query("""WITH f AS (SELECT '/o/' || l_orderkey || '/' || l_linenumber AS path FROM lineitem), r AS (SELECT DISTINCT '/o/' || o_orderkey AS root FROM orders WHERE o_orderpriority = '1-URGENT')
+  SELECT path, root, substr(path, length(root) + 2) AS rest FROM f JOIN r ON starts_with(path, root || '/') AND root = regexp_extract(path, '^/o/[0-9]+')""")
 def change_membership(spark, sf_dir):
-    return documents(spark, sf_dir).select("path", snapshot.under_roots(F.col("path"), ["src1", "src12/en/"]).alias("member"))
+    """Which of thousands of folders hold a path, in one join."""
+    paths = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.concat(F.lit("/o/"), F.col("l_orderkey").cast("string"), F.lit("/"), F.col("l_linenumber").cast("string")).alias("path"))
+    roots = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderpriority = '1-URGENT'").select(F.concat(F.lit("/o/"), F.col("o_orderkey").cast("string"), F.lit("/")).alias("root"))
+    return groups.under_roots(paths, roots).select("path", "root", "rest")
 
 
 CONFIG = """path /corpus
@@ -367,15 +378,17 @@ def project_union(spark, sf_dir):
     return groups.project_files(inner, rows.unionByName(more)).select(F.substring("path", 4, 100).alias("path"))
 
 
-@query("""WITH t AS (SELECT unnest(['x', 'é', chr(8364) || 'b', 'plain', '']) AS t)
-  SELECT t AS text, code FROM t, (SELECT unnest(['utf-8', 'utf-16-le', 'utf-16-be', 'utf-32-le', 'utf-32-be']) AS code)""")
-def transcoding(spark, sf_dir):
-    """Bytes of each encoding with its mark come out as the text."""
-    from tessera.sources.tree import decoded
+CODES = ("utf-8", "utf-16-le", "utf-16-be", "utf-32-be")
 
-    marks = {"utf-8": b"\xef\xbb\xbf", "utf-16-le": b"\xff\xfe", "utf-16-be": b"\xfe\xff", "utf-32-le": b"\xff\xfe\0\0", "utf-32-be": b"\0\0\xfe\xff"}
-    rows = [(code, bytearray(mark + t.encode(code))) for code, mark in marks.items() for t in ("x", "é", "€b", "plain", "")]
-    return spark.createDataFrame(rows, "code string, raw binary").select(decoded(F.col("raw")).alias("text"), "code")
+
+@query(f"WITH {DOCS} SELECT path, content FROM docs")
+def transcoding(spark, sf_dir):
+    """All documents, written in one of several encodings with its mark and with CRLF line ends, read back as they were."""
+    rows = documents(spark, sf_dir).withColumn("code", F.pmod(F.xxhash64("path"), F.lit(len(CODES))))
+    crlf = F.replace("content", F.lit("\n"), F.lit("\r\n"))
+    raw = [F.concat(F.unhex(F.lit("EFBBBF")), F.encode(crlf, "UTF-8")), F.concat(F.unhex(F.lit("FFFE")), F.encode(crlf, "UTF-16LE")), F.concat(F.unhex(F.lit("FEFF")), F.encode(crlf, "UTF-16BE")), F.concat(F.unhex(F.lit("0000FEFF")), F.encode(crlf, "UTF-32"))]
+    coded = F.when(F.col("code") == 0, raw[0]).when(F.col("code") == 1, raw[1]).when(F.col("code") == 2, raw[2]).otherwise(raw[3])
+    return rows.select("path", tree.decoded(coded).alias("content"))
 
 
 @query(rf"WITH {LINES} SELECT path, line_no, line FROM lines WHERE regexp_matches(line, 'e\.$')")
@@ -397,26 +410,18 @@ def files_style_priority(spark, sf_dir):
     return files.find(urls(spark, sf_dir), "^[a-z]*3", parse_options("ff fs fp fn")).select("ord", "path")
 
 
-@query("""WITH b AS (SELECT chr(CAST(32 + l_linenumber AS INTEGER)) AS c, l_orderkey AS k FROM lineitem WHERE l_orderkey < 400)
-  SELECT k, count(*) * 2 AS set_bits FROM b GROUP BY k""")
-def filter_bits(spark, sf_dir):
-    """Set bits of filters as the statistics count them: two bits in each byte of these."""
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_orderkey < 400").groupBy(F.col("l_orderkey").alias("k")).agg(F.count(F.lit(1)).cast("int").alias("n"))
-    built = rows.select("k", F.unhex(F.repeat(F.lit("81"), F.col("n"))).alias("bloom"), F.lit(1).alias("rounds"), (F.col("n") * 8).alias("bits"))
-    return built.select("k", F.round(info.filled(F.col("bloom")) * F.col("bits")).cast("long").alias("set_bits"))
-
-
 @query(f"WITH {LINES} SELECT count(*) AS matches FROM lines WHERE contains(line, 'the')")
 def match_count(spark, sf_dir):
     return lines.search(documents(spark, sf_dir), "the", parse_options("l")).agg(F.count(F.lit(1)).alias("matches"))
 
 
-@query("""WITH c AS (SELECT path FROM (VALUES ('a.c'), ('b.c'), ('B.H'), ('d/e.c'), ('z')) AS t(path)) SELECT path FROM c WHERE path IN ('a.c', 'B.H')""")
+@query(f"""WITH {DOCS} SELECT path FROM docs WHERE (starts_with(path, 'src1/') OR starts_with(path, 'src2/en/') OR path = 'src3/en/7')
+  AND (path = 'src3/en/7' OR (regexp_matches(regexp_extract(path, '^src1/(.*)$|^src2/en/(.*)$'), '[02468]$') AND NOT regexp_matches(path, '^src1/de/') AND NOT regexp_matches(path, '99')))""")
 def change_acceptance(spark, sf_dir):
-    """Changed paths count if the groups accept what follows their folder."""
-    group = parse_config("path /r\ninclude \\.[ch]$\nexclude ^d$\nexclude ^b\\.c\n", "/")
-    rows = spark.createDataFrame([(f"/r/{p}",) for p in ("a.c", "b.c", "B.H", "d/e.c", "z")] + [("/q/a.c",)], "path string")
-    return groups.project_files(group, rows).select(F.substring("path", 4, 100).alias("path"))
+    """Changed paths count if a folder of the project holds them and its groups accept what follows it, or if they are named."""
+    group = parse_config("path /src1\npath /src2/en/\nfile /src3/en/7\ninclude [02468]$\nexclude ^DE$\nexclude 99\n", "/")
+    changed = documents(spark, sf_dir).select(F.concat(F.lit("/"), "path").alias("path"))
+    return groups.project_files(group, changed).select(F.substring("path", 2, 1000).alias("path"))
 
 
 # --- index ------------------------------------------------------------------------------------
@@ -475,11 +480,30 @@ def bloom_membership(spark, sf_dir):
 M = 4294967295
 
 
-@query(f"""WITH k AS (SELECT DISTINCT l_orderkey * 4093 + l_partkey AS v FROM lineitem), a AS (SELECT v, (v + {bloom.ADD_1} + (v << 12)) & {M} AS x FROM k),
+#: The two hashes of the numbers ``v`` of a table ``k``, as steps of a query that end in ``hashed(v, h1, h2)``.
+HASHED = f"""a AS (SELECT v, (v + {bloom.ADD_1} + (v << 12)) & {M} AS x FROM k),
   b AS (SELECT v, xor(xor(x, {bloom.XOR_2}), x >> 19) AS x FROM a), c AS (SELECT v, (x + {bloom.ADD_3} + (x << 5)) & {M} AS x FROM b),
   d AS (SELECT v, xor((x + {bloom.ADD_4}) & {M}, (x << 9) & {M}) AS x FROM c), e AS (SELECT v, (x + {bloom.ADD_5} + (x << 3)) & {M} AS x FROM d),
-  f AS (SELECT v, xor(xor(x, {bloom.XOR_6}), x >> 16) AS h1, (v * {bloom.STEP}) & {M} AS y FROM e), g AS (SELECT v, h1, xor(y, y >> 16) AS y FROM f)
-  SELECT v, h1, (xor(y, y >> 14) + {bloom.STEP}) & {M} AS h2 FROM g""")
+  f AS (SELECT v, xor(xor(x, {bloom.XOR_6}), x >> 16) AS h1, (v * {bloom.STEP}) & {M} AS y FROM e), g AS (SELECT v, h1, xor(y, y >> 16) AS y FROM f),
+  hashed AS (SELECT v, h1, (xor(y, y >> 14) + {bloom.STEP}) & {M} AS h2 FROM g)"""
+
+
+@query(f"""WITH texts AS (SELECT doc_id // 64 AS chunk_id, strlen(text) AS n_bytes, hex(encode({FOLD.format('text')})) AS h FROM documents),
+  each AS (SELECT chunk_id, h, unnest(range(0, length(h) // 2 - 3)) AS i FROM texts WHERE length(h) > 6), own AS (SELECT DISTINCT chunk_id, substr(h, 2 * i + 1, 8) AS s FROM each),
+  grams AS (SELECT chunk_id, CAST('0x' || s AS BIGINT) AS v FROM own WHERE substr(s, 1, 2) <> '0A' AND substr(s, 3, 2) <> '0A' AND substr(s, 5, 2) <> '0A' AND substr(s, 7, 2) <> '0A'),
+  k AS (SELECT DISTINCT v FROM grams), {HASHED},
+  sizes AS (SELECT chunk_id, CAST(sum(n_bytes) + count(*) - 1 AS BIGINT) // 50 AS size FROM texts GROUP BY chunk_id), held AS (SELECT chunk_id, count(*) AS n FROM grams GROUP BY chunk_id),
+  shape AS (SELECT chunk_id, size * 8 AS bits, CAST(least(16, greatest(1, floor(0.693 * size * 8 / n))) AS INTEGER) AS rounds FROM sizes JOIN held USING (chunk_id) WHERE size >= 1024),
+  marked AS (SELECT chunk_id, bits, rounds, h1, h2, unnest(range(1, rounds + 1)) AS r FROM shape JOIN grams USING (chunk_id) JOIN hashed USING (v))
+  SELECT chunk_id, CAST(bits AS BIGINT) AS bits, rounds, CAST(count(DISTINCT ((h1 + r * h2) & {M}) % bits) AS BIGINT) AS set_bits FROM marked GROUP BY chunk_id, bits, rounds""")
+def filter_bits(spark, sf_dir):
+    """Bits, rounds and set bits of each filter that is built from the documents, as the statistics count them."""
+    built = index.blooms(chunked_documents(spark, sf_dir).repartition("chunk_id").sortWithinPartitions("chunk_id"))
+    bits = (F.octet_length("bloom") * 8).cast("long")
+    return built.where("octet_length(bloom) > 0").select("chunk_id", bits.alias("bits"), "rounds", F.round(info.filled(F.col("bloom")) * bits).cast("long").alias("set_bits"))
+
+
+@query(f"WITH k AS (SELECT DISTINCT l_orderkey * 4093 + l_partkey AS v FROM lineitem), {HASHED} SELECT v, h1, h2 FROM hashed")
 def bloom_hash(spark, sf_dir):
     keys = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select((F.col("l_orderkey") * 4093 + F.col("l_partkey")).alias("v")).distinct()
     return keys.select("v", bloom.hash_1(F.col("v")).alias("h1"), bloom.hash_2(F.col("v")).alias("h2"))

@@ -74,9 +74,7 @@ class Engine:
                 own, at = own + at.exclude, at.parent
             for root in g.paths:
                 excludes.setdefault(root, []).append(own)
-        rows = self.spark.createDataFrame([], tree.SCHEMA)
-        for root, own in sorted(excludes.items()):
-            rows = rows.unionByName(tree.listing(self.spark, root, own if all(own) else []))
+        rows = tree.listings(self.spark, {root: own if all(own) else [] for root, own in excludes.items()})
         named = [(f, int(s.st_mtime), s.st_size) for g in group.walk() for f in g.files if Path(f).is_file() and (s := Path(f).stat())]
         if named:
             rows = rows.unionByName(self.spark.createDataFrame(named, tree.SCHEMA))

@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-import string
 from functools import lru_cache, reduce
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.fuzzy import FAR, ranks
 from tessera.functions.text import fold_ascii, name_of
 from tessera.operators.lines import folded_contains
 from tessera.plans.options import Options
 from tessera.plans.pattern import compile_pattern
 
-FAR = 1 << 30
-ASCII_FOLD = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
 
 def entries(paths: DataFrame, order: Column | None = None) -> DataFrame:
@@ -41,42 +38,6 @@ def subsequence(query: str) -> Column:
     return fold_ascii(F.col("path")).rlike("(?s)" + ".*?".join(quoted))
 
 
-def _sides(codes: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """Cost of leaving a run at each character whose neighbour outside is ``other`` (0: none)."""
-    letter = (codes >= ord("a")) & (codes <= ord("z")) | np.isin(codes, [ord("["), ord("{")])  # two signs count as letters
-    near = np.select([other == 0, np.isin(other, [ord("/"), ord(".")]), np.isin(other, [ord("_"), ord("-")])], [0, 1, 2], 4)
-    return np.where(other == 0, 0, np.where(letter, near, 4))
-
-
-def ranks(query: str, paths: list[str]) -> np.ndarray:
-    """Least cost of the query's characters as a subsequence of each folded path; ``FAR`` without one.
-
-    A run costs its open sides, a gap ten and its inner length. The last character takes its first
-    place after the one before it. One array step a query character, over all paths at once.
-    """
-    q = query.lower()
-    codes = np.array([p.translate(ASCII_FOLD) for p in paths], "U").reshape(-1, 1).view(np.uint32).reshape(len(paths), -1).astype(np.int64) if paths else np.zeros((0, 1), np.int64)
-    none = np.zeros((len(codes), 1), np.int64)
-    left, right = _sides(codes, np.hstack([none, codes[:, :-1]])), _sides(codes, np.hstack([codes[:, 1:], none]))
-    at = np.arange(codes.shape[1])
-    is_ = lambda c: codes == ord(c)
-    now = np.where(is_(q[0]), left, FAR)
-    if len(q) == 1:
-        now = np.where(np.cumsum(is_(q[0]), 1) == 1, now, FAR)
-    for k, c in enumerate(q[1:], 1):
-        if k == len(q) - 1:
-            place = np.where(is_(c), at, FAR)
-            ahead = np.hstack([np.minimum.accumulate(place[:, ::-1], 1)[:, ::-1][:, 1:], none + FAR])  # first place after each
-            there = np.minimum(ahead, codes.shape[1] - 1)
-            cost = np.where(ahead == at + 1, 0, right + 8 + ahead - at + np.take_along_axis(left, there, 1)) + np.take_along_axis(right, there, 1)
-            return np.where((now < FAR) & (ahead < FAR), now + cost, FAR).min(1, initial=FAR)
-        gap = np.minimum.accumulate(np.where(now < FAR, now + right - at, FAR), 1)  # by a gap, from places two or more before
-        gap = np.hstack([none + FAR, none + FAR, gap])[:, : codes.shape[1]]
-        run = np.hstack([none + FAR, now[:, :-1]])
-        now = np.where(is_(c), np.minimum(run, np.where(gap < FAR, gap + 8 + at + left, FAR)), FAR)
-    return np.where(now < FAR, now + right, FAR).min(1, initial=FAR)
-
-
 def rank(query: str, path: str) -> int | None:
     """The rank of one path; None without one."""
     cost = int(ranks(query, [path])[0])
@@ -85,18 +46,21 @@ def rank(query: str, path: str) -> int | None:
 
 @lru_cache(maxsize=64)
 def rank_udf(query: str):
-    @F.pandas_udf("int")
-    def ranked(path: pd.Series) -> pd.Series:
-        cost = np.concatenate([ranks(query, path.iloc[i : i + 1024].tolist()) for i in range(0, len(path), 1024)]) if len(path) else np.zeros(0, np.int64)
-        return pd.Series(cost).where(cost < FAR).astype("Int32")
+    @F.arrow_udf("int")
+    def ranked(path: pa.Array) -> pa.Array:
+        cost = ranks(query, [p or "" for p in path.to_pylist()])
+        return pa.array(cost, pa.int32(), mask=cost >= FAR)
 
     return ranked
 
 
 def fuzzy(rows: DataFrame, query: str, limit: int | None = None) -> DataFrame:
-    """Fuzzy matches with their ``score``, least first, ties in input order. Only rows that the native subsequence test passes reach Python."""
-    found = rows.where(subsequence(query)).withColumn("score", rank_udf(query)(F.col("path"))).orderBy("score", "ord")
-    return found if limit is None else found.limit(limit)
+    """Fuzzy matches with their ``score``, least first, ties in input order. Only rows that the native subsequence test passes reach Python.
+
+    Without a limit, what is found is shuffled once before the sort, whose sample would else rank it all once more.
+    """
+    found = rows.where(subsequence(query)).withColumn("score", rank_udf(query)(F.col("path")))
+    return found.repartition("ord").orderBy("score", "ord") if limit is None else found.orderBy("score", "ord").limit(limit)
 
 
 def matches(query: str, options: Options) -> Column:

@@ -28,17 +28,42 @@ def accepted(group: Group, path: Column) -> Column:
     return out
 
 
+def under_roots(files: DataFrame, roots: DataFrame) -> DataFrame:
+    """``files(path, ...)`` with the columns of ``roots(root, ...)`` of each root that holds them, and ``rest``, what follows it.
+
+    A root is a folder, with or without a slash at its end. Of a path only the prefixes that are as deep as
+    some root are looked up, in one join whatever the number of roots: Spark broadcasts them if they are
+    few, and else shuffles by prefix. A file in several roots comes once for each; one in none not at all.
+    """
+    roots = roots.withColumn("root", F.rtrim(F.col("root"), F.lit("/")))
+    deep = F.length("root") - F.length(F.replace("root", F.lit("/"), F.lit(""))) + 1
+    depths = sorted(r[0] for r in roots.where("root is not null").select(deep).distinct().collect())  # a row a depth
+    steps = F.length("path") - F.length(F.replace("path", F.lit("/"), F.lit(""))) + 1
+    prefixes = F.array(*(F.when(steps > n, F.substring_index("path", "/", n)) for n in depths)) if depths else F.array().cast("array<string>")
+    rows = files.withColumn("root", F.explode(F.array_compact(prefixes)))
+    return rows.join(roots, "root").withColumn("rest", F.col("path").substr(F.length("root") + 2, F.length("path")))
+
+
 def project_files(group: Group, scanned: DataFrame) -> DataFrame:
     """Files of a group and its children, each path once: those accepted under its folders, and those named one by one.
 
-    ``scanned(path, ...)`` has full paths; patterns see what follows the folder.
+    ``scanned(path, ...)`` has full paths and is read once; patterns see what follows the folder. Groups with
+    the same patterns are one condition.
     """
-    parts = []
+    spark, chains = scanned.sparkSession, {}
+    roots, named = set(), set()
     for g in group.walk():
-        for root in g.paths:
-            top = root.rstrip("/") + "/"
-            own = scanned.where(F.startswith("path", F.lit(top)))
-            parts.append(own.where(accepted(g, F.col("path").substr(F.lit(len(top) + 1), F.length("path")))))
-        if g.files:
-            parts.append(scanned.where(F.col("path").isin(*g.files)))
-    return reduce(DataFrame.unionByName, parts).dropDuplicates(["path"]) if parts else scanned.limit(0)
+        chain, at = [], g
+        while at is not None:
+            chain, at = [*chain, (tuple(at.include), tuple(at.exclude))], at.parent
+        number, _ = chains.setdefault(tuple(chain), (len(chains), g))
+        roots |= {(root.rstrip("/"), number) for root in g.paths}
+        named |= set(g.files)
+    held = under_roots(scanned, spark.createDataFrame(sorted(roots), "root string, chain int"))
+    taken = F.lit(False)
+    for number, g in chains.values():
+        taken = F.when(F.col("chain") == number, accepted(g, F.col("rest"))).otherwise(taken)
+    found = held.where(taken).select(*scanned.columns)
+    if named:
+        found = found.unionByName(scanned.join(spark.createDataFrame([(f,) for f in sorted(named)], "path string"), "path", "left_semi"))
+    return found.dropDuplicates(["path"])

@@ -61,7 +61,7 @@ def search(corpus: DataFrame, query: str, options: Options = Options(), *carry:
         corpus = corpus.where(accepts(F.col("path"), options.include, options.exclude))
     if (possible := plan.possible(F.col("content"))) is not None and not options.bruteforce:
         corpus = corpus.where(possible)
-    found = lines(corpus, *carry).where(plan.matches(F.col("line")))
+    found = lines(corpus, *carry).where(plan.matches_line(F.col("line")))
     if not plan.empty:
         return found
     before, size = first_match(plan, F.col("line"))

@@ -390,6 +390,11 @@ class Plan:
             return found_udf(*self.deep)(col)
         return F.contains(col, F.lit(self.literal)) if self.literal is not None else col.rlike(self.regex)
 
+    def matches_line(self, line: Column) -> Column:
+        """The same for lines of texts that are possible: most lack one of the literals, which is cheaper to tell."""
+        some = self.needs if self.literal is None and not self.folded else None
+        return some.condition(line) & self.matches(line) if some else self.matches(line)
+
     def possible(self, text: Column) -> Column | None:
         """What any text with a matching line has; None if nothing can be said."""
         if self.literal is not None:

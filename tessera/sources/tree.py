@@ -59,29 +59,31 @@ def skipper(root: str, excludes: list[list[str]]) -> Callable[[str], bool]:
 
 
 class _Branches(InputPartition):
-    def __init__(self, paths: list[str]):
+    def __init__(self, paths: list[tuple[str, int]]):
         self.paths = paths
 
 
 class TreeReader(DataSourceReader):
-    """Tasks of folders: the upper levels are opened until there are some hundred."""
+    """Tasks of folders: the upper levels are opened until there are some hundred. Of many roots a task has several."""
 
-    def __init__(self, root: str, excludes: list[list[str]]):
-        self.root, self.excludes = root, excludes
+    def __init__(self, roots: list[tuple[str, list[list[str]]]]):
+        self.roots = roots
 
     def partitions(self) -> list[_Branches]:
-        skip = skipper(self.root, self.excludes)
-        files, level, depth = [], [self.root], 0
+        skips = [skipper(*r) for r in self.roots]
+        files, level, depth = [], [(r[0], i) for i, r in enumerate(self.roots)], 0
         while level and len(level) < BRANCHES and depth < LEVELS:
-            found = [e for folder in level for e in _entries(folder)]
-            files += [e.path for e in found if not e.is_dir() and e.is_file()]
-            level, depth = [e.path for e in found if e.is_dir() and not skip(e.path)], depth + 1
-        every = [_Branches([p]) for p in level] + [_Branches(files[i : i + 1000]) for i in range(0, len(files), 1000)]
+            found = [(e, i) for folder, i in level for e in _entries(folder)]
+            files += [(e.path, i) for e, i in found if not e.is_dir() and e.is_file()]
+            level, depth = [(e.path, i) for e, i in found if e.is_dir() and not skips[i](e.path)], depth + 1
+        each = -(-len(level) // (4 * BRANCHES))
+        every = [_Branches(level[i : i + each]) for i in range(0, len(level), max(1, each))] + [_Branches(files[i : i + 1000]) for i in range(0, len(files), 1000)]
         return every or [_Branches([])]
 
     def read(self, partition: _Branches) -> Iterator[tuple]:
-        skip = skipper(self.root, self.excludes)
-        for path in partition.paths:
+        skips: dict[int, Callable[[str], bool]] = {}
+        for path, i in partition.paths:
+            skip = skips.setdefault(i, skipper(*self.roots[i]))
             if os.path.isdir(path):
                 yield from scan(path, skip)
             else:
@@ -90,7 +92,7 @@ class TreeReader(DataSourceReader):
 
 
 class TreeSource(DataSource):
-    """``spark.read.format("tessera_tree").load(root)``: metadata only, contents are not opened. Option ``exclude``: JSON lists of patterns."""
+    """``spark.read.format("tessera_tree").option("roots", ...)``: metadata only, contents are not opened. ``roots``: JSON of folders, each with lists of patterns."""
 
     @classmethod
     def name(cls) -> str:
@@ -100,13 +102,18 @@ class TreeSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> TreeReader:
-        return TreeReader(self.options["path"], json.loads(self.options.get("exclude", "[]")))
+        return TreeReader([(root, excludes) for root, excludes in json.loads(self.options["roots"])])
 
 
 def listing(spark: SparkSession, root: str, excludes: list[list[str]] | None = None) -> DataFrame:
     """Files below a folder; folders that each of the ``excludes`` lists rules out are not walked."""
+    return listings(spark, {root: excludes or []})
+
+
+def listings(spark: SparkSession, roots: dict[str, list[list[str]]]) -> DataFrame:
+    """Files below any number of folders, in one scan; each has its ``excludes``."""
     spark.dataSource.register(TreeSource)
-    return spark.read.format(TreeSource.name()).option("exclude", json.dumps(excludes or [])).load(root)
+    return spark.read.format(TreeSource.name()).option("roots", json.dumps(sorted(roots.items()))).load()
 
 
 def stats(paths: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from tessera.functions import bloom
+from tessera.functions.fuzzy import FAR, ranks
 from tessera.functions.text import normal_line_ends
 from tessera.operators import files, formats, groups, index, info, lines, snapshot
 from tessera.operators.parts import cut, parts
@@ -74,6 +75,23 @@ def test_fuzzy_rank():
     assert files.rank("a/b", "a/b") == 0
 
 
+def test_ranks_of_ragged_texts():
+    """One long text among short ones costs memory in its own length, and all ranks stay what they are alone."""
+    import tracemalloc
+
+    rng = random.Random(5)
+    short = ["".join(rng.choice("ab/._-[c") for _ in range(rng.randint(0, 12))) for _ in range(1023)]
+    long = "x/" * 500_000 + "abc"
+    for q in ("a", "ab", "a/b", "x/xabc"):
+        tracemalloc.start()
+        got = ranks(q, [*short[:500], long, *short[500:]])
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 200e6, (q, peak)
+        assert got.tolist() == [ranks(q, [t])[0] for t in short[:500]] + [ranks(q, [long])[0]] + [ranks(q, [t])[0] for t in short[500:]]
+    assert ranks("ab", []).tolist() == [] and ranks("ab", ["", ""]).tolist() == [FAR, FAR]
+
+
 def test_find(spark):
     paths = spark.createDataFrame([(i, p) for i, p in enumerate(["src/render/Manager.cpp", "src\\net\\x.h", "", "readme"])], "n long, path string")
     rows = files.entries(paths.select("path", "n"), F.col("n"))
@@ -162,3 +180,26 @@ def test_parts_have_the_lines_of_the_whole(spark):
     for q in ("a+b", "x*$"):
         a, b = (sorted((r.path, r.line_no, r.line) for r in lines.search(x, q).collect()) for x in (df, parts(df, 16)))
         assert a == b
+
+
+def test_many_roots_in_one_scan(spark):
+    """Ten thousand folders are one join, and a file comes once for each folder that holds it."""
+    paths = spark.createDataFrame([(f"/r{i}/s/f{i % 7}.c",) for i in range(20_000)] + [("/r5",), ("/r5x/y",), ("rel/a/b",), ("/top.c",)], "path string")
+    roots = spark.createDataFrame([(f"/r{i}/" if i % 2 else f"/r{i}", i) for i in range(10_000)] + [("/r7/s", -1), ("rel", -2), ("/nowhere/deep/er", -3)], "root string, n int")
+    got = groups.under_roots(paths, roots)
+    rows = {(r.path, r.n): r.rest for r in got.collect()}
+    assert len(rows) == 10_002 and rows["/r7/s/f0.c", -1] == "f0.c" and rows["/r7/s/f0.c", 7] == "s/f0.c" and rows["rel/a/b", -2] == "a/b"
+    assert not any(p in ("/r5", "/r5x/y", "/top.c") for p, _ in rows)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") <= 2 and "Union" not in plan and "NestedLoop" not in plan
+    assert groups.under_roots(paths, roots.limit(0)).count() == 0
+    every = groups.under_roots(paths, spark.createDataFrame([("/", 1)], "root string, n int"))
+    assert every.count() == 20_003  # the root of all absolute paths
+
+
+def test_project_of_many_folders(spark):
+    text = "".join(f"path /r{i}\n" for i in range(3000)) + "include c$\nfile /named.txt\ngroup\npath /r1/sub\ninclude ^x\nendgroup\n"
+    paths = [f"/r{i}/a.{'c' if i % 2 else 'h'}" for i in range(4000)] + ["/named.txt", "/other.txt", "/r1/sub/x.c", "/r1/sub/x.h"]
+    rows = spark.createDataFrame([(p, 1) for p in paths + paths[:9]], "path string, size long")
+    got = sorted(r.path for r in groups.project_files(parse_config(text, "/"), rows).collect())
+    assert got == sorted([f"/r{i}/a.c" for i in range(1, 3000, 2)] + ["/named.txt", "/r1/sub/x.c"])
