@@ -330,11 +330,11 @@ def _sketches(shingle: int, bands: int):
     return run
 
 
-def confirmed(sets: list[np.ndarray], similarity: float, queries: int | None = None, comp: np.ndarray | None = None) -> np.ndarray:
+def confirmed(sets: list[np.ndarray], similarity: float, queries: int | None = None, comp: np.ndarray | None = None, keys: list[list[int]] | None = None) -> np.ndarray:
     """For each of some sets the first one reachable over pairs with at least that Jaccard similarity.
 
     The first ``queries`` sets (default: all) are held against all after them, but for those that are
-    linked already; sets of one ``comp`` are from the start.
+    linked already; sets of one ``comp`` are from the start. With ``keys`` only sets with a key in common are held against each other.
     """
     n = len(sets)
     size = np.array([len(x) for x in sets], np.int64)
@@ -346,9 +346,19 @@ def confirmed(sets: list[np.ndarray], similarity: float, queries: int | None = N
     if comp is not None:
         _, first, which = np.unique(comp, return_index=True, return_inverse=True)
         forest.unite(np.arange(n), first[which])
+    if keys is not None:
+        of = np.repeat(np.arange(n), [len(k) for k in keys])
+        _, key = np.unique(np.array([k for own in keys for k in own], np.int64), return_inverse=True)
+        by_key, key_ends = of[np.argsort(key, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(key))]).astype(np.int64)
+        own_ends = np.searchsorted(of, np.arange(n + 1))
     for i in range(min(n - 1, n if queries is None else queries)):
         root = forest.roots(np.arange(n))
         rest = np.arange(i + 1, n)
+        if keys is not None:
+            near = np.zeros(n, bool)
+            for k in key[own_ends[i] : own_ends[i + 1]].tolist():
+                near[by_key[key_ends[k] : key_ends[k + 1]]] = True
+            rest = rest[near[rest]]
         rest = rest[(root[rest] != root[i]) & (np.minimum(size[rest], size[i]) >= similarity * np.maximum(size[rest], size[i]))]
         table[low[begin[i] : end[i]]] = True
         for k in range(0, len(rest), TOGETHER):
@@ -369,11 +379,12 @@ def confirmed(sets: list[np.ndarray], similarity: float, queries: int | None = N
 
 
 def _confirmed(similarity: float):
-    """Rows (bucket, other, comp, v, shingles) sorted by bucket, those that aren't ``other`` first -> links (a, b) of a bucket."""
+    """Rows (bucket, other, comp, v, keys, shingles) sorted by bucket, those that aren't ``other`` first -> links (a, b) of a bucket."""
 
     def links(held: list[tuple]) -> pa.RecordBatch:
         v, comp = (np.array([x[k] for x in held], np.int64) for k in (2, 1))
-        root = confirmed([np.frombuffer(x[3], np.uint32) for x in held], similarity, sum(not x[0] for x in held), comp)
+        keys = None if held[0][3] is None else [x[3] for x in held]
+        root = confirmed([np.frombuffer(x[4], np.uint32) for x in held], similarity, sum(not x[0] for x in held), comp, keys)
         tied = comp[root] != comp
         pairs = np.unique(np.stack([comp[tied], comp[root[tied]]], 1), axis=0)
         return pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
@@ -394,8 +405,8 @@ def _confirmed(similarity: float):
 
 
 def _links(asked: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links between the ``comp`` of confirmed pairs of ``asked(bucket, other, comp, v)``."""
-    rows = asked.join(sets, "v").select("bucket", "other", "comp", "v", "shingles")
+    """Links between the ``comp`` of confirmed pairs of ``asked(bucket, other, comp, v, keys)``."""
+    rows = asked.join(sets, "v").select("bucket", "other", "comp", "v", "keys", "shingles")
     rows = rows.repartition("bucket").sortWithinPartitions("bucket", "other", "v")
     return map_arrow(rows, _confirmed(similarity), "a long, b long")
 
@@ -413,14 +424,17 @@ def _every(parts) -> Column:
 
 
 def _first_looks(candidates: DataFrame, group: DataFrame) -> DataFrame:
-    """What to compare first: groups of candidates that fit one task, all with all; in larger ones the first of each bucket with the others."""
+    """What to compare first: in groups of candidates that fit one task all pairs of a bucket; in larger ones the first of each bucket with the others."""
+    none = F.lit(None).cast("array<bigint>").alias("keys")
     n = group.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
     group = group.join(n, "group")
-    small = group.where(F.col("n") <= GROUP).select(F.xxhash64("group").alias("bucket"), F.lit(False).alias("other"), F.col("v").alias("comp"), "v")
+    small = group.where(F.col("n") <= GROUP)
+    keyed = candidates.join(small.select("v"), "v").groupBy("v").agg(F.collect_set("bucket").alias("keys"))  # its bands and near prints
+    small = small.join(keyed, "v").select(F.xxhash64("group").alias("bucket"), F.lit(False).alias("other"), F.col("v").alias("comp"), "v", "keys")
     star = candidates.join(group.where(F.col("n") > GROUP).select("v"), "v").where("v <> first").select("first", "v").distinct()
     many = star.groupBy("first").agg(_parts(F.count(F.lit(1))).alias("parts"))
-    others = star.join(many, "first").select(F.xxhash64("first", _dealt(F.col("parts"))).alias("bucket"), F.lit(True).alias("other"), F.col("v").alias("comp"), "v")
-    firsts = many.select("first", _every(F.col("parts")).alias("part")).select(F.xxhash64("first", "part").alias("bucket"), F.lit(False).alias("other"), F.col("first").alias("comp"), F.col("first").alias("v"))
+    others = star.join(many, "first").select(F.xxhash64("first", _dealt(F.col("parts"))).alias("bucket"), F.lit(True).alias("other"), F.col("v").alias("comp"), "v", none)
+    firsts = many.select("first", _every(F.col("parts")).alias("part")).select(F.xxhash64("first", "part").alias("bucket"), F.lit(False).alias("other"), F.col("first").alias("comp"), F.col("first").alias("v"), none)
     return small.unionByName(others).unionByName(firsts)
 
 
@@ -438,7 +452,8 @@ def _second_looks(candidates: DataFrame, comp: DataFrame) -> DataFrame:
     outside = rows.where("comp <> main").withColumn("block", _dealt(F.col("blocks"), F.lit(2))).withColumn("part", _every(F.col("parts")))
     every = rows.withColumn("part", _dealt(F.col("parts"))).withColumn("block", _every(F.col("blocks")))
     task = F.xxhash64("bucket", "part", "block").alias("bucket")
-    return outside.select(task, F.lit(False).alias("other"), "comp", "v").unionByName(every.select(task, F.lit(True).alias("other"), "comp", "v"))
+    none = F.lit(None).cast("array<bigint>").alias("keys")
+    return outside.select(task, F.lit(False).alias("other"), "comp", "v", none).unionByName(every.select(task, F.lit(True).alias("other"), "comp", "v", none))
 
 
 def _with_roots(roots: DataFrame, name: str) -> DataFrame:
@@ -451,10 +466,11 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
 
     Candidates are linked by the trie self-join of the SimHashes within 3 bits, or share a MinHash
     band of the shingles, as many bands as the similarity asks for. Links between them are confirmed
-    on the shingle sets themselves (32-bit hashes): groups of candidates that fit one task are
-    compared all with all. In larger ones, each bucket's first member is compared with the others,
-    and then, in each bucket that is still several components, those outside its largest with all
-    the others, in parts of bounded size.
+    on the shingle sets themselves (32-bit hashes), whatever a group's size: each pair of a bucket is
+    compared unless it is linked by others. Groups of candidates that fit one task are compared there.
+    In larger ones, each bucket's first member is compared with the others, and then, in each bucket
+    that is still several components, those outside its largest with all the others, in parts of
+    bounded size.
 
     ``hash`` is the text's xxhash64; ``component`` the smallest id of the group; ``kept`` is true for
     one of the group's texts, that of ``component`` (of several texts of that id, the one of the least

@@ -134,6 +134,26 @@ def test_similar_groups_of_any_size(spark, limit, monkeypatch):
     assert [got[i] for i in range(len(texts))] == jaccard_components(texts)
 
 
+def test_group_size_changes_no_link(spark, monkeypatch):
+    """With so few bands that many near pairs share none, groups within a task's share and over it have the same links."""
+    rng = random.Random(6)
+    texts, word = [], lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    for _ in range(3):
+        base = [word() for _ in range(150)]
+        for _ in range(30):
+            text = list(base)
+            for at in rng.sample(range(150), 2):
+                text[at] = word()
+            texts.append(" ".join(text))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(simhash, "MISSED", 0.6)
+    found = []
+    for limit in (512, 20, 4):
+        monkeypatch.setattr(simhash, "GROUP", limit)
+        found.append({r.id: r.component for r in simhash.similar_documents(docs).collect()})
+    assert found[0] == found[1] == found[2] and len(set(found[0].values())) >= 3
+
+
 def test_equal_keys(spark):
     """Many texts with one SimHash are one key of the walk."""
     df = spark.range(50_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("x y "), F.repeat(F.lit("same words again "), 200), F.col("id").cast("string")).alias("text"))
@@ -185,6 +205,9 @@ def test_confirmed():
     assert simhash.confirmed(sets, 0.8).tolist() == roots(len(sets), near)
     some = [(i, j) for i, j in near if j < 20]
     assert simhash.confirmed(sets, 0.8, 20).tolist() == roots(len(sets), some)
+    keys = [[int(k) for k in rng.integers(0, 12, 3)] if i % 9 else [] for i in range(len(sets))]
+    shared = [(i, j) for i, j in near if set(keys[i]) & set(keys[j])]
+    assert len(shared) < len(near) and simhash.confirmed(sets, 0.8, keys=keys).tolist() == roots(len(sets), shared)
     comp = np.arange(len(sets)) // 8 * 8
     assert simhash.confirmed(sets, 0.8, 20, comp).tolist() == roots(len(sets), [*some, *enumerate(comp.tolist())])
 
