@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import bloom
 from tessera.functions.text import grouped
-from tessera.operators import files, formats, groups, index, info, lines, snapshot
+from tessera.operators import files, formats, groups, index, info, lines, slices, snapshot
 from tessera.operators.parts import parts
 from tessera.plans.options import parse_options
 from tessera.sources import tree
@@ -457,6 +457,14 @@ def gram_bruteforce(spark, sf_dir):
     return index.search_indexed(corpus, index.blooms(corpus), PRUNED, parse_options("b")).select("path", "line_no", "line")
 
 
+@query(f"WITH {LINES} SELECT path, line_no, line FROM lines WHERE regexp_matches(line, '{PRUNED}')")
+def slice_prune(spark, sf_dir):
+    """The same by slices, without Python in the search."""
+    corpus = chunked_documents(spark, sf_dir)
+    need = index.wanted(PRUNED, parse_options(""))
+    return lines.search(slices.pruned(corpus, slices.sliced(corpus), need), PRUNED).select("path", "line_no", "line")
+
+
 @query("""WITH c AS (SELECT doc_id // 64 AS chunk_id, CAST(sum(strlen(text)) + count(*) - 1 AS BIGINT) AS bytes FROM documents GROUP BY doc_id // 64)
   SELECT chunk_id, bytes, CASE WHEN bytes // 50 < 1024 THEN 0 ELSE bytes // 50 END AS filter_bytes FROM c""")
 def bloom_sizes(spark, sf_dir):
@@ -488,10 +496,22 @@ HASHED = f"""a AS (SELECT v, (v + {bloom.ADD_1} + (v << 12)) & {M} AS x FROM k),
   hashed AS (SELECT v, h1, (xor(y, y >> 14) + {bloom.STEP}) & {M} AS h2 FROM g)"""
 
 
-@query(f"""WITH texts AS (SELECT doc_id // 64 AS chunk_id, strlen(text) AS n_bytes, hex(encode({FOLD.format('text')})) AS h FROM documents),
+#: The distinct 4-grams of each chunk, and their hashes.
+CHUNK_GRAMS = f"""texts AS (SELECT doc_id // 64 AS chunk_id, strlen(text) AS n_bytes, hex(encode({FOLD.format('text')})) AS h FROM documents),
   each AS (SELECT chunk_id, h, unnest(range(0, length(h) // 2 - 3)) AS i FROM texts WHERE length(h) > 6), own AS (SELECT DISTINCT chunk_id, substr(h, 2 * i + 1, 8) AS s FROM each),
   grams AS (SELECT chunk_id, CAST('0x' || s AS BIGINT) AS v FROM own WHERE substr(s, 1, 2) <> '0A' AND substr(s, 3, 2) <> '0A' AND substr(s, 5, 2) <> '0A' AND substr(s, 7, 2) <> '0A'),
-  k AS (SELECT DISTINCT v FROM grams), {HASHED},
+  k AS (SELECT DISTINCT v FROM grams), {HASHED}"""
+
+
+@query(f"""WITH {CHUNK_GRAMS} SELECT chunk_id // {slices.GROUP} AS grp, CAST(((h1 + h2) & {M}) % {slices.SIZE} AS INTEGER) AS slice, CAST(count(DISTINCT chunk_id) AS BIGINT) AS chunks
+  FROM grams JOIN hashed USING (v) GROUP BY ALL""")
+def index_slices(spark, sf_dir):
+    """How many chunks of each group have each bit of the index set."""
+    built = slices.sliced(chunked_documents(spark, sf_dir)).where("slice >= 0").groupBy("grp", "slice").agg(F.bit_or("word").alias("word"))
+    return built.select("grp", "slice", F.bit_count("word").cast("long").alias("chunks"))
+
+
+@query(f"""WITH {CHUNK_GRAMS},
   sizes AS (SELECT chunk_id, CAST(sum(n_bytes) + count(*) - 1 AS BIGINT) // 50 AS size FROM texts GROUP BY chunk_id), held AS (SELECT chunk_id, count(*) AS n FROM grams GROUP BY chunk_id),
   shape AS (SELECT chunk_id, size * 8 AS bits, CAST(least(16, greatest(1, floor(0.693 * size * 8 / n))) AS INTEGER) AS rounds FROM sizes JOIN held USING (chunk_id) WHERE size >= 1024),
   marked AS (SELECT chunk_id, bits, rounds, h1, h2, unnest(range(1, rounds + 1)) AS r FROM shape JOIN grams USING (chunk_id) JOIN hashed USING (v))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import grouped
-from tessera.operators import files, formats, groups, index, info, lines, snapshot
+from tessera.operators import files, formats, groups, index, info, lines, slices, snapshot
 from tessera.plans.options import Options, from_arguments
 from tessera.sources import config, ranges, tree
 from tessera.sources.store import BUCKET_BYTES, ChangeList, Conflict, Folder, Manifest, Store, placed
@@ -190,7 +190,7 @@ class Engine:
                 raise ValueError(f"{file} has no index; run update")
             rows = self.spark.createDataFrame([], "path string, part_no int, start_line int, content string, mtime long, size long, chunk_id long")
         elif query is not None and (need := index.wanted(query, options)) is not None:
-            rows = index.pruned(rows, store.read(what="index", manifest=manifest), need)
+            rows = slices.pruned(rows, store.read(what="index", manifest=manifest), need)
         rows, changes = rows.select(*ROWS), self.changes(file)
         if changes.isEmpty():
             return rows
@@ -227,7 +227,7 @@ class Engine:
             own = own.withColumn("stored_bytes", F.lit(stored).cast("long")).withColumn("ratio", F.col("bytes") / F.lit(max(1, stored)))
             if (data := store.read()) is not None:
                 chunks = info.chunk_stats(data.select("chunk_id", F.octet_length("content").cast("long").alias("size"))).select("chunks", F.col("least").alias("least_chunk"), F.col("most").alias("largest_chunk"))
-                filters = info.index_stats(store.read(what="index")).select(F.col("indexed").alias("filters"), F.coalesce("bytes", F.lit(0)).cast("long").alias("filter_bytes"), "filled_avg")
+                filters = slices.stats(store.read(what="index")).select(F.col("indexed").alias("filters"), F.col("bytes").alias("filter_bytes"), "filled_avg")
                 counted = info.line_counts(data.select("path", "part_no", "start_line", "size", "mtime", "chunk_id", "content")).drop("bytes", "longest")
                 broken = info.integrity(counted, bucketed=True).where("not (order_ok and metadata_ok and lines_ok)").agg(F.count(F.lit(1)).alias("broken"))
                 for one in (chunks, filters, broken):  # a row each

@@ -37,11 +37,6 @@ def hash_2(v: Column) -> Column:
     return _low(v + STEP)
 
 
-def gram_of(raw: Column, at: Column) -> Column:
-    """Four bytes from ``at`` (from 1) as one unsigned number, first byte highest."""
-    return F.conv(F.hex(F.substring(raw, at, F.lit(4))), 16, 10).cast("long")
-
-
 def grams(raw: bytes) -> np.ndarray:
     """Distinct 4-grams of folded bytes that stay within a line, sorted."""
     b = np.frombuffer(raw.lower(), np.uint8).astype(np.uint32)
@@ -72,6 +67,12 @@ def _hashes(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a, b + np.uint32(STEP)
 
 
+def first_hashes(values: np.ndarray) -> np.ndarray:
+    """What the first round of a filter goes by."""
+    h, step = _hashes(values)
+    return h + step
+
+
 def filter_size(data_bytes: int, n_grams: int) -> tuple[int, int]:
     """Bytes and rounds of a filter: a fiftieth of the data, none below 1024 bytes."""
     size = data_bytes // 50

@@ -93,8 +93,12 @@ def search_indexed(corpus: DataFrame, index: DataFrame, query: str, options: Opt
 
 
 def pruned(corpus: DataFrame, index: DataFrame, need: Needs) -> DataFrame:
-    """Rows of possible chunks. A few chunks are a filter that reaches the scan; some more are broadcast."""
-    found = possible_chunks(index, need)
+    """Rows of possible chunks."""
+    return kept(corpus, possible_chunks(index, need))
+
+
+def kept(corpus: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of the chunks found. A few chunks are a filter that reaches the scan; some more are broadcast."""
     few = sorted(r.chunk_id for r in found.limit(BROADCAST_CHUNKS + 1).collect())
     if len(few) > BROADCAST_CHUNKS:
         return corpus.join(found, "chunk_id", "left_semi")

@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 
 from tessera.sources.ranges import CHUNK, PARTS
 
-FORMAT = 3
+FORMAT = 4
 #: Bytes of contents that a bucket is meant to hold.
 BUCKET_BYTES = 128 << 20
 #: A bucket over so many times the target is split; depth at most; seconds that a lease lasts; slots of a directory in an expression.
@@ -194,7 +194,7 @@ class Store:
         return out
 
     def _written(self, version: str, rows: DataFrame, base: Manifest) -> Manifest:
-        from tessera.operators.index import blooms
+        from tessera.operators.slices import GROUP, PAGE_ROWS, sliced
 
         seen = Observation()
         own = W.partitionBy("bucket").orderBy("path", "part_no")
@@ -211,8 +211,9 @@ class Store:
         if taken := {b for b in got if base.buckets.get(b, "") is not None}:
             raise ValueError(f"rows of buckets that are not to be written: {sorted(taken)[:5]}")
         if got:
-            built = blooms(self.spark.read.parquet(f"{self.top}/{version}/data")).withColumn("bucket", F.shiftright("chunk_id", 32).cast("int"))
-            built.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.top}/{version}/index")
+            built = sliced(self.spark.read.parquet(f"{self.top}/{version}/data")).withColumn("bucket", F.shiftright(F.col("grp") * GROUP, 32).cast("int"))
+            built = built.repartition(len(got), "bucket").sortWithinPartitions("bucket", "slice", "grp")
+            built.write.option("parquet.page.row.count.limit", PAGE_ROWS).partitionBy("bucket").parquet(f"{self.top}/{version}/index")
         return Manifest(base.number + 1, {b: version if b in got else v for b, v in base.buckets.items()})
 
     def leased(self) -> set[str]:

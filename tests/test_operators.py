@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tessera.functions import bloom
 from tessera.functions.fuzzy import FAR, ranks
 from tessera.functions.text import normal_line_ends
-from tessera.operators import files, formats, groups, index, info, lines, snapshot
+from tessera.operators import files, formats, groups, index, info, lines, slices, snapshot
 from tessera.operators.parts import cut, parts
 from tessera.plans.options import parse_options
 from tessera.sources.config import parse_config
@@ -203,3 +203,27 @@ def test_project_of_many_folders(spark):
     rows = spark.createDataFrame([(p, 1) for p in paths + paths[:9]], "path string, size long")
     got = sorted(r.path for r in groups.project_files(parse_config(text, "/"), rows).collect())
     assert got == sorted([f"/r{i}/a.c" for i in range(1, 3000, 2)] + ["/named.txt", "/r1/sub/x.c"])
+
+
+def test_slices_rule_out_what_cannot_match(spark, tmp_path):
+    """A search by slices finds what one without an index finds, in fewer chunks, without Python, and reads few pages."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    rows = [(f"p{c:03}/{k}", " ".join(word() for _ in range(200)) + (f"\nNeedle{c} here" if k == 2 else ""), c) for c in range(150) for k in range(3)]
+    df = spark.createDataFrame(rows, "path string, content string, chunk_id long").repartition(2, F.shiftright("chunk_id", 5)).sortWithinPartitions("chunk_id", "path")
+    slices.sliced(df).sortWithinPartitions("slice", "grp").write.option("parquet.page.row.count.limit", slices.PAGE_ROWS).parquet(f"{tmp_path}/index")
+    built = spark.read.parquet(f"{tmp_path}/index")
+    for q, o in [("Needle77 here", ""), ("needle7", "i"), ("Needle1[0-9]|Needle77", ""), ("(abcd|Needle5) h", ""), ("[a-z]", ""), ("nothing of this", "l"), ("ab", ""), ("x|Needle", "")]:
+        need = index.wanted(q, parse_options(o))
+        if need is None:
+            continue
+        left = slices.pruned(df, built, need)
+        found = lambda rows: sorted((r.path, r.line_no) for r in lines.search(rows, q, parse_options(o)).collect())  # noqa: E731, B023
+        assert found(left) == found(df)
+        if q == "Needle77 here":
+            assert left.select("chunk_id").distinct().count() < 5
+    asked = slices.useful(index.wanted("Needle77 here", parse_options("l")))
+    plan = slices.possible(built, asked)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "In(slice" in plan
+    assert slices.useful(index.wanted("abc", parse_options("l"))) is None and slices.stats(built).first().indexed == 150
+    assert slices.stats(built.limit(0)).first().indexed == 0
