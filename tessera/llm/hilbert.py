@@ -114,6 +114,12 @@ def sharded(rows: DataFrame, dims: list[str], shards: int, keep: list[str], tie:
     return out.select(*keep, "curve", "shard", (F.col(rank) - F.expr(f"(shard * {total}L + {shards - 1}) div {shards}")).cast("long").alias("slot"))
 
 
-def write_shards(placed: DataFrame, path: str) -> None:
-    """Write rows that ``sharded`` has placed as one folder for each shard, each sorted along the curve. A shard is one task's."""
-    placed.repartition("shard").sortWithinPartitions("shard", "slot").drop("slot", "curve").write.partitionBy("shard").parquet(path)
+def write_shards(placed: DataFrame, path: str, parts: int | None = None) -> None:
+    """Write rows that ``sharded`` has placed as one folder for each shard, its files being runs along the curve.
+
+    Tasks take ranges of shard and place, about ``parts`` of near equal rows (default: the session's shuffle
+    partitions), so a shard is written by several tasks, and a task writes to a few shards. Null values of
+    kept columns stay; an empty table writes no shard; columns other than ``slot`` and ``curve`` are written.
+    """
+    parts = parts or int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed.repartitionByRange(parts, "shard", "slot").sortWithinPartitions("shard", "slot").drop("slot", "curve").write.partitionBy("shard").parquet(path)

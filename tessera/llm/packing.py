@@ -227,7 +227,8 @@ def packed(docs: DataFrame, capacity: int = 2048, end_id: int = 0, tokenizer: st
 
     A document is its token ids and then ``end_id``; only one over ``capacity`` is cut, into full
     pieces and a rest. Null text is as empty (``end_id`` alone); repeated rows and null ids are
-    documents of their own; an empty table gives no rows. ``slack``: tokens of room up to which a bin
+    documents of their own; an empty table gives no rows; other columns, whatever their names, are not
+    read. A long text's ids are in one task's memory. ``slack``: tokens of room up to which a bin
     counts as full before the last round (default: a hundredth of the capacity).
     """
     slack = capacity // 100 if slack is None else slack

@@ -162,7 +162,9 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", carry: tuple[s
 def quality(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int = 4, held_out: int = 2, threshold: float = 0.7) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` of every document; a null id is not held out.
 
-    Without labels of both kinds every score is the labels' share of ones, or a half without any.
+    Without labels of both kinds every score is the labels' share of ones, or a half without any. Whole
+    texts are scored, however long; null texts as empty ones; repeated rows come back repeated; other
+    columns, whatever their names, are not read; an empty table gives no rows.
     """
     rows = scored(docs, fit(labels, docs, label, parts, held_out))
     return rows.select("doc_id", (F.coalesce(part_of("doc_id", parts), F.lit(-1)) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

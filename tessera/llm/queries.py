@@ -25,33 +25,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @query
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's SimHash and its component over links of at most two bits."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 @query
 def op5_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of 35-word windows that recur."""
     left = phrases.without_recurring(table(spark, sf_dir, "documents"), window=35)
     return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
 @query
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in sequences of 2048 tokens."""
     return packing.packed(table(spark, sf_dir, "documents"), capacity=2048)
 
 
 @query
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality by the learned embeddings."""
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 @query
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity by the learned lexicon."""
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 @query
 def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's digest, that of its edited text, and likenesses."""
     return fingerprint.with_edited(table(spark, sf_dir, "documents"))
 
 
@@ -61,6 +67,7 @@ PROBE = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[IN
 
 @query
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation formatted by the template, and what is read back from it."""
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     rows = rows.unionByName(spark.createDataFrame(PROBE, rows.schema))
     in_turn = W.partitionBy("conv_id").orderBy("turn", "role", "text")  # a conversation is one output row
@@ -91,6 +98,7 @@ FROM e GROUP BY conv_id
 
 @query
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a WARC record and read back from the archives by byte ranges."""
     back = warc.round_trip(table(spark, sf_dir, "pages"))
     page = lambda c: F.expr(f"try_cast(regexp_extract({c}, '([0-9-]+)>', 1) as bigint)")
     return back.select(page("id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), page("refers_to").alias("refers_to"))
@@ -123,6 +131,7 @@ FROM w LEFT JOIN f USING (rid)
 
 @query
 def op6_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of 24 shards along a Hilbert curve, by the law of rows."""
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", (F.octet_length(raw) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
     placed = hilbert.sharded(rows, ["lang", "source", "size"], 24, ["doc_id", "size", "text_crc32"], tie="doc_id")
@@ -131,6 +140,7 @@ def op6_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents into which an item of the benchmark leaked, with the item."""
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 

@@ -68,7 +68,8 @@ def _fingerprints(shingle: int):
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """``(id, print)``: the 64-bit SimHash of each whole text as a signed long.
 
-    Null text is as the empty one, whose fingerprint is zero. One output row for each input row.
+    Null text is as the empty one, whose fingerprint is zero. One output row for each input row, so none
+    for an empty table. A long text's shingles are in one task's memory.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     return map_arrow(rows, _fingerprints(shingle), "id long, print long")
@@ -243,7 +244,7 @@ def trie_links(prints: DataFrame, budget: int) -> DataFrame:
     """Links between rows whose 64-bit ``key`` differs in at most ``budget`` bits.
 
     ``prints(id, key)`` has distinct ids and should have distinct keys. Gives ``(a, b)``: a forest for
-    each node, whose union connects exactly what all pairs would.
+    each node, whose union connects exactly what all pairs would. An empty table has no links.
     """
     starts = [F.struct(F.lit(i).alias("block"), F.lit(w).alias("depth"), _rotated(F.col("key"), o, w).alias("key")) for i, (o, w) in enumerate(_blocks(64, budget + 1))]
     rows = prints.select("id", F.explode(F.array(*starts)).alias("s")).select("id", "s.*")
@@ -271,7 +272,8 @@ def near_duplicates(docs: DataFrame, max_bits: int = 2, shingle: int = 3, id_col
 
     ``component`` is the smallest id reachable over links. Null and empty texts have fingerprint
     zero and are linked like any other; repeated rows come back repeated; rows with a null id take
-    part, and have a null component only if nothing in it has an id.
+    part, and have a null component only if nothing in it has an id. Whole texts count, however long;
+    other columns, whatever their names, are not read; an empty table gives no rows.
     """
     rows = stored(fingerprints(docs, id_col, text_col, shingle), "simhash")
     heads = stored(rows.groupBy("print").agg(F.min("id").alias("head")), "heads")
@@ -475,7 +477,8 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
     ``hash`` is the text's xxhash64; ``component`` the smallest id of the group; ``kept`` is true for
     one of the group's texts, that of ``component`` (of several texts of that id, the one of the least
     hash). Null and empty texts, which have no shingles, are one group; null ids are left out; rows of
-    one id and different texts are rows of their own; repeated rows come back repeated.
+    one id and different texts are rows of their own; repeated rows come back repeated. A long text's
+    shingles are in one task's memory; other columns are not read; an empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("hash"), text.cast("binary").alias("text")).where("id is not null")

@@ -210,7 +210,8 @@ def fit(labels: DataFrame, docs: DataFrame, label: str = "toxic", parts: int = 3
     """Learn terms, exception phrases and curve from at most ``per_class`` labelled documents of each label.
 
     Null texts are as empty; repeated ids count once; labels of one kind, or none, give no terms and
-    the labels' share as every score. Terms of equal weight at one place count once.
+    the labels' share as every score. Terms of equal weight at one place count once. Of a long text all
+    words count; other columns, whatever their names, are not read; an empty table is one without labels.
     """
     rows, prior = training_rows(labels, docs, label, parts, held_out, per_class)
     rows = stored(rows, "labelled")
@@ -248,6 +249,10 @@ def scored(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", carry: tup
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 3, held_out: int = 1, threshold: float = 0.7) -> DataFrame:
-    """``(doc_id, held_out, score, predicted)`` of every document; a null id is not held out."""
+    """``(doc_id, held_out, score, predicted)`` of every document; a null id is not held out.
+
+    Whole texts are scored, however long, in one pass; null texts as empty ones; repeated rows come back
+    repeated; other columns, whatever their names, are not read; an empty table gives no rows.
+    """
     rows = scored(docs, fit(labels, docs, label, parts, held_out))
     return rows.select("doc_id", (F.coalesce(part_of("doc_id", parts), F.lit(-1)) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

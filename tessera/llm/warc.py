@@ -250,7 +250,8 @@ def read_archives(spark: SparkSession, files: list[tuple[str, int]], range_bytes
     ``error`` is null for a whole record; else ``cut off`` or ``damaged`` (what decodes is there),
     ``length`` or ``digest`` (the block is not as its header says), or ``no record`` where one must
     begin and none does. Ranges are dealt out whatever file they are in. A response's digest is taken from its payload; a
-    revisit, which has none, tells its payload's digest and length in its header.
+    revisit, which has none, tells its payload's digest and length in its header. Without files, or with
+    empty ones alone, there are no rows. A record is in one task's memory.
     """
     files_ = spark.createDataFrame([(p, s) for p, s in files], "path string, size long")
     starts = F.explode(F.expr(f"sequence(0L, greatest(size - 1, 0L), {range_bytes}L)")).alias("start")
@@ -262,7 +263,7 @@ def read_archives(spark: SparkSession, files: list[tuple[str, int]], range_bytes
 
 
 def round_trip(pages: DataFrame, min_dup_bytes: int = 0, path: str | None = None) -> DataFrame:
-    """Write pages as archives in the shared folder and read them back."""
+    """Write pages as archives in the shared folder and read them back; an empty table gives no rows."""
     spark = pages.sparkSession
     files = write_archives(pages, path or scratch(spark, "warc"), min_dup_bytes)
     return read_archives(spark, [(p, s) for p, s, _ in files])

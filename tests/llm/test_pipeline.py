@@ -64,3 +64,20 @@ def test_stages_equal_brute_force(spark):
 
     packed = stages["best-fit packing"](spark, docs, SMALL).collect()
     check_packed(list(got.items()), packed, 2048)
+
+
+def test_stages_with_a_very_long_text_and_any_columns(spark):
+    """A text of over 200,000 words, columns of types that have no hash or order, and repeated rows go through every stage."""
+    long = " ".join(f"word{i * 7919 % 1_000_003} in" for i in range(110_000))
+    rows = [(1, long, {"a": 1}, [1]), (2, "A short text of its own, with a few words.", None, None), (2, "A short text of its own, with a few words.", {"b": 2}, None), (None, None, None, [])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tags map<string,int>, score array<int>")
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        out = stage(spark, docs, SMALL)
+        assert out.dtypes == docs.dtypes
+        got = sorted((r.doc_id or 0, len(r.text or "")) for r in out.collect())
+        assert got == ([(0, 0), (1, len(long)), (2, 42)] if name.startswith("SimHash") else [(0, 0), (1, len(long)), (2, 42), (2, 42)]), name
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    model = quality.fit(labels, spark.read.parquet(f"{SMALL}/documents.parquet"))
+    assert quality.scored(docs, model, carry=("doc_id",)).count() == 4
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).collect()
+    assert sum(r.doc_id == 1 for r in packed) > 100 and all(r.length <= 2048 for r in packed)
