@@ -23,8 +23,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on labelled rows of ``docs``, does not reject.
 
-    Null and empty texts have the labels' share of good ones as their score; repeated rows go or stay
-    together; an empty table gives no rows.
+    Null and empty texts have the labels' share of good ones as their score; a long text is scored
+    whole; repeated rows go or stay together; an empty table gives no rows.
     """
     model = quality.fit(_table(spark, sf_dir, "labels"), docs)
     (score,) = fresh(docs.columns, "score")
@@ -35,7 +35,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each group of near-duplicates (five-word shingles, similarity 0.8) the document of the least id.
 
     Different texts of one id are documents of their own; of repeated rows of an id and text one
-    stays; documents without an id are in no group and stay; an empty table gives no rows.
+    stays, whatever the types of its columns; documents without an id are in no group and stay; all
+    shingles of a long text count; an empty table gives no rows.
     """
     doc, hashed = fresh(docs.columns, "tessera_id", "tessera_hash")
     found = stored(simhash.similar_documents(docs, similarity=0.8, shingle=5), "groups").select(F.col("id").alias(doc), F.col("hash").alias(hashed), "kept")
@@ -45,15 +46,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     again = stored(found.where("kept").groupBy(doc, hashed).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(doc, hashed), "repeated")
     if again.isEmpty():
         return kept.select(*columns_of(docs))
-    one = kept.join(again, [doc, hashed], "left_semi").groupBy(doc, hashed).agg(F.min_by(F.struct(*columns_of(docs)), F.xxhash64(*columns_of(docs))).alias(doc + "_row"))
+    told = [F.to_json(F.struct(c)) if "map<" in kind else c for c, (_, kind) in zip(columns_of(docs), docs.dtypes, strict=True)]  # maps have no hash
+    one = kept.join(again, [doc, hashed], "left_semi").groupBy(doc, hashed).agg(F.min_by(F.struct(*columns_of(docs)), F.xxhash64(*told)).alias(doc + "_row"))
     return kept.join(again, [doc, hashed], "left_anti").select(*columns_of(docs)).unionByName(one.select(doc + "_row.*"))
 
 
 def recurring_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without words of 35-word windows that recur; a text that loses none stays as it was, null included.
 
-    ``n_chars`` follows the text where the table has it. Repeated rows lose their common windows; an
-    empty table gives no rows.
+    ``n_chars`` follows the text where the table has it. Repeated rows lose their common windows; all
+    windows of a long text count; an empty table gives no rows.
     """
     carry = tuple(c for c in docs.columns if c not in ("text", "n_chars"))
     words, removed, kept = fresh(docs.columns, "n_words", "n_removed", "kept")
@@ -66,8 +68,8 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Documents into which no benchmark item leaked.
 
     Null texts and texts of repeated rows are judged like any other; a document without an id stays if
-    its text has no leak; of several texts of one id only those with a leak go; an empty table gives
-    no rows.
+    its text has no leak; of several texts of one id only those with a leak go; all passages of a long
+    text are looked at; an empty table gives no rows.
     """
     (key,) = fresh(docs.columns, "tessera_key")
     keyed = docs.withColumn(key, F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
@@ -78,8 +80,8 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the remaining documents, each with its sequence of at most 2048 tokens and its place there.
 
-    Null texts are as empty; repeated rows and rows without an id are documents of their own; an empty
-    table gives no rows.
+    Null texts are as empty; repeated rows and rows without an id are documents of their own; a long text
+    has as many pieces as it needs; an empty table gives no rows.
     """
     return packing.packed(docs, capacity=2048)
 
