@@ -235,6 +235,18 @@ def filter_lines(spark, sf_dir):
     return found.select(F.col("ord.path").alias("source"), F.col("ord.line_no").alias("line_no"), "path")
 
 
+KINDS = "CASE lang WHEN 'fr' THEN '.git' WHEN 'de' THEN 'CVS' WHEN 'es' THEN '.github' ELSE 'a.svn' END"
+
+
+@query(f"""WITH p AS (SELECT source || '/' || {KINDS} || '/' || doc_id AS path FROM documents UNION ALL SELECT {KINDS} || '/' || doc_id FROM documents UNION ALL SELECT source || '/' || {KINDS} FROM documents)
+  SELECT path FROM p WHERE len(list_filter(string_split(path, '/'), lambda n: n IN ('CVS', '.bzr', '.git', '.hg', '.svn'))) = 0""")
+def skip_versioned(spark, sf_dir):
+    """Paths through folders of version control go; names that only begin or end so stay."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", F.expr(KINDS).alias("kind"), F.col("doc_id").cast("string").alias("id"))
+    paths = rows.select(F.explode(F.array(F.concat_ws("/", "source", "kind", "id"), F.concat_ws("/", "kind", "id"), F.concat_ws("/", "source", "kind"))).alias("path"))
+    return paths.where(tree.not_versioned(F.col("path")))
+
+
 # --- statistics -------------------------------------------------------------------------------
 
 COUNTED = f"""{LINES}, per AS (SELECT path, count(*) AS n, max(strlen(line)) AS longest FROM lines GROUP BY path),
