@@ -6,16 +6,17 @@ import os
 import time
 import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import grouped
 from tessera.operators import files, formats, groups, index, info, lines, slices, snapshot
 from tessera.plans.options import Options, from_arguments
 from tessera.sources import config, ranges, tree
-from tessera.sources.store import BUCKET_BYTES, ChangeList, Conflict, Folder, Manifest, Store, placed
+from tessera.sources.store import BUCKET_BYTES, ChangeList, Conflict, Folder, FormatError, Manifest, Store, placed
 from tessera.streaming.watch import BEAT, UPDATE_FILES, UPDATE_QUIET, Watch
 from tessera.workers import importable
 
@@ -131,7 +132,8 @@ class Engine:
         """Read only files that are new or changed, and write only the buckets that differ; gives counts of files by status, and of buckets kept and written.
 
         The old index gives its paths, times and sizes for the comparison, and its contents only for
-        buckets that are written anew; of these, large ones are split. Without an index, build one. The
+        buckets that are written anew; of these, large ones are split. Without an index, or with one of
+        another format, build one. The
         change list goes once the new index is there, but for what was added to it meanwhile. If another
         writer publishes first, the update starts anew from what that one wrote.
         """
@@ -139,7 +141,11 @@ class Engine:
 
     def _updated(self, file: str) -> DataFrame:
         store, changes = self._store(file), self._changes(file)
-        manifest = store.manifest()
+        try:
+            manifest = store.manifest()
+        except FormatError as e:
+            self.say(f"{e}: all is built anew")
+            manifest = None
         if manifest is None:
             self._built(file)
             return self.spark.createDataFrame([], "status string, n long")
@@ -198,12 +204,24 @@ class Engine:
 
     def search(self, spec: str, query: str, options: Options = Options()) -> DataFrame:
         """Matching lines of several projects in list order, with their printed ``text``."""
-        chosen = [(n, self.corpus(f, query, options)) for n, f in config.projects(spec, self.home)]
+        return self._searched(config.projects(spec, self.home), query, options)
+
+    def _searched(self, projects: list[tuple[str, str]], query: str, options: Options) -> DataFrame:
+        chosen = [(n, self.corpus(f, query, options)) for n, f in projects]
         found = lines.search_projects(chosen, query, options)
         if options.column:
             found = lines.columns(found, query, options)
         return formats.rendered(found, query, options)
 
+    def _first(self, spec: str, query: str, options: Options) -> Iterator[Row]:
+        """The first lines up to the limit, project by project: those after the one in which it is reached are not searched."""
+        left = options.limit
+        for project in config.projects(spec, self.home):
+            if left:
+                for r in self._searched([project], query, replace(options, limit=left)).select("text").toLocalIterator():
+                    left -= 1
+                    yield r
+
     def files(self, spec: str, query: str, options: Options = Options()) -> DataFrame:
         """Paths of projects that match; column pruning leaves contents unread."""
         rows = None
@@ -252,8 +270,11 @@ class Engine:
             spec, *own = [None, *rest] if verb == "filter" else rest
             options, query = from_arguments(own)
             began, n = time.time(), 0
-            found = self.filter(rows, query, options).select("path") if verb == "filter" else self.search(spec, query, options).select("text") if verb == "search" else self.files(spec, query, options).select("path")
-            for n, r in enumerate(found.toLocalIterator(), 1):
+            if verb == "search" and options.limit is not None:
+                found = self._first(spec, query, options)
+            else:
+                found = (self.filter(rows, query, options).select("path") if verb == "filter" else self.search(spec, query, options).select("text") if verb == "search" else self.files(spec, query, options).select("path")).toLocalIterator()
+            for n, r in enumerate(found, 1):
                 yield r[0]
             if options.summary and verb != "filter":
                 yield formats.summary(n, time.time() - began, options.limit)

@@ -14,6 +14,7 @@ and one that has grown splits by further bits. Its number is those bits behind a
 
 from __future__ import annotations
 
+import contextlib
 import json
 import math
 import os
@@ -38,6 +39,10 @@ class Conflict(OSError):
     """Another writer has published meanwhile."""
 
 
+class FormatError(ValueError):
+    """An index of another version of this library, which an update builds anew."""
+
+
 class Folder:
     """A folder of Spark's file system, whichever that is."""
 
@@ -154,7 +159,7 @@ class Store:
         number = numbers[-1] if number is None else number
         found = json.loads(self.folder.read(f"MANIFEST-{number}"))
         if found["format"] != FORMAT:
-            raise ValueError(f"{self.top} has format {found['format']}, not {FORMAT}")
+            raise FormatError(f"{self.top} has format {found['format']}, not {FORMAT}; run update")
         return Manifest(number, {int(b): v for b, v in found["buckets"].items()})
 
     def read(self, only: set[int] | None = None, what: str = "data", manifest: Manifest | None = None) -> DataFrame | None:
@@ -171,8 +176,7 @@ class Store:
 
     def sized(self, total: int) -> Manifest:
         """A manifest of empty buckets for so many bytes, to follow the current one."""
-        now = self.manifest()
-        return Manifest(now.number if now else 0).split({1: total}, self.target)
+        return Manifest(max(self.folder.numbers("MANIFEST-"), default=0)).split({1: total}, self.target)
 
     def write(self, version: str, rows: DataFrame, base: Manifest) -> Manifest:
         """Write ``rows(path, part_no, content, ...)`` of ``base``'s empty buckets, and publish them with its others as the next version.
@@ -234,7 +238,10 @@ class Store:
         leased = self.leased()  # before the manifests: a version that is published meanwhile is in one of the two
         numbers = self.folder.numbers("MANIFEST-")
         keep = numbers[-2:]
-        used = {v for n in keep for v in self.manifest(n).buckets.values()}
+        used = set()
+        for n in keep:
+            with contextlib.suppress(FormatError):  # nobody reads that
+                used |= set(self.manifest(n).buckets.values())
         for name in self.folder.names():
             if (name.startswith("MANIFEST-") and int(name[9:]) < keep[0]) or (name.startswith("v") and name not in used | leased):
                 self.folder.delete(name)

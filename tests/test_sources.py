@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.engine import Engine
 from tessera.plans.options import parse_options
 from tessera.sources import config, ranges, tree
-from tessera.sources.store import ChangeList, Conflict, Folder, Manifest, Store
+from tessera.sources.store import ChangeList, Conflict, Folder, FormatError, Manifest, Store
 from tessera.streaming import input
 from tessera.streaming.watch import Watch, filter_stream
 
@@ -359,6 +359,31 @@ def test_rows_that_go_missing_are_told(spark, tmp_path, monkeypatch):
         Store(spark, store.top).write("v3", stored_rows(spark, 3), store.manifest())
 
 
+def test_a_limit_ends_before_later_projects(spark, tmp_path, monkeypatch):
+    """Lines up to a limit are those of the whole search, and projects behind the one that reaches it are not looked at."""
+    src, file, engine, *_ = watched(spark, tmp_path)
+    (tmp_path / "home" / "q.cfg").write_text((tmp_path / "home" / "p.cfg").read_text())
+    engine.build(str(tmp_path / "home" / "q.cfg"))
+    every = engine.execute(["search", "p,q,p", "line"])
+    assert len(every) == 9
+    real, looked = Engine.corpus, []
+    monkeypatch.setattr(Engine, "corpus", lambda self, f, *a: looked.append(f.rsplit("/", 1)[1]) or real(self, f, *a))
+    for n, projects in ((1, ["p.cfg"]), (3, ["p.cfg"]), (4, ["p.cfg", "q.cfg"]), (20, ["p.cfg", "q.cfg", "p.cfg"]), (0, ["p.cfg", "q.cfg", "p.cfg"])):
+        looked.clear()
+        assert engine.execute(["search", "p,q,p", f"L{n}", "line"]) == every[: n or 9] and looked == projects
+
+
+def test_an_index_of_another_format(spark, tmp_path):
+    """A search tells of it, and an update builds the index anew."""
+    src, file, engine, *_ = watched(spark, tmp_path)
+    store = engine._store(file)
+    store.folder.publish("MANIFEST-2", '{"format": 2, "buckets": 1, "folders": {"0": "v1"}}')
+    with pytest.raises(FormatError, match="run update"):
+        engine.execute(["search", "p", "line"])
+    assert engine.update(file).count() == 0 and store.manifest().number == 3
+    assert engine.execute(["search", "p", "l", "line 1"]) == [f"{src}/f1.c:1:line 1"]
+
+
 def test_builds_and_updates_begin_anew_when_overtaken(spark, tmp_path, monkeypatch):
     src, file, engine, *_ = watched(spark, tmp_path)
     (src / "new.c").write_text("needle\n")
