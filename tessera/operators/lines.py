@@ -43,14 +43,17 @@ def accepts(path: Column, include: tuple[str, ...] = (), exclude: tuple[str, ...
 def first_match(plan: Plan, line: Column) -> tuple[Column, Column]:
     """Bytes before a line's first match, and of the match itself."""
     if plan.deep:
-        span = spans_udf(*plan.deep, every=False)(line)[0]
-        return F.octet_length(line.substr(F.lit(1), span["begin"])), F.octet_length(line.substr(span["begin"] + 1, span["end"] - span["begin"]))
+        return _span_bytes(line, spans_udf(*plan.deep, every=False)(line)[0])
     flags = plan.pattern[: plan.pattern.index(")") + 1]
     body = plan.pattern[len(flags) :]
     before = F.octet_length(F.regexp_extract(line, f"{flags}^(.*?)(?:{body})", 1))
     return before, F.octet_length(F.regexp_extract(line, plan.pattern, 0))
 
 
+def _span_bytes(line: Column, span: Column) -> tuple[Column, Column]:
+    return F.octet_length(line.substr(F.lit(1), span["begin"])), F.octet_length(line.substr(span["begin"] + 1, span["end"] - span["begin"]))
+
+
 def search(corpus: DataFrame, query: str, options: Options = Options(), *carry: str) -> DataFrame:
     """``(path, *carry, line_no, line, ended)`` of each line with a match, one row a line, in no order yet.
 
@@ -71,6 +74,10 @@ def search(corpus: DataFrame, query: str, options: Options = Options(), *carry:
 def columns(found: DataFrame, query: str, options: Options = Options()) -> DataFrame:
     """Adds ``col`` and ``end_col``: bytes from 1, the end not included."""
     plan = compile_pattern(query, options.ignore_case, options.literal)
+    if plan.deep:  # looked for once
+        own = found.withColumn("__span", spans_udf(*plan.deep, every=False)(F.col("line"))[0])
+        before, size = _span_bytes(F.col("line"), F.col("__span"))
+        return own.withColumns({"col": (before + 1).cast("int"), "end_col": (before + 1 + size).cast("int")}).drop("__span")
     before, size = first_match(plan, F.col("line"))
     return found.withColumn("col", (before + 1).cast("int")).withColumn("end_col", (before + 1 + size).cast("int"))
 

@@ -54,7 +54,9 @@ def sliced(parts: DataFrame, chunk: str = "chunk_id") -> DataFrame:
                         yield rows()
                     now = own // GROUP
                     words[:] = 0
-                words[[*places((text or "").encode()), SIZE]] |= np.uint64(1) << np.uint64(own % GROUP)
+                bit = np.uint64(1) << np.uint64(own % GROUP)
+                words[places((text or "").encode())] |= bit
+                words[SIZE] |= bit
         if now is not None:
             yield rows()
 
