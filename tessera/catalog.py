@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import bloom
 from tessera.functions.text import grouped
-from tessera.operators import files, formats, groups, index, info, lines, slices, snapshot
+from tessera.operators import early, files, formats, groups, index, info, lines, slices, snapshot
 from tessera.operators.parts import parts
 from tessera.plans.options import parse_options
 from tessera.sources import tree
@@ -114,6 +114,12 @@ def search_limit(spark, sf_dir):
     return lines.ordered(lines.search(documents(spark, sf_dir), "the"), 25).select("path", "line_no", "line")
 
 
+@query(f"WITH {LINES} SELECT path, line_no, line FROM lines WHERE regexp_matches(line, 'e[a-z]+ion\\b') ORDER BY path, line_no LIMIT 300")
+def search_first(spark, sf_dir):
+    """A limit that ends early, by ranges of paths."""
+    return early.search_first(documents(spark, sf_dir), r"e[a-z]+ion\b", parse_options("L300")).select("path", "line_no", "line")
+
+
 DEEP = "([a-zé]+, )+[a-z]+[.]"
 WHOLE = f"{DOCS}, lines AS (SELECT path, 1 AS line_no, replace(content, chr(10), ' ') AS line FROM docs)"
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import grouped
-from tessera.operators import files, formats, groups, index, info, lines, slices, snapshot
+from tessera.operators import early, files, formats, groups, index, info, lines, slices, snapshot
 from tessera.plans.options import Options, from_arguments
 from tessera.sources import config, ranges, tree
 from tessera.sources.store import BUCKET_BYTES, ChangeList, Conflict, Folder, FormatError, Manifest, Store, placed
@@ -37,8 +37,8 @@ Options: i no case, l literal, b without the index, V Visual Studio, C column, C
   fp fn fs ff match paths, names, tokens, fuzzily"""
 
 ROWS = ("path", "part_no", "start_line", "content", "mtime", "size")
-#: Times that a writer begins anew because another was faster.
-ATTEMPTS = 3
+#: Times that a writer begins anew because another was faster; buckets whose chunks tell where a limited search is cut.
+ATTEMPTS, CUT_BUCKETS = 3, 8
 
 
 def new_version() -> str:
@@ -207,21 +207,35 @@ class Engine:
         return self._searched(config.projects(spec, self.home), query, options)
 
     def _searched(self, projects: list[tuple[str, str]], query: str, options: Options) -> DataFrame:
-        chosen = [(n, self.corpus(f, query, options)) for n, f in projects]
+        return self._shown([(n, self.corpus(f, query, options)) for n, f in projects], query, options)
+
+    def _shown(self, chosen: list[tuple[str, DataFrame]], query: str, options: Options) -> DataFrame:
         found = lines.search_projects(chosen, query, options)
         if options.column:
             found = lines.columns(found, query, options)
         return formats.rendered(found, query, options)
 
     def _first(self, spec: str, query: str, options: Options) -> Iterator[Row]:
-        """The first lines up to the limit, project by project: those after the one in which it is reached are not searched."""
+        """The first lines up to the limit, by project and by ranges of paths: what comes after the one in which it is reached is not searched."""
         left = options.limit
-        for project in config.projects(spec, self.home):
+        for name, file in config.projects(spec, self.home):
             if left:
-                for r in self._searched([project], query, replace(options, limit=left)).select("text").toLocalIterator():
+                part = lambda rows, n: self._shown([(name, rows)], query, replace(options, limit=n)).select("text")  # noqa: E731, B023
+                for r in early.first_rows(self.corpus(file, query, options), self._cuts(file), left, part):
                     left -= 1
                     yield r
 
+    def _cuts(self, file: str) -> list[str]:
+        """Where a project's paths are cut: buckets are by hash, so the chunks of a few of them begin all over its paths."""
+        store = self._store(file)
+        manifest = store.manifest()
+        some = [b for b, v in sorted(manifest.buckets.items()) if v][:CUT_BUCKETS] if manifest else []
+        if not some:
+            return []
+        later = F.col("chunk_id").bitwiseAND(F.lit(0xFFFFFFFF)) > 0  # first chunks all begin where the paths do
+        begins = store.read(set(some), manifest=manifest).where(later).groupBy("chunk_id").agg(F.min("path").alias("path"))
+        return early.thinned([r.path for r in begins.select("path").collect()])  # a row a chunk of some buckets
+
     def files(self, spec: str, query: str, options: Options = Options()) -> DataFrame:
         """Paths of projects that match; column pruning leaves contents unread."""
         rows = None
