@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tessera.functions.text import grouped
 from tessera.operators import early, files, formats, groups, index, info, lines, slices, snapshot
 from tessera.plans.options import Options, from_arguments
-from tessera.sources import config, ranges, tree
+from tessera.sources import config, known, ranges, tree
 from tessera.sources.store import BUCKET_BYTES, ChangeList, Conflict, Folder, FormatError, Manifest, Store, placed
 from tessera.streaming.watch import BEAT, UPDATE_FILES, UPDATE_QUIET, Watch
 from tessera.workers import importable
@@ -65,9 +65,8 @@ class Engine:
     def _group(self, file: str) -> config.Group:
         return config.parse_config(Path(file).read_text(), str(Path(file).resolve().parent), file)
 
-    def scan(self, file: str) -> DataFrame:
-        """``(path, mtime, size)`` of a project's files as they are now. Folders that all groups of a root exclude are not walked."""
-        group = self._group(file)
+    def _roots(self, group: config.Group) -> dict[str, list[list[str]]]:
+        """Folders of a project's groups, each with the excludes of all groups that have it, if all have some."""
         excludes: dict[str, list[list[str]]] = {}
         for g in group.walk():
             own, at = [], g
@@ -75,9 +74,18 @@ class Engine:
                 own, at = own + at.exclude, at.parent
             for root in g.paths:
                 excludes.setdefault(root, []).append(own)
-        rows = tree.listings(self.spark, {root: own if all(own) else [] for root, own in excludes.items()})
-        named = [(f, int(s.st_mtime), s.st_size) for g in group.walk() for f in g.files if Path(f).is_file() and (s := Path(f).stat())]
-        if named:
+        return {root: own if all(own) else [] for root, own in excludes.items()}
+
+    def _named(self, group: config.Group) -> list[tuple[str, int, int]]:
+        return [(f, int(s.st_mtime), s.st_size) for g in group.walk() for f in g.files if Path(f).is_file() and (s := Path(f).stat())]
+
+    def scan(self, file: str) -> DataFrame:
+        """``(path, mtime, size)`` of a project's files as they are now. Folders that all groups of a root exclude are not walked."""
+        group = self._group(file)
+        return self._chosen(group, tree.listings(self.spark, self._roots(group)))
+
+    def _chosen(self, group: config.Group, rows: DataFrame) -> DataFrame:
+        if named := self._named(group):
             rows = rows.unionByName(self.spark.createDataFrame(named, tree.SCHEMA))
         return groups.project_files(group, rows)
 
@@ -270,8 +278,21 @@ class Engine:
     def watch(self, file: str, seconds: float = BEAT, files: int = UPDATE_FILES, quiet: float = UPDATE_QUIET) -> Watch:
         """A watch of one project; ``start`` begins its beats."""
         changes, store = self._changes(file), self._store(file)
-        changed = lambda: snapshot.changed_paths(self._listed(store), self.scan(file))
-        return Watch(changed, changes.read, changes.write, lambda: self.update(file), files, quiet)
+
+        def now() -> tuple[config.Group, known.KnownTree]:
+            group = self._group(file)
+            return group, known.KnownTree(self.spark, store.top, self._roots(group))
+
+        def mark() -> tuple:
+            group, seen = now()
+            seen.look()
+            return seen.folder.top, seen.number(), store.folder.numbers("MANIFEST-"), changes.number(), self._named(group), Path(file).read_text()
+
+        def changed() -> DataFrame:
+            group, seen = now()
+            return snapshot.changed_paths(self._listed(store), self._chosen(group, seen.files()))
+
+        return Watch(changed, changes.read, changes.write, lambda: self.update(file), files, quiet, mark=mark)
 
     def execute(self, words: list[str], rows: DataFrame | None = None) -> list[str]:
         """One command; all lines that it prints. ``rows`` is the input of ``filter``. ``watch`` starts queries that run on, in ``watching``."""

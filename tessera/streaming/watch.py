@@ -15,31 +15,29 @@ BEAT, UPDATE_FILES, UPDATE_QUIET = 1, 100, 60
 class Watch:
     """Keeps a project's change list equal to what differs from its index.
 
-    Each beat lists the tree and joins it with the index's listing, so a watch that starts again, or a
-    beat that runs again, comes to the same list: nothing but the list itself is kept. Beats come
-    whether or not anything changed, so an update is not missed when the tree goes quiet. An update that
-    fails leaves the changes as they are, and is tried again after the next quiet time.
+    A beat asks for the ``mark`` of what the list depends on, and compares the tree with the index's
+    listing only if it is another than last time; without one, each beat compares. So a watch that starts
+    again, or a beat that runs again, comes to the same list: nothing but the list itself is kept. Beats
+    come whether or not anything changed, so an update is not missed when the tree goes quiet. An update
+    that fails leaves the changes as they are, and is tried again after the next quiet time.
     """
 
-    def __init__(self, changed: Callable[[], DataFrame], listed: Callable[[], DataFrame], write: Callable[[DataFrame], None], update: Callable[[], None], files: int = UPDATE_FILES, quiet: float = UPDATE_QUIET, clock: Callable[[], float] = time.time):
-        self.changed, self.listed, self.write, self.update = changed, listed, write, update
+    def __init__(self, changed: Callable[[], DataFrame], listed: Callable[[], DataFrame], write: Callable[[DataFrame], None], update: Callable[[], None], files: int = UPDATE_FILES, quiet: float = UPDATE_QUIET, clock: Callable[[], float] = time.time, mark: Callable[[], object] = object):
+        self.changed, self.listed, self.write, self.update, self.mark = changed, listed, write, update, mark
         self.files, self.quiet, self.clock = files, quiet, clock
-        self.last, self.failures = clock(), 0
+        self.last, self.failures, self.seen, self.n = clock(), 0, None, 0
 
     def beat(self) -> str:
         """One look; tells what was done: ``written``, ``updated``, ``failed`` or ``quiet``."""
-        now, was = self.changed().select("path").distinct(), self.listed().select("path")
-        now = now.persist()
-        try:
-            gone, new = was.join(now, "path", "left_anti"), now.join(was, "path", "left_anti")
-            if not new.isEmpty() or not gone.isEmpty():
-                self.write(now)
+        mark = self.mark()
+        if mark != self.seen:
+            written = self._compare()
+            self.seen = mark
+            if written:
                 self.last = self.clock()
                 return "written"
-            if self.clock() - self.last < self.quiet or now.count() <= self.files:
-                return "quiet"
-        finally:
-            now.unpersist()
+        if self.clock() - self.last < self.quiet or self.n <= self.files:
+            return "quiet"
         self.last = self.clock()
         try:
             self.update()
@@ -48,6 +46,20 @@ class Watch:
             return "failed"
         return "updated"
 
+    def _compare(self) -> bool:
+        """Write what differs now, if the list has it otherwise."""
+        now, was = self.changed().select("path").distinct(), self.listed().select("path")
+        now = now.persist()
+        try:
+            self.n = now.count()
+            gone, new = was.join(now, "path", "left_anti"), now.join(was, "path", "left_anti")
+            if new.isEmpty() and gone.isEmpty():
+                return False
+            self.write(now)
+            return True
+        finally:
+            now.unpersist()
+
     def start(self, spark: SparkSession, seconds: float = BEAT):
         """A streaming query whose batches are the beats; stop it to end the watch."""
         beats = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
