@@ -292,7 +292,7 @@ class Engine:
             group, seen = now()
             return snapshot.changed_paths(self._listed(store), self._chosen(group, seen.files()))
 
-        return Watch(changed, changes.read, changes.write, lambda: self.update(file), files, quiet, mark=mark)
+        return Watch(changed, changes.read, changes.write, lambda: self.update(file), files, quiet, mark=mark, last=changes.written() or None)
 
     def execute(self, words: list[str], rows: DataFrame | None = None) -> list[str]:
         """One command; all lines that it prints. ``rows`` is the input of ``filter``. ``watch`` starts queries that run on, in ``watching``."""

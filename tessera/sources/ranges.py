@@ -24,8 +24,10 @@ from tessera.sources import tree
 RANGE, CHUNK = 32 << 20, 512 << 10
 #: Numbers of parts of a range: a part's number is that of its range, times this, and its place there. Decoding makes three bytes of one at most.
 PARTS = 256
-#: Bytes read at once in search of a line end; ranges that a task reads, about.
-STEP, EACH = 1 << 20, 4
+#: Bytes read at once in search of a line end; ranges that a task reads, about; bytes that opening a file counts for.
+STEP, EACH, OPEN = 1 << 20, 4, 64 << 10
+#: Bytes and rows that a task hands on at once, about.
+HELD, ROWS = 4 << 20, 1000
 
 # Byte order marks, with their encodings and the bytes of a unit.
 MARKS = ((b"\xff\xfe\0\0", "utf-32-le", 4), (b"\0\0\xfe\xff", "utf-32-be", 4), (b"\xff\xfe", "utf-16-le", 2), (b"\xfe\xff", "utf-16-be", 2), (b"\xef\xbb\xbf", "utf-8", 1))
@@ -126,7 +128,7 @@ def read(files: DataFrame, size: int = RANGE, chunk: int = CHUNK) -> DataFrame:
         raise ValueError(f"a range holds {PARTS - 1} parts at most")
     own = ranges(files.select("path", "mtime", "size"), size)
     total = own.agg(F.coalesce(F.sum("share"), F.lit(0)), F.count(F.lit(1))).first()
-    tasks = max(1, min(total[1], max(files.sparkSession.sparkContext.defaultParallelism, -(-total[0] // (EACH * size)))))
+    tasks = max(1, min(total[1], max(files.sparkSession.sparkContext.defaultParallelism, -(-(total[0] + OPEN * total[1]) // (EACH * size)))))
     own = own.repartition(int(tasks), "path", "stripe")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -139,12 +141,20 @@ def read(files: DataFrame, size: int = RANGE, chunk: int = CHUNK) -> DataFrame:
                     yield pd.DataFrame([(r.path, r.stripe, n)], columns=["path", "stripe", "n"])
 
     def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[tuple] = []
+        held = 0
+        table = lambda: pd.DataFrame(rows, columns=["path", "part_no", "start_line", "raw", "mtime", "size"])
         for b in batches:
             for r in b.itertuples():
                 if Path(r.path).is_file():
                     for i, (before, raw) in enumerate(parts_of(r.path, r.begin, r.end, chunk)):
-                        row = (r.path, r.stripe * PARTS + i, r.first + before, raw, r.mtime, r.size)
-                        yield pd.DataFrame([row], columns=["path", "part_no", "start_line", "raw", "mtime", "size"])
+                        rows.append((r.path, r.stripe * PARTS + i, r.first + before, raw, r.mtime, r.size))
+                        held += len(raw)
+                        if held >= HELD or len(rows) >= ROWS:
+                            yield table()
+                            rows, held = [], 0
+        if rows:
+            yield table()
 
     counted = own.where(F.col("size") > size).select("path", "stripe", "begin", "end").mapInPandas(count, "path string, stripe int, n long")
     before = W.partitionBy("path").orderBy("stripe").rowsBetween(W.unboundedPreceding, -1)  # a row a range of one file

@@ -272,6 +272,11 @@ class ChangeList:
             self.folder.delete(f"c{old}")
         return n
 
+    def written(self) -> float:
+        """When the newest whole version was, in seconds; 0 if there is none."""
+        n = self.number()
+        return self.folder.fs.getFileStatus(self.folder.at(f"c{n}/_SUCCESS")).getModificationTime() / 1000 if n else 0.0
+
     def forget(self, number: int) -> None:
         """Drop the changes of a version, once they are in the index; later ones stay."""
         now = self.number()

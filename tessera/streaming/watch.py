@@ -17,15 +17,15 @@ class Watch:
 
     A beat asks for the ``mark`` of what the list depends on, and compares the tree with the index's
     listing only if it is another than last time; without one, each beat compares. So a watch that starts
-    again, or a beat that runs again, comes to the same list: nothing but the list itself is kept. Beats
-    come whether or not anything changed, so an update is not missed when the tree goes quiet. An update
+    again, or a beat that runs again, comes to the same list: nothing but the list itself is kept. ``last``
+    is when the list was written, so that quiet time goes on over a new start. Beats come whether or not anything changed, so an update is not missed when the tree goes quiet. An update
     that fails leaves the changes as they are, and is tried again after the next quiet time.
     """
 
-    def __init__(self, changed: Callable[[], DataFrame], listed: Callable[[], DataFrame], write: Callable[[DataFrame], None], update: Callable[[], None], files: int = UPDATE_FILES, quiet: float = UPDATE_QUIET, clock: Callable[[], float] = time.time, mark: Callable[[], object] = object):
+    def __init__(self, changed: Callable[[], DataFrame], listed: Callable[[], DataFrame], write: Callable[[DataFrame], None], update: Callable[[], None], files: int = UPDATE_FILES, quiet: float = UPDATE_QUIET, clock: Callable[[], float] = time.time, mark: Callable[[], object] = object, last: float | None = None):
         self.changed, self.listed, self.write, self.update, self.mark = changed, listed, write, update, mark
         self.files, self.quiet, self.clock = files, quiet, clock
-        self.last, self.failures, self.seen, self.n = clock(), 0, None, 0
+        self.last, self.failures, self.seen, self.n = clock() if last is None else last, 0, None, 0
 
     def beat(self) -> str:
         """One look; tells what was done: ``written``, ``updated``, ``failed`` or ``quiet``."""

@@ -154,6 +154,41 @@ def test_watch_restarts_and_fails_well(spark, tmp_path, monkeypatch):
     assert again.beat() == "updated" and listed() == []
 
 
+def test_quiet_time_goes_on_over_a_new_start(spark, tmp_path):
+    """A watch that starts after the others have died counts from when the list was written."""
+    src, file, engine, watch, clock, listed = watched(spark, tmp_path)
+    for i in range(3):
+        (src / f"n{i}.c").write_text("x\n")
+    began = time.time()
+    assert watch.beat() == "written"
+    for quiet, want in ((3600, "quiet"), (0.5, "updated")):
+        again = engine.watch(file, files=1, quiet=quiet)
+        assert began - 1 <= again.last <= time.time() and again.last == engine._changes(file).written()
+        time.sleep(0.6)
+        assert again.beat() == want
+    assert listed() == []
+
+
+def test_a_beat_at_rest_compares_nothing(spark, tmp_path, monkeypatch):
+    """Also after an update by another engine, and a told change, each of which is compared once more."""
+    src, file, engine, watch, clock, listed = watched(spark, tmp_path)
+    compared, real = [], Watch._compare
+    monkeypatch.setattr(Watch, "_compare", lambda self: compared.append(1) or real(self))
+    while compared or not watch.seen:  # until no folder is too new to tell
+        compared.clear()
+        watch.beat()
+        time.sleep(0.5)
+    assert watch.beat() == "quiet" and not compared
+    engine.change(file, [str(src / "f0.c")])
+    assert listed() == ["f0.c"] and watch.beat() == "written" and compared and listed() == []
+    watch.beat()
+    compared.clear()
+    assert watch.beat() == "quiet" and not compared
+    (src / "f1.c").write_text("changed in place\n")
+    engine.update(file)
+    assert watch.beat() == "quiet" and compared and listed() == []
+
+
 def test_watch_beats_as_a_stream(spark, tmp_path):
     src, file, engine, watch, clock, listed = watched(spark, tmp_path, quiet=2)
     watch.clock = time.time
@@ -514,6 +549,19 @@ def test_large_files_by_ranges(spark, tmp_path):
     assert engine.execute(["search", "p", "line|row 9999"]) == [f"{path}:10000:row 9999"]
 
 
+def test_many_small_files_are_handed_on_together(spark, tmp_path):
+    """Fewer and more than go at once, with empty ones and some of megabytes among them."""
+    for i in range(2300):
+        (tmp_path / f"f{i:04}").write_text("" if i % 7 == 0 else f"{i}\n" * (300_000 if i % 1000 == 1 else 1))
+    files = tree.listing(spark, str(tmp_path)).coalesce(1)
+    got = ranges.read(files).groupBy("path").agg(F.sort_array(F.collect_list(F.struct("part_no", "start_line", "content"))).alias("parts")).collect()
+    assert len(got) == 2300
+    for r in got:
+        parts = [p.content for p in r.parts]
+        assert "".join(parts) == (tmp_path / r.path.rsplit("/", 1)[1]).read_text()
+        assert [p.start_line for p in r.parts] == [sum(q.count("\n") for q in parts[:k]) for k in range(len(parts))]
+
+
 def test_large_files_in_parts(spark, tmp_path):
     """A file over a chunk is stored in parts, its lines keep their numbers, and the index leaves out chunks."""
     src, home = tmp_path / "src", tmp_path / "home"
