@@ -196,6 +196,10 @@ class Engine:
 
     def corpus(self, file: str, query: str | None = None, options: Options = Options()) -> DataFrame:
         """Indexed contents with the change list laid on top; with a query, only chunks that may hold a match."""
+        return self.parts(file, query, options)(None, None)
+
+    def parts(self, file: str, query: str | None = None, options: Options = Options()) -> Callable[[str | None, str | None], DataFrame]:
+        """The corpus by ranges of paths (see ``early.within``): of changed files only those in the range are read."""
         store = self._store(file)
         manifest = store.manifest()
         rows = store.read(manifest=manifest)
@@ -206,9 +210,16 @@ class Engine:
         elif query is not None and (need := index.wanted(query, options)) is not None:
             rows = slices.pruned(rows, store.read(what="index", manifest=manifest), need)
         rows, changes = rows.select(*ROWS), self.changes(file)
-        if changes.isEmpty():
-            return rows
-        return snapshot.overlaid(rows, changes, self._read(tree.stats(changes)))
+        none = changes.isEmpty()
+
+        def part(begin: str | None, end: str | None) -> DataFrame:
+            own = early.within(rows, begin, end)
+            if none:
+                return own
+            told = early.within(changes, begin, end)
+            return snapshot.overlaid(own, told, self._read(tree.stats(told)))
+
+        return part
 
     def search(self, spec: str, query: str, options: Options = Options()) -> DataFrame:
         """Matching lines of several projects in list order, with their printed ``text``."""
@@ -228,8 +239,8 @@ class Engine:
         left = options.limit
         for name, file in config.projects(spec, self.home):
             if left:
-                part = lambda rows, n: self._shown([(name, rows)], query, replace(options, limit=n)).select("text")  # noqa: E731, B023
-                for r in early.first_rows(self.corpus(file, query, options), self._cuts(file), left, part):
+                found = lambda rows, n: self._shown([(name, rows)], query, replace(options, limit=n)).select("text")  # noqa: E731, B023
+                for r in early.first_rows(self.parts(file, query, options), self._cuts(file), left, found):
                     left -= 1
                     yield r
 

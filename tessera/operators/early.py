@@ -52,13 +52,13 @@ def within(corpus: DataFrame, begin: str | None, end: str | None) -> DataFrame:
     return corpus
 
 
-def first_rows(corpus: DataFrame, at: list[str], limit: int, found: Callable[[DataFrame, int], DataFrame]) -> Iterator[Row]:
-    """The first rows of ``found(part of the corpus, rows at most)``, which gives rows in path order."""
+def first_rows(part: Callable[[str | None, str | None], DataFrame], at: list[str], limit: int, found: Callable[[DataFrame, int], DataFrame]) -> Iterator[Row]:
+    """The first rows of ``found(rows of a range, rows at most)``, which gives rows in path order; ``part`` gives the rows of a range."""
     left = limit
     for begin, end in ranges(at):
         if not left:
             return
-        for r in found(within(corpus, begin, end), left).toLocalIterator():
+        for r in found(part(begin, end), left).toLocalIterator():
             left -= 1
             yield r
 
@@ -74,6 +74,10 @@ def reach(corpus: DataFrame, query: str, options: Options, limit: int, at: list[
 
 
 def search_first(corpus: DataFrame, query: str, options: Options, at: list[str] | None = None) -> DataFrame:
-    """The ordered lines up to the limit, as one table: rows behind the cut where the limit is reached are left out of it."""
+    """The ordered lines up to the limit, as one table: rows behind the cut where the limit is reached are left out of it.
+
+    For tables sorted by path, of which the rows before the cut are read twice; in others each range reads all
+    texts' paths, and ``lines.ordered`` with a limit does better.
+    """
     end = reach(corpus, query, options, options.limit, cuts(corpus) if at is None else at)
     return ordered(search(within(corpus, None, end), query, options), options.limit)

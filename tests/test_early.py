@@ -37,14 +37,14 @@ def test_lines_are_those_of_the_whole_search(spark, limit):
     want = [tuple(r) for r in lines.ordered(lines.search(corpus, "hit"), limit).select("path", "line_no", "line").collect()]
     assert [tuple(r) for r in early.search_first(corpus, "hit", options).select("path", "line_no", "line").collect()] == want
     at = early.cuts(corpus)
-    got = early.first_rows(corpus, at, limit, lambda part, n: lines.ordered(lines.search(part, "hit"), n))
+    got = early.first_rows(lambda b, e: early.within(corpus, b, e), at, limit, lambda part, n: lines.ordered(lines.search(part, "hit"), n))
     assert [(r.path, r.line_no, r.line) for r in got] == want
 
 
 def test_empty_corpus(spark):
     corpus = spark.createDataFrame([], SCHEMA)
     assert early.search_first(corpus, "x", parse_options("L3")).count() == 0
-    assert list(early.first_rows(corpus, [], 3, lambda part, n: part)) == []
+    assert list(early.first_rows(lambda b, e: corpus, [], 3, lambda part, n: part)) == []
 
 
 def test_a_project_is_searched_from_its_begin(spark, tmp_path, monkeypatch):
@@ -65,8 +65,8 @@ def test_a_project_is_searched_from_its_begin(spark, tmp_path, monkeypatch):
     for limit in (1, 5, 150, 300, 400):
         seen.clear()
         assert engine.execute(["search", "p", f"b L{limit}", "word"]) == every[:limit]
-        if cuts and limit == 1:
-            assert len(seen) == 1
+        if limit == 1:
+            assert cuts and len(seen) == 1
             assert "LessThan(path" in seen[0]._jdf.queryExecution().executedPlan().toString()
     assert engine.execute(["search", "p", "L1", "rare"])[0].startswith(f"{src}/f299.c")
     (src / "a.c").write_text("word first\n")
@@ -74,4 +74,8 @@ def test_a_project_is_searched_from_its_begin(spark, tmp_path, monkeypatch):
     (src / "f001.c").write_text("word anew\n")
     engine.change(str(home / "p.cfg"), [f"{src}/a.c", f"{src}/f000.c", f"{src}/f001.c"])
     every = engine.execute(["search", "p", "b", "word"])
+    read, real_read = [], Engine._read
+    monkeypatch.setattr(Engine, "_read", lambda self, rows: read.append(rows.count()) or real_read(self, rows))
     assert engine.execute(["search", "p", "b L2", "word"]) == every[:2] and "first" in every[0] and "anew" in every[1]
+    assert sum(read) == 2  # the changed files of the ranges that were searched, each once
+    assert engine.execute(["search", "p", "b L400", "word"]) == every

@@ -401,8 +401,8 @@ def test_a_limit_ends_before_later_projects(spark, tmp_path, monkeypatch):
     engine.build(str(tmp_path / "home" / "q.cfg"))
     every = engine.execute(["search", "p,q,p", "line"])
     assert len(every) == 9
-    real, looked = Engine.corpus, []
-    monkeypatch.setattr(Engine, "corpus", lambda self, f, *a: looked.append(f.rsplit("/", 1)[1]) or real(self, f, *a))
+    real, looked = Engine.parts, []
+    monkeypatch.setattr(Engine, "parts", lambda self, f, *a: looked.append(f.rsplit("/", 1)[1]) or real(self, f, *a))
     for n, projects in ((1, ["p.cfg"]), (3, ["p.cfg"]), (4, ["p.cfg", "q.cfg"]), (20, ["p.cfg", "q.cfg", "p.cfg"]), (0, ["p.cfg", "q.cfg", "p.cfg"])):
         looked.clear()
         assert engine.execute(["search", "p,q,p", f"L{n}", "line"]) == every[: n or 9] and looked == projects
