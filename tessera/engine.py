@@ -294,8 +294,14 @@ class Engine:
             group = self._group(file)
             return group, known.KnownTree(self.spark, store.top, self._roots(group))
 
+        before: known.KnownTree | None = None
+
         def mark() -> tuple:
+            nonlocal before
             group, seen = now()
+            if before and before.folder.top != seen.folder.top:  # the project file has other folders now
+                before.folder.delete("")
+            before = seen
             seen.look()
             return seen.folder.top, seen.number(), store.folder.numbers("MANIFEST-"), changes.number(), self._named(group), Path(file).read_text()
 

@@ -169,6 +169,17 @@ def test_quiet_time_goes_on_over_a_new_start(spark, tmp_path):
     assert listed() == []
 
 
+def test_a_watch_follows_its_project_file(spark, tmp_path):
+    """Other folders and patterns count from the next beat on, and what was known of the old ones goes."""
+    src, file, engine, watch, clock, listed = watched(spark, tmp_path)
+    watch.beat()
+    (tmp_path / "more").mkdir()
+    (tmp_path / "more" / "m.c").write_text("m\n")
+    (tmp_path / "home" / "p.cfg").write_text(f"path {src}\npath {tmp_path / 'more'}\ninclude \\.c$\nexclude ^f1\n")
+    assert watch.beat() == "written" and listed() == ["f1.c", "m.c"]
+    assert sum(n.startswith("tree-") for n in engine._store(file).folder.names()) == 1
+
+
 def test_a_beat_at_rest_compares_nothing(spark, tmp_path, monkeypatch):
     """Also after an update by another engine, and a told change, each of which is compared once more."""
     src, file, engine, watch, clock, listed = watched(spark, tmp_path)
