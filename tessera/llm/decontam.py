@@ -29,14 +29,16 @@ from tessera.llm.common import map_arrow, slices, stored
 PASSAGE, RANK, EXTRA = 64, 96, 16
 #: Bytes of numbered words (four a word) that are worked on at once; passages and items of a matrix of cosines.
 PORTION, ROWS_AT_ONCE, ITEMS_AT_ONCE = 512 << 10, 4096, 1024
+#: Words of candidates' surroundings that are looked up at once, unless one has more.
+WORDS_AT_ONCE = 1 << 17
 #: Vocabulary rows in one partial sum; partial sums that are added at once.
 ROWS, FAN_IN = 64, 64
 #: A word in a larger share of passages tells nothing, unless an item has no others.
 MAX_DF = 0.01
 #: Least cosine, common subsequence by item length, and share of the answer's words.
 COSINE, COMMON, ANSWER, ANSWER_WORDS = 0.3, 0.6, 0.5, 5
-#: Slots of the table of (word, item) pairs, as a power of two.
-PAIR_BITS = 24
+#: Slots of the table of (word, item) pairs, as a power of two; a count there that stands for any number.
+PAIR_BITS, MANY = 24, 255
 
 BLANKS = string.punctuation + "…“”„«»‘’–—¡¿"
 
@@ -240,8 +242,9 @@ class _Matcher:
         self.size = np.array([len(w) for w in items.words], np.int64)
         flat = np.array([w for words in items.words for w in words], np.int64)
         item = np.repeat(np.arange(len(self.size)), self.size)
-        self.pairs = np.zeros(1 << PAIR_BITS, bool)
-        self.pairs[self._slot(flat, item)] = True
+        self.pairs = np.zeros(1 << PAIR_BITS, np.uint8)  # how often the item has the word
+        slot, n = np.unique(self._slot(flat, item), return_counts=True)
+        self.pairs[slot] = np.minimum(n, MANY)
         rare = self.useful[flat]
         key, n = np.unique(item[rare] * len(idf) + flat[rare], return_counts=True)
         item, term = key // len(idf), key % len(idf)
@@ -257,7 +260,7 @@ class _Matcher:
 
     @staticmethod
     def _slot(word: np.ndarray, item: np.ndarray) -> np.ndarray:
-        """Where the pair stands in the table; others may share its slot, which only weakens the bound."""
+        """Where the pair stands in the table; others that share its slot add to the count there, which only weakens the bound."""
         return (word * 0x9E3779B1 + item * 0x85EBCA77) & ((1 << PAIR_BITS) - 1)
 
     def candidates(self, p: Passages) -> Iterator[tuple[np.ndarray, ...]]:
@@ -276,14 +279,23 @@ class _Matcher:
                 yield p.doc_of[passage], p.start_of[passage], which + at, cosine[near, which]
 
     def likely(self, ids: np.ndarray, lo: np.ndarray, hi: np.ndarray, item: np.ndarray) -> np.ndarray:
-        """Whether so many words from lo to hi are words of the item as the common subsequence must have at least."""
+        """Whether so many words from lo to hi are words of the item, none taken more often than the item has it, as the common subsequence must have at least."""
         out = np.zeros(len(lo), bool)
-        for at in range(0, len(lo), 2048):
-            n = (hi - lo)[at : at + 2048]
-            base = np.cumsum(n) - n
-            word = ids[np.repeat(lo[at : at + 2048] - base, n) + np.arange(int(n.sum()))]
-            hit = np.concatenate([[0], np.cumsum(self.pairs[self._slot(word, np.repeat(item[at : at + 2048], n))] & (word > 0))])
-            out[at : at + 2048] = hit[base + n] - hit[base] >= COMMON * self.size[item[at : at + 2048]]
+        rank = np.append(0, np.cumsum(ids > 0))
+        ids, lo, hi, least = ids[ids > 0], rank[lo], rank[hi], COMMON * self.size[item]
+        upto, width, at = np.cumsum(hi - lo), len(self.idf), 0
+        while at < len(lo):
+            stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + WORDS_AT_ONCE, "right")))
+            n, own, enough = (hi - lo)[at:stop], item[at:stop], least[at:stop]
+            window = np.repeat(np.arange(len(n)), n)
+            word = ids[np.repeat(lo[at:stop] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+            hit = np.flatnonzero(self.pairs[self._slot(word, own[window])])
+            hit = hit[(np.bincount(window[hit], minlength=len(n)) >= enough)[window[hit]]]
+            key, times = np.unique(window[hit] * width + word[hit], return_counts=True)
+            window, word = key // width, key % width
+            most = self.pairs[self._slot(word, own[window])]
+            out[at:stop] = np.bincount(window, np.where(most == MANY, times, np.minimum(times, most)), len(n)) >= enough
+            at = stop
         return out
 
     def leaks(self, ids: np.ndarray, sizes: np.ndarray) -> dict[tuple[int, int], tuple]:
@@ -299,8 +311,6 @@ class _Matcher:
                 for d, s, c, x, a, b in zip(*(v[kept].tolist() for v in (doc, start, item, cosine, lo, hi)), strict=True):
                     words, text = self.items.words[c], ids[a:b].tolist()
                     there = set(text)
-                    if sum(w in there for w in words) < COMMON * len(words):
-                        continue
                     common = common_subsequence(words, text) / len(words)
                     answer = self.items.answers[c]
                     found = sum(w in there for w in answer) / max(1, len(answer))

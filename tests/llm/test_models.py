@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -233,6 +234,27 @@ def test_candidates_are_all_near_passages(spark):
     assert slow & near_leaks and len(near_leaks & found) >= 0.98 * len(near_leaks)
 
 
+@pytest.mark.parametrize("at_once", [1, 50, 1 << 17])
+def test_bound_on_common_subsequences(monkeypatch, at_once):
+    """Only surroundings with enough of the item's words, each as often as the item has it at most, are compared; none with such a subsequence is missed."""
+    monkeypatch.setattr(decontam, "WORDS_AT_ONCE", at_once)
+    rng = random.Random(5)
+    names = [f"w{i}" for i in range(30)]
+    bench = [(k, " ".join(rng.choice(names) for _ in range(rng.randint(1, 25))), None) for k in range(20)] + [(20, "often " * 450, None)]
+    items = decontam.items_of(bench)
+    matcher = decontam._Matcher(items, np.ones(len(items.vocabulary) + 1), np.zeros((len(items.vocabulary) + 1, 1)))
+    ids = np.array([rng.choice([0, *items.vocabulary.values()]) for _ in range(600)] + [items.vocabulary["often"]] * 280 + [items.words[0][0]] * 40)
+    lo = np.array([rng.randrange(len(ids)) for _ in range(800)] + [600, 600, 880])
+    hi = np.array([min(len(ids), i + rng.randint(0, 60)) for i in lo[:800]] + [880, 860, 920])
+    item = np.array([rng.randrange(20) for _ in range(800)] + [20, 20, 0])
+    got = matcher.likely(ids, lo, hi, item)
+    words, texts = [items.words[k] for k in item], [ids[i:j].tolist() for i, j in zip(lo, hi, strict=True)]
+    shared = [sum((Counter(w) & Counter(t)).values()) / len(w) for w, t in zip(words, texts, strict=True)]
+    assert got.tolist() == [x >= decontam.COMMON for x in shared] and got.any() and not got[-1]
+    assert got[-3] and not got[-2]  # 280 and 260 words of 450
+    assert all(g for g, w, t in zip(got, words, texts, strict=True) if slow_lcs(w, t) >= decontam.COMMON * len(w))
+
+
 def test_long_items(spark):
     """More distinct words than 16 bits hold, in one item, and items of signs alone."""
     long = " ".join(f"w{i}" for i in range(100_000))
